@@ -206,8 +206,14 @@ def gauge_class(value: ColumnOrName, limit: ColumnOrName) -> Column:
 
 
 def with_unit(value: ColumnOrName, digits: int = 2, unit: str = V.UNIT) -> Column:
-    """KPI text such as '2.31 μg/m³'."""
-    return F.format_string(f"%.{digits}f {unit}", col(value))
+    """KPI text such as '2.31 μg/m³' (NULL stays NULL).
+
+    ``format_number`` rounds the binary value half-even, as Python's
+    ``f"{x:.2f}"`` does (``format_string`` rounds the decimal text instead:
+    26.845 -> '26.85' where Python prints '26.84'); grouping commas are removed.
+    """
+    v = col(value)
+    return F.concat(F.translate(F.format_number(v, digits), ",", ""), F.lit(f" {unit}"))
 
 
 def range_text(lo: ColumnOrName, hi: ColumnOrName) -> Column:
