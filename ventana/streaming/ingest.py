@@ -10,9 +10,10 @@ by a collector are read as a stream:
   an append-only Parquet store. ``dropDuplicatesWithinWatermark`` bounds the
   state kept for duplicates that arrive close together.
 * T2 ``stream_daily``: ``withWatermark`` + ``window(ts, '1 day')`` means per
-  series; rows later than the watermark are dropped. Updates are written per
-  batch to a change log (batch id kept); the latest version of each window is
-  the result.
+  series; rows later than the watermark are dropped (Spark checks late rows
+  against the watermark reached at the end of the previous batch, so the cut
+  is exact one batch later). Updates are written per batch to a change log
+  (batch id kept); the latest version of each window is the result.
 * T3 ``stream_alerts``: stateless label + filter.
 
 All checkpoints live under the shared checkpoint folder so a restarted driver
