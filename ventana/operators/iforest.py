@@ -104,7 +104,9 @@ def _unit_hash(*cols) -> F.Column:
 
 class IsolationForestModel:
     def __init__(self, trees: list, features: Sequence[str], psi: int):
-        self.trees = trees
+        self.trees = [(np.asarray(f, dtype=np.int64), np.asarray(t, dtype=float),
+                       np.asarray(lf, dtype=np.int64), np.asarray(rt, dtype=np.int64),
+                       np.asarray(sz, dtype=float)) for f, t, lf, rt, sz in trees]
         self.features = list(features)
         self.psi = psi
 
@@ -130,10 +132,7 @@ class IsolationForestModel:
 
     def score_column(self, spark) -> F.Column:
         """Arrow-batched scorer over the feature columns (NULL if incomplete)."""
-        arrays = [(np.asarray(f, dtype=np.int64), np.asarray(t, dtype=float),
-                   np.asarray(lf, dtype=np.int64), np.asarray(rt, dtype=np.int64),
-                   np.asarray(sz, dtype=float)) for f, t, lf, rt, sz in self.trees]
-        bc = spark.sparkContext.broadcast((arrays, self.features, self.psi))
+        bc = spark.sparkContext.broadcast((self.trees, self.features, self.psi))
 
         @F.pandas_udf(T.DoubleType())
         def score(*cols: pd.Series) -> pd.Series:
@@ -164,7 +163,13 @@ def fit(df: DataFrame, features: Sequence[str], key_cols: Sequence[str], *,
     pre = complete.select(*key_cols, *[F.col(c).cast("double").alias(c) for c in features])
     if rate < 1.0:
         pre = pre.filter(_unit_hash(F.lit(seed), *keys) < rate)
-    per_tree = pre.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
+    # each pre-sampled row joins only the trees whose own hash test it passes
+    # (about 1.5 x psi rows per tree), then each tree keeps its psi smallest hashes
+    per_tree_rate = min(1.0, psi * 1.5 / max(n * rate, 1.0))
+    tree_ids = F.sequence(F.lit(0), F.lit(n_trees - 1))
+    if per_tree_rate < 1.0:
+        tree_ids = F.filter(tree_ids, lambda t: _unit_hash(F.lit(seed + 1), t, *keys) < per_tree_rate)
+    per_tree = pre.select("*", F.explode(tree_ids).alias("tree"))
     w = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed), F.col("tree"), *keys), *key_cols)
     chosen = per_tree.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= psi)
     grown = chosen.select("tree", *features).groupBy("tree").applyInPandas(
@@ -187,7 +192,10 @@ def anomalies(df: DataFrame, features: Sequence[str], key_cols: Sequence[str], *
     """
     model = model or fit(df, features, key_cols, n_trees=n_trees, sample_size=sample_size,
                          seed=seed)
-    scored = df.withColumn("anomaly_score", model.score_column(df.sparkSession))
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    src = df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    scored = src.withColumn("anomaly_score", model.score_column(spark))
     q = 1.0 - contamination
     s = F.col("anomaly_score")
     cut = scored.select(F.percentile(s, q) if exact_cut else

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -111,7 +112,15 @@ def fit_gbt(train: DataFrame, *, features: Sequence[str], label: str, seed: int
     assembler = VectorAssembler(inputCols=list(features), outputCol="_features")
     gbt = GBTRegressor(featuresCol="_features", labelCol=label, predictionCol="prediction",
                        lossType="squared", seed=seed, **opts)
-    return Pipeline(stages=[assembler, gbt]).fit(train)
+    # boosting reads the training rows once per round: keep them materialised for
+    # the fit only (spills to disk when large), then release them
+    data = assembler.transform(train.select(*features, label)).select("_features", label) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        booster = gbt.fit(data)
+    finally:
+        data.unpersist()
+    return PipelineModel(stages=[assembler, booster])
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
