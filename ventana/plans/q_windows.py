@@ -221,3 +221,60 @@ def flagship(spark, sf):
 
 
 query("flagship", _flagship_sql())(flagship)
+
+
+# --- raw (unaggregated) series through the skew-safe blocked windows ------------
+
+from ..operators import blocked as B  # noqa: E402
+from .sqltext import win as _win  # noqa: E402
+from .standins import table as _table  # noqa: E402
+
+_RAW_W = _win(US, "ts, event_id")
+
+
+def _raw_events(spark, sf):
+    return _table(spark, sf, "events").select(
+        "user_id", "ts", "event_id", "value",
+        F.when(F.col("event_type") == "click", F.col("value")).alias("click_value"))
+
+
+@query("lags_raw", f"""
+SELECT user_id, event_id, lag(value, 1) {_RAW_W} AS value_lag_1, lag(value, 3) {_RAW_W} AS value_lag_3,
+       lead(value, 1) {_RAW_W} AS value_next,
+       avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS value_r4
+FROM events""")
+def q_lags_raw(spark, sf):
+    """W1/W2/W5 on raw event rows per series, computed in daily blocks with
+    edge repair (no series is held by one task)."""
+    def build(w):
+        return {"value_lag_1": F.lag("value", 1).over(w), "value_lag_3": F.lag("value", 3).over(w),
+                "value_next": F.lead("value", 1).over(w),
+                "value_r4": W.rolling_mean_expr(w, "value", 4, 1)}
+    out = B.bounded(_raw_events(spark, sf), ts="ts", build=build, back=3, ahead=1,
+                    series_cols=US, tiebreak=["event_id"])
+    return out.select("user_id", "event_id", "value_lag_1", "value_lag_3", "value_next", "value_r4")
+
+
+@query("interpolate_raw", with_ctes(
+    "SELECT user_id, event_id, click_value FROM i",
+    r="SELECT user_id, ts, event_id, CASE WHEN event_type = 'click' THEN value END AS click_value FROM events",
+    i=interp_select(["click_value"], US, "ts, event_id", "r", ["user_id", "event_id"])))
+def q_interpolate_raw(spark, sf):
+    """W7 on raw event rows (click values only known), blocked per day."""
+    out = B.interpolate(_raw_events(spark, sf), ts="ts", cols=["click_value"], series_cols=US,
+                        tiebreak=["event_id"])
+    return out.select("user_id", "event_id", "click_value")
+
+
+@query("islands_raw", f"""
+SELECT user_id, event_id, bad,
+       CAST(sum(chg) OVER (PARTITION BY user_id ORDER BY ts, event_id
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS episode
+FROM (SELECT *, CAST(coalesce(bad <> lag(bad) {_RAW_W}, true) AS INTEGER) AS chg
+      FROM (SELECT user_id, ts, event_id, CAST(value > 60 AS INTEGER) AS bad FROM events
+            WHERE value IS NOT NULL))""")
+def q_islands_raw(spark, sf):
+    """W8 on raw event rows per series (value > 60), blocked per day."""
+    out = B.islands(_raw_events(spark, sf), ts="ts", col="value", threshold=60.0, series_cols=US,
+                    tiebreak=["event_id"])
+    return out.select("user_id", "event_id", "bad", "episode")
