@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
@@ -58,7 +58,9 @@ def level_shares(df: DataFrame, *, level_col: str = "aqi_level",
     counts = df.groupBy(level_col).agg(F.count(F.lit(1)).alias("n"))
     order = spark.createDataFrame([(lv, i) for i, lv in enumerate(levels)],
                                   f"{level_col} string, level_order int")
-    total = counts.select(F.sum("n")).scalar()
+    # the total is the sum of the (few) level counts: a window over the tiny
+    # aggregated result, not a second pass over the data
+    total = F.sum("n").over(Window.partitionBy())
     out = (order.join(counts, level_col, "left")
                 .withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
                 .withColumn("share_pct", rounded(F.col("n") * 100.0 / F.nullif(total, F.lit(0)),

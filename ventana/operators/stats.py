@@ -2,8 +2,9 @@
 (A12-A23, P15, P16, P25, P26).
 
 Rule: one aggregation pass for all columns, then ``unpivot``/``stack`` into long
-form -- never one job per column. Bin edges come from scalar subqueries (one
-value each), never from a join against the data.
+form -- never one job per column. Bin edges and fences come from one extra
+aggregation pass (a few numbers, see ``bounds``), never from a join against
+the data.
 """
 
 from __future__ import annotations
@@ -17,6 +18,17 @@ from ..functions import values as V
 from ..functions.exprs import level3, null_safe_corr, range_violation, rounded
 
 
+def bounds(df: DataFrame, *exprs: Column) -> tuple:
+    """A few numbers (bin edges, fences) from ONE aggregation pass.
+
+    The plan that uses them then holds literals: a scalar subquery referenced
+    in several expressions is executed once per reference, i.e. one extra scan
+    each, so edges are fetched once instead (a handful of numbers, never rows).
+    """
+    row = df.agg(*exprs).first()
+    return tuple(row) if row is not None else tuple(None for _ in exprs)
+
+
 def _long(df: DataFrame, names: Sequence[str], fields: Sequence[str], key: str = "column") -> DataFrame:
     """One-row frame with ``{name}__{field}`` columns -> one row per name."""
     structs = [F.struct(F.lit(n).alias(key), *[F.col(f"{n}__{f}").alias(f) for f in fields])
@@ -158,7 +170,7 @@ def range_violations(df: DataFrame, cols: Sequence[str], lo: float = V.PM25_RANG
 
 def _bin(x: Column, lo: Column, width: Column, bins: int) -> Column:
     """Equal-width bin with the maximum clamped into the last bin."""
-    b = F.floor((x - lo) / F.nullif(width, F.lit(0.0))).cast("int")
+    b = F.floor((x - lo) / F.nullif(width.cast("double"), F.lit(0.0))).cast("int")
     return F.least(F.coalesce(b, F.lit(0)), F.lit(bins - 1))
 
 
@@ -166,20 +178,22 @@ def histogram(df: DataFrame, value_col: str, bins: int = 40,
               series_cols: Sequence[str] = ()) -> DataFrame:
     """Equal-width histogram (bin, lower edge, upper edge, count).
 
-    Edges come from two scalar subqueries over the column (global range), so
-    the data is binned in the scan and only (bin, count) partials shuffle.
+    The global range comes from one aggregation pass; the data is then binned
+    in the scan and only (bin, count) partials shuffle.
     """
     x = F.col(value_col).cast("double")
-    lo = df.select(F.min(x)).scalar()
-    hi = df.select(F.max(x)).scalar()
-    width = (hi - lo) / F.lit(float(bins))
-    b = _bin(x, lo, width, bins)
+    lo, hi = bounds(df, F.min(x), F.max(x))
+    if lo is None:
+        return df.sparkSession.createDataFrame(
+            [], f"{''.join(c + ' string, ' for c in series_cols)}bin int, lo double, hi double, n bigint")
+    width = (hi - lo) / float(bins)
+    b = _bin(x, F.lit(lo), F.lit(width), bins)
     return (df.filter(x.isNotNull())
               .groupBy(*series_cols, b.alias("bin"))
               .agg(F.count(F.lit(1)).alias("n"))
               .select(*series_cols, "bin",
-                      (lo + F.col("bin") * width).alias("lo"),
-                      (lo + (F.col("bin") + 1) * width).alias("hi"), "n"))
+                      (F.lit(lo) + F.col("bin") * F.lit(width)).alias("lo"),
+                      (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("hi"), "n"))
 
 
 def box_stats(df: DataFrame, value_col: str, group_cols: Sequence[str] = (),
@@ -187,40 +201,47 @@ def box_stats(df: DataFrame, value_col: str, group_cols: Sequence[str] = (),
     """Quartiles, median, mean, sd, whiskers (extreme values inside the
     1.5 IQR fences), outlier count, per group.
 
-    The per-group quartiles are one row per group; they are joined back on the
-    group key (a small side AQE can broadcast after measuring it).
+    Two passes: the per-group statistics (one row per group), then one join of
+    the rows with them (a small side AQE can broadcast after measuring it) and
+    one aggregation that carries the statistics through to the output.
     """
     x = F.col(value_col)
-    q = (df.groupBy(*group_cols)
+    g = list(group_cols)
+    q = (df.groupBy(*g)
            .agg(F.percentile(x, [0.25, 0.5, 0.75]).alias("_q"),
                 F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.count(x).alias("n"))
-           .select(*group_cols, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
+           .select(*g, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
                    F.col("_q")[2].alias("q3"), "mean", "sd", "n"))
-    fences = q.select(*group_cols,
-                      (F.col("q1") - whisker * (F.col("q3") - F.col("q1"))).alias("_lo"),
-                      (F.col("q3") + whisker * (F.col("q3") - F.col("q1"))).alias("_hi"))
-    rows = df.filter(x.isNotNull()).select(*group_cols, x.alias("_x"))
-    joined = rows.join(fences, list(group_cols), "inner") if group_cols else \
-        rows.select("_x", F.lit(fences.select("_lo").scalar()).alias("_lo"),
-                    F.lit(fences.select("_hi").scalar()).alias("_hi"))
-    inside = (F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi"))
-    w = joined.groupBy(*group_cols).agg(
+    iqr = F.col("q3") - F.col("q1")
+    rows = df.filter(x.isNotNull()).select(*g, x.alias("_x"))
+    stats = ["q1", "median", "q3", "mean", "sd", "n"]
+    if g:
+        joined = q.join(rows, g, "left")
+        carried = [F.first(c).alias(c) for c in stats]
+    else:
+        vals = bounds(q, *[F.first(c) for c in stats])
+        joined = rows.select("_x", *[F.lit(v).alias(c) for c, v in zip(stats, vals)])
+        carried = [F.lit(v).cast("bigint" if c == "n" else "double").alias(c)
+                   for c, v in zip(stats, vals)]
+    lo = F.col("q1") - whisker * iqr
+    hi = F.col("q3") + whisker * iqr
+    inside = (F.col("_x") >= lo) & (F.col("_x") <= hi)
+    return joined.groupBy(*g).agg(
+        *carried,
         F.min(F.when(inside, F.col("_x"))).alias("lower_whisker"),
         F.max(F.when(inside, F.col("_x"))).alias("upper_whisker"),
-        F.count_if(~inside).alias("n_outliers"))
-    return q.join(w, list(group_cols), "left") if group_cols else \
-        q.select("*", *[w.select(c).scalar().alias(c)
-                        for c in ("lower_whisker", "upper_whisker", "n_outliers")])
+        F.count_if(F.col("_x").isNotNull() & ~inside).alias("n_outliers"))
 
 
 def density2d(df: DataFrame, x: str, y: str, bins: int = 20,
               level_from: str | None = "pm2_5") -> DataFrame:
     """2-D equal-width bin counts of (x, y), split by PM2.5 level."""
     X, Y = F.col(x).cast("double"), F.col(y).cast("double")
-    xlo, xhi = df.select(F.min(X)).scalar(), df.select(F.max(X)).scalar()
-    ylo, yhi = df.select(F.min(Y)).scalar(), df.select(F.max(Y)).scalar()
-    bx = _bin(X, xlo, (xhi - xlo) / float(bins), bins)
-    by = _bin(Y, ylo, (yhi - ylo) / float(bins), bins)
+    xlo, xhi, ylo, yhi = bounds(df, F.min(X), F.max(X), F.min(Y), F.max(Y))
+    xw = (xhi - xlo) / float(bins) if xlo is not None else None
+    yw = (yhi - ylo) / float(bins) if ylo is not None else None
+    bx = _bin(X, F.lit(xlo), F.lit(xw), bins)
+    by = _bin(Y, F.lit(ylo), F.lit(yw), bins)
     keys = [level3(level_from).alias("level")] if level_from else []
     return (df.filter(X.isNotNull() & Y.isNotNull())
               .groupBy(*keys, bx.alias("bx"), by.alias("by"))
