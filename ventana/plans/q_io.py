@@ -147,3 +147,95 @@ def q_stream_alerts(spark, sf):
     ingest.run_to_end(ingest.stream_alerts(_events_stream(spark, sf), out, ck, value_col="value",
                                            keep=["event_id", "ts"]))
     return spark.read.parquet(out)
+
+
+# --- ordered table, source fallback, JSON report --------------------------------
+
+from ..operators import columns as C  # noqa: E402
+from ..operators import profiles as P  # noqa: E402
+from ..operators import stats as S  # noqa: E402
+
+
+@query("ordered_table", with_ctes(f"SELECT {ts_txt('date')} AS date, pm2_5, pm10 FROM H", H=H_SQL))
+def q_ordered_table(spark, sf):
+    """S3: a catalog table read with a fixed column list, ordered by time."""
+    station_hourly(spark, sf).createOrReplaceTempView("hourly_air_quality")
+    return files.read_ordered_table(spark, "hourly_air_quality", ["date", "pm2_5", "pm10"], ts="date")
+
+
+@query("source_fallback", "SELECT o_orderkey, o_totalprice FROM orders")
+def q_source_fallback(spark, sf):
+    """The first source that exists (a missing Parquet path is skipped)."""
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("o_orderkey", T.LongType()),
+                           T.StructField("o_totalprice", T.DoubleType())])
+    df = files.read_first_available(spark, [f"{sf}/no_such_table.parquet", f"{sf}/orders.parquet"],
+                                    schema)
+    return df.select("o_orderkey", "o_totalprice")
+
+
+@query("report_json", with_ctes(f"""
+SELECT count(*) AS total_rows, strftime(max(date), '%Y-%m-%dT%H:%M:%S') AS last_update,
+       CAST(count_if(pm2_5 < 0 OR pm2_5 > 500) AS BIGINT) AS pm25_range_violation,
+       count_if(pm2_5 IS NULL) / count(*) AS pm2_5_missing,
+       count_if(ozone IS NULL) / count(*) AS ozone_missing
+FROM H""", H=H_SQL))
+def q_report_json(spark, sf):
+    """S14 + A15: the data-quality report written as JSON and read back."""
+    path = _scratch(spark, "report")
+    rep = S.dq_report(station_hourly(spark, sf), ts="date", cols=["pm2_5", "ozone"])
+    files.write_report_json(rep, path)
+    back = files.read_report_json(spark, path)
+    return back.select(F.col("total_rows").cast("bigint").alias("total_rows"), "last_update",
+                       F.col("pm25_range_violation").cast("bigint").alias("pm25_range_violation"),
+                       F.col("missing_values_pct.pm2_5").cast("double").alias("pm2_5_missing"),
+                       F.col("missing_values_pct.ozone").cast("double").alias("ozone_missing"))
+
+
+_FEATS = ["pm2_5", "pm10", "ozone", "nitrogen_dioxide", "european_aqi"]
+
+
+@query("align_features", with_ctes(f"""
+SELECT user_id, {ts_txt('date')} AS date, pm2_5, pm10, ozone, CAST(NULL AS DOUBLE) AS nitrogen_dioxide, european_aqi
+FROM U WHERE pm2_5 IS NOT NULL AND pm10 IS NOT NULL""", U=U_SQL))
+def q_align_features(spark, sf):
+    """P19 -> U2/P17 -> P14 -> P18: numeric columns, missing features added as
+    NULL in model order, then rows complete on the two PM features kept."""
+    u = C.numeric_only(users_hourly(spark, sf), keep=["date"])
+    assert C.missing_columns(u, _FEATS) == ["nitrogen_dioxide"]
+    aligned = C.align_features(C.drop_if_present(u, ["carbon_monoxide", "id"]), _FEATS,
+                               keep=["user_id", "date"])
+    return C.complete_rows(aligned, ["pm2_5", "pm10"])
+
+
+@query("batch_bounds", f"""
+SELECT user_id, {ts_txt('min(ts)')} AS first_ts, {ts_txt('max(ts)')} AS last_ts, count(*) AS n_rows
+FROM events GROUP BY 1""")
+def q_batch_bounds(spark, sf):
+    """first/last time and row count per series of a batch."""
+    return P.batch_bounds(table(spark, sf, "events"), ts="ts", series_cols=["user_id"])
+
+
+@query("first_last", """
+SELECT user_id, arg_min(value, (ts, event_id)) AS value_first, arg_max(value, (ts, event_id)) AS value_last
+FROM events GROUP BY 1""")
+def q_first_last(spark, sf):
+    """First and last value by time per series (ties broken by event id)."""
+    from ..operators import windows as W
+    ev = table(spark, sf, "events").withColumn("_order", F.struct("ts", "event_id"))
+    return W.first_last(ev, ts="_order", cols=["value"], series_cols=["user_id"])
+
+
+@query("cumulative", """
+SELECT o_orderpriority, strftime(d, '%Y-%m-%d') AS day, total,
+       sum(total) OVER (PARTITION BY o_orderpriority ORDER BY d
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_total
+FROM (SELECT o_orderpriority, CAST(o_orderdate AS DATE) AS d, sum(o_totalprice) AS total
+      FROM orders GROUP BY 1, 2)""")
+def q_cumulative(spark, sf):
+    """Running total per series over daily sums."""
+    from ..operators import windows as W
+    d = table(spark, sf, "orders").groupBy("o_orderpriority", F.to_date("o_orderdate").alias("day")) \
+        .agg(F.sum("o_totalprice").alias("total"))
+    return W.cumulative_sum(d, order_col="day", col="total", out="running_total",
+                            series_cols=["o_orderpriority"])
