@@ -1,16 +1,15 @@
 """Calendar resampling (A1-A3).
 
 Raw rows go through one hash aggregation per (series, day) with map-side partial
-aggregation, so a hot series only costs its share of the scan; the calendar is
-then built from the (small) aggregated bounds per series and left-joined on the
-same (series, day) key the aggregation already hash-partitioned by.
+aggregation, so a hot series only costs its share of the scan; the calendar gaps
+are then filled on the (small) daily grid, in the same pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import rounded
@@ -62,18 +61,28 @@ def daily_resample(df: DataFrame, *, ts: str = "date", value_cols: Sequence[str]
     ``aggs`` is a list of ``(output, function, column)``; without it every
     column in ``value_cols`` is averaged. Empty days get NULL for mean/min/max
     and 0 for sums, as a day-bin of no rows does.
+
+    One pass over the raw rows: after the (series, day) aggregation, each day
+    row is expanded to itself plus the empty days up to the next present day
+    (``lead`` over the small daily grid + ``explode(sequence)``), so there is no
+    second scan for calendar bounds and no join.
     """
     exprs, sums = _agg_exprs(value_cols, aggs, digits)
     daily = (df.withColumn(day_col, F.to_date(ts))
                .groupBy(*series_cols, day_col).agg(*exprs))
-    bounds = daily.groupBy(*series_cols).agg(F.min(day_col).alias("lo"),
-                                             F.max(day_col).alias("hi"))
-    cal = calendar(bounds, series_cols=series_cols, day_col=day_col)
-    out = cal.join(daily, [*series_cols, day_col], "left")
-    if sums:
-        out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(out.schema[c].dataType))
-                               for c in sums})
-    return out
+    outs = [c for c in daily.columns if c not in (*series_cols, day_col)]
+    w = Window.partitionBy(*series_cols).orderBy(day_col)
+    last_day = F.coalesce(F.date_sub(F.lead(day_col).over(w), 1), F.col(day_col))
+    spread = daily.withColumn("_last", last_day) \
+        .withColumn("_d", F.explode(F.sequence(F.col(day_col), F.col("_last"))))
+    own = F.col("_d") == F.col(day_col)
+    cols = []
+    for c in outs:
+        dtype = daily.schema[c].dataType
+        empty = F.lit(0).cast(dtype) if c in sums else F.lit(None).cast(dtype)
+        value = F.coalesce(F.col(c), F.lit(0).cast(dtype)) if c in sums else F.col(c)
+        cols.append(F.when(own, value).otherwise(empty).alias(c))
+    return spread.select(*series_cols, F.col("_d").alias(day_col), *cols)
 
 
 def hourly_wide(df: DataFrame, *, ts: str, key_col: str, value_col: str,
