@@ -93,3 +93,10 @@ def test_empty_one_row_all_null_keep_schema(spark):
                     P.kpi_row(df, mean_cols=["pm2_5"], index_col="pm10")):
             out.collect()
             assert len(out.columns) > 0
+
+
+def test_approx_quartiles_close_to_exact(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(1001)], "x double")
+    ex = S.describe(df, ["x"]).first()
+    ap = S.describe(df, ["x"], approx=True).first()
+    assert abs(ex["p50"] - ap["p50"]) <= 1.0 and abs(ex["p75"] - ap["p75"]) <= 1.0

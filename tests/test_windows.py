@@ -78,3 +78,10 @@ def test_last_n_and_lags(spark):
     lag = W.add_lags(df, ts="ts", lags={"x": [1, 3]}, series_cols=["s"]).orderBy("ts")
     r = rows(lag, "x_lag_1", "x_lag_3")
     assert r[0] == (None, None) and r[4] == (3.0, 1.0)
+
+
+def test_last_n_keyless_is_top_n(spark):
+    df = _seq(spark, [float(i) for i in range(6)])
+    out = W.last_n(df, ts="ts", n=2)
+    assert sorted(r["x"] for r in out.collect()) == [4.0, 5.0]
+    assert "TakeOrderedAndProject" in out._jdf.queryExecution().executedPlan().toString()

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..session import checkpoint_dir
 from ..functions.exprs import level4, level4_advice, rounded
 from . import windows as W
 from .features import DAILY_FEATURES, daily_features
@@ -106,7 +107,12 @@ def retrain_decision(metrics: DataFrame, null_share: DataFrame, *, series_cols:
 
 def fit_gbt(train: DataFrame, *, features: Sequence[str], label: str, seed: int = 42,
             **params) -> PipelineModel:
-    """M4/M5: squared-error gradient-boosted trees on assembled features."""
+    """M4/M5: squared-error gradient-boosted trees on assembled features.
+
+    Boosting checkpoints its running predictions every ``checkpointInterval``
+    rounds into the shared checkpoint folder, so 500 rounds keep a short lineage.
+    """
+    checkpoint_dir(train.sparkSession)
     opts = dict(V.GBT_DAILY)
     opts.update(params)
     assembler = VectorAssembler(inputCols=list(features), outputCol="_features")

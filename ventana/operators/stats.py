@@ -36,12 +36,20 @@ def _long(df: DataFrame, names: Sequence[str], fields: Sequence[str], key: str =
     return df.select(F.inline(F.array(*structs)))
 
 
-def describe(df: DataFrame, value_cols: Sequence[str], digits: int | None = None) -> DataFrame:
+def _quartiles(x: Column, approx: bool, accuracy: int = 10000) -> Column:
+    """Exact quartiles (linear interpolation; the aggregation buffer holds the
+    group's distinct values) or the bounded-memory sketch for huge groups."""
+    qs = [0.25, 0.5, 0.75]
+    return F.percentile_approx(x, qs, accuracy) if approx else F.percentile(x, qs)
+
+
+def describe(df: DataFrame, value_cols: Sequence[str], digits: int | None = None,
+             approx: bool = False) -> DataFrame:
     """Count, mean, std (n-1), min, quartiles (linear), max per column."""
     exprs = []
     for c in value_cols:
         x = F.col(c).cast("double")
-        q = F.percentile(x, [0.25, 0.5, 0.75])
+        q = _quartiles(x, approx)
         exprs += [F.count(x).alias(f"{c}__count"),
                   rounded(F.avg(x), digits).alias(f"{c}__mean"),
                   rounded(F.stddev_samp(x), digits).alias(f"{c}__std"),
@@ -197,7 +205,7 @@ def histogram(df: DataFrame, value_col: str, bins: int = 40,
 
 
 def box_stats(df: DataFrame, value_col: str, group_cols: Sequence[str] = (),
-              whisker: float = 1.5) -> DataFrame:
+              whisker: float = 1.5, approx: bool = False) -> DataFrame:
     """Quartiles, median, mean, sd, whiskers (extreme values inside the
     1.5 IQR fences), outlier count, per group.
 
@@ -208,7 +216,7 @@ def box_stats(df: DataFrame, value_col: str, group_cols: Sequence[str] = (),
     x = F.col(value_col)
     g = list(group_cols)
     q = (df.groupBy(*g)
-           .agg(F.percentile(x, [0.25, 0.5, 0.75]).alias("_q"),
+           .agg(_quartiles(x.cast("double"), approx).alias("_q"),
                 F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.count(x).alias("n"))
            .select(*g, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
                    F.col("_q")[2].alias("q3"), "mean", "sd", "n"))

@@ -128,7 +128,13 @@ def episodes(df: DataFrame, *, ts: str = "date", col: str = "european_aqi",
 
 
 def last_n(df: DataFrame, *, ts: str, n: int, series_cols: Sequence[str] = ()) -> DataFrame:
-    """L2: the latest ``n`` rows of each series (top-k per group, no global sort)."""
+    """L2: the latest ``n`` rows of each series (top-k per group, no global sort).
+
+    Without series this is a plain top-n (``TakeOrderedAndProject``: n rows per
+    task, then n overall), never a one-partition window.
+    """
+    if not series_cols:
+        return df.orderBy(F.desc(ts)).limit(n)
     w = Window.partitionBy(*series_cols).orderBy(F.desc(ts))
     return df.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= n).drop("_rk")
 

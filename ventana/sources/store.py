@@ -40,7 +40,7 @@ def keep_first(batch: DataFrame, key: Sequence[str], order_col: str) -> DataFram
 
 
 def new_rows(batch: DataFrame, target: DataFrame | None, key: Sequence[str], order_col: str,
-             ts: str | None = None) -> DataFrame:
+             ts: str | None = None, day_col: str = "day") -> DataFrame:
     """S8 without the write: rows of the batch whose key is not stored yet.
 
     When ``ts`` is given, the target is first restricted to the batch's time
@@ -50,13 +50,15 @@ def new_rows(batch: DataFrame, target: DataFrame | None, key: Sequence[str], ord
     firsts = keep_first(batch, key, order_col)
     if target is None:
         return firsts
-    tgt = target.select(*key)
+    tgt = target
     if ts is not None:
         lo, hi = batch.agg(F.min(ts), F.max(ts)).first()
         if lo is None:
             return firsts.limit(0)
+        if day_col in target.columns:      # partition column of the day layout: prune files
+            tgt = tgt.filter(F.col(day_col).between(F.to_date(F.lit(lo)), F.to_date(F.lit(hi))))
         tgt = tgt.filter((F.col(ts) >= F.lit(lo)) & (F.col(ts) <= F.lit(hi)))
-    return firsts.join(tgt, list(key), "left_anti")
+    return firsts.join(tgt.select(*key), list(key), "left_anti")
 
 
 def insert_or_ignore(batch: DataFrame, target_path: str, key: Sequence[str], order_col: str,
@@ -70,7 +72,7 @@ def insert_or_ignore(batch: DataFrame, target_path: str, key: Sequence[str], ord
         target = spark.read.parquet(target_path)
     except Exception:  # noqa: BLE001 - no store yet
         target = None
-    rows = new_rows(batch, target, key, order_col, ts=ts)
+    rows = new_rows(batch, target, key, order_col, ts=ts, day_col=day_col)
     if "created_at" not in rows.columns:
         rows = rows.withColumn("created_at", F.current_timestamp())
     rows = rows.withColumn(day_col, F.to_date(ts)).persist()
