@@ -182,8 +182,10 @@ def _daily_model(spark, sf, target):
     key = ("daily", sf, target)
     if key not in _MODEL_CACHE:
         f = W.chrono_split(_features_daily(spark, sf, target), ts="day", series_cols=US)
-        _MODEL_CACHE[key] = (L.fit_gbt(f.filter("split = 'train'"), features=_DAILY_X,
-                                       label="pm25_diff"), f)
+        train = f.filter("split = 'train'")
+        if train.isEmpty():
+            raise ValueError(f"no complete daily feature rows under {sf} to fit the model")
+        _MODEL_CACHE[key] = (L.fit_gbt(train, features=_DAILY_X, label="pm25_diff"), f)
     return _MODEL_CACHE[key]
 
 
@@ -208,6 +210,9 @@ def q_gbt_two_targets(spark, sf):
     station features; hold-out = last ceil(0.3 n) rows; metrics per target."""
     f = W.chrono_split(FT.features_hourly(station_hourly(spark, sf)), ts="date", test_share=0.3)
     train, test = f.filter("split = 'train'"), f.filter("split = 'test'")
+    if train.isEmpty():   # too few complete hours to fit: empty result, same schema
+        return spark.createDataFrame([], "mse double, rmse double, mae double, r2 double, "
+                                         "n bigint, target string")
     out = None
     for target in ("target_pm25", "target_aqi"):
         m = L.fit_gbt(train, features=_H_X, label=target, **V.GBT_HOURLY)

@@ -289,7 +289,7 @@ SELECT '{m}' AS measure, CAST({i} AS INTEGER) AS measure_order, v AS value, {lim
        v / nullif({lim}, 0) AS ratio, v - {lim} AS delta,
        CASE WHEN v / {lim} > 1 THEN 'danger' WHEN v / {lim} > 0.75 THEN 'amber' ELSE 'teal' END AS gauge_class,
        CASE WHEN v <= {lim} THEN 'OK' ELSE 'Dépassé' END AS status,
-       CASE WHEN v IS NOT NULL THEN printf('%.2f μg/m³', v) END AS value_text,
+       CASE WHEN v IS NOT NULL THEN printf('%.2f μg/m³', round(v, 6)) END AS value_text,
        '{int(lim)} μg/m³' AS limit_text
 FROM (SELECT avg({m}) AS v FROM {src})""")
     return _union(rows)
@@ -300,7 +300,9 @@ def q_threshold_status(spark, sf):
     """Station means against guideline limits: ratio, delta, class, status."""
     h = station_hourly(spark, sf)
     means = h.agg(*[F.avg(m).alias(m) for m in V.GUIDELINE_LIMITS if m in h.columns])
-    return J.threshold_status(means)
+    out = J.threshold_status(means)
+    # 2-digit text of the mean with last-bit summation noise removed (see README)
+    return out.withColumn("value_text", with_unit(F.round("value", 6)))
 
 
 @query("gauge", with_ctes(_union([f"""
@@ -308,23 +310,21 @@ SELECT user_id, '{m}' AS measure, CAST({i} AS INTEGER) AS measure_order, {m} AS
        {m} / nullif({lim}, 0) AS ratio, {m} - {lim} AS delta,
        CASE WHEN {m} / {lim} > 1 THEN 'danger' WHEN {m} / {lim} > 0.75 THEN 'amber' ELSE 'teal' END AS gauge_class,
        CASE WHEN {m} <= {lim} THEN 'OK' ELSE 'Dépassé' END AS status,
+       CASE WHEN {m} IS NOT NULL THEN printf('%.2f μg/m³', round({m}, 6)) END AS value_text,
        '{int(lim)} μg/m³' AS limit_text
 FROM um""" for i, (m, lim) in enumerate(V.GUIDELINE_LIMITS.items()) if m in POLLUTANTS]),
     U=U_SQL, um="SELECT user_id, avg(pm2_5) AS pm2_5, avg(pm10) AS pm10, avg(ozone) AS ozone FROM U GROUP BY 1"))
 def q_gauge(spark, sf):
-    """J5 per series: the gauge table of every series (unpivot + lookup join).
-
-    The 2-digit value text is left out here: per-series means of 2-decimal
-    readings often sit exactly on a .xx5 tie, where the printed digit depends on
-    the engine's summation order (see README, oracle notes).
-    """
+    """J5 per series: the gauge table of every series (unpivot + lookup join)."""
     u = users_hourly(spark, sf)
     means = u.groupBy("user_id").agg(*[F.avg(m).alias(m) for m in ["pm2_5", "pm10", "ozone"]])
-    return J.threshold_status(means, series_cols=["user_id"]).drop("value_text")
+    out = J.threshold_status(means, series_cols=["user_id"])
+    # 2-digit text of the mean with last-bit summation noise removed (see README)
+    return out.withColumn("value_text", with_unit(F.round("value", 6)))
 
 
 @query("alert_text", with_ctes("""
-SELECT date_str, CASE WHEN v IS NOT NULL THEN printf('%.2f μg/m³', v) END AS value_text, lab AS aqi_label,
+SELECT date_str, CASE WHEN v IS NOT NULL THEN printf('%.2f μg/m³', round(v, 6)) END AS value_text, lab AS aqi_label,
        CASE WHEN coalesce(contains(lab, 'Mauvais'), false) THEN 'alert-bad'
             WHEN coalesce(contains(lab, 'Bon'), false) THEN 'alert-good' END AS alert,
        (SELECT min(strftime(date, '%Y-%m-%d')) || ' → ' || max(strftime(date, '%Y-%m-%d')) FROM H) AS period
@@ -338,7 +338,7 @@ def q_alert_text(spark, sf):
     day = F.date_format("date", "yyyy-MM-dd")
     period = h.select(range_text(F.min(day), F.max(day))).scalar()
     d = R.daily_mean(h, ts="date", value_cols=["pm2_5"])
-    return d.select("date_str", with_unit("pm2_5").alias("value_text"),
+    return d.select("date_str", with_unit(F.round("pm2_5", 6)).alias("value_text"),
                     level4("pm2_5").alias("aqi_label"), alert_class(level4("pm2_5")).alias("alert"),
                     period.alias("period"))
 
