@@ -42,6 +42,37 @@ def build_session(master: str | None = None, app_name: str = "ventana",
     return spark
 
 
+def cluster_conf(total_cores: int, *, scan_split: str = "256m", shuffle_target: str = "128m",
+                 broadcast_limit: str = "64m") -> dict:
+    """Settings for a large cluster (e.g. 1000 executors x 8 cores on ~100 TB).
+
+    * Scans: ``maxPartitionBytes`` sets the split size, so tasks read ~256 MB of
+      Parquet each (column pruning shrinks that further).
+    * Shuffles in this library carry aggregated grids or partial aggregates, far
+      smaller than the input; start from 4 x cores partitions and let AQE
+      coalesce to ~128 MB each (``parallelismFirst`` off so it honours the
+      size, not the core count).
+    * Broadcasts are decided by AQE on measured sizes (``autoBroadcastJoinThreshold``
+      is checked at run time), never forced on data that grows.
+    * Skewed join partitions (> 3 x median and > 256 MB) are split by AQE.
+    """
+    return {
+        "spark.sql.files.maxPartitionBytes": scan_split,
+        "spark.sql.shuffle.partitions": str(max(200, 4 * total_cores)),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": shuffle_target,
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": broadcast_limit,
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "20000",
+        "spark.task.maxFailures": "8",
+        "spark.stage.maxConsecutiveAttempts": "8",
+    }
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and materialised intermediate tables.
 
