@@ -3,8 +3,6 @@
 import datetime as dt
 import math
 
-from pyspark.sql import functions as F
-
 from ventana.operators import profiles as P
 from ventana.operators import resample as R
 from ventana.operators import stats as S

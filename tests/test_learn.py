@@ -12,7 +12,6 @@ from ventana.operators import features as FT
 from ventana.operators import iforest
 from ventana.operators import learn as L
 
-from conftest import rows
 
 COLS = ["pm2_5", "carbon_monoxide"]
 

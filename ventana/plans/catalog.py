@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from . import q_basic  # noqa: F401  (registers queries)
 from .registry import ORACLES, QUERIES
 
 MODULES = ["q_basic", "q_windows", "q_stats", "q_io", "q_learn", "q_stream"]

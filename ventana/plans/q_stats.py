@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..functions.exprs import alert_class, level3, level4, range_text, with_unit
+from ..functions.exprs import alert_class, level4, range_text, with_unit
 from ..operators import columns as C
 from ..operators import joins as J
 from ..operators import profiles as P
 from ..operators import resample as R
 from ..operators import stats as S
 from .registry import query
-from .sqltext import corr, ts_txt, win
+from .sqltext import corr, win
 from .standins import H_SQL, POLLUTANTS, U_SQL, station_hourly, table, users_hourly, with_ctes
 
 
