@@ -74,3 +74,15 @@ def test_blocked_keyless(spark):
     plain = W.interpolate(df, ts="ts", cols=["v"])
     blk = B.interpolate(df, ts="ts", cols=["v"], block_seconds=2 * 3600)
     _same(plain, blk, ["ts"], ["v"])
+
+
+def test_blocked_autocorr_and_episodes_equal_plain(spark):
+    from ventana.operators import stats as S
+    df = _frame(spark, seed=17, series=2)
+    a = S.autocorr(df, ts="ts", value_col="v", max_lag=5, series_cols=["s"])
+    b = S.autocorr(df, ts="ts", value_col="v", max_lag=5, series_cols=["s"], block_seconds=3 * 3600)
+    _same(a, b, ["s", "lag"], ["acf"])
+    e1 = W.episodes(df, ts="ts", col="v", threshold=30.0, min_rows=2, series_cols=["s"])
+    e2 = W.episodes(df, ts="ts", col="v", threshold=30.0, min_rows=2, series_cols=["s"],
+                    block_seconds=3 * 3600)
+    _same(e1, e2, ["s", "episode"], ["duree", "aqi_max", "aqi_moy"])

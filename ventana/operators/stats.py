@@ -288,16 +288,26 @@ def wind_rose(df: DataFrame, direction: str, speed: str) -> DataFrame:
 
 
 def autocorr(df: DataFrame, *, ts: str, value_col: str, max_lag: int = 24,
-             series_cols: Sequence[str] = ()) -> DataFrame:
+             series_cols: Sequence[str] = (), block_seconds: int | None = None) -> DataFrame:
     """Autocorrelation at lags 1..max_lag over complete pairs.
 
     All lags come from one sort per series (same window spec), then one
-    aggregation of null-safe correlations, then long form.
+    aggregation of null-safe correlations, then long form. ``block_seconds``
+    computes the lags in time blocks (``blocked.bounded``) for raw series too
+    long for one task.
     """
-    w = Window.partitionBy(*series_cols).orderBy(ts)
     x = F.col(value_col)
-    lagged = df.select(*series_cols, x.alias("_x"),
-                       *[F.lag(x, k).over(w).alias(f"_l{k}") for k in range(1, max_lag + 1)])
+
+    def build(w):
+        return {f"_l{k}": F.lag(x, k).over(w) for k in range(1, max_lag + 1)}
+
+    if block_seconds:
+        from .blocked import bounded
+        lagged = bounded(df.select(*series_cols, ts, x.alias("_x"), x), ts=ts, build=build,
+                         back=max_lag, series_cols=series_cols, block_seconds=block_seconds)
+    else:
+        w = Window.partitionBy(*series_cols).orderBy(ts)
+        lagged = df.select(*series_cols, x.alias("_x"), *[c.alias(n) for n, c in build(w).items()])
     one = lagged.groupBy(*series_cols).agg(
         *[null_safe_corr("_x", f"_l{k}").alias(f"a{k}") for k in range(1, max_lag + 1)])
     return one.select(*series_cols, F.inline(F.array(*[

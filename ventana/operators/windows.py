@@ -112,10 +112,17 @@ def islands(df: DataFrame, *, ts: str, col: str, threshold: float,
 
 def episodes(df: DataFrame, *, ts: str = "date", col: str = "european_aqi",
              threshold: float = V.EPISODE_THRESHOLD, min_rows: int = V.EPISODE_MIN_ROWS,
-             series_cols: Sequence[str] = (), digits: int | None = None) -> DataFrame:
+             series_cols: Sequence[str] = (), digits: int | None = None,
+             block_seconds: int | None = None) -> DataFrame:
     """Runs above the threshold lasting at least ``min_rows`` rows:
-    first and last day, rows, max and mean."""
-    runs = islands(df, ts=ts, col=col, threshold=threshold, series_cols=series_cols)
+    first and last day, rows, max and mean. ``block_seconds`` numbers the runs
+    with the blocked twin of ``islands`` (raw series too long for one task)."""
+    if block_seconds:
+        from .blocked import islands as blocked_islands
+        runs = blocked_islands(df, ts=ts, col=col, threshold=threshold, series_cols=series_cols,
+                               block_seconds=block_seconds)
+    else:
+        runs = islands(df, ts=ts, col=col, threshold=threshold, series_cols=series_cols)
     day = F.date_format(F.col(ts), "yyyy-MM-dd")
     return (runs.filter(F.col("bad") == 1)
                 .groupBy(*series_cols, "episode")
