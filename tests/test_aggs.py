@@ -98,3 +98,11 @@ def test_approx_quartiles_close_to_exact(spark):
     ex = S.describe(df, ["x"]).first()
     ap = S.describe(df, ["x"], approx=True).first()
     assert abs(ex["p50"] - ap["p50"]) <= 1.0 and abs(ex["p75"] - ap["p75"]) <= 1.0
+
+
+def test_as_of_cuts_future_hours(spark):
+    data = [(dt.datetime(2024, 1, 1, h), float(h)) for h in (10, 16, 23)]
+    df = spark.createDataFrame(data, "date timestamp_ntz, v double")
+    keep = R.daily_resample(df, ts="date", value_cols=["v"]).first()["v"]
+    cut = R.daily_resample(df, ts="date", value_cols=["v"], as_of="2024-01-01 16:10:00").first()["v"]
+    assert keep == 49.0 / 3 and cut == 13.0

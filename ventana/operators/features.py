@@ -23,10 +23,11 @@ DAILY_FEATURES = ["pm25_lag_1", "co_lag_1", "pm25_lag_2", "co_lag_2", "pm25_lag_
 
 def daily_table(hourly: DataFrame, *, ts: str = "date", value_cols: Sequence[str],
                 series_cols: Sequence[str] = (), sparse_cols: Sequence[str] = ("formaldehyde",),
-                max_null_share: float = 0.5) -> DataFrame:
+                max_null_share: float = 0.5, as_of: str | None = None) -> DataFrame:
     """A2 -> P15 -> W7: daily calendar means, sparse columns dropped, the rest
-    interpolated (positional, forward)."""
-    daily = daily_resample(hourly, ts=ts, value_cols=value_cols, series_cols=series_cols)
+    interpolated (positional, forward). ``as_of`` drops rows stamped later (D4)."""
+    daily = daily_resample(hourly, ts=ts, value_cols=value_cols, series_cols=series_cols,
+                           as_of=as_of)
     sparse = [c for c in sparse_cols if c in daily.columns]
     if sparse:
         daily = drop_sparse(daily, sparse, max_null_share)

@@ -55,9 +55,14 @@ def calendar(bounds: DataFrame, *, series_cols: Sequence[str] = (), lo: str = "l
 
 def daily_resample(df: DataFrame, *, ts: str = "date", value_cols: Sequence[str] | None = None,
                    series_cols: Sequence[str] = (), aggs: Sequence[tuple] | None = None,
-                   day_col: str = "day", digits: int | None = None) -> DataFrame:
+                   day_col: str = "day", digits: int | None = None,
+                   as_of: str | None = None) -> DataFrame:
     """A2/A3: resample to days with a full calendar per series (rule D10).
 
+    Rows stamped after ``as_of`` (e.g. forecast hours of today already in the
+    feed, rule D4) are left out when it is given; by default they are kept,
+    as the reference keeps them. The cut is a plain filter, pushed to the scan.
+
     ``aggs`` is a list of ``(output, function, column)``; without it every
     column in ``value_cols`` is averaged. Empty days get NULL for mean/min/max
     and 0 for sums, as a day-bin of no rows does.
@@ -68,6 +73,8 @@ def daily_resample(df: DataFrame, *, ts: str = "date", value_cols: Sequence[str]
     second scan for calendar bounds and no join.
     """
     exprs, sums = _agg_exprs(value_cols, aggs, digits)
+    if as_of is not None:
+        df = df.filter(F.col(ts) <= F.lit(as_of).cast(df.schema[ts].dataType))
     daily = (df.withColumn(day_col, F.to_date(ts))
                .groupBy(*series_cols, day_col).agg(*exprs))
     outs = [c for c in daily.columns if c not in (*series_cols, day_col)]
