@@ -92,6 +92,11 @@ FRESHNESS_DAYS = 2
 # Back-fill start date for a series that has no stored rows.
 BACKFILL_START = "2025-09-30"
 
+# Columns removed before the reduced hourly feature table (M3).
+REDUCED_DROP = ["european_aqi_pm2_5", "carbon_monoxide", "methane", "wind_direction_10m",
+                "soil_temperature_0_to_7cm", "soil_moisture_0_to_7cm", "precipitation", "rain",
+                "pressure_msl", "surface_pressure"]
+
 # Published baseline metrics of the reference model.
 BASELINE_METRICS = {"mae_pm25": 2.0927, "mse_pm": 8.4486, "mae_aqi": 0.9453, "mse_aqi": 2.3403}
 

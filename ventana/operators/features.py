@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import values as V
 from ..functions.exprs import cyclic, weekday
 from . import windows as W
 from .resample import daily_resample
@@ -84,9 +85,7 @@ def features_hourly(df: DataFrame, *, ts: str = "date", series_cols: Sequence[st
     return df.withColumns(cols).dropna()
 
 
-REDUCED_DROP = ["european_aqi_pm2_5", "carbon_monoxide", "methane", "wind_direction_10m",
-                "soil_temperature_0_to_7cm", "soil_moisture_0_to_7cm", "precipitation", "rain",
-                "pressure_msl", "surface_pressure"]
+REDUCED_DROP = V.REDUCED_DROP
 
 
 def features_reduced(df: DataFrame, *, ts: str = "date", series_cols: Sequence[str] = (),
