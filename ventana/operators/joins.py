@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import values as V
@@ -19,18 +19,19 @@ from ..functions.exprs import gauge_class, safe_div, with_unit
 
 def merge_sources(left: DataFrame, right: DataFrame, *, on: Sequence[str],
                   required: Sequence[str] = ("pm10", "pm2_5", "temperature_2m"),
-                  observe_name: str | None = "merge_sources") -> DataFrame:
+                  observations: tuple[Observation, Observation] | None = None) -> DataFrame:
     """Inner equi-join on (series, ts), then drop rows null in ``required``.
 
-    Rows lost to the null filter are reported through ``observe`` (metrics are
-    collected with the job that runs the result, no extra pass).
+    With ``observations`` (two ``pyspark.sql.Observation``), the joined and the
+    kept row counts are collected by the job that runs the result -- the rows
+    lost to the null filter are reported without an extra pass.
     """
     joined = left.join(right, list(on), "inner")
-    if observe_name:
-        joined = joined.observe(f"{observe_name}_before", F.count(F.lit(1)).alias("rows_joined"))
+    if observations:
+        joined = joined.observe(observations[0], F.count(F.lit(1)).alias("rows"))
     out = joined.dropna(subset=[c for c in required if c in joined.columns])
-    if observe_name:
-        out = out.observe(f"{observe_name}_after", F.count(F.lit(1)).alias("rows_kept"))
+    if observations:
+        out = out.observe(observations[1], F.count(F.lit(1)).alias("rows"))
     return out
 
 
