@@ -113,7 +113,8 @@ def fit_gbt(train: DataFrame, *, features: Sequence[str], label: str, seed: int
     rounds into the shared checkpoint folder, so 500 rounds keep a short lineage.
     """
     checkpoint_dir(train.sparkSession)
-    opts = dict(V.GBT_DAILY)
+    # node ids cached on the executors instead of re-evaluating every tree each round
+    opts = {**V.GBT_DAILY, "cacheNodeIds": True, "checkpointInterval": 10}
     opts.update(params)
     assembler = VectorAssembler(inputCols=list(features), outputCol="_features")
     gbt = GBTRegressor(featuresCol="_features", labelCol=label, predictionCol="prediction",
