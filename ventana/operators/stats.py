@@ -63,10 +63,16 @@ def describe(df: DataFrame, value_cols: Sequence[str], digits: int | None = None
 
 
 def distinct_counts(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
-    """Distinct non-null values per column (exact, or HLL sketch)."""
+    """Distinct non-null values per column (exact, or HLL sketch) and the
+    row count (the table's shape), in one aggregation. Several exact distinct
+    counts make Spark expand each row once per column; ``approx=True`` keeps
+    one fixed-size sketch per column instead."""
     fn = F.approx_count_distinct if approx else F.count_distinct
-    one = df.agg(*[fn(F.col(c)).alias(f"{c}__n_distinct") for c in cols])
-    return _long(one, cols, ["n_distinct"])
+    one = df.agg(*[fn(F.col(c)).alias(f"{c}__n_distinct") for c in cols],
+                 F.count(F.lit(1)).alias("n_rows"))
+    return one.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"{c}__n_distinct").alias("n_distinct"),
+                 F.col("n_rows")) for c in cols])))
 
 
 def missing_report(df: DataFrame, cols: Sequence[str] | None = None,

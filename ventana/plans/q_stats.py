@@ -33,9 +33,10 @@ _DCOLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"
 
 
 @query("distinct_counts", _union([
-    f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS n_distinct FROM lineitem""" for c in _DCOLS]))
+    f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS n_distinct, count(*) AS n_rows FROM lineitem"""
+    for c in _DCOLS]))
 def q_distinct_counts(spark, sf):
-    """Exact distinct counts per column of lineitem."""
+    """Exact distinct counts per column of lineitem, with the row count."""
     return S.distinct_counts(table(spark, sf, "lineitem"), _DCOLS)
 
 
