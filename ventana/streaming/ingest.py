@@ -7,8 +7,11 @@ by a collector are read as a stream:
   insert (S8) inside ``foreachBatch``: duplicates inside a batch are combined
   by key, keys already stored are dropped by an anti-join against the store,
   so a replayed batch (after a failure) adds nothing -- exactly-once output on
-  an append-only Parquet store. ``dropDuplicatesWithinWatermark`` bounds the
-  state kept for duplicates that arrive close together.
+  an append-only Parquet store. This needs no streaming state at all. The
+  optional ``watermark`` adds ``dropDuplicatesWithinWatermark`` in front, which
+  drops near-in-time copies before they reach the batch but keeps the first
+  *arrival* rather than the smallest ``order_col``; leave it off when the
+  keep-first order matters.
 * T2 ``stream_daily``: ``withWatermark`` + ``window(ts, '1 day')`` means per
   series; rows later than the watermark are dropped (Spark checks late rows
   against the watermark reached at the end of the previous batch, so the cut
