@@ -153,7 +153,7 @@ _THR = max(V.BASELINE_METRICS["mae_pm25"] * V.RETRAIN_FACTOR, V.RETRAIN_FLOOR)
 
 
 @query("retrain_decision", with_ctes(f"""
-SELECT s.user_id, m.mae, {_THR} AS mae_threshold, coalesce(m.mae > {_THR}, false) AS needs_retraining,
+SELECT s.user_id, m.mae, CAST({_THR} AS DOUBLE) AS mae_threshold, coalesce(m.mae > {_THR}, false) AS needs_retraining,
        concat_ws(' | ',
          CASE WHEN coalesce(m.mae > {_THR}, false)
               THEN 'Dégradation de la performance (MAE: ' || printf('%.2f', m.mae) || ' > seuil {_THR:.2f})' END,

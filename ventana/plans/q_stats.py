@@ -286,7 +286,7 @@ def _status_sql(src):
         if m not in POLLUTANTS:
             continue
         rows.append(f"""
-SELECT '{m}' AS measure, CAST({i} AS INTEGER) AS measure_order, v AS value, {lim} AS "limit",
+SELECT '{m}' AS measure, CAST({i} AS INTEGER) AS measure_order, v AS value, CAST({lim} AS DOUBLE) AS "limit",
        v / nullif({lim}, 0) AS ratio, v - {lim} AS delta,
        CASE WHEN v / {lim} > 1 THEN 'danger' WHEN v / {lim} > 0.75 THEN 'amber' ELSE 'teal' END AS gauge_class,
        CASE WHEN v <= {lim} THEN 'OK' ELSE 'Dépassé' END AS status,
@@ -307,7 +307,7 @@ def q_threshold_status(spark, sf):
 
 
 @query("gauge", with_ctes(_union([f"""
-SELECT user_id, '{m}' AS measure, CAST({i} AS INTEGER) AS measure_order, {m} AS value, {lim} AS "limit",
+SELECT user_id, '{m}' AS measure, CAST({i} AS INTEGER) AS measure_order, {m} AS value, CAST({lim} AS DOUBLE) AS "limit",
        {m} / nullif({lim}, 0) AS ratio, {m} - {lim} AS delta,
        CASE WHEN {m} / {lim} > 1 THEN 'danger' WHEN {m} / {lim} > 0.75 THEN 'amber' ELSE 'teal' END AS gauge_class,
        CASE WHEN {m} <= {lim} THEN 'OK' ELSE 'Dépassé' END AS status,
@@ -344,10 +344,10 @@ def q_alert_text(spark, sf):
                     period.alias("period"))
 
 
-@query("short_names", with_ctes("""
+@query("short_names", with_ctes(f"""
 SELECT strftime(date, '%Y-%m-%d') AS date_str, avg(pm2_5) AS "PM2.5", avg(pm10) AS "PM10",
        avg(carbon_monoxide) AS "CO", avg(ozone) AS "O3", avg(european_aqi) AS "AQI",
-       6.3654 AS lat, 2.4505 AS lon
+       CAST({V.STATION_LAT} AS DOUBLE) AS lat, CAST({V.STATION_LON} AS DOUBLE) AS lon
 FROM H GROUP BY 1""", H=H_SQL))
 def q_short_names(spark, sf):
     """P24 + P20: daily means under short labels, station coordinates added."""
