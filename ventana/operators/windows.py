@@ -95,13 +95,14 @@ def interpolate(df: DataFrame, *, ts: str, cols: Sequence[str],
 
 
 def islands(df: DataFrame, *, ts: str, col: str, threshold: float,
-            series_cols: Sequence[str] = (), flag: str = "bad", run: str = "episode") -> DataFrame:
+            series_cols: Sequence[str] = (), flag: str = "bad", run: str = "episode",
+            tiebreak: Sequence[str] = ()) -> DataFrame:
     """Run id that changes whenever ``col > threshold`` flips.
 
     Rows with a NULL value are removed first, so a time gap does not end a run;
     the first row starts a run (rule D14).
     """
-    w = series_window(series_cols, ts)
+    w = series_window(series_cols, ts, *tiebreak)
     base = df.filter(F.col(col).isNotNull()) \
         .withColumn(flag, (F.col(col) > threshold).cast("int"))
     change = F.coalesce(F.col(flag) != F.lag(flag, 1).over(w), F.lit(True)).cast("int")
@@ -113,16 +114,17 @@ def islands(df: DataFrame, *, ts: str, col: str, threshold: float,
 def episodes(df: DataFrame, *, ts: str = "date", col: str = "european_aqi",
              threshold: float = V.EPISODE_THRESHOLD, min_rows: int = V.EPISODE_MIN_ROWS,
              series_cols: Sequence[str] = (), digits: int | None = None,
-             block_seconds: int | None = None) -> DataFrame:
+             block_seconds: int | None = None, tiebreak: Sequence[str] = ()) -> DataFrame:
     """Runs above the threshold lasting at least ``min_rows`` rows:
     first and last day, rows, max and mean. ``block_seconds`` numbers the runs
     with the blocked twin of ``islands`` (raw series too long for one task)."""
     if block_seconds:
         from .blocked import islands as blocked_islands
         runs = blocked_islands(df, ts=ts, col=col, threshold=threshold, series_cols=series_cols,
-                               block_seconds=block_seconds)
+                               block_seconds=block_seconds, tiebreak=tiebreak)
     else:
-        runs = islands(df, ts=ts, col=col, threshold=threshold, series_cols=series_cols)
+        runs = islands(df, ts=ts, col=col, threshold=threshold, series_cols=series_cols,
+                       tiebreak=tiebreak)
     day = F.date_format(F.col(ts), "yyyy-MM-dd")
     return (runs.filter(F.col("bad") == 1)
                 .groupBy(*series_cols, "episode")

@@ -278,3 +278,21 @@ def q_islands_raw(spark, sf):
     out = B.islands(_raw_events(spark, sf), ts="ts", col="value", threshold=60.0, series_cols=US,
                     tiebreak=["event_id"])
     return out.select("user_id", "event_id", "bad", "episode")
+
+
+@query("episodes_raw", f"""
+SELECT user_id, CAST(episode AS BIGINT) AS episode, strftime(arg_min(ts, (ts, event_id)), '%Y-%m-%d') AS debut,
+       strftime(arg_max(ts, (ts, event_id)), '%Y-%m-%d') AS fin, count(*) AS duree,
+       max(value) AS aqi_max, avg(value) AS aqi_moy
+FROM (SELECT *, sum(chg) OVER (PARTITION BY user_id ORDER BY ts, event_id
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS episode
+      FROM (SELECT *, CAST(coalesce(bad <> lag(bad) {_RAW_W}, true) AS INTEGER) AS chg
+            FROM (SELECT user_id, ts, event_id, value, CAST(value > 60 AS INTEGER) AS bad FROM events
+                  WHERE value IS NOT NULL)))
+WHERE bad = 1 GROUP BY user_id, episode HAVING count(*) >= 6""")
+def q_episodes_raw(spark, sf):
+    """A26 on raw event rows per series (value > 60 for at least 6 rows), run ids
+    from the blocked islands (no series held by one task)."""
+    ev = _raw_events(spark, sf).select("user_id", "ts", "event_id", "value")
+    return W.episodes(ev, ts="ts", col="value", series_cols=US, block_seconds=86400,
+                      tiebreak=["event_id"])
