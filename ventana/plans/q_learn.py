@@ -179,7 +179,7 @@ _DAILY_X = [*POLLUTANTS, "pm25_lag_1", "co_lag_1", "pm25_lag_2", "co_lag_2", "pm
 
 
 def _daily_model(spark, sf, target):
-    key = ("daily", sf, target)
+    key = ("daily", spark.sparkContext.applicationId, sf, target)
     if key not in _MODEL_CACHE:
         f = W.chrono_split(_features_daily(spark, sf, target), ts="day", series_cols=US)
         train = f.filter("split = 'train'")
