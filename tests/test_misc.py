@@ -68,3 +68,18 @@ def test_day_layout_and_fit_line(spark):
     line = S.linreg(df.withColumn("y", 2 * F.col("x") + 1), x="x", y="y")
     pts = S.fit_line(line, 5).orderBy("i").collect()
     assert len(pts) == 5 and abs(pts[-1]["y_fit"] - 85.0) < 1e-9
+
+
+def test_checkpoint_dir_comes_from_session(spark):
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    d = checkpoint_dir(spark)
+    assert d and (configured is None or d == configured)
+    assert spark.sparkContext.getCheckpointDir() is not None
+
+
+def test_cluster_conf_sizes_from_cores():
+    from ventana.session import cluster_conf
+    c = cluster_conf(8000)
+    assert c["spark.sql.shuffle.partitions"] == "32000"
+    assert c["spark.sql.adaptive.enabled"] == "true"
+    assert cluster_conf(8)["spark.sql.shuffle.partitions"] == "200"
