@@ -100,6 +100,8 @@ def hourly_wide(df: DataFrame, *, ts: str, key_col: str, value_col: str,
     Same as ``groupBy(..).pivot(key, values).avg(value)`` with the values given,
     written as conditional averages so it is a single aggregation pass.
     """
-    return (df.groupBy(*series_cols, F.date_trunc("hour", F.col(ts)).alias(out_ts))
+    # date_trunc yields a session-zone TIMESTAMP; cast back so naive input stays naive
+    hour = F.date_trunc("hour", F.col(ts)).cast(df.schema[ts].dataType)
+    return (df.groupBy(*series_cols, hour.alias(out_ts))
               .agg(*[F.avg(F.when(F.col(key_col) == k, F.col(value_col))).alias(name)
                      for k, name in mapping.items()]))

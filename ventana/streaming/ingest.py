@@ -93,7 +93,13 @@ def stream_insert(stream: DataFrame, target_path: str, checkpoint: str, *, key:
 
 def stream_daily(stream: DataFrame, out_path: str, checkpoint: str, *, ts: str, value_col: str,
                  series_cols: Sequence[str] = (), watermark: str = "2 days"):
-    """Daily windowed means per series with late-data cut-off."""
+    """Daily windowed means per series with late-data cut-off.
+
+    Event-time windows work on instants (``TIMESTAMP``) and day windows start at
+    UTC midnight, so naive wall-clock readings give wall-clock days only in a
+    UTC session (``build_session`` sets it; every batch operator here is
+    zone-independent).
+    """
     agg = (stream.withWatermark(ts, watermark)
                  .groupBy(F.window(F.col(ts), "1 day"), *series_cols)
                  .agg(F.avg(value_col).alias("mean"), F.count(F.lit(1)).alias("n")))
