@@ -113,3 +113,14 @@ def test_pca_components(spark):
     c = comps.filter("component = 1").collect()
     assert c[0]["variance_ratio"] > 0.6 and all(r["cumulative_ratio"] <= 1.0 + 1e-9 for r in c)
     assert proj.count() == 500
+
+
+def test_pca_raw_variance_matches_numpy(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 3)) @ np.array([[2.0, 0.5, 0.0], [0.0, 1.0, 0.3], [0.0, 0.0, 0.2]])
+    pdf = pd.DataFrame(x, columns=["a", "b", "c"])
+    comps, _ = L.pca(spark.createDataFrame(pdf), ["a", "b", "c"], k=3)
+    got = sorted({r["component"]: r["variance"] for r in comps.collect()}.items())
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    ev = sorted(np.linalg.eigvalsh(np.cov(z, rowvar=False)), reverse=True)
+    assert all(math.isclose(v, e, rel_tol=1e-6) for (_, v), e in zip(got, ev))

@@ -163,8 +163,9 @@ def pca(df: DataFrame, cols: Sequence[str], k: int = 3):
     """M8: standardise (mean 0, unit variance) + PCA(k) over complete rows.
 
     Returns (components frame, projected rows). Components carry the variance
-    ratio, the cumulative ratio (W12) and the loadings, sign-fixed so the
-    largest loading of each component is positive.
+    ratio, the raw variance (ratio x number of standardised columns), the
+    cumulative ratio (W12) and the loadings, sign-fixed so the largest loading
+    of each component is positive.
     """
     rows = df.dropna(subset=list(cols))
     pipe = Pipeline(stages=[
@@ -181,10 +182,12 @@ def pca(df: DataFrame, cols: Sequence[str], k: int = 3):
         s = 1.0 if col_j[abs(col_j).argmax()] >= 0 else -1.0
         signs.append(s)
         for i, c in enumerate(cols):
-            recs.append((j + 1, c, float(s * col_j[i]), float(ratios[j])))
+            # standardised columns have unit variance, so the total variance is len(cols)
+            recs.append((j + 1, c, float(s * col_j[i]), float(ratios[j]),
+                         float(ratios[j]) * len(cols)))
     spark = df.sparkSession
     loads = spark.createDataFrame(recs, "component int, feature string, loading double, "
-                                        "variance_ratio double")
+                                        "variance_ratio double, variance double")
     var = spark.createDataFrame([(j + 1, float(r)) for j, r in enumerate(ratios)],
                                 "component int, variance_ratio double")
     cum = W.cumulative_sum(var, order_col="component", col="variance_ratio",
