@@ -86,3 +86,17 @@ def test_blocked_autocorr_and_episodes_equal_plain(spark):
     e2 = W.episodes(df, ts="ts", col="v", threshold=30.0, min_rows=2, series_cols=["s"],
                     block_seconds=3 * 3600)
     _same(e1, e2, ["s", "episode"], ["duree", "aqi_max", "aqi_moy"])
+
+
+def test_blocked_hourly_features_equal_plain(spark):
+    from ventana.operators import features as FT
+    base = _frame(spark, seed=19, series=2, n=400)
+    df = base.select("s", "ts", F.col("v").alias("pm2_5"), F.col("w").alias("european_aqi"))
+    df = df.fillna({"pm2_5": 1.0, "european_aqi": 2.0})
+    a = FT.features_hourly(df, ts="ts", series_cols=["s"])
+    b = FT.features_hourly(df, ts="ts", series_cols=["s"], block_seconds=5 * 3600)
+    assert a.count() > 0
+    _same(a, b, ["s", "ts"], ["aqi_lag_24", "pm2_5_lag_12", "rolling_aqi_mean", "target_pm25"])
+    c = FT.features_reduced(df, ts="ts", series_cols=["s"])
+    d = FT.features_reduced(df, ts="ts", series_cols=["s"], block_seconds=5 * 3600)
+    _same(c, d, ["s", "ts"], ["aqi_lag_24", "pm2_5_lag_3", "target_aqi"])

@@ -69,20 +69,37 @@ def features_daily(hourly: DataFrame, *, ts: str = "date", value_cols: Sequence[
     return daily_features(filled, series_cols=series_cols, target=target)
 
 
+def _with_windows(df: DataFrame, build, *, ts: str, series_cols: Sequence[str], back: int,
+                  ahead: int, block_seconds: int | None) -> DataFrame:
+    """Window columns per series, or per time block with edge repair for raw
+    series too long for one task (same values)."""
+    if block_seconds:
+        from .blocked import bounded
+        return bounded(df, ts=ts, build=build, back=back, ahead=ahead, series_cols=series_cols,
+                       block_seconds=block_seconds)
+    return df.withColumns(build(W.series_window(series_cols, ts)))
+
+
 def features_hourly(df: DataFrame, *, ts: str = "date", series_cols: Sequence[str] = (),
                     aqi: str = "european_aqi", pm: str = "pm2_5",
-                    lags: Sequence[int] = (1, 3, 6, 12, 24)) -> DataFrame:
+                    lags: Sequence[int] = (1, 3, 6, 12, 24),
+                    block_seconds: int | None = None) -> DataFrame:
     """M2: hour, weekday, cyclic hour, index and PM lags, previous-6 mean of the
     index, t+1 targets, rows with any null removed."""
-    w = W.series_window(series_cols, ts)
+    def build(w):
+        cols = {f"aqi_lag_{k}": F.lag(aqi, k).over(w) for k in lags}
+        cols.update({f"pm2_5_lag_{k}": F.lag(pm, k).over(w) for k in lags})
+        cols["rolling_aqi_mean"] = W.rolling_mean_expr(w, aqi, 6, shift=1)
+        cols["target_pm25"] = F.lead(pm, 1).over(w)
+        cols["target_aqi"] = F.lead(aqi, 1).over(w)
+        return cols
+
     s, c = cyclic(F.hour(ts), 24.0)
-    cols = {"hour": F.hour(ts), "dayofweek": weekday(ts), "hour_sin": s, "hour_cos": c}
-    cols.update({f"aqi_lag_{k}": F.lag(aqi, k).over(w) for k in lags})
-    cols.update({f"pm2_5_lag_{k}": F.lag(pm, k).over(w) for k in lags})
-    cols["rolling_aqi_mean"] = W.rolling_mean_expr(w, aqi, 6, shift=1)
-    cols["target_pm25"] = F.lead(pm, 1).over(w)
-    cols["target_aqi"] = F.lead(aqi, 1).over(w)
-    return df.withColumns(cols).dropna()
+    base = df.withColumns({"hour": F.hour(ts), "dayofweek": weekday(ts), "hour_sin": s,
+                           "hour_cos": c})
+    out = _with_windows(base, build, ts=ts, series_cols=series_cols, back=max(max(lags), 7),
+                        ahead=1, block_seconds=block_seconds)
+    return out.dropna()
 
 
 REDUCED_DROP = V.REDUCED_DROP
@@ -90,15 +107,18 @@ REDUCED_DROP = V.REDUCED_DROP
 
 def features_reduced(df: DataFrame, *, ts: str = "date", series_cols: Sequence[str] = (),
                      aqi: str = "european_aqi", pm: str = "pm2_5",
-                     drop: Sequence[str] = tuple(REDUCED_DROP)) -> DataFrame:
+                     drop: Sequence[str] = tuple(REDUCED_DROP),
+                     block_seconds: int | None = None) -> DataFrame:
     """M3: drop listed columns, cyclic hour, index lags 1,3,6,24, PM lags 1,3,24,
     t+1 targets; the hour itself is not kept; rows with any null removed."""
-    base = df.drop(*[c for c in drop if c in df.columns])
-    w = W.series_window(series_cols, ts)
+    def build(w):
+        cols = {f"aqi_lag_{k}": F.lag(aqi, k).over(w) for k in (1, 3, 6, 24)}
+        cols.update({f"pm2_5_lag_{k}": F.lag(pm, k).over(w) for k in (1, 3, 24)})
+        cols["target_pm25"] = F.lead(pm, 1).over(w)
+        cols["target_aqi"] = F.lead(aqi, 1).over(w)
+        return cols
+
     s, c = cyclic(F.hour(ts), 24.0)
-    cols = {"hour_sin": s, "hour_cos": c}
-    cols.update({f"aqi_lag_{k}": F.lag(aqi, k).over(w) for k in (1, 3, 6, 24)})
-    cols.update({f"pm2_5_lag_{k}": F.lag(pm, k).over(w) for k in (1, 3, 24)})
-    cols["target_pm25"] = F.lead(pm, 1).over(w)
-    cols["target_aqi"] = F.lead(aqi, 1).over(w)
-    return base.withColumns(cols).dropna()
+    base = df.drop(*[c for c in drop if c in df.columns]).withColumns({"hour_sin": s, "hour_cos": c})
+    return _with_windows(base, build, ts=ts, series_cols=series_cols, back=24, ahead=1,
+                         block_seconds=block_seconds).dropna()
