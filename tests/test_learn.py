@@ -124,3 +124,22 @@ def test_pca_raw_variance_matches_numpy(spark):
     z = (x - x.mean(0)) / x.std(0, ddof=1)
     ev = sorted(np.linalg.eigvalsh(np.cov(z, rowvar=False)), reverse=True)
     assert all(math.isclose(v, e, rel_tol=1e-6) for (_, v), e in zip(got, ev))
+
+
+def test_forest_path_lengths_equal_per_row_walk(spark):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame(rng.normal(size=(500, 3)), columns=["a", "b", "c"])
+    pdf["id"] = np.arange(len(pdf))
+    model = iforest.fit(spark.createDataFrame(pdf), ["a", "b", "c"], ["id"], n_trees=10)
+    x = rng.normal(size=(50, 3)) * 3
+    fast = model.path_lengths(x)
+    for r in range(len(x)):
+        total = 0.0
+        for feat, thr, left, right, size in model.trees:
+            node, depth = 0, 0
+            while feat[node] >= 0:
+                node = left[node] if x[r, feat[node]] < thr[node] else right[node]
+                depth += 1
+            total += depth + iforest.c_factor([size[node]])[0]
+        assert math.isclose(fast[r], total / len(model.trees), rel_tol=1e-12)
+    assert model.psi == 256 and len(model.trees) == 10
