@@ -143,3 +143,6 @@ def test_forest_path_lengths_equal_per_row_walk(spark):
             total += depth + iforest.c_factor([size[node]])[0]
         assert math.isclose(fast[r], total / len(model.trees), rel_tol=1e-12)
     assert model.psi == 256 and len(model.trees) == 10
+    assert all(int(t[4][0]) == 256 for t in model.trees)       # each tree grew on 256 rows
+    small = iforest.fit(spark.createDataFrame(pdf.head(100)), ["a", "b", "c"], ["id"], n_trees=3)
+    assert small.psi == 100 and all(int(t[4][0]) == 100 for t in small.trees)
