@@ -83,3 +83,16 @@ def test_cluster_conf_sizes_from_cores():
     assert c["spark.sql.shuffle.partitions"] == "32000"
     assert c["spark.sql.adaptive.enabled"] == "true"
     assert cluster_conf(8)["spark.sql.shuffle.partitions"] == "200"
+
+
+def test_fused_flagged_days_equal_join_form(spark):
+    from ventana.operators import profiles as P
+    from ventana.operators import resample as R
+    data = [(dt.datetime(2024, 1, 1) + dt.timedelta(hours=h), float(h % 17), float(h % 5),
+             1 if h % 23 == 0 else 0) for h in range(24 * 6)]
+    df = spark.createDataFrame(data, "date timestamp_ntz, pm2_5 double, pm10 double, anomaly int")
+    joined = J.flagged_days(R.daily_mean(df, ts="date", value_cols=["pm2_5", "pm10"]),
+                            P.daily_flag_max(df, ts="date", flag_col="anomaly"))
+    fused = J.flagged_days_fused(df, ts="date", value_cols=["pm2_5", "pm10"])
+    cols = ["date_str", "pm2_5", "pm10", "anomaly"]
+    assert sorted(rows(joined, *cols)) == sorted(rows(fused, *cols)) and fused.count() > 0

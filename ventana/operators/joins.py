@@ -42,6 +42,19 @@ def flagged_days(daily: DataFrame, daily_flag: DataFrame, *, day_col: str = "dat
                  .filter(F.col(flag_col) == 1))
 
 
+def flagged_days_fused(df: DataFrame, *, ts: str = "date", value_cols: Sequence[str],
+                       flag_col: str = "anomaly", series_cols: Sequence[str] = (),
+                       day_col: str = "date_str") -> DataFrame:
+    """J2 when the daily values and the daily flag come from the same rows:
+    one aggregation (means and max flag per day) instead of joining two
+    aggregates of one input, which reads it twice. Same rows as
+    ``flagged_days(daily_mean(df), daily_flag_max(df))``."""
+    day = F.date_format(F.col(ts), "yyyy-MM-dd").alias(day_col)
+    return (df.groupBy(*series_cols, day)
+              .agg(*[F.avg(c).alias(c) for c in value_cols], F.max(flag_col).alias(flag_col))
+              .filter(F.col(flag_col) == 1))
+
+
 def limits_frame(spark, limits: dict[str, float] | None = None) -> DataFrame:
     """Fixed lookup table of guideline limits (a handful of rows)."""
     limits = V.GUIDELINE_LIMITS if limits is None else limits

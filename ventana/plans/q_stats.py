@@ -271,13 +271,15 @@ LEFT JOIN (SELECT strftime(date, '%Y-%m-%d') AS date_str,
            FROM H GROUP BY 1) f ON d.date_str = f.date_str
 WHERE f.anomaly = 1""", H=H_SQL))
 def q_flagged_days(spark, sf):
-    """J2 + A25: daily means of the days holding a flagged hour (flag: above P95)."""
+    """J2 + A25: daily means of the days holding a flagged hour (flag: above P95).
+
+    Both sides come from the same hourly rows, so the join of the daily means
+    with the daily flag is fused into one aggregation (equality with the join
+    form is tested)."""
     h = station_hourly(spark, sf)
     p95 = h.select(F.percentile("pm2_5", 0.95)).scalar()
     h = h.withColumn("anomaly", F.coalesce(F.col("pm2_5") > p95, F.lit(False)).cast("int"))
-    daily = R.daily_mean(h, ts="date", value_cols=["pm2_5", "pm10"])
-    flags = P.daily_flag_max(h, ts="date", flag_col="anomaly")
-    return J.flagged_days(daily, flags)
+    return J.flagged_days_fused(h, ts="date", value_cols=["pm2_5", "pm10"])
 
 
 def _status_sql(src):
