@@ -8,7 +8,6 @@ from ..functions import values as V
 from ..functions.exprs import alert_class, level4, range_text, with_unit
 from ..operators import columns as C
 from ..operators import joins as J
-from ..operators import profiles as P
 from ..operators import resample as R
 from ..operators import stats as S
 from .registry import query
