@@ -100,3 +100,20 @@ def test_blocked_hourly_features_equal_plain(spark):
     c = FT.features_reduced(df, ts="ts", series_cols=["s"])
     d = FT.features_reduced(df, ts="ts", series_cols=["s"], block_seconds=5 * 3600)
     _same(c, d, ["s", "ts"], ["aqi_lag_24", "pm2_5_lag_3", "target_aqi"])
+
+
+def test_blocked_row_index_and_split_equal_plain(spark):
+    df = _frame(spark, seed=23, series=3)
+    for series in (["s"], []):
+        src = df if series else df.filter("s = 0").drop("s")
+        a = W.chrono_split(src, ts="ts", series_cols=series)
+        b = W.chrono_split(src, ts="ts", series_cols=series, block_seconds=4 * 3600)
+        key = [*series, "ts"]
+        assert sorted(tuple(r) for r in a.select(*key, "split").collect()) == \
+            sorted(tuple(r) for r in b.select(*key, "split").collect())
+    idx = B.row_index(df, ts="ts", series_cols=["s"], block_seconds=4 * 3600)
+    got = {(r["s"], r["ts"]): (r["_idx"], r["_n"]) for r in idx.collect()}
+    from pyspark.sql import Window as Win
+    ref = df.withColumn("rn", F.row_number().over(Win.partitionBy("s").orderBy("ts"))) \
+        .withColumn("n", F.count(F.lit(1)).over(Win.partitionBy("s")))
+    assert all(got[(r["s"], r["ts"])] == (r["rn"], r["n"]) for r in ref.collect())

@@ -129,3 +129,20 @@ def islands(df: DataFrame, *, ts: str, col: str, threshold: float,
     within = F.sum(chg).over(wa.rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn(run, (F.col("_roff") + within).cast("bigint")) \
         .drop("_blk", "_rn", "_cnt", "_lc", "_fc", "_roff")
+
+
+def row_index(df: DataFrame, *, ts: str, series_cols: Sequence[str] = (), block_seconds: int = DAY,
+              tiebreak: Sequence[str] = (), idx: str = "_idx", total: str = "_n") -> DataFrame:
+    """1-based position of each row in its series (and the series row count)
+    without a one-partition window: rank inside (series, block), plus the rows
+    of all earlier blocks from a per-block count scanned per series."""
+    series = list(series_cols)
+    staged, _ = _staged(df, ts, series, block_seconds, tiebreak)
+    summ = staged.groupBy(*series, "_blk").agg(F.count(F.lit(1)).alias("_bn"))
+    wbk = Window.partitionBy(*series).orderBy("_blk")
+    summ = summ.select(*series, "_blk",
+                       F.coalesce(F.sum("_bn").over(wbk.rowsBetween(Window.unboundedPreceding, -1)),
+                                  F.lit(0)).alias("_off"),
+                       F.sum("_bn").over(Window.partitionBy(*series)).alias(total))
+    out = staged.join(summ, [*series, "_blk"], "left")
+    return out.withColumn(idx, F.col("_off") + F.col("_rn")).drop("_blk", "_rn", "_cnt", "_off")

@@ -150,12 +150,22 @@ def last_n(df: DataFrame, *, ts: str, n: int, series_cols: Sequence[str] = ()) -
 
 def chrono_split(df: DataFrame, *, ts: str, train_share: float | None = 0.8,
                  test_share: float | None = None, series_cols: Sequence[str] = (),
-                 out: str = "split") -> DataFrame:
+                 out: str = "split", block_seconds: int | None = None) -> DataFrame:
     """Ordered train/test split per series.
 
     ``train_share``: the first ``floor(share * n)`` rows train; ``test_share``:
     the last ``ceil(share * n)`` rows test (hold-out split without shuffling).
+    ``block_seconds`` numbers the rows with ``blocked.row_index`` (for long
+    raw or keyless tables, which a plain window would hold in one task).
     """
+    if block_seconds:
+        from .blocked import row_index
+        staged = row_index(df, ts=ts, series_cols=series_cols, block_seconds=block_seconds)
+        n, rn = F.col("_n"), F.col("_idx")
+        n_train = n - F.ceil(n * F.lit(test_share)) if test_share is not None else \
+            F.floor(n * F.lit(train_share))
+        return staged.withColumn(out, F.when(rn <= n_train, "train").otherwise("test")) \
+            .drop("_n", "_idx")
     w = series_window(series_cols, ts)
     n = F.count(F.lit(1)).over(Window.partitionBy(*series_cols))
     rn = F.row_number().over(w)
