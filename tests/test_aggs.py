@@ -106,3 +106,10 @@ def test_as_of_cuts_future_hours(spark):
     keep = R.daily_resample(df, ts="date", value_cols=["v"]).first()["v"]
     cut = R.daily_resample(df, ts="date", value_cols=["v"], as_of="2024-01-01 16:10:00").first()["v"]
     assert keep == 49.0 / 3 and cut == 13.0
+
+
+def test_approx_median_aggregate(spark):
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 1, h % 24), float(h)) for h in range(101)],
+                               "date timestamp_ntz, v double")
+    r = R.daily_resample(df, ts="date", aggs=[("m", "median", "v"), ("a", "approx_median", "v")]).first()
+    assert r["m"] == 50.0 and abs(r["a"] - 50.0) <= 1.0
