@@ -354,3 +354,35 @@ def q_short_names(spark, sf):
     """P24 + P20: daily means under short labels, station coordinates added."""
     d = R.daily_mean(station_hourly(spark, sf), ts="date", value_cols=POLLUTANTS)
     return C.with_coordinates(C.short_names(d))
+
+
+@query("box_stats_overall", with_ctes("""
+SELECT q1, median, q3, mean, sd, n,
+       min(CASE WHEN x >= q1 - 1.5 * (q3 - q1) AND x <= q3 + 1.5 * (q3 - q1) THEN x END) AS lower_whisker,
+       max(CASE WHEN x >= q1 - 1.5 * (q3 - q1) AND x <= q3 + 1.5 * (q3 - q1) THEN x END) AS upper_whisker,
+       CAST(count_if(NOT (x >= q1 - 1.5 * (q3 - q1) AND x <= q3 + 1.5 * (q3 - q1))) AS BIGINT) AS n_outliers
+FROM lx, (SELECT quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median,
+                 quantile_cont(x, 0.75) AS q3, avg(x) AS mean, stddev_pop(x) AS sd, count(x) AS n FROM lx)
+GROUP BY q1, median, q3, mean, sd, n""",
+    lx="SELECT l_extendedprice AS x FROM lineitem WHERE l_extendedprice IS NOT NULL"))
+def q_box_stats_overall(spark, sf):
+    """A21 over all rows (no group): quartiles, whiskers and outliers of the price."""
+    return S.box_stats(table(spark, sf, "lineitem"), "l_extendedprice")
+
+
+def _corr_series_sql(cols):
+    parts = []
+    for i, a in enumerate(cols):
+        for b in cols[i:]:
+            for x, y in ((a, b), (b, a)) if a != b else ((a, b),):
+                parts.append(f"SELECT user_id, '{x}' AS col_a, '{y}' AS col_b, {corr(a, b)} AS corr "
+                             f"FROM U GROUP BY user_id")
+    return _union(parts)
+
+
+@query("corr_by_series", with_ctes(_corr_series_sql(["pm2_5", "ozone", "european_aqi"]), U=U_SQL))
+def q_corr_by_series(spark, sf):
+    """A17 per series: pairwise-complete correlation matrix of every station in one
+    aggregation (constant or too-short pairs give NULL)."""
+    return S.corr_matrix(users_hourly(spark, sf), ["pm2_5", "ozone", "european_aqi"],
+                         series_cols=["user_id"])
