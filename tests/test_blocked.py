@@ -117,3 +117,26 @@ def test_blocked_row_index_and_split_equal_plain(spark):
     ref = df.withColumn("rn", F.row_number().over(Win.partitionBy("s").orderBy("ts"))) \
         .withColumn("n", F.count(F.lit(1)).over(Win.partitionBy("s")))
     assert all(got[(r["s"], r["ts"])] == (r["rn"], r["n"]) for r in ref.collect())
+
+
+def test_blocked_bounded_random_reach(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    df = _frame(spark, seed=29, series=2, n=150).cache()
+    plain_w = W.series_window(["s"], "ts")
+
+    @settings(max_examples=6, deadline=None)
+    @given(back=st.integers(0, 5), ahead=st.integers(0, 3), hours=st.sampled_from([1, 2, 7, 30]))
+    def check(back, ahead, hours):
+        def build(w):
+            cols = {"b": F.lag("v", back).over(w) if back else F.col("v"),
+                    "a": F.lead("w", ahead).over(w) if ahead else F.col("w")}
+            cols["r"] = F.avg("v").over(w.rowsBetween(-back, ahead))
+            return cols
+        plain = df.withColumns(build(plain_w))
+        blk = B.bounded(df, ts="ts", build=build, back=back, ahead=ahead, series_cols=["s"],
+                        block_seconds=hours * 3600)
+        _same(plain, blk, ["s", "ts"], ["b", "a", "r"])
+
+    check()

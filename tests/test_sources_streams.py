@@ -108,3 +108,23 @@ def test_stream_insert_equals_batch(spark):
     target, ck = os.path.join(d, "t"), os.path.join(d, "ck")
     ingest.run_to_end(ingest.stream_insert(s, target, ck, key=["k", "ts"], order_col="id", ts="ts"))
     assert sorted(rows(spark.read.parquet(target), "id")) == [(1,), (4,)]
+
+
+def test_stream_daily_equals_batch_over_several_batches(spark):
+    d = _tmp(spark, "sdb")
+    land = os.path.join(d, "landing")
+    t0 = dt.datetime(2024, 1, 1)
+    rows_all = [(i, t0 + dt.timedelta(hours=3 * i), i % 3, float(i % 11)) for i in range(60)]
+    for j in range(4):                     # four files in time order, one per micro-batch
+        _landing(spark, land, f"f{j}", rows_all[j * 15:(j + 1) * 15])
+    schema = spark.read.parquet(os.path.join(land, "f0")).schema
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(land + "/*") \
+        .withColumn("ts", F.col("ts").cast("timestamp"))
+    out, ck = os.path.join(d, "out"), os.path.join(d, "ck")
+    ingest.run_to_end(ingest.stream_daily(s, out, ck, ts="ts", value_col="v", series_cols=["k"]))
+    got = sorted((r["k"], r["day_start"].date(), round(r["mean"], 9), r["n"]) for r in
+                 ingest.latest_versions(spark.read.parquet(out), ["k", "day_start"]).collect())
+    batch = spark.createDataFrame(rows_all, "id long, ts timestamp_ntz, k long, v double") \
+        .groupBy("k", F.to_date("ts").alias("d")).agg(F.avg("v").alias("m"), F.count("*").alias("n"))
+    want = sorted((r["k"], r["d"], round(r["m"], 9), r["n"]) for r in batch.collect())
+    assert got == want
