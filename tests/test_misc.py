@@ -96,3 +96,28 @@ def test_fused_flagged_days_equal_join_form(spark):
     fused = J.flagged_days_fused(df, ts="date", value_cols=["pm2_5", "pm10"])
     cols = ["date_str", "pm2_5", "pm10", "anomaly"]
     assert sorted(rows(joined, *cols)) == sorted(rows(fused, *cols)) and fused.count() > 0
+
+
+def test_fallback_to_catalog_table(spark):
+    spark.createDataFrame([(1,), (2,)], "a long").createOrReplaceTempView("fallback_t")
+    schema = T.StructType([T.StructField("a", T.LongType())])
+    df = files.read_first_available(spark, ["/nonexistent/z.parquet", "table:fallback_t"], schema)
+    assert sorted(rows(df)) == [(1,), (2,)]
+
+
+def test_complete_rows_filter_and_raise(spark):
+    import pytest
+    from ventana.operators import columns as C
+    df = spark.createDataFrame([(1.0, 2.0), (None, 3.0)], "a double, b double")
+    assert C.complete_rows(df, ["a", "b"]).count() == 1
+    with pytest.raises(Exception):
+        C.complete_rows(df, ["a", "b"], raise_on_null=True).collect()
+    aligned = C.align_features(df, ["b", "c", "a"])
+    assert aligned.columns == ["b", "c", "a"] and C.missing_columns(df, ["a", "c"]) == ["c"]
+
+
+def test_assign_back_fills_rows_outside_subset(spark):
+    all_rows = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    subset = spark.createDataFrame([(2, 1)], "id long, anomaly int")
+    out = dict(rows(J.assign_back(all_rows, subset, key=["id"], cols=["anomaly"], fill={"anomaly": 0})))
+    assert out == {1: 0, 2: 1, 3: 0}
