@@ -42,8 +42,10 @@ def complete_rows(df: DataFrame, features: Sequence[str], raise_on_null: bool =
     for c in features:
         ok = ok & F.col(c).isNotNull()
     if raise_on_null:
-        return df.withColumn("_ok", F.when(ok, F.lit(True)).otherwise(
-            F.raise_error(F.lit("row with missing features")))).drop("_ok")
+        # a filter condition is evaluated for every row (a dropped helper column
+        # would be pruned by the optimizer and never raise)
+        return df.filter(F.when(ok, F.lit(True)).otherwise(
+            F.raise_error(F.lit("row with missing features"))))
     return df.filter(ok)
 
 
