@@ -121,3 +121,20 @@ def test_assign_back_fills_rows_outside_subset(spark):
     subset = spark.createDataFrame([(2, 1)], "id long, anomaly int")
     out = dict(rows(J.assign_back(all_rows, subset, key=["id"], cols=["anomaly"], fill={"anomaly": 0})))
     assert out == {1: 0, 2: 1, 3: 0}
+
+
+def test_remaining_helpers(spark):
+    from ventana.functions import values as V
+    from ventana.functions.exprs import flag_to_int
+    from ventana.session import cut_lineage
+    from ventana.sources import store
+    base = files.baseline_frame(spark, V.BASELINE_METRICS).first()
+    assert base["mae_pm25"] == 2.0927 and base["mse_aqi"] == 2.3403
+    sch = store.store_schema(["pm2_5"], ["station"])
+    assert [f.name for f in sch.fields] == ["station", "date", "pm2_5", "created_at"]
+    df = spark.createDataFrame([(1, 5.0), (2, 9.0), (3, 9.0), (4, 1.0)], "k long, v double")
+    assert [r["k"] for r in SM.top_n(df, "v", 2, "k").collect()] == [2, 3]
+    flags = spark.createDataFrame([(None,), (True,), (False,)], "f boolean")
+    assert [r[0] for r in flags.select(flag_to_int("f")).collect()] == [0, 1, 0]
+    cut = cut_lineage(df.withColumn("w", F.col("v") * 2))
+    assert cut.count() == 4 and "LogicalRDD" in cut._jdf.queryExecution().analyzed().toString()
