@@ -3,6 +3,8 @@
 import datetime as dt
 import math
 
+from pyspark.sql import functions as F
+
 from ventana.operators import profiles as P
 from ventana.operators import resample as R
 from ventana.operators import stats as S
@@ -113,3 +115,15 @@ def test_approx_median_aggregate(spark):
                                "date timestamp_ntz, v double")
     r = R.daily_resample(df, ts="date", aggs=[("m", "median", "v"), ("a", "approx_median", "v")]).first()
     assert r["m"] == 50.0 and abs(r["a"] - 50.0) <= 1.0
+
+
+def test_skip_all_null_and_half_up_rounding(spark):
+    from ventana.functions.exprs import rounded
+    df = spark.createDataFrame([(1.0, None), (2.0, None)], "a double, b double")
+    assert S.skip_all_null(df, ["a", "b"]) == ["a"]
+    r = spark.range(1).select(rounded(F.lit(2.5), 0).alias("x"), rounded(F.lit(0.125), 2).alias("y"),
+                              rounded(F.lit(2.5), None).alias("z")).first()
+    assert (r["x"], r["y"], r["z"]) == (3.0, 0.13, 2.5)      # half up (rule D5), None keeps all
+    daily = R.daily_mean(_two_weeks_gap(spark).withColumn("v", F.col("v") / 3), ts="date",
+                         value_cols=["v"], digits=3).orderBy("date_str").collect()[1]
+    assert daily["v"] == 0.333

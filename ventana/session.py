@@ -7,7 +7,6 @@ shared checkpoint folder used to cut long lineages.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -103,7 +102,3 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
 
-
-def scratch_table_path(spark: SparkSession, name: str) -> str:
-    """A path for a written intermediate table under the shared folder."""
-    return os.path.join(checkpoint_dir(spark), "tables", name)
