@@ -146,3 +146,16 @@ def test_forest_path_lengths_equal_per_row_walk(spark):
     assert all(int(t[4][0]) == 256 for t in model.trees)       # each tree grew on 256 rows
     small = iforest.fit(spark.createDataFrame(pdf.head(100)), ["a", "b", "c"], ["id"], n_trees=3)
     assert small.psi == 100 and all(int(t[4][0]) == 100 for t in small.trees)
+
+
+def test_forecast_uses_latest_day_only(spark):
+    feats = FT.daily_features(FT.daily_table(_daily(spark, 20), value_cols=COLS), drop_incomplete=False)
+    train = feats.dropna()
+    model = L.fit_gbt(train, features=["pm2_5", "pm25_lag_1", "pm25_rolling_7d"], label="pm25_diff",
+                      maxIter=5)
+    out = L.forecast_next(model, feats, features=["pm2_5", "pm25_lag_1", "pm25_rolling_7d"]).collect()
+    last_day = feats.agg(F.max("day")).first()[0]
+    assert len(out) == 1 and out[0]["date_prevision"] == str(last_day + dt.timedelta(days=1))
+    gap = feats.withColumn("pm25_lag_1", F.when(F.col("day") == F.lit(last_day), None)
+                           .otherwise(F.col("pm25_lag_1")))
+    assert L.forecast_next(model, gap, features=["pm2_5", "pm25_lag_1", "pm25_rolling_7d"]).count() == 0

@@ -142,11 +142,19 @@ def importances(model: PipelineModel, features: Sequence[str], top_n: int | None
     return rows[:top_n] if top_n else rows
 
 
-def forecast_next(model: PipelineModel, feats: DataFrame, *, series_cols: Sequence[str] = (),
-                  pm: str = "pm2_5", digits: int | None = 2) -> DataFrame:
-    """Latest feature row per series -> predicted change -> next day's
-    value, label and advice."""
-    latest = W.last_n(feats, ts="day", n=1, series_cols=series_cols)
+def forecast_next(model: PipelineModel, feats: DataFrame, *, features: Sequence[str],
+                  series_cols: Sequence[str] = (), pm: str = "pm2_5",
+                  digits: int | None = 2) -> DataFrame:
+    """Latest day of each series -> predicted change -> next day's value,
+    label and advice.
+
+    ``feats`` holds every day (incomplete rows included): the forecast is made
+    from the latest day only, and a series whose latest day misses an input
+    gets no forecast (the service refuses such a request; an older day is never
+    used instead).
+    """
+    from .columns import complete_rows
+    latest = complete_rows(W.last_n(feats, ts="day", n=1, series_cols=series_cols), features)
     out = predict(model, latest)
     predicted = F.col(pm) + F.col("prediction")
     return out.select(*series_cols,

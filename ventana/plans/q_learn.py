@@ -239,12 +239,13 @@ def q_importances(spark, sf):
 
 @query("forecast_next")
 def q_forecast_next(spark, sf):
-    """Next-day forecast of every series from its latest feature row; as
-    served by the reference, the daily model's predicted change is added to
-    today's value."""
+    """Next-day forecast of every series from its latest day (series whose
+    latest day lacks an input get none); as served by the reference, the daily
+    model's predicted change is added to today's value."""
     model, _ = _daily_model(spark, sf, "same_day")
-    latest = FT.daily_features(_daily_filled(spark, sf), series_cols=US, target="same_day")
-    return L.forecast_next(model, latest, series_cols=US)
+    feats = FT.daily_features(_daily_filled(spark, sf), series_cols=US, target="same_day",
+                              drop_incomplete=False)
+    return L.forecast_next(model, feats, features=_DAILY_X, series_cols=US)
 
 
 @query("backtest_gbt")
