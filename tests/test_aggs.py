@@ -77,7 +77,7 @@ def test_missing_report_and_dq(spark):
     assert mr == {"date": 0, "pm2_5": 0, "f": 1}
     rep = S.dq_report(df, ts="date").first()
     assert rep["total_rows"] == 2 and rep["pm25_range_violation"] == 1
-    assert rep["missing_values_pct"]["f"] == 0.5 and rep["last_update"] == "2024-01-02T00:00:00"
+    assert rep["missing_values_pct"]["f"] == 0.5 and rep["last_update"] == "2024-01-02T00:00:00+00:00"
 
 
 def test_empty_one_row_all_null_keep_schema(spark):

@@ -99,7 +99,9 @@ def dq_report(df: DataFrame, *, ts: str = "date", cols: Sequence[str] | None = N
     shares = F.create_map(*[x for c in cols for x in
                             (F.lit(c), F.count_if(F.col(c).isNull()) / F.nullif(n, F.lit(0)))])
     exprs = [shares.alias("missing_values_pct"), n.alias("total_rows"),
-             F.date_format(F.max(ts), "yyyy-MM-dd'T'HH:mm:ss").alias("last_update"),
+             # ISO text of the latest wall clock, labelled UTC (rule D3), as published
+             F.concat(F.date_format(F.max(ts), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+             .alias("last_update"),
              F.lit(0).alias("anomalies_detected")]
     if range_col in df.columns:
         exprs.append(F.count_if(range_violation(range_col)).alias("pm25_range_violation"))

@@ -175,7 +175,7 @@ def q_source_fallback(spark, sf):
 
 
 @query("report_json", with_ctes(f"""
-SELECT count(*) AS total_rows, strftime(max(date), '%Y-%m-%dT%H:%M:%S') AS last_update,
+SELECT count(*) AS total_rows, strftime(max(date), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS last_update,
        CAST(count_if(pm2_5 < 0 OR pm2_5 > 500) AS BIGINT) AS pm25_range_violation,
        count_if(pm2_5 IS NULL) / count(*) AS pm2_5_missing,
        count_if(ozone IS NULL) / count(*) AS ozone_missing

@@ -50,7 +50,7 @@ def q_missing_report(spark, sf):
 
 @query("dq_report", with_ctes(_union([f"""
 SELECT '{c}' AS "column", count_if({c} IS NULL) / count(*) AS missing_share, count(*) AS total_rows,
-       (SELECT strftime(max(date), '%Y-%m-%dT%H:%M:%S') FROM H) AS last_update,
+       (SELECT strftime(max(date), '%Y-%m-%dT%H:%M:%S') || '+00:00' FROM H) AS last_update,
        0 AS anomalies_detected,
        (SELECT CAST(count_if(pm2_5 < 0 OR pm2_5 > 500) AS BIGINT) FROM H) AS pm25_range_violation
 FROM H""" for c in POLLUTANTS]), H=H_SQL).replace("0 AS anomalies_detected", "CAST(0 AS INTEGER) AS anomalies_detected"))
