@@ -55,38 +55,56 @@ def flagged_days_fused(df: DataFrame, *, ts: str = "date", value_cols: Sequence[
               .filter(F.col(flag_col) == 1))
 
 
-def limits_frame(spark, limits: dict[str, float] | None = None) -> DataFrame:
-    """Fixed lookup table of guideline limits (a handful of rows)."""
+def limits_frame(spark, limits: dict[str, float] | None = None,
+                 index_col: str | None = None) -> DataFrame:
+    """Fixed lookup table of guideline limits (a handful of rows), plus the
+    mean-index limit when ``index_col`` is given."""
     limits = V.GUIDELINE_LIMITS if limits is None else limits
-    return spark.createDataFrame([(k, float(v), i) for i, (k, v) in enumerate(limits.items())],
-                                 "measure string, limit double, measure_order int")
+    rows = [(k, float(v), i, False) for i, (k, v) in enumerate(limits.items())]
+    if index_col:
+        rows.append((index_col, float(V.INDEX_LIMIT), len(rows), True))
+    return spark.createDataFrame(rows, "measure string, limit double, measure_order int, "
+                                       "is_index boolean")
 
 
 def threshold_status(means: DataFrame, *, measures: Sequence[str] | None = None,
-                     limits: dict[str, float] | None = None,
+                     limits: dict[str, float] | None = None, index_col: str | None = None,
                      series_cols: Sequence[str] = ()) -> DataFrame:
     """Per measure: value, limit, ratio, delta, colour class, status, texts.
 
     ``means`` has one column per measure (e.g. a KPI row). It is unpivoted to
     (measure, value) and joined to the fixed limits table (broadcast: fixed
-    size, independent of the data).
+    size, independent of the data). With ``index_col`` the mean index gets its
+    row too (limit 50, status "Élevé" above it, texts without unit).
+    The 2-digit text formats ``round(value, 6)``: means of 2-decimal readings
+    often sit exactly on a .xx5 tie, and this keeps the printed digit from
+    depending on summation order.
     """
     limits = V.GUIDELINE_LIMITS if limits is None else limits
     measures = [m for m in (measures or list(limits)) if m in means.columns]
+    if index_col and index_col in means.columns and index_col not in measures:
+        measures.append(index_col)
     long = means.unpivot(list(series_cols), measures, "measure", "value") if series_cols else \
         means.select(F.inline(F.array(*[F.struct(F.lit(m).alias("measure"),
                                                  F.col(m).cast("double").alias("value"))
                                         for m in measures])))
-    lim = F.broadcast(limits_frame(means.sparkSession, limits))
+    lim = F.broadcast(limits_frame(means.sparkSession, limits, index_col))
     out = long.join(lim, "measure", "inner")
+    idx = F.col("is_index")
+    within = F.col("value") <= F.col("limit")
+    status = F.when(within, V.STATUS_OK).when(idx, V.STATUS_HIGH).otherwise(V.STATUS_OVER)
+    denoised = F.round("value", 6)
+    number = F.translate(F.format_number(denoised, 2), ",", "")
+    limit_num = F.col("limit").cast("int").cast("string")
     return out.select(
         *series_cols, "measure", "measure_order", "value", "limit",
         safe_div("value", "limit").alias("ratio"),
         (F.col("value") - F.col("limit")).alias("delta"),
         gauge_class("value", "limit").alias("gauge_class"),
-        F.when(F.col("value") <= F.col("limit"), V.STATUS_OK).otherwise(V.STATUS_OVER).alias("status"),
-        with_unit("value").alias("value_text"),
-        F.format_string(f"%s {V.UNIT}", F.col("limit").cast("int").cast("string")).alias("limit_text"))
+        status.alias("status"),
+        F.when(idx, number).otherwise(with_unit(denoised)).alias("value_text"),
+        F.when(idx, limit_num).otherwise(F.format_string(f"%s {V.UNIT}", limit_num))
+        .alias("limit_text"))
 
 
 def assign_back(all_rows: DataFrame, subset_result: DataFrame, *, key: Sequence[str],

@@ -294,17 +294,26 @@ SELECT '{m}' AS measure, CAST({i} AS INTEGER) AS measure_order, v AS value, CAST
        CASE WHEN v IS NOT NULL THEN printf('%.2f μg/m³', round(v, 6)) END AS value_text,
        '{int(lim)} μg/m³' AS limit_text
 FROM (SELECT avg({m}) AS v FROM {src})""")
+    n = len(V.GUIDELINE_LIMITS)
+    lim = V.INDEX_LIMIT
+    rows.append(f"""
+SELECT 'european_aqi' AS measure, CAST({n} AS INTEGER) AS measure_order, v AS value, CAST({lim} AS DOUBLE) AS "limit",
+       v / nullif({lim}, 0) AS ratio, v - {lim} AS delta,
+       CASE WHEN v / {lim} > 1 THEN 'danger' WHEN v / {lim} > 0.75 THEN 'amber' ELSE 'teal' END AS gauge_class,
+       CASE WHEN v <= {lim} THEN 'OK' ELSE '{V.STATUS_HIGH}' END AS status,
+       printf('%.2f', round(v, 6)) AS value_text, '{int(lim)}' AS limit_text
+FROM (SELECT avg(european_aqi) AS v FROM {src})""")
     return _union(rows)
 
 
 @query("threshold_status", with_ctes(_status_sql("H"), H=H_SQL))
 def q_threshold_status(spark, sf):
-    """Station means against guideline limits: ratio, delta, class, status."""
+    """Station means against guideline limits, plus the mean index against
+    its limit: ratio, delta, class, status, texts."""
     h = station_hourly(spark, sf)
-    means = h.agg(*[F.avg(m).alias(m) for m in V.GUIDELINE_LIMITS if m in h.columns])
-    out = J.threshold_status(means)
-    # 2-digit text of the mean with last-bit summation noise removed (see README)
-    return out.withColumn("value_text", with_unit(F.round("value", 6)))
+    cols = [m for m in V.GUIDELINE_LIMITS if m in h.columns] + ["european_aqi"]
+    means = h.agg(*[F.avg(m).alias(m) for m in cols])
+    return J.threshold_status(means, index_col="european_aqi")
 
 
 @query("gauge", with_ctes(_union([f"""
@@ -320,9 +329,7 @@ def q_gauge(spark, sf):
     """J5 per series: the gauge table of every series (unpivot + lookup join)."""
     u = users_hourly(spark, sf)
     means = u.groupBy("user_id").agg(*[F.avg(m).alias(m) for m in ["pm2_5", "pm10", "ozone"]])
-    out = J.threshold_status(means, series_cols=["user_id"])
-    # 2-digit text of the mean with last-bit summation noise removed (see README)
-    return out.withColumn("value_text", with_unit(F.round("value", 6)))
+    return J.threshold_status(means, series_cols=["user_id"])
 
 
 @query("alert_text", with_ctes("""
