@@ -127,3 +127,12 @@ def test_skip_all_null_and_half_up_rounding(spark):
     daily = R.daily_mean(_two_weeks_gap(spark).withColumn("v", F.col("v") / 3), ts="date",
                          value_cols=["v"], digits=3).orderBy("date_str").collect()[1]
     assert daily["v"] == 0.333
+
+
+def test_level_shares_per_series(spark):
+    df = spark.createDataFrame([(1, "Bon"), (1, "Bon"), (1, "Mauvais"), (2, "Moyen")],
+                               "s long, aqi_level string")
+    out = rows(P.level_shares(df, series_cols=["s"]).orderBy("s", "level_order"),
+               "s", "aqi_level", "n", "share_pct")
+    assert out[:3] == [(1, "Bon", 2, 200.0 / 3), (1, "Moyen", 0, 0.0), (1, "Mauvais", 1, 100.0 / 3)]
+    assert out[3:] == [(2, "Bon", 0, 0.0), (2, "Moyen", 1, 100.0), (2, "Mauvais", 0, 0.0)]

@@ -231,3 +231,16 @@ FROM (SELECT user_id,
 def q_dominant_level(spark, sf):
     """Dominant level per series."""
     return P.dominant_level(users_hourly(spark, sf), series_cols=["user_id"])
+
+
+@query("level_shares_series", with_ctes(f"""
+SELECT g.user_id, g.aqi_level, CAST(g.level_order AS INTEGER) AS level_order, coalesce(c.n, 0) AS n,
+       coalesce(c.n, 0) * 100.0 / sum(coalesce(c.n, 0)) OVER (PARTITION BY g.user_id) AS share_pct
+FROM (SELECT user_id, unnest(['Bon', 'Moyen', 'Mauvais']) AS aqi_level, unnest([0, 1, 2]) AS level_order
+      FROM (SELECT DISTINCT user_id FROM U)) g
+LEFT JOIN (SELECT user_id, {_level3_sql('pm2_5')} AS aqi_level, count(*) AS n FROM U GROUP BY 1, 2) c
+  ON g.user_id = c.user_id AND g.aqi_level = c.aqi_level""", U=U_SQL))
+def q_level_shares_series(spark, sf):
+    """A7 per series: every level of every station with its count and share."""
+    u = users_hourly(spark, sf).withColumn("aqi_level", level3("pm2_5"))
+    return P.level_shares(u, series_cols=["user_id"])
