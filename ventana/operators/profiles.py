@@ -49,36 +49,23 @@ def weekday_hour_pivot(df: DataFrame, *, ts: str = "date", value_col: str,
 def level_shares(df: DataFrame, *, level_col: str = "aqi_level",
                  levels: Sequence[str] = tuple(V.LEVEL3_LABELS),
                  digits: int | None = None, series_cols: Sequence[str] = ()) -> DataFrame:
-    """Count and share (% of all rows) per level, every level listed.
+    """Count and share (% of all rows) per level, every level listed (absent
+    levels with 0), per series when ``series_cols`` are given.
 
-    The level list is fixed and short; counts come from one aggregation, the
-    total from the same pass (sum of the per-level counts). With series, every
-    series lists every level: the (series, level) grid comes from exploding the
-    fixed level array per series (no cross join), shares are per series.
+    One aggregation: a conditional count per level of the fixed list plus the
+    row count, then ``inline`` into one row per level -- no join against a level
+    table, no window, no second pass.
     """
-    spark = df.sparkSession
-    if series_cols:
-        counts = df.groupBy(*series_cols, level_col).agg(F.count(F.lit(1)).alias("n"))
-        lv = F.array(*[F.struct(F.lit(v).alias(level_col), F.lit(i).alias("level_order"))
-                       for i, v in enumerate(levels)])
-        grid = counts.select(*series_cols).distinct().select(*series_cols, F.inline(lv))
-        total = F.sum("n").over(Window.partitionBy(*series_cols))
-        out = (grid.join(counts, [*series_cols, level_col], "left")
-                   .withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
-                   .withColumn("share_pct", rounded(F.col("n") * 100.0 / F.nullif(total, F.lit(0)),
-                                                    digits)))
-        return out.select(*series_cols, level_col, "level_order", "n", "share_pct")
-    counts = df.groupBy(level_col).agg(F.count(F.lit(1)).alias("n"))
-    order = spark.createDataFrame([(lv, i) for i, lv in enumerate(levels)],
-                                  f"{level_col} string, level_order int")
-    # the total is the sum of the (few) level counts: a window over the tiny
-    # aggregated result, not a second pass over the data
-    total = F.sum("n").over(Window.partitionBy())
-    out = (order.join(counts, level_col, "left")
-                .withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
-                .withColumn("share_pct", rounded(F.col("n") * 100.0 / F.nullif(total, F.lit(0)),
-                                                 digits)))
-    return out.select(level_col, "level_order", "n", "share_pct")
+    lv = F.col(level_col)
+    counts = df.groupBy(*series_cols).agg(
+        *[F.count_if(lv == F.lit(v)).alias(f"_n{i}") for i, v in enumerate(levels)],
+        F.count(F.lit(1)).alias("_rows"))
+    total = F.nullif(F.col("_rows"), F.lit(0))
+    return counts.select(*series_cols, F.inline(F.array(*[
+        F.struct(F.lit(v).alias(level_col), F.lit(i).alias("level_order"),
+                 F.col(f"_n{i}").alias("n"),
+                 rounded(F.col(f"_n{i}") * 100.0 / total, digits).alias("share_pct"))
+        for i, v in enumerate(levels)])))
 
 
 def level_hours(df: DataFrame, *, value_col: str = "pm2_5") -> DataFrame:
