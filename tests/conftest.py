@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -12,7 +13,8 @@ SF01 = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from ventana.session import build_session, checkpoint_dir
-    s = build_session("local[*]", app_name="ventana-tests", shuffle_partitions=8)
+    s = build_session("local[*]", app_name="ventana-tests", shuffle_partitions=8,
+                      extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="ventana-tests-")})
     checkpoint_dir(s)
     yield s
 

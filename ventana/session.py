@@ -7,7 +7,7 @@ shared checkpoint folder used to cut long lineages.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -75,9 +75,11 @@ def cluster_conf(total_cores: int, *, scan_split: str = "256m", shuffle_target:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and materialised intermediate tables.
 
-    On a cluster this must be set (``spark.checkpoint.dir``) to a folder every
-    executor can reach; we only read it. A private folder is created solely when
-    nothing is configured, which is the case in local tests.
+    On a cluster this is the folder named by ``spark.checkpoint.dir``, which
+    every executor can reach; it is only read from the session. Where nothing
+    is configured (local tests), a folder named after the application is made
+    inside the session's warehouse, which Spark already needs every executor to
+    reach, and removed when the session's file system closes.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
@@ -87,10 +89,42 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return configured
     if current:
         return current
-    local = tempfile.mkdtemp(prefix="ventana-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{warehouse.rstrip('/')}/_scratch-{spark.sparkContext.applicationId}"
+    remove_at_exit(spark, folder)
+    spark.conf.set("spark.checkpoint.dir", folder)
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Make ``path`` and have its file system remove it when the application ends."""
+    fs, jpath = _hadoop_path(spark, path)
+    fs.mkdirs(jpath)
+    fs.deleteOnExit(jpath)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists, on any file system Spark can read; other errors are raised."""
+    fs, jpath = _hadoop_path(spark, path)
+    return fs.exists(jpath)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    fs, jpath = _hadoop_path(spark, path)
+    fs.delete(jpath, True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, removed when the application ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    remove_at_exit(spark, path)
+    return path
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
