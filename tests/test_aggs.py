@@ -136,3 +136,68 @@ def test_level_shares_per_series(spark):
                "s", "aqi_level", "n", "share_pct")
     assert out[:3] == [(1, "Bon", 2, 200.0 / 3), (1, "Moyen", 0, 0.0), (1, "Mauvais", 1, 100.0 / 3)]
     assert out[3:] == [(2, "Bon", 0, 0.0), (2, "Moyen", 1, 100.0), (2, "Mauvais", 0, 0.0)]
+
+
+def test_labels_after_the_published_rounding(spark):
+    """A daily mean of 12.0004 is 12.0 to three digits, so it is 'Bon'; an index mean of 50.004 is
+    50.0 to two digits, so it is 'Bon'; a share of 50.004 % is 50.0, which is not above 50."""
+    from ventana.functions import values as V
+    from ventana.functions.exprs import level3
+    from ventana.operators import profiles as P
+    from ventana.operators import resample as R
+    h = spark.createDataFrame([(dt.datetime(2024, 1, 1, 1), 12.0004)], "date timestamp_ntz, pm2_5 double")
+    d = R.daily_mean(h, value_cols=["pm2_5"], digits=V.MEAN_DIGITS).withColumn("lab", level3("pm2_5")).first()
+    assert (d["pm2_5"], d["lab"]) == (12.0, "Bon")
+    k = spark.createDataFrame([(1.0, 2.0, 3.0, 50.004)], "pm2_5 double, pm10 double, ozone double, european_aqi double")
+    r = P.kpi_row(k).first()
+    assert (r["index_mean"], r["index_label"]) == (50.0, "Bon")
+    assert P.kpi_row(k.withColumn("european_aqi", F.lit(50.006))).first()["index_label"] == "Modéré"
+    rows_ = spark.range(25_000).selectExpr("if(id < 12501, 99.0, 1.0) as pm2_5")     # 50.004 % bad
+    s = P.dominant_level(rows_).first()
+    assert (s["bad_pct"], s["dominant"]) == (50.0, "Bon")
+
+
+def test_exact_quantiles_equal_percentile(spark):
+    import random
+    from ventana.operators import stats as S
+    rnd = random.Random(5)
+    data = [(rnd.choice(["a", "b", None]), rnd.choice([None, 1.0, 2.5, rnd.random() * 100])) for _ in range(3000)] + [("one", 7.0), ("none", None)]
+    df = spark.createDataFrame(data, "g string, x double").repartition(5)
+    probs = [0.0, 0.25, 0.5, 0.95, 1.0]
+    got = {r["g"]: [r[f"q{i}"] for i in range(5)] for r in S.exact_quantiles(df, "x", probs, ["g"]).collect()}
+    want = {r["g"]: r["p"] for r in df.groupBy("g").agg(F.percentile("x", probs).alias("p")).collect() if r["p"]}
+    assert got.keys() == want.keys()
+    assert all(abs(a - b) < 1e-9 for g in got for a, b in zip(got[g], want[g]))
+    whole = S.exact_quantiles(df, "x", probs).first()
+    ref = df.agg(F.percentile("x", probs)).first()[0]
+    assert all(abs(whole[f"q{i}"] - v) < 1e-9 for i, v in enumerate(ref))
+    none = df.filter("x is null")
+    assert S.exact_quantiles(none, "x", probs).first() == (None,) * 5
+    assert S.exact_quantiles(none, "x", probs, ["g"]).count() == 0
+
+
+def test_distinct_counts_and_empty_histogram(spark):
+    from ventana.operators import stats as S
+    df = spark.createDataFrame([(1, "a"), (1, None), (2, "a"), (None, "b")], "k long, v string")
+    got = {r["column"]: (r["n_distinct"], r["n_rows"]) for r in S.distinct_counts(df, ["k", "v"]).collect()}
+    assert got == {"k": (2, 4), "v": (2, 4)}
+    assert "Expand" not in S.distinct_counts(df, ["k", "v"])._jdf.queryExecution().executedPlan().toString()
+    assert {r["n_rows"] for r in S.distinct_counts(df.limit(0), ["k", "v"]).collect()} == {0}
+    num = df.withColumn("x", F.lit(1.5))
+    full, empty = S.histogram(num, "x", 4, ["k"]), S.histogram(num.limit(0), "x", 4, ["k"])
+    assert [(f.name, f.dataType) for f in full.schema] == [(f.name, f.dataType) for f in empty.schema]
+    assert full.unionByName(empty).count() == full.count()
+
+
+def test_box_stats_over_no_rows(spark):
+    from ventana.operators import stats as S
+    df = spark.createDataFrame([(None,), (None,)], "x double")
+    r = S.box_stats(df, "x").first()
+    assert r["q1"] is None and r["n"] == 0 and r["n_outliers"] == 0
+
+
+def test_texts_format_the_value_itself(spark):
+    from ventana.operators import joins as J
+    r = {x["measure"]: x["value_text"] for x in J.threshold_status(
+        spark.createDataFrame([(26.845, 2.005)], "pm2_5 double, pm10 double")).collect()}
+    assert r["pm2_5"].startswith(f"{26.845:.2f}") and r["pm10"].startswith(f"{2.005:.2f}")

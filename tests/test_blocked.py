@@ -41,7 +41,7 @@ def _build(w):
 def test_bounded_equals_plain(spark):
     df = _frame(spark)
     plain = df.withColumns(_build(W.series_window(["s"], "ts")))
-    blk = B.bounded(df, ts="ts", build=_build, back=6, series_cols=["s"], block_seconds=5 * 3600)
+    blk = B.bounded(df, ts="ts", build=_build, back=6, series_cols=["s"], block_rows=100)
     _same(plain, blk, ["s", "ts"], ["l1", "l3", "r4", "p6"])
 
 
@@ -51,28 +51,28 @@ def test_bounded_lead_equals_plain(spark):
                        "b1": F.lag("v", 1).over(w)}
     plain = df.withColumns(build(W.series_window(["s"], "ts")))
     blk = B.bounded(df, ts="ts", build=build, back=1, ahead=2, series_cols=["s"],
-                    block_seconds=3 * 3600)
+                    block_rows=60)
     _same(plain, blk, ["s", "ts"], ["n1", "n2", "b1"])
 
 
 def test_blocked_interpolation_equals_plain(spark):
     df = _frame(spark, seed=7)
     plain = W.interpolate(df, ts="ts", cols=["v", "w"], series_cols=["s"])
-    blk = B.interpolate(df, ts="ts", cols=["v", "w"], series_cols=["s"], block_seconds=4 * 3600)
+    blk = B.interpolate(df, ts="ts", cols=["v", "w"], series_cols=["s"], block_rows=80)
     _same(plain, blk, ["s", "ts"], ["v", "w"])
 
 
 def test_blocked_islands_equal_plain(spark):
     df = _frame(spark, seed=11)
     plain = W.islands(df, ts="ts", col="v", threshold=50.0, series_cols=["s"])
-    blk = B.islands(df, ts="ts", col="v", threshold=50.0, series_cols=["s"], block_seconds=6 * 3600)
+    blk = B.islands(df, ts="ts", col="v", threshold=50.0, series_cols=["s"], block_rows=120)
     _same(plain, blk, ["s", "ts"], ["bad", "episode"])
 
 
 def test_blocked_keyless(spark):
     df = _frame(spark, seed=13, series=1).drop("s")
     plain = W.interpolate(df, ts="ts", cols=["v"])
-    blk = B.interpolate(df, ts="ts", cols=["v"], block_seconds=2 * 3600)
+    blk = B.interpolate(df, ts="ts", cols=["v"], block_rows=40)
     _same(plain, blk, ["ts"], ["v"])
 
 
@@ -80,11 +80,11 @@ def test_blocked_autocorr_and_episodes_equal_plain(spark):
     from ventana.operators import stats as S
     df = _frame(spark, seed=17, series=2)
     a = S.autocorr(df, ts="ts", value_col="v", max_lag=5, series_cols=["s"])
-    b = S.autocorr(df, ts="ts", value_col="v", max_lag=5, series_cols=["s"], block_seconds=3 * 3600)
+    b = S.autocorr(df, ts="ts", value_col="v", max_lag=5, series_cols=["s"], block_rows=60)
     _same(a, b, ["s", "lag"], ["acf"])
     e1 = W.episodes(df, ts="ts", col="v", threshold=30.0, min_rows=2, series_cols=["s"])
     e2 = W.episodes(df, ts="ts", col="v", threshold=30.0, min_rows=2, series_cols=["s"],
-                    block_seconds=3 * 3600)
+                    block_rows=60)
     _same(e1, e2, ["s", "episode"], ["duree", "aqi_max", "aqi_moy"])
 
 
@@ -94,11 +94,11 @@ def test_blocked_hourly_features_equal_plain(spark):
     df = base.select("s", "ts", F.col("v").alias("pm2_5"), F.col("w").alias("european_aqi"))
     df = df.fillna({"pm2_5": 1.0, "european_aqi": 2.0})
     a = FT.features_hourly(df, ts="ts", series_cols=["s"])
-    b = FT.features_hourly(df, ts="ts", series_cols=["s"], block_seconds=5 * 3600)
+    b = FT.features_hourly(df, ts="ts", series_cols=["s"], block_rows=100)
     assert a.count() > 0
     _same(a, b, ["s", "ts"], ["aqi_lag_24", "pm2_5_lag_12", "rolling_aqi_mean", "target_pm25"])
     c = FT.features_reduced(df, ts="ts", series_cols=["s"])
-    d = FT.features_reduced(df, ts="ts", series_cols=["s"], block_seconds=5 * 3600)
+    d = FT.features_reduced(df, ts="ts", series_cols=["s"], block_rows=100)
     _same(c, d, ["s", "ts"], ["aqi_lag_24", "pm2_5_lag_3", "target_aqi"])
 
 
@@ -107,11 +107,11 @@ def test_blocked_row_index_and_split_equal_plain(spark):
     for series in (["s"], []):
         src = df if series else df.filter("s = 0").drop("s")
         a = W.chrono_split(src, ts="ts", series_cols=series)
-        b = W.chrono_split(src, ts="ts", series_cols=series, block_seconds=4 * 3600)
+        b = W.chrono_split(src, ts="ts", series_cols=series, block_rows=80)
         key = [*series, "ts"]
         assert sorted(tuple(r) for r in a.select(*key, "split").collect()) == \
             sorted(tuple(r) for r in b.select(*key, "split").collect())
-    idx = B.row_index(df, ts="ts", series_cols=["s"], block_seconds=4 * 3600)
+    idx = B.row_index(df, ts="ts", series_cols=["s"], block_rows=80)
     got = {(r["s"], r["ts"]): (r["_idx"], r["_n"]) for r in idx.collect()}
     from pyspark.sql import Window as Win
     ref = df.withColumn("rn", F.row_number().over(Win.partitionBy("s").orderBy("ts"))) \
@@ -136,7 +136,27 @@ def test_blocked_bounded_random_reach(spark):
             return cols
         plain = df.withColumns(build(plain_w))
         blk = B.bounded(df, ts="ts", build=build, back=back, ahead=ahead, series_cols=["s"],
-                        block_seconds=hours * 3600)
+                        block_rows=hours * 20)
         _same(plain, blk, ["s", "ts"], ["b", "a", "r"])
 
     check()
+
+
+def test_blocks_follow_row_counts(spark):
+    """Half of all rows in one hour of one series, a third of them at one instant."""
+    t = dt.datetime(2024, 1, 1)
+    data = [(1, t + dt.timedelta(seconds=0 if i % 3 == 0 else i % 3600), i, float(i % 97)) for i in range(3000)]
+    data += [(s, t + dt.timedelta(hours=i), 10_000 + i, float(i % 13)) for s in (2, 3) for i in range(1500)]
+    df = spark.createDataFrame(data, "s long, ts timestamp_ntz, id long, v double")
+    largest = B.cut(df, "ts", ["s"], 500, ["id"]).groupBy("s", "_blk").count().agg(F.max("count")).first()[0]
+    assert largest <= 500
+
+    def build(w):
+        return {"l2": F.lag("v", 2).over(w), "n1": F.lead("v", 1).over(w)}
+
+    plain = df.withColumns(build(W.series_window(["s"], "ts", "id")))
+    blk = B.bounded(df, ts="ts", build=build, back=2, ahead=1, series_cols=["s"], block_rows=500, tiebreak=["id"])
+    _same(plain, blk, ["s", "id"], ["l2", "n1"])
+    a = W.islands(df, ts="ts", col="v", threshold=50.0, series_cols=["s"], tiebreak=["id"])
+    b = B.islands(df, ts="ts", col="v", threshold=50.0, series_cols=["s"], block_rows=500, tiebreak=["id"])
+    _same(a, b, ["s", "id"], ["bad", "episode"])

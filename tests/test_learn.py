@@ -30,37 +30,37 @@ def test_same_day_target_is_leak(spark):
     assert f.count() > 0 and bad.count() == 0
 
 
-def _naive_loop(pdf):
-    """The reference's loop, with the persistence model (delta 0)."""
-    daily = pdf.set_index("day")
-    res = []
-    for i in range(7):
-        t = len(daily) - 1 - i
-        if t < 7:
-            break
-        sub = daily.iloc[:t].copy()
-        for lag in range(1, 4):
-            sub[f"l{lag}"] = sub["pm2_5"].shift(lag)
-            sub[f"c{lag}"] = sub["carbon_monoxide"].shift(lag)
-        sub["r7"] = sub["pm2_5"].rolling(7).mean()
-        if sub.tail(1).isnull().values.any():
-            continue
-        res.append((daily["pm2_5"].iloc[t], sub["pm2_5"].iloc[-1]))
-    if not res:
-        return None
-    a = np.array(res)
-    return float(np.mean(np.abs(a[:, 0] - a[:, 1]))), len(res)
-
-
-def test_backtest_equals_naive_loop(spark):
-    for n_days, expect_rows in ((20, True), (6, False)):
-        filled = FT.daily_table(_daily(spark, n_days), value_cols=COLS)
-        m = L.backtest_metrics(L.backtest_rows(filled, value_cols=COLS)).collect()
-        ref = _naive_loop(filled.orderBy("day").toPandas())
-        if not expect_rows:
-            assert ref is None and (not m or m[0]["n_samples"] == 0)
-        else:
-            assert m[0]["n_samples"] == ref[1] and math.isclose(m[0]["mae"], ref[0], rel_tol=1e-9)
+def _days(spark, values, co=None):
+    """A daily table from 2024-01-01 on."""
+    day = dt.date(2024, 1, 1)
+    rows = [(day + dt.timedelta(days=i), v, 1.0 if co is None else co[i]) for i, v in enumerate(values)]
+    return spark.createDataFrame(rows, "day date, pm2_5 double, carbon_monoxide double")
+
+
+def test_backtest_pairs_by_hand(spark):
+    """The last seven days are targets, each with the day before as input: of 10 days with values
+    10..19 these are days 8-10 only, as a target needs seven days before it."""
+    rows = L.backtest_rows(_days(spark, [10.0 + i for i in range(10)]), value_cols=COLS)
+    assert sorted((r["pm2_5"], r["actual"]) for r in rows.collect()) == [(16.0, 17.0), (17.0, 18.0), (18.0, 19.0)]
+    long = L.backtest_rows(_days(spark, [float(i) for i in range(20)]), value_cols=COLS)
+    assert sorted(r["actual"] for r in long.collect()) == [13.0, 14.0, 15.0, 16.0, 17.0, 18.0, 19.0]
+
+
+def test_backtest_skips_incomplete_inputs_and_short_series(spark):
+    values = [float(i * i) for i in range(12)]
+    co = [1.0] * 12
+    co[8] = None                      # day 9 misses CO; days 10-12 miss one of its three lags
+    rows = L.backtest_rows(_days(spark, values, co), value_cols=COLS).collect()
+    assert sorted((r["pm2_5"], r["actual"]) for r in rows) == [(36.0, 49.0), (49.0, 64.0)]
+    assert L.backtest_rows(_days(spark, values[:7]), value_cols=COLS).count() == 0
+    flagged = L.backtest_rows(_days(spark, values, co), value_cols=COLS, flag="used")
+    assert flagged.count() == 12 and flagged.filter("used").count() == 2
+
+
+def test_backtest_metrics_by_hand(spark):
+    m = L.backtest_metrics(L.backtest_rows(_days(spark, [10.0 + i for i in range(8)] + [21.0, 18.0]), value_cols=COLS)).first()
+    # targets 17 (from 16), 21 (from 17), 18 (from 21): errors 1, 4, -3
+    assert m["n_samples"] == 3 and math.isclose(m["mae"], 8 / 3) and math.isclose(m["rmse"], math.sqrt(26 / 3))
 
 
 def test_retrain_rule(spark):
@@ -69,7 +69,7 @@ def test_retrain_rule(spark):
     for k, mae, base, share in cases:
         m = spark.createDataFrame([(k, mae)], "k long, mae double")
         s = spark.createDataFrame([(k, share)], "k long, pm25_null_share double")
-        r = L.retrain_decision(m, s, series_cols=["k"], baseline_mae=base).first()
+        r = L.retrain_decision(m, s, series_cols=["k"], baseline={"mae_pm25": base}).first()
         out[k] = (r["needs_retraining"], len(r["reasons"]))
     assert out == {1: (True, 1), 2: (False, 0), 3: (False, 0), 4: (False, 1)}
 
@@ -88,7 +88,7 @@ def test_isolation_forest_flags_planted_outliers(spark):
     pdf = pd.DataFrame(np.vstack([normal, far]), columns=["a", "b", "c", "d"])
     pdf["id"] = np.arange(len(pdf))
     df = spark.createDataFrame(pdf)
-    out = iforest.anomalies(df, ["a", "b", "c", "d"], ["id"], exact_cut=True).cache()
+    out = iforest.anomalies(df, ["a", "b", "c", "d"], ["id"])
     share = out.agg(F.avg("anomaly")).first()[0]
     assert 0.045 <= share <= 0.055
     assert out.filter("id >= 1000 AND anomaly = 1").count() == 10
@@ -159,3 +159,106 @@ def test_forecast_uses_latest_day_only(spark):
     gap = feats.withColumn("pm25_lag_1", F.when(F.col("day") == F.lit(last_day), None)
                            .otherwise(F.col("pm25_lag_1")))
     assert L.forecast_next(model, gap, features=["pm2_5", "pm25_lag_1", "pm25_rolling_7d"]).count() == 0
+
+
+def test_no_decision_without_baseline(spark):
+    m = spark.createDataFrame([(1, 50.0)], "k long, mae double")
+    share = spark.createDataFrame([(1, 0.2)], "k long, pm25_null_share double")
+    r = L.retrain_decision(m, share, series_cols=["k"], baseline=None).first()
+    assert r["needs_retraining"] is False and r["mae_threshold"] is None and len(r["reasons"]) == 1
+    r = L.retrain_decision(m, share, series_cols=["k"], baseline={"mae_aqi": 1.0}).first()
+    assert r["needs_retraining"] is True and r["mae_threshold"] == 5.0       # a baseline without the key counts as 2.0
+    assert r["reasons"][0] == "Dégradation de la performance (MAE: 50.00 > seuil 5.00)"
+
+
+def test_monitoring_report(spark):
+    from ventana.operators import stats as S
+    hourly = spark.createDataFrame([(dt.datetime(2024, 1, 1, h), v) for h, v in ((0, 1.0), (1, None), (2, 600.0), (3, 2.0))],
+                                   "date timestamp_ntz, pm2_5 double")
+    perf = spark.createDataFrame([(6.0, 7.0, 7)], "mae double, rmse double, n_samples long")
+    r = L.monitoring_report(S.dq_report(hourly), perf, baseline={"mae_pm25": 2.0}).first()
+    assert r.data_quality.total_rows == 4 and r.data_quality.missing_values_pct == {"pm2_5": 0.25}
+    assert r.data_quality.last_update == "2024-01-01T03:00:00+00:00" and r.data_quality.pm25_range_violation == 1
+    assert r.performance.n_samples == 7 and r.baseline_comparison.mae_pm25 == 2.0 and r.needs_retraining
+    assert len(r.reasons) == 2 and r.timestamp.endswith("+00:00")
+    none = L.monitoring_report(S.dq_report(hourly), perf.limit(0), baseline=None).first()
+    assert none.performance is None and none.baseline_comparison is None and not none.needs_retraining
+
+
+def test_forest_draws_from_all_rows(spark):
+    """Each tree takes its rows independently: many distinct rows are used, few by many trees."""
+    n, trees, psi = 20_000, 50, 64
+    df = spark.range(n).selectExpr("id", "cast(id as double) as x")
+    chosen = df.select("id", F.explode(iforest._trees_of_row(psi * 1.5 / n, trees, 7, [F.col("id")])).alias("t"))
+    per_tree = [r["count"] for r in chosen.groupBy("t").count().collect()]
+    assert len(per_tree) == trees and abs(sum(per_tree) / trees - psi * 1.5) < 6
+    used = chosen.select("id").distinct().count()
+    expected = n * (1 - (1 - psi * 1.5 / n) ** trees)
+    assert abs(used - expected) < 0.05 * expected
+    assert chosen.count() == chosen.distinct().count()
+    assert df.select(F.size(iforest._trees_of_row(1.0, 9, 7, [F.col("id")])).alias("k")).filter("k <> 9").count() == 0
+
+
+def _signal(spark, n=160):
+    """Next change is a function of today's value, so a model can beat persistence."""
+    rnd = random.Random(3)
+    rows = [(1, dt.date(2024, 1, 1) + dt.timedelta(days=i), x, 0.5 - x) for i, x in
+            enumerate(rnd.random() for _ in range(n))]
+    return spark.createDataFrame(rows, "user_id long, day date, x double, change double")
+
+
+def test_gbt_beats_persistence_stops_early_and_is_saved(spark):
+    import tempfile
+    df = _signal(spark).withColumn("split", F.when(F.col("day") < "2024-05-01", "train").otherwise("test"))
+    fits = []
+
+    def fit(rows):
+        fits.append(1)
+        return L.fit_gbt(rows.filter("split = 'train'"), validation=rows.filter("split = 'test'"), features=["x"],
+                         label="change", maxIter=40, stepSize=0.5, subsamplingRate=1.0)
+
+    folder = tempfile.mkdtemp()
+    model = L.saved_fit(df, folder, fit)
+    assert 1 <= model.stages[-1].getNumTrees < 40
+    err = L.regression_metrics(L.predict(model, df.filter("split = 'test'")), label="change", prediction="prediction").first()
+    naive = df.filter("split = 'test'").agg(F.avg(F.abs("change"))).first()[0]
+    assert err["mae"] < 0.3 * naive
+    again = L.saved_fit(df, folder, fit)
+    assert len(fits) == 1 and again.stages[-1].getNumTrees == model.stages[-1].getNumTrees
+    L.saved_fit(df.withColumn("x", F.col("x") + 1), folder, fit)
+    assert len(fits) == 2                       # other rows, another model
+    imp = L.importances(model, ["x"])
+    assert math.isclose(sum(v for _, v in imp), 1.0)
+    import pytest
+    with pytest.raises(ValueError):
+        L.saved_fit(df.limit(0), folder, fit)
+
+
+def test_gbt_queries_build(spark, monkeypatch):
+    """Every registered model query runs, with few rounds."""
+    from ventana.functions import values as V
+    from ventana.plans.catalog import queries
+    from conftest import SF01
+    monkeypatch.setitem(V.GBT_DAILY, "maxIter", 3)
+    monkeypatch.setitem(V.GBT_HOURLY, "maxIter", 2)
+    qs = queries()
+    test = qs["gbt_fit_predict"](spark, SF01)
+    assert test.filter("prediction is not null").count() == qs["holdout_actuals"](spark, SF01).count() > 0
+    two = {r["target"]: r["n"] for r in qs["gbt_two_targets"](spark, SF01).collect()}
+    n = qs["two_target_rows"](spark, SF01).filter("split = 'test'").first()["n"]
+    assert two == {"target_pm25": n, "target_aqi": n}
+    imp = qs["importances"](spark, SF01).collect()
+    assert math.isclose(sum(r["importance"] for r in imp), 1.0) and [r["rank"] for r in imp] == list(range(1, len(imp) + 1))
+    for name in ("forecast_next", "forecast_next_day"):
+        assert qs[name](spark, SF01).count() == qs["forecast_inputs"](spark, SF01).count()
+    naive = {r["user_id"]: r["n_samples"] for r in qs["backtest_naive"](spark, SF01).collect()}
+    assert {r["user_id"]: r["n_samples"] for r in qs["backtest_gbt"](spark, SF01).collect()} == naive
+
+
+def test_two_targets_without_rows_raises(spark, monkeypatch):
+    import pytest
+    from ventana.plans import q_learn
+    monkeypatch.setattr(q_learn, "station_hourly", lambda s, d: s.createDataFrame(
+        [], "date timestamp_ntz, " + ", ".join(f"{c} double" for c in q_learn.POLLUTANTS)))
+    with pytest.raises(ValueError):
+        q_learn.q_gbt_two_targets(spark, "/nowhere")

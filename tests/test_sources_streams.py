@@ -4,7 +4,9 @@ import datetime as dt
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ventana.sources import api, files, store
 from ventana.streaming import ingest
@@ -46,19 +48,113 @@ def test_high_water_and_due(spark):
     assert due == {1: True, 2: False, 3: True}
 
 
+RESPONSE = "start long, end long, step_s int, utc_offset_s int, v array<double>"
+
+
 def test_array_response_end_exclusive(spark):
-    df = spark.createDataFrame([(0, 3 * 3600, 3600, 3600, [1.0, 2.0, 3.0, 4.0])],
-                               "start long, end long, step_s int, utc_offset_s int, v array<double>")
-    out = api.expand_response(df, variables=["v"]).orderBy("date")
-    r = rows(out, "date", "v")
+    df = spark.createDataFrame([(0, 3 * 3600, 3600, 3600, [1.0, 2.0, 3.0])], RESPONSE)
+    r = rows(api.expand_response(df, variables=["v"]).orderBy("date"), "date", "v")
     assert len(r) == 3 and r[0] == (dt.datetime(1970, 1, 1, 1), 1.0)
+    part = spark.createDataFrame([(0, 9000, 3600, 0, [1.0, 2.0, 3.0])], RESPONSE)    # 2.5 steps hold three times
+    assert api.expand_response(part, variables=["v"]).count() == 3
+
+
+@pytest.mark.parametrize("values", [[1.0, 2.0, 3.0, 4.0, 5.0], [1.0], [], None])
+def test_array_response_of_another_length_fails(spark, values):
+    df = spark.createDataFrame([(0, 3 * 3600, 3600, 0, values)], RESPONSE)
+    with pytest.raises(Exception, match="array response"):
+        api.expand_response(df, variables=["v"]).collect()
+    with pytest.raises(Exception, match="array response"):
+        api.expand_response(df, variables=["v"]).count()
+
+
+DOC = '{"records": [{"date": "2024-01-01", "pm2_5": 3.5}, {"date": "2024-01-02", "pm2_5": null}]}'
+FIELDS = "date string, pm2_5 double"
 
 
 def test_json_records_document(spark):
-    df = spark.createDataFrame([('{"records": [{"date": "2024-01-01", "pm2_5": 3.5}, '
-                                 '{"date": "2024-01-02", "pm2_5": null}]}',)], "doc string")
-    out = files.explode_records(df, "doc", "date string, pm2_5 double")
-    assert rows(out) == [("2024-01-01", 3.5), ("2024-01-02", None)]
+    df = spark.createDataFrame([(DOC,), ('{"records": []}',)], "doc string")
+    assert rows(files.explode_records(df, "doc", FIELDS)) == [("2024-01-01", 3.5), ("2024-01-02", None)]
+
+
+@pytest.mark.parametrize("bad", ["{not json", None, "", "{}", '{"records": null}', '{"records": [{"pm2_5": "x"}]}'])
+def test_bad_documents_fail_or_are_set_aside(spark, bad):
+    df = spark.createDataFrame([(1, DOC), (2, bad)], "id long, doc string")
+    with pytest.raises(Exception):
+        files.explode_records(df, "doc", FIELDS).collect()
+    good, other = files.bad_documents(df, "doc", FIELDS)
+    assert rows(other, "id") == [(2,)]
+    assert files.explode_records(good, "doc", FIELDS).count() == 2
+
+
+def test_fallback_across_formats(spark):
+    d = _tmp(spark, "fallback")
+    schema = T._parse_datatype_string(FIELDS)
+    missing = [os.path.join(d, "no.parquet"), (os.path.join(d, "no.json"), "records"), "table:no_such_table"]
+    assert files.read_first_available(spark, missing, schema).count() == 0
+    csv = os.path.join(d, "c.csv")
+    with open(csv, "w") as f:
+        f.write("pm2_5,id,date\n1.5,9,2024-01-01\n,8,2024-01-02\n")
+    got = files.read_first_available(spark, [*missing, (csv, "csv")], schema)
+    assert rows(got) == [("2024-01-01", 1.5), ("2024-01-02", None)]
+    doc = os.path.join(d, "d.json")
+    with open(doc, "w") as f:
+        f.write(DOC)
+    assert files.read_first_available(spark, [(doc, "records"), (csv, "csv")], schema).count() == 2
+    broken = os.path.join(d, "broken.parquet")
+    with open(broken, "w") as f:
+        f.write("not a parquet file")
+    with pytest.raises(Exception):
+        files.read_first_available(spark, [broken, (csv, "csv")], schema).collect()
+
+
+def test_unreadable_store_is_not_an_empty_store(spark):
+    d = _tmp(spark, "damaged")
+    target = os.path.join(d, "t")
+    batch = spark.createDataFrame([(1, dt.datetime(2024, 1, 1), 5.0, 1)], "s long, date timestamp_ntz, v double, seq long")
+    assert store.read_store(spark, target) is None
+    os.makedirs(target)
+    assert store.read_store(spark, target) is None
+    assert store.insert_or_ignore(batch, target, ["s", "date"], "seq") == 1
+    for folder, _, names in os.walk(target):
+        for name in names:
+            if name.endswith(".parquet"):
+                with open(os.path.join(folder, name), "w") as f:
+                    f.write("damaged")
+                if os.path.exists(os.path.join(folder, f".{name}.crc")):
+                    os.remove(os.path.join(folder, f".{name}.crc"))
+    with pytest.raises(Exception):
+        store.insert_or_ignore(batch, target, ["s", "date"], "seq")
+
+
+def test_keep_first_with_ties_and_nulls(spark):
+    df = spark.createDataFrame([(1, 1, "a"), (1, 1, "b"), (1, 2, "c"), (2, 5, None), (2, 5, None), (None, 3, "x"), (None, 4, "y")],
+                               "k long, seq long, v string")
+    got = sorted(rows(store.keep_first(df, ["k"], "seq")), key=str)
+    assert len(got) == 3 and got[1] == (2, 5, None) and got[2] == (None, 3, "x") and got[0][:2] == (1, 1)
+    plan = store.keep_first(df, ["k"], "seq")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+
+
+def test_restarted_stream_resumes_and_adds_nothing_twice(spark):
+    d = _tmp(spark, "restart")
+    land, target, ck = (os.path.join(d, x) for x in ("landing", "t", "ck"))
+    t = dt.datetime(2024, 1, 1)
+    _landing(spark, land, "f1", [(1, t, 1, 1.0), (2, t, 2, 2.0)])
+    schema = spark.read.parquet(os.path.join(land, "f1")).schema
+
+    def run(checkpoint):
+        s = spark.readStream.schema(schema).parquet(land + "/*")
+        q = ingest.stream_insert(s, target, checkpoint, key=["k", "ts"], order_col="id", ts="ts")
+        ingest.run_to_end(q)
+        return sum(p["numInputRows"] for p in q.recentProgress)
+
+    assert run(ck) == 2
+    assert run(ck) == 0                                   # resumed: nothing is read again
+    _landing(spark, land, "f2", [(3, t, 1, 9.0), (4, t, 3, 4.0)])
+    assert run(ck) == 2
+    assert run(os.path.join(d, "ck2")) == 4               # a new checkpoint reads all files again
+    assert sorted(rows(spark.read.parquet(target), "id")) == [(1,), (2,), (4,)]
 
 
 def test_csv_roundtrip(spark):

@@ -76,6 +76,14 @@ WIND_SECTORS = 16
 WIND_SPEED_EDGES = [0.0, 5.0, 10.0, 15.0, 20.0, 50.0]
 WIND_SPEED_LABELS = ["0-5", "5-10", "10-15", "15-20", ">20"]
 
+# Digits to which results are published: key figures, daily and hourly means, correlations,
+# episodes, and the shares and means that are labelled after rounding.
+KPI_DIGITS = 2
+MEAN_DIGITS = 3
+MONTH_DIGITS = 2
+CORR_DIGITS = 3
+EPISODE_DIGITS = 1
+
 # Physical range of PM2.5 used by the data-quality report.
 PM25_RANGE = (0.0, 500.0)
 
@@ -84,7 +92,7 @@ RETRAIN_FACTOR = 1.5
 RETRAIN_FLOOR = 5.0
 RETRAIN_DEFAULT_BASELINE = 2.0
 RETRAIN_NULL_SHARE = 0.1
-REASON_PERF = "Dégradation de la performance (MAE: {mae:.2f} > seuil {thr:.2f})"
+REASON_PERF = "Dégradation de la performance (MAE: {mae} > seuil {thr})"
 REASON_NULLS = "Trop de données manquantes sur PM2.5 (> 10%)"
 
 # Freshness gate: collect again when the last collection is 2 days old or more.

@@ -1,10 +1,13 @@
-"""Ordered windows over raw, unbounded series, split into time blocks.
+"""Ordered windows over raw, unbounded series, split into blocks of bounded size.
 
 ``Window.partitionBy(series).orderBy(ts)`` puts a whole series in one task; for
-a station that holds a third of all rows that task is the job. Here each
-series is cut into time blocks (``block_seconds``) and the window runs per
-(series, block); only the rows near block edges, or one summary row per
-block, cross blocks. Results equal the plain window (tests check this).
+a station that holds a third of all rows that task is the job. Here the rows are
+range-partitioned by (series, time, tiebreak) into blocks of about ``block_rows``
+rows at most and written once (so that block numbers cannot change between the
+steps that use them); the window runs per (series, block), and only the rows near
+block edges, or one summary row per block, cross blocks. A busy hour is cut like
+any other stretch: blocks follow row counts, not the clock, and rows of equal time
+are spread by the tiebreak. Results equal the plain window (tests check this).
 
 * ``bounded``: frames that reach at most ``back`` rows back and ``ahead``
   rows ahead (lag, lead, rolling means, shifted frames). Rows within
@@ -14,8 +17,7 @@ block, cross blocks. Results equal the plain window (tests check this).
   neighbours, consecutive, so the frame is exact.
 * ``interpolate`` and ``islands``: unbounded frames. A per-block summary
   (row count, first/last known value and position, first/last flag, change
-  count) is scanned per series -- one row per block, so bounded by the time
-  span -- and the carries are joined back on (series, block), the key the
+  count) is scanned per series -- one row per block -- and the carries are joined back on (series, block), the key the
   rows are already partitioned by.
 """
 
@@ -26,28 +28,42 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DAY = 86400
+from ..session import scratch_path
 
+#: Rows a block should stay under.
+BLOCK_ROWS = 1_000_000
 
-def block_of(ts: str, block_seconds: int) -> Column:
-    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(block_seconds * 1_000_000))
 
+def cut(df: DataFrame, ts: str, series: Sequence[str], block_rows: int,
+        tiebreak: Sequence[str]) -> DataFrame:
+    """Rows with their block number ``_blk``, in the order of (series, time, tiebreak).
 
-def _staged(df: DataFrame, ts: str, series: Sequence[str], block_seconds: int, tiebreak):
+    Range bounds come from a sample, so twice as many blocks as needed are cut;
+    the largest then stays under ``block_rows``.
+    """
+    spark = df.sparkSession
+    blocks = max(1, -(-2 * df.count() // block_rows))
+    path = scratch_path(spark, "blocks")
+    df.repartitionByRange(blocks, *series, ts, *tiebreak) \
+        .withColumn("_blk", F.spark_partition_id().cast("long")).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _staged(df: DataFrame, ts: str, series: Sequence[str], block_rows: int, tiebreak):
     wa = Window.partitionBy(*series, "_blk").orderBy(ts, *tiebreak)
-    staged = df.withColumn("_blk", block_of(ts, block_seconds)) \
+    staged = cut(df, ts, series, block_rows, tiebreak) \
         .withColumns({"_rn": F.row_number().over(wa),
                       "_cnt": F.count(F.lit(1)).over(Window.partitionBy(*series, "_blk"))})
     return staged, wa
 
 
 def bounded(df: DataFrame, *, ts: str, build: Callable[[Window], dict], back: int = 0,
-            ahead: int = 0, series_cols: Sequence[str] = (), block_seconds: int = DAY,
+            ahead: int = 0, series_cols: Sequence[str] = (), block_rows: int = BLOCK_ROWS,
             tiebreak: Sequence[str] = ()) -> DataFrame:
     """Add the columns ``build(window)`` returns, for frames within
-    ``[-back, +ahead]`` rows, computed per time block with edge repair."""
+    ``[-back, +ahead]`` rows, computed per block with edge repair."""
     series = list(series_cols)
-    staged, wa = _staged(df, ts, series, block_seconds, tiebreak)
+    staged, wa = _staged(df, ts, series, block_rows, tiebreak)
     reach = back + ahead
     needs_edge = (F.col("_rn") <= back) | (F.col("_rn") > F.col("_cnt") - ahead)
     inner = staged.withColumns(build(wa)).filter(~needs_edge)
@@ -58,10 +74,10 @@ def bounded(df: DataFrame, *, ts: str, build: Callable[[Window], dict], back: in
 
 
 def interpolate(df: DataFrame, *, ts: str, cols: Sequence[str], series_cols: Sequence[str] = (),
-                block_seconds: int = DAY, tiebreak: Sequence[str] = ()) -> DataFrame:
+                block_rows: int = BLOCK_ROWS, tiebreak: Sequence[str] = ()) -> DataFrame:
     """Blocked twin of ``windows.interpolate`` (positional, forward only)."""
     series = list(series_cols)
-    staged, wa = _staged(df, ts, series, block_seconds, tiebreak)
+    staged, wa = _staged(df, ts, series, block_rows, tiebreak)
     rn = F.col("_rn")
     aggs = [F.count(F.lit(1)).alias("_bn")]
     for c in cols:
@@ -105,12 +121,12 @@ def interpolate(df: DataFrame, *, ts: str, cols: Sequence[str], series_cols: Seq
 
 def islands(df: DataFrame, *, ts: str, col: str, threshold: float,
             series_cols: Sequence[str] = (), flag: str = "bad", run: str = "episode",
-            block_seconds: int = DAY, tiebreak: Sequence[str] = ()) -> DataFrame:
+            block_rows: int = BLOCK_ROWS, tiebreak: Sequence[str] = ()) -> DataFrame:
     """Blocked twin of ``windows.islands`` (same run ids)."""
     series = list(series_cols)
     base = df.filter(F.col(col).isNotNull()) \
         .withColumn(flag, (F.col(col) > threshold).cast("int"))
-    staged, wa = _staged(base, ts, series, block_seconds, tiebreak)
+    staged, wa = _staged(base, ts, series, block_rows, tiebreak)
     f = F.col(flag)
     local_chg = F.coalesce((f != F.lag(f, 1).over(wa)).cast("int"), F.lit(0))
     staged = staged.withColumn("_lc", local_chg)
@@ -131,13 +147,13 @@ def islands(df: DataFrame, *, ts: str, col: str, threshold: float,
         .drop("_blk", "_rn", "_cnt", "_lc", "_fc", "_roff")
 
 
-def row_index(df: DataFrame, *, ts: str, series_cols: Sequence[str] = (), block_seconds: int = DAY,
+def row_index(df: DataFrame, *, ts: str, series_cols: Sequence[str] = (), block_rows: int = BLOCK_ROWS,
               tiebreak: Sequence[str] = (), idx: str = "_idx", total: str = "_n") -> DataFrame:
     """1-based position of each row in its series (and the series row count)
     without a one-partition window: rank inside (series, block), plus the rows
     of all earlier blocks from a per-block count scanned per series."""
     series = list(series_cols)
-    staged, _ = _staged(df, ts, series, block_seconds, tiebreak)
+    staged, _ = _staged(df, ts, series, block_rows, tiebreak)
     summ = staged.groupBy(*series, "_blk").agg(F.count(F.lit(1)).alias("_bn"))
     wbk = Window.partitionBy(*series).orderBy("_blk")
     summ = summ.select(*series, "_blk",

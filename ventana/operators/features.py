@@ -70,20 +70,20 @@ def features_daily(hourly: DataFrame, *, ts: str = "date", value_cols: Sequence[
 
 
 def _with_windows(df: DataFrame, build, *, ts: str, series_cols: Sequence[str], back: int,
-                  ahead: int, block_seconds: int | None) -> DataFrame:
-    """Window columns per series, or per time block with edge repair for raw
+                  ahead: int, block_rows: int | None) -> DataFrame:
+    """Window columns per series, or per block with edge repair for raw
     series too long for one task (same values)."""
-    if block_seconds:
+    if block_rows:
         from .blocked import bounded
         return bounded(df, ts=ts, build=build, back=back, ahead=ahead, series_cols=series_cols,
-                       block_seconds=block_seconds)
+                       block_rows=block_rows)
     return df.withColumns(build(W.series_window(series_cols, ts)))
 
 
 def features_hourly(df: DataFrame, *, ts: str = "date", series_cols: Sequence[str] = (),
                     aqi: str = "european_aqi", pm: str = "pm2_5",
                     lags: Sequence[int] = (1, 3, 6, 12, 24),
-                    block_seconds: int | None = None) -> DataFrame:
+                    block_rows: int | None = None) -> DataFrame:
     """M2: hour, weekday, cyclic hour, index and PM lags, previous-6 mean of the
     index, t+1 targets, rows with any null removed."""
     def build(w):
@@ -98,7 +98,7 @@ def features_hourly(df: DataFrame, *, ts: str = "date", series_cols: Sequence[st
     base = df.withColumns({"hour": F.hour(ts), "dayofweek": weekday(ts), "hour_sin": s,
                            "hour_cos": c})
     out = _with_windows(base, build, ts=ts, series_cols=series_cols, back=max(max(lags), 7),
-                        ahead=1, block_seconds=block_seconds)
+                        ahead=1, block_rows=block_rows)
     return out.dropna()
 
 
@@ -108,7 +108,7 @@ REDUCED_DROP = V.REDUCED_DROP
 def features_reduced(df: DataFrame, *, ts: str = "date", series_cols: Sequence[str] = (),
                      aqi: str = "european_aqi", pm: str = "pm2_5",
                      drop: Sequence[str] = tuple(REDUCED_DROP),
-                     block_seconds: int | None = None) -> DataFrame:
+                     block_rows: int | None = None) -> DataFrame:
     """M3: drop listed columns, cyclic hour, index lags 1,3,6,24, PM lags 1,3,24,
     t+1 targets; the hour itself is not kept; rows with any null removed."""
     def build(w):
@@ -121,4 +121,4 @@ def features_reduced(df: DataFrame, *, ts: str = "date", series_cols: Sequence[s
     s, c = cyclic(F.hour(ts), 24.0)
     base = df.drop(*[c for c in drop if c in df.columns]).withColumns({"hour_sin": s, "hour_cos": c})
     return _with_windows(base, build, ts=ts, series_cols=series_cols, back=24, ahead=1,
-                         block_seconds=block_seconds).dropna()
+                         block_rows=block_rows).dropna()

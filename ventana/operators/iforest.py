@@ -2,12 +2,14 @@
 
 Spark has no isolation forest, so it is built from DataFrame steps:
 
-1. **Sample** (bounded, no driver round trip of rows): rows with complete
-   features are thinned by a seeded hash to about ``trees x psi x 1.25`` rows
-   (the rate comes from one count). Each tree then takes the ``psi`` rows
-   with the smallest hash of (seed, tree, key) -- without replacement inside a
-   tree, independently across trees, as the usual definition asks. The work is
-   bounded by ``trees x psi``, whatever the table size.
+1. **Sample** (bounded, no driver round trip of rows): every tree draws from
+   all complete rows. A row takes part in each tree independently with a
+   probability of about 1.5 x psi / n, by seeded hashes of its key: one hash
+   says in how many trees (inverse binomial), a second one in which, so a row
+   that is in no tree costs one hash. Each tree then keeps the ``psi`` of its
+   rows with the smallest hash of (seed, tree, key) -- without replacement
+   inside a tree, independently across trees. The rows that move on are about
+   1.5 x trees x psi, whatever the table size.
 2. **Grow**: ``groupBy(tree).applyInPandas`` grows one tree per group with
    NumPy (random feature, uniform split between the node's min and max,
    depth limit ceil(log2 psi)). Each tree is a few hundred nodes.
@@ -15,9 +17,9 @@ Spark has no isolation forest, so it is built from DataFrame steps:
    Arrow-batched ``pandas_udf`` walks all trees for a batch of rows at once:
    score = 2 ** (-mean path length / c(psi)). Rows with a missing feature get
    no score (and flag 0, rule J4: no join needed).
-4. **Flag**: rows whose score is above the (1 - contamination) quantile of
-   the scores of complete rows. The quantile is a scalar subquery, exact or
-   sketch-based (``percentile_approx``) for large tables.
+4. **Flag**: rows whose score is above the exact (1 - contamination) quantile
+   of the scores of complete rows. The scored rows are written once to the
+   shared folder; cut and flags are taken from there, so Python runs once.
 
 Scores are not bit-equal to other implementations (different random
 streams); the share flagged and the ranking of clear outliers are.
@@ -35,6 +37,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import values as V
+from ..functions.exprs import flag_to_int
+from ..session import scratch_path
+from .stats import exact_quantiles
 
 TREE_SCHEMA = ("tree int, feature array<int>, threshold array<double>, left array<int>, "
                "right array<int>, size array<int>")
@@ -102,6 +107,30 @@ def _unit_hash(*cols) -> F.Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 62)).cast("double") / float(1 << 62)
 
 
+def _trees_of_row(rate: float, n_trees: int, seed: int, keys: Sequence[F.Column]) -> F.Column:
+    """The trees a row takes part in: each of ``n_trees`` independently with probability ``rate``.
+
+    The number of trees k is drawn by the row's hash from the binomial distribution (its cumulative
+    sums are a few literals); the k trees with the smallest hashes of (tree, key) are a uniform
+    choice of k trees.
+    """
+    ids = F.sequence(F.lit(0), F.lit(n_trees - 1))
+    if rate >= 1.0:
+        return ids
+    below, total = [], 0.0
+    for k in range(n_trees):
+        total += math.comb(n_trees, k) * rate ** k * (1 - rate) ** (n_trees - k)
+        below.append(total)
+        if total > 1 - 1e-15:
+            break
+    u = _unit_hash(F.lit(seed), F.lit("trees"), *keys)
+    k = sum((F.when(u >= c, 1).otherwise(0) for c in below), F.lit(0))
+    order = F.array_sort(F.transform(ids, lambda t: F.struct(
+        F.xxhash64(F.lit(seed + 1), t, *keys).alias("h"), t.alias("t"))))
+    chosen = F.transform(F.slice(order, F.lit(1), k), lambda x: x["t"])
+    return F.when(u < below[0], F.array().cast("array<int>")).otherwise(chosen)
+
+
 class IsolationForestModel:
     def __init__(self, trees: list, features: Sequence[str], psi: int):
         self.trees = [(np.asarray(f, dtype=np.int64), np.asarray(t, dtype=float),
@@ -151,25 +180,17 @@ class IsolationForestModel:
 
 def fit(df: DataFrame, features: Sequence[str], key_cols: Sequence[str], *,
         n_trees: int = V.IFOREST_TREES, sample_size: int = V.IFOREST_SAMPLE,
-        seed: int = V.IFOREST_SEED, oversample: float = 1.25) -> IsolationForestModel:
+        seed: int = V.IFOREST_SEED, oversample: float = 1.5) -> IsolationForestModel:
     """Grow the forest from a bounded, seeded sample of complete rows."""
     complete = df
     for c in features:
         complete = complete.filter(F.col(c).isNotNull())
     n = complete.count()
     psi = int(min(sample_size, max(n, 1)))
-    rate = min(1.0, n_trees * psi * oversample / max(n, 1))
     keys = [F.col(k) for k in key_cols]
     pre = complete.select(*key_cols, *[F.col(c).cast("double").alias(c) for c in features])
-    if rate < 1.0:
-        pre = pre.filter(_unit_hash(F.lit(seed), *keys) < rate)
-    # each pre-sampled row joins only the trees whose own hash test it passes
-    # (about 1.5 x psi rows per tree), then each tree keeps its psi smallest hashes
-    per_tree_rate = min(1.0, psi * 1.5 / max(n * rate, 1.0))
-    tree_ids = F.sequence(F.lit(0), F.lit(n_trees - 1))
-    if per_tree_rate < 1.0:
-        tree_ids = F.filter(tree_ids, lambda t: _unit_hash(F.lit(seed + 1), t, *keys) < per_tree_rate)
-    per_tree = pre.select("*", F.explode(tree_ids).alias("tree"))
+    per_tree = pre.select("*", F.explode(_trees_of_row(
+        min(1.0, psi * oversample / max(n, 1)), n_trees, seed, keys)).alias("tree"))
     w = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed), F.col("tree"), *keys), *key_cols)
     chosen = per_tree.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= psi)
     grown = chosen.select("tree", *features).groupBy("tree").applyInPandas(
@@ -183,21 +204,19 @@ def fit(df: DataFrame, features: Sequence[str], key_cols: Sequence[str], *,
 def anomalies(df: DataFrame, features: Sequence[str], key_cols: Sequence[str], *,
               contamination: float = V.IFOREST_CONTAMINATION, n_trees: int = V.IFOREST_TREES,
               sample_size: int = V.IFOREST_SAMPLE, seed: int = V.IFOREST_SEED,
-              exact_cut: bool = False, accuracy: int = 100000,
               model: IsolationForestModel | None = None) -> DataFrame:
     """M9 (+J4, P13): anomaly score and 0/1 flag on every row.
 
-    The flag marks the ``contamination`` share of complete rows with the
-    highest scores; incomplete rows get flag 0.
+    The flag marks the complete rows whose score is above the exact
+    (1 - ``contamination``) quantile; incomplete rows get flag 0.
     """
     model = model or fit(df, features, key_cols, n_trees=n_trees, sample_size=sample_size,
                          seed=seed)
     spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    src = df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-    scored = src.withColumn("anomaly_score", model.score_column(spark))
-    q = 1.0 - contamination
-    s = F.col("anomaly_score")
-    cut = scored.select(F.percentile(s, q) if exact_cut else
-                        F.percentile_approx(s, q, accuracy)).scalar()
-    return scored.withColumn("anomaly", F.coalesce((s > cut).cast("int"), F.lit(0)))
+    path = scratch_path(spark, "scores")
+    df.withColumn("anomaly_score", model.score_column(spark)).write.mode("overwrite").parquet(path)
+    scored = spark.read.parquet(path)
+    cut = exact_quantiles(scored, "anomaly_score", [1.0 - contamination]).first()
+    cut = None if cut is None else cut["q0"]
+    above = F.lit(False) if cut is None else F.col("anomaly_score") > F.lit(cut)
+    return scored.withColumn("anomaly", flag_to_int(above))

@@ -76,9 +76,6 @@ def threshold_status(means: DataFrame, *, measures: Sequence[str] | None = None,
     (measure, value) and joined to the fixed limits table (broadcast: fixed
     size, independent of the data). With ``index_col`` the mean index gets its
     row too (limit 50, status "Élevé" above it, texts without unit).
-    The 2-digit text formats ``round(value, 6)``: means of 2-decimal readings
-    often sit exactly on a .xx5 tie, and this keeps the printed digit from
-    depending on summation order.
     """
     limits = V.GUIDELINE_LIMITS if limits is None else limits
     measures = [m for m in (measures or list(limits)) if m in means.columns]
@@ -93,8 +90,7 @@ def threshold_status(means: DataFrame, *, measures: Sequence[str] | None = None,
     idx = F.col("is_index")
     within = F.col("value") <= F.col("limit")
     status = F.when(within, V.STATUS_OK).when(idx, V.STATUS_HIGH).otherwise(V.STATUS_OVER)
-    denoised = F.round("value", 6)
-    number = F.translate(F.format_number(denoised, 2), ",", "")
+    number = F.translate(F.format_number("value", 2), ",", "")
     limit_num = F.col("limit").cast("int").cast("string")
     return out.select(
         *series_cols, "measure", "measure_order", "value", "limit",
@@ -102,7 +98,7 @@ def threshold_status(means: DataFrame, *, measures: Sequence[str] | None = None,
         (F.col("value") - F.col("limit")).alias("delta"),
         gauge_class("value", "limit").alias("gauge_class"),
         status.alias("status"),
-        F.when(idx, number).otherwise(with_unit(denoised)).alias("value_text"),
+        F.when(idx, number).otherwise(with_unit("value")).alias("value_text"),
         F.when(idx, limit_num).otherwise(F.format_string(f"%s {V.UNIT}", limit_num))
         .alias("limit_text"))
 

@@ -11,16 +11,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, path_exists
 from ..functions.exprs import level4, level4_advice, rounded
 from . import windows as W
 from .features import DAILY_FEATURES, daily_features
@@ -42,14 +42,16 @@ def regression_metrics(df: DataFrame, *, label: str, prediction: str,
 
 
 def backtest_rows(filled: DataFrame, *, series_cols: Sequence[str] = (), pm: str = "pm2_5",
-                  value_cols: Sequence[str], last: int = 7, min_index: int = 7) -> DataFrame:
+                  value_cols: Sequence[str], last: int = 7, min_index: int = 7,
+                  flag: str | None = None) -> DataFrame:
     """M11 row selection without a loop.
 
     For each of the last ``last`` days d of a series (0-based index >= ``min_index``),
     the input is the feature row of day d-1 and the actual value is pm at d.
     Lags and rolling means only look back, so features computed once over the
     whole series equal features computed on every prefix. Rows whose inputs hold
-    a NULL are skipped, as the loop skips them.
+    a NULL are skipped. With ``flag``, all days come back and that column tells the
+    selected ones, so that other figures can be taken from the same rows.
     """
     feats = daily_features(filled, series_cols=series_cols, pm=pm, drop_incomplete=False)
     w = W.series_window(series_cols, "day")
@@ -63,6 +65,8 @@ def backtest_rows(filled: DataFrame, *, series_cols: Sequence[str] = (), pm: str
     # target index (0-based) = _idx; it must exist, be >= min_index, and be among the last days
     keep = ((F.col("_idx") <= F.col("_n") - 1) & (F.col("_idx") >= min_index) &
             (F.col("_idx") >= F.col("_n") - last) & complete)
+    if flag:
+        return staged.withColumn(flag, F.coalesce(keep, F.lit(False))).drop("_idx", "_n")
     return staged.filter(keep).drop("_idx", "_n")
 
 
@@ -81,47 +85,97 @@ def _two_digits(c):
     return F.translate(F.format_number(c, 2), ",", "")
 
 
-def retrain_decision(metrics: DataFrame, null_share: DataFrame, *, series_cols: Sequence[str] = (),
-                     baseline_mae: float | None = V.BASELINE_METRICS["mae_pm25"]) -> DataFrame:
-    """Retrain when MAE > max(1.5 x baseline MAE, 5). A PM2.5 null share
-    above 10 % adds a reason but does not set the flag.
+def mae_threshold(baseline: dict | None) -> float | None:
+    """The MAE above which a model is retrained: max(1.5 x baseline MAE, 5); None without a baseline.
+
+    A baseline that lacks the PM2.5 error counts as 2.0.
+    """
+    if not baseline:
+        return None
+    base = baseline.get("mae_pm25", V.RETRAIN_DEFAULT_BASELINE)
+    return max(base * V.RETRAIN_FACTOR, V.RETRAIN_FLOOR)
+
+
+def _reason_perf(mae, threshold: float):
+    """The fixed reason text with both numbers to two digits."""
+    before, _, after = V.REASON_PERF.format(mae="\0", thr=f"{threshold:.2f}").partition("\0")
+    return F.concat(F.lit(before), _two_digits(mae), F.lit(after))
+
 
-    ``null_share`` has one row per series with column ``pm25_null_share``;
-    series without back-test metrics are never flagged for performance.
+def decide(rows: DataFrame, *, mae: str = "mae", null_share: str = "pm25_null_share",
+           baseline: dict | None = V.BASELINE_METRICS) -> DataFrame:
+    """M12 on rows that hold a back-test error and a PM2.5 null share: adds the threshold, the
+    decision and its reasons.
+
+    The error decides only if there is both a back-test and a baseline. A null share above 10 %
+    adds a reason but does not set the flag.
     """
-    base = V.RETRAIN_DEFAULT_BASELINE if baseline_mae is None else baseline_mae
-    thr = max(base * V.RETRAIN_FACTOR, V.RETRAIN_FLOOR)
+    thr = mae_threshold(baseline)
+    perf = F.lit(False) if thr is None else F.coalesce(F.col(mae) > thr, F.lit(False))
+    reasons = [] if thr is None else [F.when(perf, _reason_perf(F.col(mae), thr))]
+    reasons.append(F.when(F.col(null_share) > V.RETRAIN_NULL_SHARE, F.lit(V.REASON_NULLS)))
+    return rows.select("*", F.lit(thr).cast("double").alias("mae_threshold"), perf.alias("needs_retraining"),
+                       F.array_compact(F.array(*reasons)).alias("reasons"))
+
+
+def retrain_decision(metrics: DataFrame, null_share: DataFrame, *, series_cols: Sequence[str] = (),
+                     baseline: dict | None = V.BASELINE_METRICS) -> DataFrame:
+    """M12 for metrics and null shares held in two frames (``null_share`` has one row per series
+    with column ``pm25_null_share``; a series without metrics is never flagged for performance)."""
     j = null_share.join(metrics, list(series_cols), "left") if series_cols else \
         null_share.select("*", *[metrics.select(c).scalar().alias(c) for c in ("mae",)])
-    perf = F.coalesce(F.col("mae") > thr, F.lit(False))
-    perf_reason = F.when(perf, F.concat(F.lit("Dégradation de la performance (MAE: "),
-                                        _two_digits(F.col("mae")),
-                                        F.lit(f" > seuil {thr:.2f})")))
-    null_reason = F.when(F.col("pm25_null_share") > V.RETRAIN_NULL_SHARE, F.lit(V.REASON_NULLS))
-    return j.select(*series_cols, "mae", F.lit(thr).alias("mae_threshold"),
-                    perf.alias("needs_retraining"),
-                    F.array_compact(F.array(perf_reason, null_reason)).alias("reasons"))
+    return decide(j, baseline=baseline).select(*series_cols, "mae", "mae_threshold", "needs_retraining", "reasons")
+
+
+def monitoring_report(quality: DataFrame, performance: DataFrame, *, baseline: dict | None = V.BASELINE_METRICS,
+                      now=None, pm: str = "pm2_5") -> DataFrame:
+    """The one nested record of the monitoring: time, data quality (A15), back-test
+    performance (null without samples), baseline, decision and reasons.
+
+    ``quality`` has one row (``stats.dq_report``), ``performance`` at most one (``backtest_metrics``);
+    they are joined on a constant, so the record is made where the numbers are.
+    """
+    one = F.lit(1).alias("_one")
+    q = quality.select(one, F.struct(*[F.col(c) for c in quality.columns]).alias("data_quality"),
+                       F.coalesce(F.col(f"missing_values_pct.{pm}"), F.lit(0.0)).alias("_share"))
+    p = performance.filter("n_samples > 0").select(
+        one, F.struct("mae", "rmse", "n_samples").alias("performance"), F.col("mae").alias("_mae"))
+    rows = decide(q.join(p, "_one", "left"), mae="_mae", null_share="_share", baseline=baseline)
+    base = F.struct(*[F.lit(float(v)).alias(k) for k, v in sorted(baseline.items())]) if baseline \
+        else F.lit(None).cast("struct<mae_pm25:double>")
+    stamp = F.current_timestamp() if now is None else now
+    return rows.select(F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx").alias("timestamp"), "data_quality",
+                       "performance", base.alias("baseline_comparison"), "needs_retraining", "reasons")
 
 
 # --- boosted trees -------------------------------------------------------------
 
 def fit_gbt(train: DataFrame, *, features: Sequence[str], label: str, seed: int = 42,
-            **params) -> PipelineModel:
+            validation: DataFrame | None = None, **params) -> PipelineModel:
     """M4/M5: squared-error gradient-boosted trees on assembled features.
 
+    With ``validation`` (the later rows of the ordered split), boosting stops early. The
+    published rule waits 50 rounds without gain; Spark ML's stops at the first round whose
+    validation error does not fall below the best one (``validationTol`` 0) and keeps the
+    best model, which is the nearest it offers.
+
     Boosting checkpoints its running predictions every ``checkpointInterval``
     rounds into the shared checkpoint folder, so 500 rounds keep a short lineage.
     """
     checkpoint_dir(train.sparkSession)
     # node ids cached on the executors instead of re-evaluating every tree each round
     opts = {**V.GBT_DAILY, "cacheNodeIds": True, "checkpointInterval": 10}
+    rows = train.select(*features, label).withColumn("_held", F.lit(False))
+    if validation is not None and not validation.isEmpty():
+        rows = rows.unionByName(validation.select(*features, label).withColumn("_held", F.lit(True)))
+        opts.update(validationIndicatorCol="_held", validationTol=0.0)
     opts.update(params)
     assembler = VectorAssembler(inputCols=list(features), outputCol="_features")
     gbt = GBTRegressor(featuresCol="_features", labelCol=label, predictionCol="prediction",
                        lossType="squared", seed=seed, **opts)
     # boosting reads the training rows once per round: keep them materialised for
     # the fit only (spills to disk when large), then release them
-    data = assembler.transform(train.select(*features, label)).select("_features", label) \
+    data = assembler.transform(rows).select("_features", label, "_held") \
         .persist(StorageLevel.MEMORY_AND_DISK)
     try:
         booster = gbt.fit(data)
@@ -130,6 +184,24 @@ def fit_gbt(train: DataFrame, *, features: Sequence[str], label: str, seed: int
     return PipelineModel(stages=[assembler, booster])
 
 
+def saved_fit(train: DataFrame, folder: str, fit) -> PipelineModel:
+    """The model fitted on exactly these rows, loaded from ``folder`` or fitted and saved there.
+
+    Its path holds a digest of the training rows (count and a combination of row hashes), so a
+    model is never used for other data than its own.
+    """
+    spark = train.sparkSession
+    n, mark = train.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*[F.col(f"`{c}`") for c in train.columns]))).first()
+    if not n:
+        raise ValueError("no complete feature rows to fit the model on")
+    path = f"{folder.rstrip('/')}/{n}-{mark & (2 ** 64 - 1):016x}"
+    if path_exists(spark, f"{path}/metadata/_SUCCESS"):
+        return PipelineModel.load(path)
+    model = fit(train)
+    model.write().overwrite().save(path)
+    return model
+
+
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Model output next to the inputs (assembled vector dropped)."""
     return model.transform(df).drop("_features")
@@ -167,41 +239,64 @@ def forecast_next(model: PipelineModel, feats: DataFrame, *, features: Sequence[
 
 # --- principal components ------------------------------------------------------
 
+def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """M8 input: sample covariance, means and standard deviations of every pair of columns over
+    complete rows, in one aggregation: (col_a, col_b, n, mean_a, sd_a, covariance)."""
+    rows = df.dropna(subset=list(cols))
+    x = {c: F.col(c).cast("double") for c in cols}
+    exprs = [F.count(F.lit(1)).alias("n")]
+    for i, a in enumerate(cols):
+        exprs += [F.avg(x[a]).alias(f"m__{a}"), F.stddev_samp(x[a]).alias(f"s__{a}")]
+        exprs += [F.covar_samp(x[a], x[b]).alias(f"c__{a}__{b}") for b in cols[i:]]
+    one = rows.agg(*exprs)
+    cells = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            first, second = (a, b) if i <= j else (b, a)
+            cells.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col("n"),
+                                  F.col(f"m__{a}").alias("mean_a"), F.col(f"s__{a}").alias("sd_a"),
+                                  F.col(f"c__{first}__{second}").alias("covariance")))
+    return one.select(F.inline(F.array(*cells)))
+
+
 def pca(df: DataFrame, cols: Sequence[str], k: int = 3):
     """M8: standardise (mean 0, unit variance) + PCA(k) over complete rows.
 
+    One aggregation gives means and covariances; the eigenproblem of the small
+    correlation matrix is solved on the driver, and rows are projected with
+    plain column arithmetic. A constant column is 0 after standardising.
+
     Returns (components frame, projected rows). Components carry the variance
     ratio, the raw variance (ratio x number of standardised columns), the
     cumulative ratio (W12) and the loadings, sign-fixed so the largest loading
     of each component is positive.
     """
-    rows = df.dropna(subset=list(cols))
-    pipe = Pipeline(stages=[
-        VectorAssembler(inputCols=list(cols), outputCol="_raw"),
-        StandardScaler(inputCol="_raw", outputCol="_std", withMean=True, withStd=True),
-        PCA(k=k, inputCol="_std", outputCol="_pc")]).fit(rows)
-    pc_model = pipe.stages[-1]
-    pc = pc_model.pc.toArray()                      # len(cols) x k
-    ratios = pc_model.explainedVariance.toArray().tolist()
-    signs = []
-    recs = []
-    for j in range(k):
-        col_j = pc[:, j]
-        s = 1.0 if col_j[abs(col_j).argmax()] >= 0 else -1.0
-        signs.append(s)
-        for i, c in enumerate(cols):
-            # standardised columns have unit variance, so the total variance is len(cols)
-            recs.append((j + 1, c, float(s * col_j[i]), float(ratios[j]),
-                         float(ratios[j]) * len(cols)))
     spark = df.sparkSession
+    cols = list(cols)
+    found = {(r["col_a"], r["col_b"]): r for r in moments(df, cols).collect()}   # len(cols)^2 rows
+    mean = [found[c, c]["mean_a"] for c in cols]
+    sd = [found[c, c]["sd_a"] or 0.0 for c in cols]
+    corr = np.array([[(found[a, b]["covariance"] or 0.0) / (sd[i] * sd[j]) if sd[i] and sd[j] else 0.0
+                      for j, b in enumerate(cols)] for i, a in enumerate(cols)])
+    values, vectors = np.linalg.eigh(corr)
+    order = np.argsort(values)[::-1][:k]
+    total = float(values.sum())
+    recs, ratios, signed = [], [], []
+    for j, at in enumerate(order):
+        v = vectors[:, at]
+        v = v if v[np.abs(v).argmax()] >= 0 else -v
+        signed.append(v)
+        ratios.append(float(values[at]) / total if total else 0.0)
+        recs += [(j + 1, c, float(v[i]), ratios[-1], float(values[at])) for i, c in enumerate(cols)]
     loads = spark.createDataFrame(recs, "component int, feature string, loading double, "
                                         "variance_ratio double, variance double")
-    var = spark.createDataFrame([(j + 1, float(r)) for j, r in enumerate(ratios)],
+    var = spark.createDataFrame([(j + 1, r) for j, r in enumerate(ratios)],
                                 "component int, variance_ratio double")
     cum = W.cumulative_sum(var, order_col="component", col="variance_ratio",
                            out="cumulative_ratio").drop("variance_ratio")
     comps = loads.join(cum, "component")
-    proj = pipe.transform(rows).withColumn("_a", vector_to_array("_pc"))
-    proj = proj.select(*[c for c in rows.columns],
-                       *[(F.col("_a")[j] * F.lit(signs[j])).alias(f"pc{j + 1}") for j in range(k)])
+    std = [(F.col(c).cast("double") - F.lit(m)) / F.lit(s) if s else F.lit(0.0) for c, m, s in zip(cols, mean, sd)]
+    proj = df.dropna(subset=cols).select("*", *[
+        sum((z * F.lit(float(v[i])) for i, z in enumerate(std)), F.lit(0.0)).alias(f"pc{j + 1}")
+        for j, v in enumerate(signed)])
     return comps, proj

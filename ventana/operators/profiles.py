@@ -97,8 +97,11 @@ def quantiles(df: DataFrame, *, value_cols: Sequence[str], series_cols: Sequence
 def kpi_row(df: DataFrame, *, mean_cols: Sequence[str] = ("pm2_5", "pm10", "ozone"),
             index_col: str = "european_aqi", pm25: str = "pm2_5", pm10: str = "pm10",
             anomaly_col: str | None = None, series_cols: Sequence[str] = (),
-            digits: int | None = None, approx: bool = False) -> DataFrame:
-    """A10 (+P8): means, P95 of PM2.5, mean PM ratio, index label, anomaly count."""
+            digits: int | None = V.KPI_DIGITS, approx: bool = False) -> DataFrame:
+    """A10 (+P8): means, P95 of PM2.5, mean PM ratio, index label, anomaly count.
+
+    The index is labelled after rounding to ``digits``, as published.
+    """
     exprs = [rounded(F.avg(c), digits).alias(f"{c}_mean") for c in mean_cols]
     p95 = F.percentile_approx(pm25, 0.95, 10000) if approx else F.percentile(pm25, 0.95)
     exprs += [rounded(p95, digits).alias(f"{pm25}_p95"),
@@ -113,15 +116,15 @@ def kpi_row(df: DataFrame, *, mean_cols: Sequence[str] = ("pm2_5", "pm10", "ozon
 
 
 def dominant_level(df: DataFrame, *, value_col: str = "pm2_5",
-                   series_cols: Sequence[str] = ()) -> DataFrame:
-    """Worst level whose share of rows is above 50 %, else the best level."""
+                   series_cols: Sequence[str] = (), digits: int | None = V.KPI_DIGITS) -> DataFrame:
+    """Worst level whose share of rows, rounded to ``digits`` as published, is above 50 %,
+    else the best level."""
     lab = level3(value_col)
     n = F.count(F.lit(1))
     bad, mid, good = V.LEVEL3_LABELS[2], V.LEVEL3_LABELS[1], V.LEVEL3_LABELS[0]
     out = df.groupBy(*series_cols).agg(
-        (F.count_if(lab == bad) * 100.0 / n).alias("bad_pct"),
-        (F.count_if(lab == mid) * 100.0 / n).alias("moderate_pct"),
-        (F.count_if(lab == good) * 100.0 / n).alias("good_pct"))
+        *[rounded(F.count_if(lab == x) * 100.0 / n, digits).alias(name)
+          for x, name in ((bad, "bad_pct"), (mid, "moderate_pct"), (good, "good_pct"))])
     d = V.DOMINANT_LABELS
     return out.withColumn("dominant", F.when(F.col("bad_pct") > 50, d[0])
                           .when(F.col("moderate_pct") > 50, d[1]).otherwise(d[2]))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..functions.exprs import level3, null_safe_corr, range_violation, rounded
+from ..session import scratch_path
 
 
 def bounds(df: DataFrame, *exprs: Column) -> tuple:
@@ -36,6 +37,53 @@ def _long(df: DataFrame, names: Sequence[str], fields: Sequence[str], key: str =
     return df.select(F.inline(F.array(*structs)))
 
 
+def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
+                    group_cols: Sequence[str] = ()) -> DataFrame:
+    """Exact quantiles (linear interpolation) of any number of rows: columns q0, q1, ... per group.
+
+    ``percentile`` keeps a group's distinct values in one buffer. Here values are
+    counted (a hash aggregation), the counts are range-partitioned by (group,
+    value) and written, and a value's rank is its count so far in its partition
+    plus the totals of the partitions before. What one task holds is one
+    partition; the totals are one row per partition and group.
+    """
+    spark = df.sparkSession
+    g = list(group_cols)
+    counted = df.filter(F.col(value_col).isNotNull()) \
+        .groupBy(*g, F.col(value_col).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_k"))
+    path = scratch_path(spark, "quantiles")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted.repartitionByRange(n, *g, "_x").withColumn("_part", F.spark_partition_id()) \
+        .write.mode("overwrite").parquet(path)
+    dealt = spark.read.parquet(path)
+    totals = dealt.groupBy(*g, "_part").agg(F.sum("_k").alias("_t"))
+    before = Window.partitionBy(*g).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*g, "_part", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"),
+                           F.sum("_t").over(Window.partitionBy(*g)).alias("_n"))
+    t, d = totals.alias("t"), dealt.alias("d")
+    same = F.col("d._part") == F.col("t._part")
+    for c in g:
+        same = same & F.col(f"d.`{c}`").eqNullSafe(F.col(f"t.`{c}`"))
+    inside = Window.partitionBy(*g, "_part").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = d.join(t, same).select(*[F.col(f"d.`{c}`") for c in g], F.col("d._part").alias("_part"),
+                                    "_x", "_k", "_off", "_n")
+    ranked = ranked.withColumn("_hi", F.col("_off") + F.sum("_k").over(inside))
+    ranked = ranked.withColumn("_lo", F.col("_hi") - F.col("_k"))
+    picks = []
+    for i, p in enumerate(probs):
+        at = (F.col("_n") - 1) * F.lit(float(p))
+        for name, pos in (("a", F.floor(at)), ("b", F.ceil(at))):
+            picks.append(F.max(F.when((F.col("_lo") <= pos) & (pos < F.col("_hi")), F.col("_x")))
+                         .alias(f"_{name}{i}"))
+    one = ranked.groupBy(*g).agg(F.max("_n").alias("_n"), *picks)
+    out = []
+    for i, p in enumerate(probs):
+        at = (F.col("_n") - 1) * F.lit(float(p))
+        a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
+        out.append(F.when(a == b, a).otherwise((F.ceil(at) - at) * a + (at - F.floor(at)) * b).alias(f"q{i}"))
+    return one.select(*g, *out)
+
+
 def _quartiles(x: Column, approx: bool, accuracy: int = 10000) -> Column:
     """Exact quartiles (linear interpolation; the aggregation buffer holds the
     group's distinct values) or the bounded-memory sketch for huge groups."""
@@ -64,15 +112,29 @@ def describe(df: DataFrame, value_cols: Sequence[str], digits: int | None = None
 
 def distinct_counts(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
     """Distinct non-null values per column (exact, or HLL sketch) and the
-    row count (the table's shape), in one aggregation. Several exact distinct
-    counts make Spark expand each row once per column; ``approx=True`` keeps
-    one fixed-size sketch per column instead."""
-    fn = F.approx_count_distinct if approx else F.count_distinct
-    one = df.agg(*[fn(F.col(c)).alias(f"{c}__n_distinct") for c in cols],
-                 F.count(F.lit(1)).alias("n_rows"))
-    return one.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"{c}__n_distinct").alias("n_distinct"),
-                 F.col("n_rows")) for c in cols])))
+    row count (the table's shape).
+
+    Exact: one grouping per column, each reading that column alone; what it
+    shuffles are the column's distinct values per task, with their row counts
+    (whose sum, nulls included, is the number of rows). ``approx=True`` keeps
+    one fixed-size sketch per column in a single pass.
+    """
+    if approx:
+        one = df.agg(*[F.approx_count_distinct(F.col(c)).alias(f"{c}__n_distinct") for c in cols],
+                     F.count(F.lit(1)).alias("n_rows"))
+        return one.select(F.inline(F.array(*[
+            F.struct(F.lit(c).alias("column"), F.col(f"{c}__n_distinct").alias("n_distinct"),
+                     F.col("n_rows")) for c in cols])))
+    parts = []
+    for c in cols:
+        each = df.groupBy(F.col(c).alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
+        parts.append(each.agg(F.count("_v").alias("n_distinct"),
+                              F.coalesce(F.sum("_k"), F.lit(0)).alias("n_rows"))
+                     .select(F.lit(c).alias("column"), "n_distinct", "n_rows"))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def missing_report(df: DataFrame, cols: Sequence[str] | None = None,
@@ -200,8 +262,9 @@ def histogram(df: DataFrame, value_col: str, bins: int = 40,
     x = F.col(value_col).cast("double")
     lo, hi = bounds(df, F.min(x), F.max(x))
     if lo is None:
-        return df.sparkSession.createDataFrame(
-            [], f"{''.join(c + ' string, ' for c in series_cols)}bin int, lo double, hi double, n bigint")
+        # nothing to bin: the same columns and types (a plan over no rows, keys as they are)
+        return df.limit(0).groupBy(*series_cols, F.lit(0).alias("bin")).agg(F.count(F.lit(1)).alias("n")) \
+            .filter("n > 0").select(*series_cols, "bin", F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi"), "n")
     width = (hi - lo) / float(bins)
     b = _bin(x, F.lit(lo), F.lit(width), bins)
     return (df.filter(x.isNotNull())
@@ -219,15 +282,23 @@ def box_stats(df: DataFrame, value_col: str, group_cols: Sequence[str] = (),
 
     Two passes: the per-group statistics (one row per group), then one join of
     the rows with them (a small side AQE can broadcast after measuring it) and
-    one aggregation that carries the statistics through to the output.
+    one aggregation that carries the statistics through to the output. Over all
+    rows (no group) the quartiles are those of ``exact_quantiles``, which no
+    single task gathers.
     """
     x = F.col(value_col)
     g = list(group_cols)
-    q = (df.groupBy(*g)
-           .agg(_quartiles(x.cast("double"), approx).alias("_q"),
-                F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.count(x).alias("n"))
-           .select(*g, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                   F.col("_q")[2].alias("q3"), "mean", "sd", "n"))
+    if g or approx:
+        q = (df.groupBy(*g)
+               .agg(_quartiles(x.cast("double"), approx).alias("_q"),
+                    F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.count(x).alias("n"))
+               .select(*g, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
+                       F.col("_q")[2].alias("q3"), "mean", "sd", "n"))
+    else:
+        parts = exact_quantiles(df, value_col, [0.25, 0.5, 0.75]).first() or (None, None, None)
+        q = df.agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.count(x).alias("n")) \
+            .select(*[F.lit(v).cast("double").alias(c) for c, v in zip(("q1", "median", "q3"), parts)],
+                    "mean", "sd", "n")
     iqr = F.col("q3") - F.col("q1")
     rows = df.filter(x.isNotNull()).select(*g, x.alias("_x"))
     stats = ["q1", "median", "q3", "mean", "sd", "n"]
@@ -296,12 +367,12 @@ def wind_rose(df: DataFrame, direction: str, speed: str) -> DataFrame:
 
 
 def autocorr(df: DataFrame, *, ts: str, value_col: str, max_lag: int = 24,
-             series_cols: Sequence[str] = (), block_seconds: int | None = None) -> DataFrame:
+             series_cols: Sequence[str] = (), block_rows: int | None = None) -> DataFrame:
     """Autocorrelation at lags 1..max_lag over complete pairs.
 
     All lags come from one sort per series (same window spec), then one
-    aggregation of null-safe correlations, then long form. ``block_seconds``
-    computes the lags in time blocks (``blocked.bounded``) for raw series too
+    aggregation of null-safe correlations, then long form. ``block_rows``
+    computes the lags in blocks (``blocked.bounded``) for raw series too
     long for one task.
     """
     x = F.col(value_col)
@@ -309,10 +380,10 @@ def autocorr(df: DataFrame, *, ts: str, value_col: str, max_lag: int = 24,
     def build(w):
         return {f"_l{k}": F.lag(x, k).over(w) for k in range(1, max_lag + 1)}
 
-    if block_seconds:
+    if block_rows:
         from .blocked import bounded
         lagged = bounded(df.select(*series_cols, ts, x.alias("_x"), x), ts=ts, build=build,
-                         back=max_lag, series_cols=series_cols, block_seconds=block_seconds)
+                         back=max_lag, series_cols=series_cols, block_rows=block_rows)
     else:
         w = Window.partitionBy(*series_cols).orderBy(ts)
         lagged = df.select(*series_cols, x.alias("_x"), *[c.alias(n) for n, c in build(w).items()])

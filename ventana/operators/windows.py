@@ -114,14 +114,14 @@ def islands(df: DataFrame, *, ts: str, col: str, threshold: float,
 def episodes(df: DataFrame, *, ts: str = "date", col: str = "european_aqi",
              threshold: float = V.EPISODE_THRESHOLD, min_rows: int = V.EPISODE_MIN_ROWS,
              series_cols: Sequence[str] = (), digits: int | None = None,
-             block_seconds: int | None = None, tiebreak: Sequence[str] = ()) -> DataFrame:
+             block_rows: int | None = None, tiebreak: Sequence[str] = ()) -> DataFrame:
     """Runs above the threshold lasting at least ``min_rows`` rows:
-    first and last day, rows, max and mean. ``block_seconds`` numbers the runs
+    first and last day, rows, max and mean. ``block_rows`` numbers the runs
     with the blocked twin of ``islands`` (raw series too long for one task)."""
-    if block_seconds:
+    if block_rows:
         from .blocked import islands as blocked_islands
         runs = blocked_islands(df, ts=ts, col=col, threshold=threshold, series_cols=series_cols,
-                               block_seconds=block_seconds, tiebreak=tiebreak)
+                               block_rows=block_rows, tiebreak=tiebreak)
     else:
         runs = islands(df, ts=ts, col=col, threshold=threshold, series_cols=series_cols,
                        tiebreak=tiebreak)
@@ -150,17 +150,17 @@ def last_n(df: DataFrame, *, ts: str, n: int, series_cols: Sequence[str] = ()) -
 
 def chrono_split(df: DataFrame, *, ts: str, train_share: float | None = 0.8,
                  test_share: float | None = None, series_cols: Sequence[str] = (),
-                 out: str = "split", block_seconds: int | None = None) -> DataFrame:
+                 out: str = "split", block_rows: int | None = None) -> DataFrame:
     """Ordered train/test split per series.
 
     ``train_share``: the first ``floor(share * n)`` rows train; ``test_share``:
     the last ``ceil(share * n)`` rows test (hold-out split without shuffling).
-    ``block_seconds`` numbers the rows with ``blocked.row_index`` (for long
+    ``block_rows`` numbers the rows with ``blocked.row_index`` (for long
     raw or keyless tables, which a plain window would hold in one task).
     """
-    if block_seconds:
+    if block_rows:
         from .blocked import row_index
-        staged = row_index(df, ts=ts, series_cols=series_cols, block_seconds=block_seconds)
+        staged = row_index(df, ts=ts, series_cols=series_cols, block_rows=block_rows)
         n, rn = F.col("_n"), F.col("_idx")
         n_train = n - F.ceil(n * F.lit(test_share)) if test_share is not None else \
             F.floor(n * F.lit(train_share))
@@ -176,13 +176,30 @@ def chrono_split(df: DataFrame, *, ts: str, train_share: float | None = 0.8,
     return df.withColumn(out, F.when(rn <= n_train, "train").otherwise("test"))
 
 
-def first_last(df: DataFrame, *, ts: str, cols: Sequence[str], series_cols: Sequence[str] = ()
-               ) -> DataFrame:
-    """First and last value (by time) of each column per group."""
+def first_last(df: DataFrame, *, ts: str, cols: Sequence[str], series_cols: Sequence[str] = (),
+               tiebreak: str | None = None) -> DataFrame:
+    """First and last value (by time) of each column per group.
+
+    Hash aggregations of fixed-width values. With ``tiebreak`` (a number), rows of equal
+    time are ordered by it: the first and last instants are found first, and only the rows
+    at those instants are compared by the tiebreak.
+    """
+    if tiebreak is None:
+        exprs = []
+        for c in cols:
+            exprs += [F.min_by(c, ts).alias(f"{c}_first"), F.max_by(c, ts).alias(f"{c}_last")]
+        return df.groupBy(*series_cols).agg(*exprs)
+    ends = df.groupBy(*series_cols).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
+    d, e = df.alias("d"), ends.alias("e")
+    same = F.col(f"d.`{ts}`").between(F.col("e._lo"), F.col("e._hi"))
+    for c in series_cols:
+        same = same & F.col(f"d.`{c}`").eqNullSafe(F.col(f"e.`{c}`"))
+    at_ends = d.join(e, same).filter((F.col(ts) == F.col("_lo")) | (F.col(ts) == F.col("_hi")))
     exprs = []
     for c in cols:
-        exprs += [F.min_by(c, ts).alias(f"{c}_first"), F.max_by(c, ts).alias(f"{c}_last")]
-    return df.groupBy(*series_cols).agg(*exprs)
+        exprs += [F.min_by(c, F.when(F.col(ts) == F.col("_lo"), F.col(tiebreak))).alias(f"{c}_first"),
+                  F.max_by(c, F.when(F.col(ts) == F.col("_hi"), F.col(tiebreak))).alias(f"{c}_last")]
+    return at_ends.groupBy(*[F.col(f"d.`{c}`").alias(c) for c in series_cols]).agg(*exprs)
 
 
 def cumulative_sum(df: DataFrame, *, order_col: str, col: str, out: str,

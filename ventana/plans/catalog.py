@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-from .registry import ORACLES, QUERIES
-
-MODULES = ["q_basic", "q_windows", "q_stats", "q_io", "q_learn", "q_stream"]
+import importlib
 
+from .registry import ORACLES, QUERIES
 
-def _load_all() -> None:
-    import importlib
-    for m in MODULES:
-        try:
-            importlib.import_module(f"{__package__}.{m}")
-        except ModuleNotFoundError as e:
-            if e.name != f"{__package__}.{m}":
-                raise
-
+MODULES = ["q_basic", "q_windows", "q_stats", "q_io", "q_learn", "q_published"]
 
-_load_all()
+for _m in MODULES:
+    importlib.import_module(f"{__package__}.{_m}")
 
 
 def queries():

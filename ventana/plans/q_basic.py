@@ -114,12 +114,13 @@ def q_drop_nulls(spark, sf):
 
 
 @query("daily_mean", with_ctes(f"""
-SELECT strftime(date, '%Y-%m-%d') AS date_str, {', '.join(f'avg({c}) AS {c}' for c in POLLUTANTS)},
-       {_level3_sql('avg(pm2_5)')} AS aqi_level
-FROM H GROUP BY 1""", H=H_SQL))
+SELECT *, {_level3_sql('pm2_5')} AS aqi_level
+FROM (SELECT strftime(date, '%Y-%m-%d') AS date_str, {', '.join(f'round(avg({c}), 3) AS {c}' for c in POLLUTANTS)}
+      FROM H GROUP BY 1)""", H=H_SQL))
 def q_daily_mean(spark, sf):
-    """A1: daily mean by day text (no calendar) + level of the daily PM2.5."""
-    d = R.daily_mean(station_hourly(spark, sf), ts="date", value_cols=POLLUTANTS)
+    """A1: daily mean by day text (no calendar), rounded to 3 digits, then the level of the
+    rounded PM2.5, as published."""
+    d = R.daily_mean(station_hourly(spark, sf), ts="date", value_cols=POLLUTANTS, digits=V.MEAN_DIGITS)
     return d.withColumn("aqi_level", level3("pm2_5"))
 
 
@@ -209,14 +210,14 @@ def q_quantiles(spark, sf):
 
 
 @query("kpi_row", with_ctes("""
-SELECT avg(pm2_5) AS pm2_5_mean, avg(pm10) AS pm10_mean, avg(ozone) AS ozone_mean,
-       quantile_cont(pm2_5, 0.95) AS pm2_5_p95, avg(pm2_5 / nullif(pm10, 0)) AS pm_ratio_mean,
-       avg(european_aqi) AS index_mean, count(*) AS n_rows,
-       CASE WHEN avg(european_aqi) <= 50 THEN 'Bon' WHEN avg(european_aqi) <= 100 THEN 'Modéré'
-            ELSE 'Mauvais' END AS index_label
-FROM H""", H=H_SQL))
+SELECT *, CASE WHEN index_mean <= 50 THEN 'Bon' WHEN index_mean <= 100 THEN 'Modéré'
+               ELSE 'Mauvais' END AS index_label
+FROM (SELECT round(avg(pm2_5), 2) AS pm2_5_mean, round(avg(pm10), 2) AS pm10_mean,
+             round(avg(ozone), 2) AS ozone_mean, round(quantile_cont(pm2_5, 0.95), 2) AS pm2_5_p95,
+             round(avg(pm2_5 / nullif(pm10, 0)), 2) AS pm_ratio_mean,
+             round(avg(european_aqi), 2) AS index_mean, count(*) AS n_rows FROM H)""", H=H_SQL))
 def q_kpi_row(spark, sf):
-    """A10 + P8: KPI row of the station."""
+    """A10 + P8: KPI row of the station, to 2 digits; the index is labelled after rounding."""
     return P.kpi_row(station_hourly(spark, sf))
 
 
@@ -224,12 +225,12 @@ def q_kpi_row(spark, sf):
 SELECT user_id, bad_pct, moderate_pct, good_pct,
        CASE WHEN bad_pct > 50 THEN 'Mauvais' WHEN moderate_pct > 50 THEN 'Modéré' ELSE 'Bon' END AS dominant
 FROM (SELECT user_id,
-             count_if(lv = 'Mauvais') * 100.0 / count(*) AS bad_pct,
-             count_if(lv = 'Moyen') * 100.0 / count(*) AS moderate_pct,
-             count_if(lv = 'Bon') * 100.0 / count(*) AS good_pct
+             round(count_if(lv = 'Mauvais') * 100.0 / count(*), 2) AS bad_pct,
+             round(count_if(lv = 'Moyen') * 100.0 / count(*), 2) AS moderate_pct,
+             round(count_if(lv = 'Bon') * 100.0 / count(*), 2) AS good_pct
       FROM (SELECT user_id, {_level3_sql('pm2_5')} AS lv FROM U) GROUP BY 1)""", U=U_SQL))
 def q_dominant_level(spark, sf):
-    """Dominant level per series."""
+    """Dominant level per series, from shares rounded to 2 digits."""
     return P.dominant_level(users_hourly(spark, sf), series_cols=["user_id"])
 
 

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import scratch_path
 from ..sources import api, files, store
 from ..streaming import ingest
 from .registry import query
@@ -16,7 +13,7 @@ from .standins import H_SQL, POLLUTANTS, U_SQL, station_hourly, table, users_hou
 
 
 def _scratch(spark, name):
-    return os.path.join(checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex[:8]}")
+    return scratch_path(spark, f"table-{name}")
 
 
 @query("array_response", """
@@ -118,7 +115,7 @@ SELECT user_id, {ts_txt('date')} AS date, event_id, event_type, value, strftime(
 FROM f""", b=_BATCH, f=_FIRST))
 def q_stream_dedup(spark, sf):
     """Streamed keep-first insert (foreachBatch -> S8) into a Parquet store."""
-    out, ck = ingest._paths(spark, "dedup")
+    out, ck = ingest.new_paths(spark, "dedup")
     s = _events_stream(spark, sf).select(
         "user_id", F.date_trunc("hour", "ts").alias("date"), "event_id", "event_type", "value")
     ingest.run_to_end(ingest.stream_insert(s, out, ck, key=["user_id", "date"],
@@ -131,7 +128,7 @@ SELECT user_id, {ts_txt("date_trunc('day', ts)")} AS day_start, avg(value) AS me
 FROM events GROUP BY 1, 2""")
 def q_stream_daily(spark, sf):
     """Watermarked daily window means per series, latest version per window."""
-    out, ck = ingest._paths(spark, "daily")
+    out, ck = ingest.new_paths(spark, "daily")
     ingest.run_to_end(ingest.stream_daily(_events_stream(spark, sf), out, ck, ts="ts",
                                           value_col="value", series_cols=["user_id"]))
     return ingest.latest_versions(spark.read.parquet(out), ["user_id", "day_start"])
@@ -143,7 +140,7 @@ SELECT event_id, {ts_txt('ts')} AS ts, value,
 FROM events WHERE value > 35.0""")
 def q_stream_alerts(spark, sf):
     """Stateless label + filter on the stream."""
-    out, ck = ingest._paths(spark, "alerts")
+    out, ck = ingest.new_paths(spark, "alerts")
     ingest.run_to_end(ingest.stream_alerts(_events_stream(spark, sf), out, ck, value_col="value",
                                            keep=["event_id", "ts"]))
     return spark.read.parquet(out)
@@ -222,8 +219,8 @@ FROM events GROUP BY 1""")
 def q_first_last(spark, sf):
     """First and last value by time per series (ties broken by event id)."""
     from ..operators import windows as W
-    ev = table(spark, sf, "events").withColumn("_order", F.struct("ts", "event_id"))
-    return W.first_last(ev, ts="_order", cols=["value"], series_cols=["user_id"])
+    ev = table(spark, sf, "events")
+    return W.first_last(ev, ts="ts", cols=["value"], series_cols=["user_id"], tiebreak="event_id")
 
 
 @query("cumulative", """

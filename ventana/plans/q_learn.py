@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..operators import columns as C
 from ..operators import features as FT
 from ..operators import iforest
 from ..operators import learn as L
+from ..operators import resample as R
 from ..operators import windows as W
+from ..session import checkpoint_dir
 from .registry import query
 from .sqltext import interp_select, rolling_mean, ts_txt, win
 from .standins import H_SQL, POLLUTANTS, U_SQL, station_hourly, table, users_hourly, with_ctes
@@ -162,31 +165,36 @@ FROM (SELECT user_id, count_if(pm2_5 IS NULL) / count(*) AS pm25_null_share FROM
 LEFT JOIN (SELECT user_id, avg(abs(actual - pm2_5)) AS mae FROM bt GROUP BY 1) m ON s.user_id = m.user_id""",
     **_CTES, bt=_BT))
 def q_retrain_decision(spark, sf):
-    """Per series, back-test MAE against the threshold, plus the null-share reason."""
-    rows = L.backtest_rows(_daily_filled(spark, sf), series_cols=US, value_cols=POLLUTANTS)
-    metrics = L.backtest_metrics(rows, series_cols=US)
-    shares = users_hourly(spark, sf).groupBy("user_id").agg(
-        (F.count_if(F.col("pm2_5").isNull()) / F.count(F.lit(1))).alias("pm25_null_share"))
-    d = L.retrain_decision(metrics, shares, series_cols=US)
-    return d.withColumn("reasons", F.array_join("reasons", " | "))
+    """Per series, back-test MAE against the threshold, plus the null-share reason; the nulls
+    are counted in the daily aggregation and carried along, so the readings are scanned once."""
+    u = users_hourly(spark, sf).withColumns({"_null": F.col("pm2_5").isNull().cast("int"), "_one": F.lit(1)})
+    daily = R.daily_resample(u, ts="date", series_cols=US, aggs=[
+        *[(c, "mean", c) for c in POLLUTANTS], ("_nulls", "sum", "_null"), ("_rows", "sum", "_one")])
+    filled = W.interpolate(daily, ts="day", cols=POLLUTANTS, series_cols=US)
+    rows = L.backtest_rows(filled, series_cols=US, value_cols=POLLUTANTS, flag="_used")
+    err = F.when(F.col("_used"), F.abs(F.col("actual") - F.col("pm2_5")))
+    per_series = rows.groupBy("user_id").agg(F.avg(err).alias("mae"),
+                                             (F.sum("_nulls") / F.sum("_rows")).alias("pm25_null_share"))
+    return L.decide(per_series).select("user_id", "mae", "mae_threshold", "needs_retraining",
+                                       F.array_join("reasons", " | ").alias("reasons"))
 
 
 # --- models (rows-only checks) ---------------------------------------------------
 
-_MODEL_CACHE: dict = {}
 _DAILY_X = [*POLLUTANTS, "pm25_lag_1", "co_lag_1", "pm25_lag_2", "co_lag_2", "pm25_lag_3", "co_lag_3",
             "pm25_rolling_7d", "day_of_week", "month"]
 
 
-def _daily_model(spark, sf, target):
-    key = ("daily", spark.sparkContext.applicationId, sf, target)
-    if key not in _MODEL_CACHE:
-        f = W.chrono_split(_features_daily(spark, sf, target), ts="day", series_cols=US)
-        train = f.filter("split = 'train'")
-        if train.isEmpty():
-            raise ValueError(f"no complete daily feature rows under {sf} to fit the model")
-        _MODEL_CACHE[key] = (L.fit_gbt(train, features=_DAILY_X, label="pm25_diff"), f)
-    return _MODEL_CACHE[key]
+def _daily_model(spark, sf, target, **params):
+    """(model, split feature rows): fitted on the earlier rows of every series, stopped early on the
+    later ones; saved in the shared folder under a digest of its training rows."""
+    f = W.chrono_split(_features_daily(spark, sf, target), ts="day", series_cols=US)
+    used = f.select("split", *_DAILY_X, "pm25_diff")
+    folder = f"{checkpoint_dir(spark)}/models/daily-{target}"
+    model = L.saved_fit(used, folder, lambda rows: L.fit_gbt(
+        rows.filter("split = 'train'"), validation=rows.filter("split = 'test'"), features=_DAILY_X,
+        label="pm25_diff", **params))
+    return model, f
 
 
 @query("gbt_fit_predict")
@@ -210,16 +218,15 @@ def q_gbt_two_targets(spark, sf):
     station features; hold-out = last ceil(0.3 n) rows; metrics per target."""
     f = W.chrono_split(FT.features_hourly(station_hourly(spark, sf)), ts="date", test_share=0.3)
     train, test = f.filter("split = 'train'"), f.filter("split = 'test'")
-    if train.isEmpty():   # too few complete hours to fit: empty result, same schema
-        return spark.createDataFrame([], "mse double, rmse double, mae double, r2 double, "
-                                         "n bigint, target string")
+    if train.isEmpty():
+        raise ValueError(f"no complete hourly feature rows under {sf} to fit the models")
     targets = ("target_pm25", "target_aqi")
     # the two fits are independent Spark jobs: submit them from two threads so
     # their (small) boosting rounds interleave instead of queueing
     from concurrent.futures import ThreadPoolExecutor
     with ThreadPoolExecutor(max_workers=len(targets)) as pool:
-        models = list(pool.map(lambda t: L.fit_gbt(train, features=_H_X, label=t, **V.GBT_HOURLY),
-                               targets))
+        models = list(pool.map(lambda t: L.fit_gbt(train, features=_H_X, label=t, validation=test,
+                                                   **V.GBT_HOURLY), targets))
     out = None
     for target, m in zip(targets, models):
         met = L.regression_metrics(L.predict(m, test), label=target, prediction="prediction") \
@@ -248,6 +255,16 @@ def q_forecast_next(spark, sf):
     return L.forecast_next(model, feats, features=_DAILY_X, series_cols=US)
 
 
+@query("forecast_next_day")
+def q_forecast_next_day(spark, sf):
+    """M10 with the model trained on the next day's change (``target="next_day"``), which is what
+    the forecast adds to today's value."""
+    model, _ = _daily_model(spark, sf, "next_day")
+    feats = FT.daily_features(_daily_filled(spark, sf), series_cols=US, target="next_day",
+                              drop_incomplete=False)
+    return L.forecast_next(model, feats, features=_DAILY_X, series_cols=US)
+
+
 @query("backtest_gbt")
 def q_backtest_gbt(spark, sf):
     """M11 with the daily model: last 7 days of every series, predicted = current + delta."""
@@ -280,3 +297,69 @@ def q_anomalies(spark, sf):
     """M9 (+J4, P13): isolation-forest score and 5 % flag on every line item."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *_PCA_COLS)
     return iforest.anomalies(li, _PCA_COLS, ["l_orderkey", "l_linenumber"])
+
+
+# --- what SQL can say about the models: their rows, inputs and sizes ----------------
+
+@query("holdout_actuals", with_ctes(f"""
+SELECT user_id, strftime(day, '%Y-%m-%d') AS day, pm25_diff AS actual FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) AS k, count(*) OVER (PARTITION BY user_id) AS n
+  FROM fx WHERE {_COMPLETE}) WHERE k > floor(n * 0.8)""", **_CTES))
+def q_holdout_actuals(spark, sf):
+    """Keys and actual values of the rows that the daily model is tested on."""
+    f = W.chrono_split(_features_daily(spark, sf), ts="day", series_cols=US)
+    return f.filter("split = 'test'").select("user_id", "day", F.col("pm25_diff").alias("actual"))
+
+
+@query("forecast_inputs", with_ctes(f"""
+SELECT user_id, strftime(day + INTERVAL 1 DAY, '%Y-%m-%d') AS date_prevision, round(pm2_5, 2) AS current_pm25
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS k FROM fx)
+WHERE k = 1 AND {' AND '.join(f'{c} IS NOT NULL' for c in _DAILY_X)}""", **_CTES))
+def q_forecast_inputs(spark, sf):
+    """The series that get a forecast, its date and the current value."""
+    feats = FT.daily_features(_daily_filled(spark, sf), series_cols=US, drop_incomplete=False)
+    latest = C.complete_rows(W.last_n(feats, ts="day", n=1, series_cols=US), _DAILY_X)
+    return latest.select("user_id", F.date_format(F.date_add("day", 1), "yyyy-MM-dd").alias("date_prevision"),
+                         F.round("pm2_5", 2).alias("current_pm25"))
+
+
+@query("backtest_pairs", with_ctes("SELECT user_id, pm2_5, actual FROM bt", **_CTES, bt=_BT))
+def q_backtest_pairs(spark, sf):
+    """The (current, actual) pairs that every model is back-tested on."""
+    return L.backtest_rows(_daily_filled(spark, sf), series_cols=US, value_cols=POLLUTANTS) \
+        .select("user_id", "pm2_5", "actual")
+
+
+@query("two_target_rows", with_ctes(f"""
+SELECT split, count(*) AS n, avg(target_pm25) AS pm25_mean, avg(target_aqi) AS aqi_mean FROM (
+  SELECT *, CASE WHEN row_number() OVER (ORDER BY date) <= count(*) OVER () - ceil(count(*) OVER () * 0.3)
+            THEN 'train' ELSE 'test' END AS split FROM fh) GROUP BY 1""",
+    H=H_SQL, fh=_hourly_feat_sql([]).replace("FROM U", "FROM H")))
+def q_two_target_rows(spark, sf):
+    """M5: rows and target means of both parts of the 70/30 split of the hourly features."""
+    f = W.chrono_split(FT.features_hourly(station_hourly(spark, sf)), ts="date", test_share=0.3)
+    return f.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.avg("target_pm25").alias("pm25_mean"),
+                                  F.avg("target_aqi").alias("aqi_mean"))
+
+
+@query("pca_moments", "\nUNION ALL\n".join(f"""
+SELECT '{a}' AS col_a, '{b}' AS col_b, count(*) AS n, avg({a}) AS mean_a, stddev_samp({a}) AS sd_a,
+       covar_samp({a}, {b}) AS covariance FROM lineitem
+WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _PCA_COLS)}""" for a in _PCA_COLS for b in _PCA_COLS))
+def q_pca_moments(spark, sf):
+    """M8: the means, deviations and covariances that the components are computed from."""
+    return L.moments(table(spark, sf, "lineitem"), _PCA_COLS)
+
+
+@query("forest_size", f"""
+SELECT count(*) AS complete_rows, least({V.IFOREST_SAMPLE}, count(*)) AS rows_per_tree,
+       CAST({V.IFOREST_TREES} AS BIGINT) AS trees FROM lineitem
+WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _PCA_COLS)}""")
+def q_forest_size(spark, sf):
+    """M9: complete rows, and the rows that every tree of the fitted forest grew on."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *_PCA_COLS)
+    model = iforest.fit(li, _PCA_COLS, ["l_orderkey", "l_linenumber"])
+    sizes = {int(t[4][0]) for t in model.trees}
+    return C.complete_rows(li, _PCA_COLS).agg(F.count(F.lit(1)).alias("complete_rows")).select(
+        "complete_rows", F.lit(max(sizes) if len(sizes) == 1 else -1).cast("long").alias("rows_per_tree"),
+        F.lit(len(model.trees)).cast("long").alias("trees"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
@@ -216,11 +217,10 @@ def q_drop_sparse(spark, sf):
     """Null shares of the daily per-series table and the keep/drop decision."""
     daily = R.daily_resample(users_hourly(spark, sf), ts="date", value_cols=POLLUTANTS,
                              series_cols=["user_id"])
-    n = F.count(F.lit(1))
-    one = daily.agg(*[(F.count_if(F.col(c).isNull()) / n).alias(c) for c in POLLUTANTS])
-    return one.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).alias("null_share"),
-                 (F.col(c) <= 0.5).alias("kept")) for c in POLLUTANTS])))
+    kept = S.drop_sparse(daily, POLLUTANTS, max_null_share=0.5).columns
+    shares = S.missing_report(daily, POLLUTANTS)
+    return shares.select("column", (F.col("pct_missing") / 100).alias("null_share"),
+                         F.col("column").isin([c for c in POLLUTANTS if c in kept]).alias("kept"))
 
 
 @query("range_violations", with_ctes(_union([f"""
@@ -291,9 +291,9 @@ SELECT '{m}' AS measure, CAST({i} AS INTEGER) AS measure_order, v AS value, CAST
        v / nullif({lim}, 0) AS ratio, v - {lim} AS delta,
        CASE WHEN v / {lim} > 1 THEN 'danger' WHEN v / {lim} > 0.75 THEN 'amber' ELSE 'teal' END AS gauge_class,
        CASE WHEN v <= {lim} THEN 'OK' ELSE 'Dépassé' END AS status,
-       CASE WHEN v IS NOT NULL THEN printf('%.2f μg/m³', round(v, 6)) END AS value_text,
+       CASE WHEN v IS NOT NULL THEN printf('%.2f μg/m³', v) END AS value_text,
        '{int(lim)} μg/m³' AS limit_text
-FROM (SELECT avg({m}) AS v FROM {src})""")
+FROM (SELECT round(avg({m}), 6) AS v FROM {src})""")
     n = len(V.GUIDELINE_LIMITS)
     lim = V.INDEX_LIMIT
     rows.append(f"""
@@ -301,18 +301,21 @@ SELECT 'european_aqi' AS measure, CAST({n} AS INTEGER) AS measure_order, v AS va
        v / nullif({lim}, 0) AS ratio, v - {lim} AS delta,
        CASE WHEN v / {lim} > 1 THEN 'danger' WHEN v / {lim} > 0.75 THEN 'amber' ELSE 'teal' END AS gauge_class,
        CASE WHEN v <= {lim} THEN 'OK' ELSE '{V.STATUS_HIGH}' END AS status,
-       printf('%.2f', round(v, 6)) AS value_text, '{int(lim)}' AS limit_text
-FROM (SELECT avg(european_aqi) AS v FROM {src})""")
+       printf('%.2f', v) AS value_text, '{int(lim)}' AS limit_text
+FROM (SELECT round(avg(european_aqi), 6) AS v FROM {src})""")
     return _union(rows)
 
 
 @query("threshold_status", with_ctes(_status_sql("H"), H=H_SQL))
 def q_threshold_status(spark, sf):
     """Station means against guideline limits, plus the mean index against
-    its limit: ratio, delta, class, status, texts."""
+    its limit: ratio, delta, class, status, texts.
+
+    The means are rounded to 6 digits before they are compared and formatted: the printed
+    digit of a mean on a .xx5 tie would otherwise depend on each engine's summation order."""
     h = station_hourly(spark, sf)
     cols = [m for m in V.GUIDELINE_LIMITS if m in h.columns] + ["european_aqi"]
-    means = h.agg(*[F.avg(m).alias(m) for m in cols])
+    means = h.agg(*[F.round(F.avg(m), 6).alias(m) for m in cols])
     return J.threshold_status(means, index_col="european_aqi")
 
 
@@ -321,35 +324,35 @@ SELECT user_id, '{m}' AS measure, CAST({i} AS INTEGER) AS measure_order, {m} AS
        {m} / nullif({lim}, 0) AS ratio, {m} - {lim} AS delta,
        CASE WHEN {m} / {lim} > 1 THEN 'danger' WHEN {m} / {lim} > 0.75 THEN 'amber' ELSE 'teal' END AS gauge_class,
        CASE WHEN {m} <= {lim} THEN 'OK' ELSE 'Dépassé' END AS status,
-       CASE WHEN {m} IS NOT NULL THEN printf('%.2f μg/m³', round({m}, 6)) END AS value_text,
+       CASE WHEN {m} IS NOT NULL THEN printf('%.2f μg/m³', {m}) END AS value_text,
        '{int(lim)} μg/m³' AS limit_text
 FROM um""" for i, (m, lim) in enumerate(V.GUIDELINE_LIMITS.items()) if m in POLLUTANTS]),
-    U=U_SQL, um="SELECT user_id, avg(pm2_5) AS pm2_5, avg(pm10) AS pm10, avg(ozone) AS ozone FROM U GROUP BY 1"))
+    U=U_SQL, um="SELECT user_id, round(avg(pm2_5), 6) AS pm2_5, round(avg(pm10), 6) AS pm10, round(avg(ozone), 6) AS ozone FROM U GROUP BY 1"))
 def q_gauge(spark, sf):
-    """J5 per series: the gauge table of every series (unpivot + lookup join)."""
+    """J5 per series: the gauge table of every series (unpivot + lookup join), of means
+    rounded to 6 digits (see ``threshold_status``)."""
     u = users_hourly(spark, sf)
-    means = u.groupBy("user_id").agg(*[F.avg(m).alias(m) for m in ["pm2_5", "pm10", "ozone"]])
+    means = u.groupBy("user_id").agg(*[F.round(F.avg(m), 6).alias(m) for m in ["pm2_5", "pm10", "ozone"]])
     return J.threshold_status(means, series_cols=["user_id"])
 
 
 @query("alert_text", with_ctes("""
-SELECT date_str, CASE WHEN v IS NOT NULL THEN printf('%.2f μg/m³', round(v, 6)) END AS value_text, lab AS aqi_label,
+SELECT date_str, CASE WHEN v IS NOT NULL THEN printf('%.2f μg/m³', v) END AS value_text, lab AS aqi_label,
        CASE WHEN coalesce(contains(lab, 'Mauvais'), false) THEN 'alert-bad'
             WHEN coalesce(contains(lab, 'Bon'), false) THEN 'alert-good' END AS alert,
        (SELECT min(strftime(date, '%Y-%m-%d')) || ' → ' || max(strftime(date, '%Y-%m-%d')) FROM H) AS period
-FROM (SELECT strftime(date, '%Y-%m-%d') AS date_str, avg(pm2_5) AS v,
-             CASE WHEN avg(pm2_5) <= 12.0 THEN 'Bon' WHEN avg(pm2_5) <= 35.0 THEN 'Modéré'
-                  WHEN avg(pm2_5) <= 55.0 THEN 'Mauvais' ELSE 'Très Mauvais' END AS lab
-      FROM H GROUP BY 1)""", H=H_SQL))
+FROM (SELECT date_str, v, CASE WHEN v <= 12.0 THEN 'Bon' WHEN v <= 35.0 THEN 'Modéré'
+                  WHEN v <= 55.0 THEN 'Mauvais' ELSE 'Très Mauvais' END AS lab
+      FROM (SELECT strftime(date, '%Y-%m-%d') AS date_str, round(avg(pm2_5), 3) AS v FROM H GROUP BY 1))""", H=H_SQL))
 def q_alert_text(spark, sf):
-    """KPI text, label, alert class per day, and the period text."""
-    h = station_hourly(spark, sf)
-    day = F.date_format("date", "yyyy-MM-dd")
-    period = h.select(range_text(F.min(day), F.max(day))).scalar()
-    d = R.daily_mean(h, ts="date", value_cols=["pm2_5"])
-    return d.select("date_str", with_unit(F.round("pm2_5", 6)).alias("value_text"),
+    """KPI text, label, alert class per day (means to 3 digits, as published), and the
+    period text, taken from the same daily rows."""
+    d = R.daily_mean(station_hourly(spark, sf), ts="date", value_cols=["pm2_5"], digits=V.MEAN_DIGITS)
+    all_days = Window.partitionBy()
+    return d.select("date_str", with_unit("pm2_5").alias("value_text"),
                     level4("pm2_5").alias("aqi_label"), alert_class(level4("pm2_5")).alias("alert"),
-                    period.alias("period"))
+                    range_text(F.min("date_str").over(all_days), F.max("date_str").over(all_days))
+                    .alias("period"))
 
 
 @query("short_names", with_ctes(f"""

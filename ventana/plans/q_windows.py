@@ -244,7 +244,7 @@ SELECT user_id, event_id, lag(value, 1) {_RAW_W} AS value_lag_1, lag(value, 3) {
        avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS value_r4
 FROM events""")
 def q_lags_raw(spark, sf):
-    """W1/W2/W5 on raw event rows per series, computed in daily blocks with
+    """W1/W2/W5 on raw event rows per series, computed in blocks with
     edge repair (no series is held by one task)."""
     def build(w):
         return {"value_lag_1": F.lag("value", 1).over(w), "value_lag_3": F.lag("value", 3).over(w),
@@ -260,7 +260,7 @@ def q_lags_raw(spark, sf):
     r="SELECT user_id, ts, event_id, CASE WHEN event_type = 'click' THEN value END AS click_value FROM events",
     i=interp_select(["click_value"], US, "ts, event_id", "r", ["user_id", "event_id"])))
 def q_interpolate_raw(spark, sf):
-    """W7 on raw event rows (click values only known), blocked per day."""
+    """W7 on raw event rows (click values only known), in blocks."""
     out = B.interpolate(_raw_events(spark, sf), ts="ts", cols=["click_value"], series_cols=US,
                         tiebreak=["event_id"])
     return out.select("user_id", "event_id", "click_value")
@@ -274,7 +274,7 @@ FROM (SELECT *, CAST(coalesce(bad <> lag(bad) {_RAW_W}, true) AS INTEGER) AS chg
       FROM (SELECT user_id, ts, event_id, CAST(value > 60 AS INTEGER) AS bad FROM events
             WHERE value IS NOT NULL))""")
 def q_islands_raw(spark, sf):
-    """W8 on raw event rows per series (value > 60), blocked per day."""
+    """W8 on raw event rows per series (value > 60), in blocks."""
     out = B.islands(_raw_events(spark, sf), ts="ts", col="value", threshold=60.0, series_cols=US,
                     tiebreak=["event_id"])
     return out.select("user_id", "event_id", "bad", "episode")
@@ -294,5 +294,5 @@ def q_episodes_raw(spark, sf):
     """A26 on raw event rows per series (value > 60 for at least 6 rows), run ids
     from the blocked islands (no series held by one task)."""
     ev = _raw_events(spark, sf).select("user_id", "ts", "event_id", "value")
-    return W.episodes(ev, ts="ts", col="value", series_cols=US, block_seconds=86400,
+    return W.episodes(ev, ts="ts", col="value", series_cols=US, block_rows=B.BLOCK_ROWS,
                       tiebreak=["event_id"])

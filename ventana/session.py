@@ -115,6 +115,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jpath)
 
 
+def has_file(spark: SparkSession, path: str, suffix: str) -> bool:
+    """Whether a file whose name ends in ``suffix`` lies anywhere below ``path``."""
+    fs, jpath = _hadoop_path(spark, path)
+    if not fs.exists(jpath):
+        return False
+    files = fs.listFiles(jpath, True)
+    while files.hasNext():
+        if files.next().getPath().getName().endswith(suffix):
+            return True
+    return False
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     fs, jpath = _hadoop_path(spark, path)
     fs.delete(jpath, True)

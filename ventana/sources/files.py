@@ -11,12 +11,12 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import nan_to_null
+from ..session import path_exists
 
 
 def read_series_csv(spark: SparkSession, path: str, schema: T.StructType | str, *,
@@ -44,33 +44,82 @@ def read_ordered_table(spark: SparkSession, table: str, cols: Sequence[str] | No
     return (df.select(*cols) if cols else df).orderBy(ts)
 
 
-def read_first_available(spark: SparkSession, paths: Sequence[str], schema: T.StructType,
-                         fmt: str = "parquet") -> DataFrame:
-    """The first source that exists (Parquet, then others), else an empty
-    frame with the schema. Existence is checked by planning the scan only."""
-    for p in paths:
-        try:
-            if p.startswith("table:"):
-                return spark.table(p[len("table:"):])
-            return nan_to_null(spark.read.format(fmt).schema(schema).load(p)
-                               if fmt != "parquet" else spark.read.parquet(p))
-        except AnalysisException:
+def read_first_available(spark: SparkSession, sources: Sequence[str | tuple[str, str]],
+                         schema: T.StructType) -> DataFrame:
+    """The first source that exists, else an empty frame with the schema.
+
+    A source is a path (Parquet), a (path, format) pair -- ``parquet``, ``csv`` with a header,
+    ``json`` (one record per line) or ``records`` (documents ``{"records": [...]}``) -- or
+    ``table:name``. Only a source that is not there is passed over; one that is there and
+    cannot be read fails.
+    """
+    for source in sources:
+        path, fmt = (source, "parquet") if isinstance(source, str) else source
+        if path.startswith("table:"):
+            if spark.catalog.tableExists(path[len("table:"):]):
+                return spark.table(path[len("table:"):])
             continue
+        if not path_exists(spark, path):
+            continue
+        if fmt == "parquet":
+            return nan_to_null(spark.read.parquet(path))
+        if fmt == "records":
+            text = spark.read.text(path, wholetext=True)
+            return nan_to_null(explode_records(text, "value", schema))
+        if fmt == "csv":
+            # columns are taken by name, whatever their order in the file
+            head = spark.read.option("header", True).csv(path)
+            missing = [f.name for f in schema.fields if f.name not in head.columns]
+            if missing:
+                raise ValueError(f"{path}: no column {', '.join(missing)}")
+            return nan_to_null(head.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name)
+                                             for f in schema.fields]))
+        return nan_to_null(spark.read.schema(schema).option("mode", "FAILFAST").format(fmt).load(path))
     return spark.createDataFrame([], schema)
 
 
-def explode_records(df: DataFrame, json_col: str, record_schema: T.StructType | str,
-                    key: str | None = "records", keep: Sequence[str] = ()) -> DataFrame:
-    """JSON text -> rows. With ``key``, the document is ``{"records": [...]}``
-    and each record becomes a row; without, each text is one record."""
+_CORRUPT = "_corrupt_document"
+
+
+def _parsed_records(df: DataFrame, json_col: str, record_schema: T.StructType | str, key: str | None):
+    """(frame with ``_d``, its records as an array, whether the document is bad)."""
     if isinstance(record_schema, str):
         record_schema = T._parse_datatype_string(record_schema)
+    fields = [T.StructField(key, T.ArrayType(record_schema))] if key else list(record_schema.fields)
+    doc = T.StructType([*fields, T.StructField(_CORRUPT, T.StringType())])
+    parsed = df.withColumn("_d", F.from_json(F.col(json_col), doc, {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}))
+    bad = F.col("_d").isNull() | F.col(f"_d.{_CORRUPT}").isNotNull()
     if key:
-        doc = T.StructType([T.StructField(key, T.ArrayType(record_schema))])
-        parsed = df.select(*keep, F.from_json(F.col(json_col), doc).alias("_d"))
-        return parsed.select(*keep, F.inline(F.col(f"_d.{key}")))
-    parsed = df.select(*keep, F.from_json(F.col(json_col), record_schema).alias("_r"))
-    return parsed.select(*keep, "_r.*")
+        rows = F.col(f"_d.{key}")
+        bad = bad | rows.isNull()
+    else:
+        rows = F.array(F.struct(*[F.col(f"_d.`{f.name}`").alias(f.name) for f in record_schema.fields]))
+    return parsed, rows, bad
+
+
+def explode_records(df: DataFrame, json_col: str, record_schema: T.StructType | str,
+                    key: str | None = "records", keep: Sequence[str] = ()) -> DataFrame:
+    """JSON text -> rows. With ``key``, the document is ``{"records": [...]}``
+    and each record becomes a row; without, each text is one record.
+
+    A document that is null, malformed, does not fit the schema or lacks the key
+    fails the job; ``bad_documents`` lists such documents, so that a caller can
+    set them aside first.
+    """
+    parsed, rows, bad = _parsed_records(df, json_col, record_schema, key)
+    message = F.concat(F.lit("not a document of records: "),
+                       F.coalesce(F.left(F.col(json_col), F.lit(200)), F.lit("null")))
+    checked = F.when(bad, F.raise_error(message)).otherwise(rows)
+    return parsed.select(*keep, F.inline(checked))
+
+
+def bad_documents(df: DataFrame, json_col: str, record_schema: T.StructType | str,
+                  key: str | None = "records") -> tuple[DataFrame, DataFrame]:
+    """S5 with bad documents set aside: (rows whose document ``explode_records`` takes, the others)."""
+    parsed, _, bad = _parsed_records(df, json_col, record_schema, key)
+    bad = F.coalesce(bad, F.lit(True))
+    return parsed.filter(~bad).drop("_d"), parsed.filter(bad).drop("_d")
 
 
 def write_csv(df: DataFrame, path: str, *, cols: Sequence[str] | None = None, ts: str = "date",

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import values as V
+from ..session import has_file
 
 
 def store_schema(value_cols: Sequence[str], series_cols: Sequence[str] = (),
@@ -28,15 +29,38 @@ def store_schema(value_cols: Sequence[str], series_cols: Sequence[str] = (),
 
 
 def keep_first(batch: DataFrame, key: Sequence[str], order_col: str) -> DataFrame:
-    """Within a batch, the first row (by ``order_col``) of each key wins.
+    """Within a batch, the first row (by ``order_col``) of each key wins; of rows
+    with equal key and order, the one whose other columns hash lowest.
 
-    Written as a hash aggregation (``min_by`` over a struct) so a key with
-    many copies is combined map-side instead of sorted in one task.
+    Two hash aggregations of fixed-width numbers (the smallest order of a key,
+    then the smallest row hash among those rows) combine a key's copies before
+    the shuffle; each is joined back to the rows. No aggregation sorts, and the
+    joins are on (key, order), so the copies of a hot key do not meet.
     """
-    others = [c for c in batch.columns if c not in key]
-    first = batch.groupBy(*key).agg(
-        F.min_by(F.struct(*[F.col(c) for c in others]), F.col(order_col)).alias("_r"))
-    return first.select(*key, "_r.*")
+    cols = batch.columns
+    key = list(key)
+    first = batch.groupBy(*key).agg(F.min(order_col).alias("_o")).withColumnRenamed("_o", order_col)
+    rows = _semi(batch, first, [*key, order_col]).withColumn("_h", F.xxhash64(*[F.col(f"`{c}`") for c in cols]))
+    one = rows.groupBy(*key).agg(F.min("_h").alias("_h"))
+    return _semi(rows, one, [*key, "_h"]).select(*cols).distinct()
+
+
+def _semi(rows: DataFrame, kept: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows of which ``kept`` has the values ``on`` (nulls match nulls)."""
+    r, k = rows.alias("r"), kept.alias("k")
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(f"r.`{c}`").eqNullSafe(F.col(f"k.`{c}`"))
+    return r.join(k, same, "left_semi")
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame | None:
+    """The store at ``path``, or None if nothing was written there yet.
+
+    Only a missing folder, or one without a data file, is an empty store; a store
+    that is there and cannot be read fails, so that stored keys are never added again.
+    """
+    return spark.read.parquet(path) if has_file(spark, path, ".parquet") else None
 
 
 def new_rows(batch: DataFrame, target: DataFrame | None, key: Sequence[str], order_col: str,
@@ -67,11 +91,7 @@ def insert_or_ignore(batch: DataFrame, target_path: str, key: Sequence[str], ord
 
     Idempotent: the same batch twice adds nothing the second time.
     """
-    spark = batch.sparkSession
-    try:
-        target = spark.read.parquet(target_path)
-    except Exception:  # noqa: BLE001 - no store yet
-        target = None
+    target = read_store(batch.sparkSession, target_path)
     rows = new_rows(batch, target, key, order_col, ts=ts, day_col=day_col)
     if "created_at" not in rows.columns:
         rows = rows.withColumn("created_at", F.current_timestamp())

@@ -19,8 +19,9 @@ by a collector are read as a stream:
   (batch id kept); the latest version of each window is the result.
 * T3 ``stream_alerts``: stateless label + filter.
 
-All checkpoints live under the shared checkpoint folder so a restarted driver
-resumes from the last committed batch.
+Every stream takes its checkpoint folder from the caller: started again with the
+same folder it resumes after the last committed batch; with a new one it reads its
+source from the start (and T1 still adds nothing twice).
 """
 
 from __future__ import annotations
@@ -29,17 +30,20 @@ import os
 import uuid
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import level4
-from ..session import checkpoint_dir
-from ..sources.store import new_rows
+from ..session import checkpoint_dir, remove_at_exit
+from ..sources.store import new_rows, read_store
 
 
-def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
-    base = os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:8]}")
+def new_paths(spark: SparkSession, name: str) -> tuple[str, str]:
+    """(output, checkpoint) folders of a stream that is run once, removed at exit."""
+    base = os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex}")
+    remove_at_exit(spark, base)
     return os.path.join(base, "out"), os.path.join(base, "_checkpoint")
 
 
@@ -77,14 +81,13 @@ def stream_insert(stream: DataFrame, target_path: str, checkpoint: str, *, key:
         src = src.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(list(key))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        held = batch.persist(StorageLevel.MEMORY_AND_DISK)    # read for its time range and its rows
         try:
-            target = spark.read.parquet(target_path)
-        except Exception:  # noqa: BLE001 - first batch, empty store
-            target = None
-        rows = new_rows(batch, target, key, order_col, ts=ts) \
-            .withColumn(day_col, F.to_date(ts))
-        rows.write.mode("append").partitionBy(day_col).parquet(target_path)
+            rows = new_rows(held, read_store(held.sparkSession, target_path), key, order_col, ts=ts) \
+                .withColumn(day_col, F.to_date(ts))
+            rows.write.mode("append").partitionBy(day_col).parquet(target_path)
+        finally:
+            held.unpersist()
 
     return (src.writeStream.foreachBatch(write_batch)
                .option("checkpointLocation", checkpoint)
@@ -144,4 +147,4 @@ def run_to_end(query) -> None:
 
 
 __all__ = ["read_stream", "stream_insert", "stream_daily", "stream_alerts", "latest_versions",
-           "alerts", "run_to_end", "_paths"]
+           "alerts", "run_to_end", "new_paths"]
