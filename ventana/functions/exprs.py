@@ -108,8 +108,12 @@ def safe_ratio(a: ColumnOrName, b: ColumnOrName, digits: int | None = None) -> C
 
 
 def rounded(c: ColumnOrName, digits: int | None) -> Column:
-    """Round to ``digits`` (half up, see rule D5); ``None`` keeps full precision."""
-    return col(c) if digits is None else F.round(col(c), digits)
+    """Round to ``digits`` (half up, see rule D5); ``None`` keeps full precision.
+
+    Six more digits are rounded first: a mean that lies on a tie would otherwise go up or down
+    with the order in which its rows were summed.
+    """
+    return col(c) if digits is None else F.round(F.round(col(c), digits + 6), digits)
 
 
 def null_safe_corr(a: ColumnOrName, b: ColumnOrName) -> Column:

@@ -10,7 +10,7 @@ from ..functions.exprs import (calendar_parts, level3, level4, level4_advice, le
 from ..operators import profiles as P
 from ..operators import resample as R
 from .registry import query
-from .sqltext import day_txt, ts_txt
+from .sqltext import day_txt, rnd, ts_txt
 from .standins import H_SQL, O_SQL, POLLUTANTS, U_SQL, orders_daily, station_hourly, table, \
     users_hourly, with_ctes
 
@@ -115,7 +115,7 @@ def q_drop_nulls(spark, sf):
 
 @query("daily_mean", with_ctes(f"""
 SELECT *, {_level3_sql('pm2_5')} AS aqi_level
-FROM (SELECT strftime(date, '%Y-%m-%d') AS date_str, {', '.join(f'round(avg({c}), 3) AS {c}' for c in POLLUTANTS)}
+FROM (SELECT strftime(date, '%Y-%m-%d') AS date_str, {', '.join(f'{rnd(f"avg({c})", 3)} AS {c}' for c in POLLUTANTS)}
       FROM H GROUP BY 1)""", H=H_SQL))
 def q_daily_mean(spark, sf):
     """A1: daily mean by day text (no calendar), rounded to 3 digits, then the level of the
@@ -209,13 +209,13 @@ def q_quantiles(spark, sf):
                        series_cols=["user_id"])
 
 
-@query("kpi_row", with_ctes("""
+@query("kpi_row", with_ctes(f"""
 SELECT *, CASE WHEN index_mean <= 50 THEN 'Bon' WHEN index_mean <= 100 THEN 'Modéré'
                ELSE 'Mauvais' END AS index_label
-FROM (SELECT round(avg(pm2_5), 2) AS pm2_5_mean, round(avg(pm10), 2) AS pm10_mean,
-             round(avg(ozone), 2) AS ozone_mean, round(quantile_cont(pm2_5, 0.95), 2) AS pm2_5_p95,
-             round(avg(pm2_5 / nullif(pm10, 0)), 2) AS pm_ratio_mean,
-             round(avg(european_aqi), 2) AS index_mean, count(*) AS n_rows FROM H)""", H=H_SQL))
+FROM (SELECT {rnd('avg(pm2_5)', 2)} AS pm2_5_mean, {rnd('avg(pm10)', 2)} AS pm10_mean,
+             {rnd('avg(ozone)', 2)} AS ozone_mean, {rnd('quantile_cont(pm2_5, 0.95)', 2)} AS pm2_5_p95,
+             {rnd('avg(pm2_5 / nullif(pm10, 0))', 2)} AS pm_ratio_mean,
+             {rnd('avg(european_aqi)', 2)} AS index_mean, count(*) AS n_rows FROM H)""", H=H_SQL))
 def q_kpi_row(spark, sf):
     """A10 + P8: KPI row of the station, to 2 digits; the index is labelled after rounding."""
     return P.kpi_row(station_hourly(spark, sf))
@@ -225,9 +225,9 @@ def q_kpi_row(spark, sf):
 SELECT user_id, bad_pct, moderate_pct, good_pct,
        CASE WHEN bad_pct > 50 THEN 'Mauvais' WHEN moderate_pct > 50 THEN 'Modéré' ELSE 'Bon' END AS dominant
 FROM (SELECT user_id,
-             round(count_if(lv = 'Mauvais') * 100.0 / count(*), 2) AS bad_pct,
-             round(count_if(lv = 'Moyen') * 100.0 / count(*), 2) AS moderate_pct,
-             round(count_if(lv = 'Bon') * 100.0 / count(*), 2) AS good_pct
+             {rnd("count_if(lv = 'Mauvais') * 100.0 / count(*)", 2)} AS bad_pct,
+             {rnd("count_if(lv = 'Moyen') * 100.0 / count(*)", 2)} AS moderate_pct,
+             {rnd("count_if(lv = 'Bon') * 100.0 / count(*)", 2)} AS good_pct
       FROM (SELECT user_id, {_level3_sql('pm2_5')} AS lv FROM U) GROUP BY 1)""", U=U_SQL))
 def q_dominant_level(spark, sf):
     """Dominant level per series, from shares rounded to 2 digits."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..functions.exprs import rounded
 from ..operators import columns as C
 from ..operators import features as FT
 from ..operators import iforest
@@ -13,7 +14,7 @@ from ..operators import resample as R
 from ..operators import windows as W
 from ..session import checkpoint_dir
 from .registry import query
-from .sqltext import interp_select, rolling_mean, ts_txt, win
+from .sqltext import interp_select, rnd, rolling_mean, ts_txt, win
 from .standins import H_SQL, POLLUTANTS, U_SQL, station_hourly, table, users_hourly, with_ctes
 
 US = ["user_id"]
@@ -312,7 +313,7 @@ def q_holdout_actuals(spark, sf):
 
 
 @query("forecast_inputs", with_ctes(f"""
-SELECT user_id, strftime(day + INTERVAL 1 DAY, '%Y-%m-%d') AS date_prevision, round(pm2_5, 2) AS current_pm25
+SELECT user_id, strftime(day + INTERVAL 1 DAY, '%Y-%m-%d') AS date_prevision, {rnd('pm2_5', 2)} AS current_pm25
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS k FROM fx)
 WHERE k = 1 AND {' AND '.join(f'{c} IS NOT NULL' for c in _DAILY_X)}""", **_CTES))
 def q_forecast_inputs(spark, sf):
@@ -320,7 +321,7 @@ def q_forecast_inputs(spark, sf):
     feats = FT.daily_features(_daily_filled(spark, sf), series_cols=US, drop_incomplete=False)
     latest = C.complete_rows(W.last_n(feats, ts="day", n=1, series_cols=US), _DAILY_X)
     return latest.select("user_id", F.date_format(F.date_add("day", 1), "yyyy-MM-dd").alias("date_prevision"),
-                         F.round("pm2_5", 2).alias("current_pm25"))
+                         rounded("pm2_5", 2).alias("current_pm25"))
 
 
 @query("backtest_pairs", with_ctes("SELECT user_id, pm2_5, actual FROM bt", **_CTES, bt=_BT))

@@ -22,12 +22,12 @@ from .q_learn import _BT_INPUTS
 from .q_stats import _corr_sql
 from .q_windows import _HCAL, _HD, _ISL
 from .registry import query
-from .sqltext import interp_select, rolling_mean, ts_txt, win
+from .sqltext import interp_select, rnd, rolling_mean, ts_txt, win
 from .standins import H_SQL, O_SQL, POLLUTANTS, U_SQL, orders_daily, station_hourly, table, users_hourly, with_ctes
 
 
 @query("hour_profile_published", with_ctes(f"""
-SELECT CAST(hour(date) AS INTEGER) AS hour, {', '.join(f'round(avg({c}), 3) AS {c}' for c in POLLUTANTS)}
+SELECT CAST(hour(date) AS INTEGER) AS hour, {', '.join(f'{rnd(f"avg({c})", 3)} AS {c}' for c in POLLUTANTS)}
 FROM H GROUP BY 1""", H=H_SQL))
 def q_hour_profile(spark, sf):
     """A4 to 3 digits."""
@@ -35,31 +35,31 @@ def q_hour_profile(spark, sf):
 
 
 @query("month_profile_published", with_ctes(f"""
-SELECT CAST(m AS INTEGER) AS month, round(avg(value), 2) AS value, {_MONTH_CASE} AS month_label
+SELECT CAST(m AS INTEGER) AS month, {rnd('avg(value)', 2)} AS value, {_MONTH_CASE} AS month_label
 FROM (SELECT month(date) AS m, value FROM O) GROUP BY m""", O=O_SQL))
 def q_month_profile(spark, sf):
     """A5 to 2 digits."""
     return P.month_profile(orders_daily(spark, sf), value_cols=["value"], digits=V.MONTH_DIGITS)
 
 
-@query("level_shares_published", f"SELECT * REPLACE (round(share_pct, 2) AS share_pct) FROM ({_SHARES_SQL})")
+@query("level_shares_published", f"SELECT * REPLACE ({rnd('share_pct', 2)} AS share_pct) FROM ({_SHARES_SQL})")
 def q_level_shares(spark, sf):
     """A7 to 2 digits."""
     h = station_hourly(spark, sf).withColumn("aqi_level", level3("pm2_5"))
     return P.level_shares(h, digits=V.KPI_DIGITS)
 
 
-@query("corr_published", with_ctes(f"SELECT col_a, col_b, round(corr, 3) AS corr FROM ({_corr_sql('H', POLLUTANTS)})",
+@query("corr_published", with_ctes(f"SELECT col_a, col_b, {rnd('corr', 3)} AS corr FROM ({_corr_sql('H', POLLUTANTS)})",
                                    H=H_SQL))
 def q_corr(spark, sf):
     """A17 to 3 digits."""
     return S.corr_matrix(station_hourly(spark, sf), POLLUTANTS, digits=V.CORR_DIGITS)
 
 
-@query("episodes_published", with_ctes("""
+@query("episodes_published", with_ctes(f"""
 SELECT CAST(episode AS BIGINT) AS episode, strftime(arg_min(date, date), '%Y-%m-%d') AS debut,
        strftime(arg_max(date, date), '%Y-%m-%d') AS fin, count(*) AS duree,
-       round(max(european_aqi), 1) AS aqi_max, round(avg(european_aqi), 1) AS aqi_moy
+       {rnd('max(european_aqi)', 1)} AS aqi_max, {rnd('avg(european_aqi)', 1)} AS aqi_moy
 FROM isl WHERE bad = 1 GROUP BY episode HAVING count(*) >= 6""", H=H_SQL, isl=_ISL))
 def q_episodes(spark, sf):
     """A26 to 1 digit."""
@@ -67,17 +67,17 @@ def q_episodes(spark, sf):
 
 
 @query("rolling_daily_published", with_ctes(f"""
-SELECT date_str, round(avg(pm2_5_r), 2) AS pm2_5_r, round(avg(pm10_r), 2) AS pm10_r, round(avg(ozone_r), 2) AS ozone_r
+SELECT date_str, {', '.join(f"{rnd(f'avg({c}_r)', 2)} AS {c}_r" for c in ('pm2_5', 'pm10', 'ozone'))}
 FROM (SELECT strftime(date, '%Y-%m-%d') AS date_str,
-             {', '.join(f"round({rolling_mean(c, [], 'date', 24, 1)}, 2) AS {c}_r" for c in ('pm2_5', 'pm10', 'ozone'))}
+             {', '.join(f"{rnd(rolling_mean(c, [], 'date', 24, 1), 2)} AS {c}_r" for c in ('pm2_5', 'pm10', 'ozone'))}
       FROM H) GROUP BY 1""", H=H_SQL))
 def q_rolling_daily(spark, sf):
     """Rolling means to 2 digits, then their daily means to 2 digits."""
     return W.rolling_daily(station_hourly(spark, sf), cols=["pm2_5", "pm10", "ozone"], digits=V.KPI_DIGITS)
 
 
-@query("history7_published", with_ctes("""
-SELECT strftime(c.day, '%Y-%m-%d') AS dates, round(hd.pm2_5, 2) AS "values"
+@query("history7_published", with_ctes(f"""
+SELECT strftime(c.day, '%Y-%m-%d') AS dates, {rnd('hd.pm2_5', 2)} AS "values"
 FROM hcal c LEFT JOIN hd ON c.day = hd.day ORDER BY c.day DESC LIMIT 7""", H=H_SQL, hd=_HD, hcal=_HCAL))
 def q_history7(spark, sf):
     """L5 to 2 digits."""
@@ -172,13 +172,14 @@ def q_skip_all_null(spark, sf):
 
 
 @query("assign_back", """
-SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_quantity > 45 THEN 1 ELSE 0 END AS INTEGER) AS anomaly
+SELECT l_orderkey, l_linenumber, CAST(max(CASE WHEN l_quantity > 45 THEN 1 ELSE 0 END)
+       OVER (PARTITION BY l_orderkey, l_linenumber) AS INTEGER) AS anomaly
 FROM lineitem""")
 def q_assign_back(spark, sf):
-    """A flag computed on some rows put back on all of them."""
+    """A flag computed for the keys of some rows put back on all rows."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
     key = ["l_orderkey", "l_linenumber"]
-    some = li.filter(F.col("l_quantity") > 45).select(*key, F.lit(1).alias("anomaly"))
+    some = li.filter(F.col("l_quantity") > 45).select(*key, F.lit(1).alias("anomaly")).distinct()
     return J.assign_back(li, some, key=key, cols=["anomaly"], fill={"anomaly": 0}).select(*key, "anomaly")
 
 

@@ -6,13 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..functions.exprs import alert_class, level4, range_text, with_unit
+from ..functions.exprs import alert_class, level4, range_text, rounded, with_unit
 from ..operators import columns as C
 from ..operators import joins as J
 from ..operators import resample as R
 from ..operators import stats as S
 from .registry import query
-from .sqltext import corr, win
+from .sqltext import corr, rnd, win
 from .standins import H_SQL, POLLUTANTS, U_SQL, station_hourly, table, users_hourly, with_ctes
 
 
@@ -293,7 +293,7 @@ SELECT '{m}' AS measure, CAST({i} AS INTEGER) AS measure_order, v AS value, CAST
        CASE WHEN v <= {lim} THEN 'OK' ELSE 'Dépassé' END AS status,
        CASE WHEN v IS NOT NULL THEN printf('%.2f μg/m³', v) END AS value_text,
        '{int(lim)} μg/m³' AS limit_text
-FROM (SELECT round(avg({m}), 6) AS v FROM {src})""")
+FROM (SELECT {rnd(f'avg({m})', 6)} AS v FROM {src})""")
     n = len(V.GUIDELINE_LIMITS)
     lim = V.INDEX_LIMIT
     rows.append(f"""
@@ -302,7 +302,7 @@ SELECT 'european_aqi' AS measure, CAST({n} AS INTEGER) AS measure_order, v AS va
        CASE WHEN v / {lim} > 1 THEN 'danger' WHEN v / {lim} > 0.75 THEN 'amber' ELSE 'teal' END AS gauge_class,
        CASE WHEN v <= {lim} THEN 'OK' ELSE '{V.STATUS_HIGH}' END AS status,
        printf('%.2f', v) AS value_text, '{int(lim)}' AS limit_text
-FROM (SELECT round(avg(european_aqi), 6) AS v FROM {src})""")
+FROM (SELECT {rnd('avg(european_aqi)', 6)} AS v FROM {src})""")
     return _union(rows)
 
 
@@ -315,7 +315,7 @@ def q_threshold_status(spark, sf):
     digit of a mean on a .xx5 tie would otherwise depend on each engine's summation order."""
     h = station_hourly(spark, sf)
     cols = [m for m in V.GUIDELINE_LIMITS if m in h.columns] + ["european_aqi"]
-    means = h.agg(*[F.round(F.avg(m), 6).alias(m) for m in cols])
+    means = h.agg(*[rounded(F.avg(m), 6).alias(m) for m in cols])
     return J.threshold_status(means, index_col="european_aqi")
 
 
@@ -327,23 +327,23 @@ SELECT user_id, '{m}' AS measure, CAST({i} AS INTEGER) AS measure_order, {m} AS
        CASE WHEN {m} IS NOT NULL THEN printf('%.2f μg/m³', {m}) END AS value_text,
        '{int(lim)} μg/m³' AS limit_text
 FROM um""" for i, (m, lim) in enumerate(V.GUIDELINE_LIMITS.items()) if m in POLLUTANTS]),
-    U=U_SQL, um="SELECT user_id, round(avg(pm2_5), 6) AS pm2_5, round(avg(pm10), 6) AS pm10, round(avg(ozone), 6) AS ozone FROM U GROUP BY 1"))
+    U=U_SQL, um="SELECT user_id, " + ", ".join(f"{rnd(f'avg({c})', 6)} AS {c}" for c in ("pm2_5", "pm10", "ozone")) + " FROM U GROUP BY 1"))
 def q_gauge(spark, sf):
     """J5 per series: the gauge table of every series (unpivot + lookup join), of means
     rounded to 6 digits (see ``threshold_status``)."""
     u = users_hourly(spark, sf)
-    means = u.groupBy("user_id").agg(*[F.round(F.avg(m), 6).alias(m) for m in ["pm2_5", "pm10", "ozone"]])
+    means = u.groupBy("user_id").agg(*[rounded(F.avg(m), 6).alias(m) for m in ["pm2_5", "pm10", "ozone"]])
     return J.threshold_status(means, series_cols=["user_id"])
 
 
-@query("alert_text", with_ctes("""
+@query("alert_text", with_ctes(f"""
 SELECT date_str, CASE WHEN v IS NOT NULL THEN printf('%.2f μg/m³', v) END AS value_text, lab AS aqi_label,
        CASE WHEN coalesce(contains(lab, 'Mauvais'), false) THEN 'alert-bad'
             WHEN coalesce(contains(lab, 'Bon'), false) THEN 'alert-good' END AS alert,
        (SELECT min(strftime(date, '%Y-%m-%d')) || ' → ' || max(strftime(date, '%Y-%m-%d')) FROM H) AS period
 FROM (SELECT date_str, v, CASE WHEN v <= 12.0 THEN 'Bon' WHEN v <= 35.0 THEN 'Modéré'
                   WHEN v <= 55.0 THEN 'Mauvais' ELSE 'Très Mauvais' END AS lab
-      FROM (SELECT strftime(date, '%Y-%m-%d') AS date_str, round(avg(pm2_5), 3) AS v FROM H GROUP BY 1))""", H=H_SQL))
+      FROM (SELECT strftime(date, '%Y-%m-%d') AS date_str, {rnd('avg(pm2_5)', 3)} AS v FROM H GROUP BY 1))""", H=H_SQL))
 def q_alert_text(spark, sf):
     """KPI text, label, alert class per day (means to 3 digits, as published), and the
     period text, taken from the same daily rows."""

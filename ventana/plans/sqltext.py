@@ -7,6 +7,12 @@ from collections.abc import Sequence
 from .registry import SQL_DAY_FMT, SQL_TS_FMT
 
 
+def rnd(x: str, digits: int) -> str:
+    """Half-up rounding without summation noise, as ``functions.exprs.rounded``."""
+    more = digits + 6
+    return f"CAST(round(CAST(round({x}, {more}) AS DECIMAL(32, {more})), {digits}) AS DOUBLE)"
+
+
 def ts_txt(c: str) -> str:
     return f"strftime({c}, '{SQL_TS_FMT}')"
 
