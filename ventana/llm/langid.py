@@ -38,6 +38,14 @@ UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def lettered(words: list[str]) -> list[str]:
+    """The words, or only those with a letter if none is all letters (the pattern also takes signs
+    such as superscript digits)."""
+    if any(map(str.isalpha, words)):
+        return words
+    return [w for w in words if any(map(str.isalpha, w))]
+
+
 def grams(word: str, n: int) -> list[str]:
     w = f"<{word}>"
     return [w[i:i + n] for i in range(max(1, len(w) - n + 1))] if n > 1 else list(word)
@@ -85,12 +93,8 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     """The model (a plain dict) from labelled documents outside the held-out part."""
     bound_batches(docs.sparkSession)
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    ids = bounded_sample(known.select(F.col(id_col).alias("id")), "id", sample)
-    cut = known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"),
-                       text_or_empty(text_col).alias("text"))
-    if ids.isEmpty():
-        return {"langs": [], "words": {}, "grams": {}}
-    some = bounded_sample(cut, "id", sample).select("lang", "text")
+    some = bounded_sample(known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"),
+                                       text_or_empty(text_col).alias("text")), "id", sample).select("lang", "text")
     tally = (some.mapInArrow(_count, "lang string, word string, n long")
              .groupBy("lang", "word").agg(F.sum("n").alias("n"))).persist()
     parts = tally.mapInArrow(_split, "lang string, gram string, n long") \
@@ -145,7 +149,7 @@ class Scorer:
 
     def texts(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         memo, rows = self.memo, self.rows
-        split = [_WORD.findall(t.lower()) for t in texts]
+        split = [lettered(_WORD.findall(t.lower())) for t in texts]
         for w in {w for s in split for w in s if w not in memo}:
             memo[w] = len(rows)
             rows.append(self.word(w))
