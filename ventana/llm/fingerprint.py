@@ -41,6 +41,8 @@ from .common import bound_batches, hamming, text_or_empty
 #: Terms whose bits vote at once.
 CHUNK = 1 << 15
 BITS = 64
+#: Blocks of neighbouring ids at most; each is streamed, so its size is not bounded by memory.
+MOST_BLOCKS = 16_384
 
 
 def fingerprint(text: str) -> int:
@@ -88,7 +90,7 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     document, the next one being that of the next id (after the last: the first)."""
     spark = docs.sparkSession
     bound_batches(spark)
-    blocks = blocks or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks or min(MOST_BLOCKS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     own = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     id_type = own.schema["id"].dataType.simpleString()
     # block borders: at most ``blocks`` numbers

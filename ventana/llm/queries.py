@@ -69,12 +69,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text; for ids divisible by 50 also the number
     of documents within 3 bits (itself included), found in the permuted block tables."""
     marks = written(fingerprint.with_next(table(spark, sf_dir, "documents")), "fingerprints")
-    asked = marks.filter(F.col("doc_id") % 50 == 0)
+    is_asked = F.coalesce(F.col("doc_id") % 50 == 0, F.lit(False))
+    asked = marks.filter(is_asked)
     near = fingerprint.search(asked, marks).groupBy(F.col("query").alias("fingerprint")) \
         .agg(F.sum("n").alias("n_near"))
-    found = asked.select("doc_id", "fingerprint").join(near, "fingerprint").select("doc_id", "n_near").distinct()
+    rest = marks.filter(~is_asked).withColumn("n_near", F.lit(None).cast("long"))
     hexed = simhash_dedup.hex_digits
-    return marks.join(found, "doc_id", "left").select(
+    return asked.join(near, "fingerprint").unionByName(rest).select(
         "doc_id", "n_chars", "edited_sha256", hexed(F.col("fingerprint")).alias("fingerprint"),
         hexed(F.col("edited_fingerprint")).alias("edited_fingerprint"),
         fingerprint.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
@@ -125,7 +126,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     planted = spark.createDataFrame([(-1, 0, "user", PLANTED), (-1, 1, "assistant", PLANTED)], turns.schema)
     trees = chat.linear_parents(turns.unionByName(planted), tree="conv_id", order="turn")
-    made = written(chat.format_paths(chat.reply_paths(trees)), "formatted")
+    # a conversation of ordered turns has one leaf, which is its best path
+    made = written(chat.format_paths(chat.reply_paths(trees, top=1)), "formatted")
     back = made.select("tree", F.length("formatted").cast("long").alias("formatted_chars"),
                        chat.read_turns(F.col("formatted")).alias("turns"),
                        chat.read_loss(F.col("formatted"), F.col("loss")).alias("learned"))
