@@ -38,7 +38,9 @@ def test_paths(spark):
     want = walk([r for r in TREE if r[0] != 3])
     rows = [r for r in TREE if r[0] != 3]
     got = {}
-    for r in C.reply_paths(spark.createDataFrame(rows, SCHEMA), score="score").collect():
+    every = C.reply_paths(spark.createDataFrame(rows, SCHEMA), score="score")
+    assert {(r.tree, r.leaf, r["rank"]) for r in every.collect()} == {(*k, None) for k in want}
+    for r in C.reply_paths(spark.createDataFrame(rows, SCHEMA), score="score", top=9).collect():
         got.setdefault((r.tree, r.leaf), []).append((r.depth, r.role, r.text, r.path_score, r["rank"]))
     assert set(got) == set(want)
     for k, path in got.items():

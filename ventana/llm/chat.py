@@ -5,8 +5,9 @@ Messages form trees by (tree, node, parent). Each root-to-leaf path is a convers
 1. **Jumps**: self-joins double the reach of each node's ancestor pointer (1, 2, 4, ... up) and
    the sum of scores on the way, until no pointer is left; the rounds are the logarithm of the
    depth, and each round's table is written to the shared folder.
-2. **Rank**: a leaf's path score is its mean score from root to leaf; leaves of a tree are ranked by
-   it (then longer paths, then the smaller node) and the best ``top`` stay (all by default).
+2. **Rank**: a leaf's path score is its mean score from root to leaf; with ``top``, leaves of a tree
+   are ranked by it (then longer paths, then the smaller node) and the best ``top`` stay, each task
+   passing on no more than ``top`` leaves of a tree. Without it all leaves stay, unranked.
 3. **Paths**: from the chosen leaves, one self-join per table of jumps adds to every member of a
    path the one 2^k above, so a path of n messages is listed after log2(n) joins. Only chosen
    paths are listed, so a wide tree never repeats its trunk for leaves that are not wanted.
@@ -74,7 +75,7 @@ def reply_paths(messages: DataFrame, *, tree: str = "tree", node: str = "node",
                 role: str = "role", text: str = "text", score: str | None = None,
                 top: int | None = None) -> DataFrame:
     """(tree, leaf, path_score, rank, depth, role, text) of every message on a chosen path, depth 0
-    being the root."""
+    being the root; rank is null without ``top``."""
     value = F.coalesce(F.col(score).cast("double"), F.lit(0.0)) if score else F.lit(0.0)
     given = messages.select(
         F.col(tree).alias("tree"), F.col(node).alias("node"), F.col(parent).alias("parent"),
@@ -109,12 +110,13 @@ def reply_paths(messages: DataFrame, *, tree: str = "tree", node: str = "node",
             (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("sum"),
             (F.col("above") + F.when(F.col("up").isNotNull(), F.lit(1 << k)).otherwise(0)).alias("above"))
     roots = thin.select("tree", F.col("node").alias("at"), F.col("score").alias("own"))
-    best = Window.partitionBy("tree").orderBy(F.desc("path_score"), F.desc("above"), "leaf")
     ranked = leaves.join(roots, ["tree", "at"]).select(
-        "tree", "leaf", "above", ((F.col("sum") + F.col("own")) / (F.col("above") + 1)).alias("path_score")) \
-        .withColumn("rank", F.row_number().over(best))
-    if top is not None:
-        ranked = ranked.filter(F.col("rank") <= top)
+        "tree", "leaf", "above", ((F.col("sum") + F.col("own")) / (F.col("above") + 1)).alias("path_score"))
+    if top is None:
+        ranked = ranked.withColumn("rank", F.lit(None).cast("int"))
+    else:
+        best = Window.partitionBy("tree").orderBy(F.desc("path_score"), F.desc("above"), "leaf")
+        ranked = ranked.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
     ranked = written(ranked, "leaves")
     path = ranked.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("dist"))
     for k, j in enumerate(jumps):
