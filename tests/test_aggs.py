@@ -201,3 +201,15 @@ def test_texts_format_the_value_itself(spark):
     r = {x["measure"]: x["value_text"] for x in J.threshold_status(
         spark.createDataFrame([(26.845, 2.005)], "pm2_5 double, pm10 double")).collect()}
     assert r["pm2_5"].startswith(f"{26.845:.2f}") and r["pm10"].startswith(f"{2.005:.2f}")
+
+
+def test_distributed_quantiles_equal_plain(spark):
+    from ventana.operators import profiles as P
+    df = spark.range(500).selectExpr("if(id % 7 = 0, null, id % 3) as g", "if(id % 5 = 0, null, cast(id % 41 as double)) as x",
+                                     "cast(id as double) as y")
+    for g in (["g"], []):
+        a = P.quantiles(df, value_cols=["x", "y"], series_cols=g)
+        b = P.quantiles(df, value_cols=["x", "y"], series_cols=g, distributed=True)
+        assert a.columns == b.columns
+        for r, t in zip(sorted(a.collect(), key=str), sorted(b.collect(), key=str)):
+            assert all(u == v or abs(u - v) < 1e-9 for u, v in zip(r, t))
