@@ -47,6 +47,18 @@ def test_equals_brute_force(spark, monkeypatch, block):
     assert all(r.kept == (r.vec_id == r.component_id) for r in out)
 
 
+def test_shards_cut_again(spark, monkeypatch):
+    monkeypatch.setattr(E, "MOST_SHARDS", 3)
+    monkeypatch.setattr(E, "SHARD", 150)
+    monkeypatch.setattr(E, "LARGE", 100)
+    monkeypatch.setattr(E, "CHUNK", 90)
+    rows = clustered()
+    want = brute(rows)
+    out = E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), overlap=2).collect()
+    assert sum(r.n_links for r in out) >= 0.97 * sum(v[0] for v in want.values())
+    assert all(r.n_links <= want[r.vec_id][0] for r in out) and len(out) == len(rows)
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 0.0]), (5, None), (6, []), (7, [nan, 1.0]),

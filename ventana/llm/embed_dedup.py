@@ -2,8 +2,10 @@
 
 1. **Classes**: equal vectors form one class, named by its smallest id, with its size.
 2. **Shards**: spherical k-means centroids, fitted on a bounded sample (``SAMPLE`` classes), cut the
-   space into shards of about ``SHARD`` members; every class joins its ``overlap`` nearest shards. A
-   shard above ``BLOCK`` members is dealt into blocks by a hash.
+   space into shards of about ``SHARD`` members; every class joins its ``overlap`` nearest shards.
+   Where ``MOST_SHARDS`` shards would still be large on average, each is cut again by centroids fitted on
+   a sample of its own members, and its members join the nearest ``INNER`` of those. A shard above
+   ``BLOCK`` members (a dense region) is dealt into blocks by a hash.
 3. **Graph**: each block builds a flat graph: candidates are the nearest members and random ones,
    robust pruning (``ALPHA``) keeps at most ``DEGREE`` edges that point in different directions. The
    adjacency lists of a class from all its shards are united.
@@ -35,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, components, shared, written
 
 SAMPLE, SHARD, BLOCK, MOST_SHARDS = 20_000, 1_200, 2_048, 4_096
+#: Average members above which shards are cut again, subshards a member joins, rows assigned at once.
+LARGE, INNER, CHUNK = 8_192, 2, 20_000
 DEGREE, NEAR, FAR, ALPHA = 24, 48, 24, 1.2
 BEAM, STEP, SLACK, QUERIES = 24, 4, 0.06, 256
 AUDIT, RECALL, MOST_OVERLAP = 1_024, 0.97, 16
@@ -224,14 +228,15 @@ def _search(known: DataFrame, n_classes: int, threshold: float, overlap: int) ->
             at = [i for i, v in enumerate(vecs) if len(v) == size]
             # a length that the sample has not met is a shard of its own
             start, c = state.value["centres"].get(size, (-size, np.zeros((1, size))))
-            s = unit([vecs.iloc[i] for i in at]) @ c.T
-            t = min(overlap, s.shape[1])
-            top = np.argpartition(-s, t - 1, axis=1)[:, :t] if t < s.shape[1] else np.tile(np.arange(t), (len(at), 1))
+            top = _nearest_rows(unit([vecs.iloc[i] for i in at]) @ c.T, overlap)
             for i, row in zip(at, top):
-                out[i] = (np.sort(row) + start).tolist()
+                out[i] = (row + start).tolist()
         return pd.Series(out, dtype=object)
 
-    placed = written(known.withColumn("shards", nearest("vec")), "placed")
+    placed = written(known.withColumn("shards", nearest("vec").cast("array<long>")), "placed")
+    if overlap * n_classes > LARGE * first:
+        inner = int(min(MOST_SHARDS, max(2, overlap * n_classes // max(1, first) // SHARD)))
+        placed = written(_cut_again(placed, inner), "placed")
     member = placed.withColumn("shard", F.explode("shards"))
     many = member.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     many = written(many, "blocks")          # one row per shard, at most MOST_SHARDS per vector length
@@ -293,6 +298,53 @@ def _search(known: DataFrame, n_classes: int, threshold: float, overlap: int) ->
             found.filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")))
 
 
+def _nearest_rows(sims: np.ndarray, t: int) -> np.ndarray:
+    """Positions of the ``t`` largest values of each row, ascending."""
+    t = min(t, sims.shape[1])
+    if t == sims.shape[1]:
+        return np.tile(np.arange(t), (len(sims), 1))
+    return np.sort(np.argpartition(-sims, t - 1, axis=1)[:, :t], axis=1)
+
+
+def _cut_again(placed: DataFrame, inner: int) -> DataFrame:
+    """``placed`` with every shard replaced by its members' nearest subshards.
+
+    Centroids are fitted per shard on about 24 members for each (by hash); members are assigned in
+    chunks, each with its shard's centroids beside it, so nothing of a shard meets as a whole.
+    """
+    member = placed.withColumn("shard", F.explode("shards"))
+    sizes = written(member.groupBy("shard").agg(F.count(F.lit(1)).alias("members")), "sizes")
+    member = member.join(sizes, "shard")
+    drawn = F.pmod(F.xxhash64("rep", F.lit("inner")), F.col("members")) < 24 * inner
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = centroids(unit(pdf["vec"]), inner)
+        return pd.DataFrame({"shard": pdf["shard"].iloc[0], "sub": np.arange(len(c)), "centre": list(c)})
+
+    centres = written(member.filter(drawn).select("shard", "vec").groupBy("shard")
+                      .applyInPandas(fit, "shard long, sub long, centre array<double>"), "centres")
+    chunks = sizes.select("shard", F.ceil(F.col("members") / CHUNK).alias("chunks"))
+    left = member.drop("members").join(chunks, "shard").withColumn(
+        "chunk", F.pmod(F.xxhash64("rep", F.lit("chunk")), F.col("chunks")))
+    right = centres.join(chunks, "shard").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+
+    def assign(rows: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({"rep": [], "inside": []})
+        shard = int(rows["shard"].iloc[0])
+        if not len(near):                       # no member of the shard was drawn: it stays whole
+            return pd.DataFrame({"rep": rows["rep"], "inside": [[shard * (MOST_SHARDS + 1) + MOST_SHARDS]] * len(rows)})
+        near = near.sort_values("sub")
+        top = _nearest_rows(unit(rows["vec"]) @ np.array(near["centre"].tolist()).T, INNER)
+        return pd.DataFrame({"rep": rows["rep"], "inside": list(shard * (MOST_SHARDS + 1) + top)})
+
+    parts = left.select("shard", "chunk", "rep", "vec").groupBy("shard", "chunk").cogroup(
+        right.select("shard", "chunk", "sub", "centre").groupBy("shard", "chunk")) \
+        .applyInPandas(assign, "rep long, inside array<long>")
+    inside = parts.groupBy("rep").agg(F.array_sort(F.flatten(F.collect_list("inside"))).alias("shards"))
+    return placed.drop("shards").join(inside, "rep")
+
+
 def _recall(known: DataFrame, links: DataFrame, threshold: float) -> float:
     """Links of sampled classes that the search has counted, as a share of those that exist."""
     asked = bounded_sample(known.select("rep", "vec"), "rep", AUDIT).toPandas()
