@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ventana.llm import chat as C
 from ventana.llm import queries
 
-from conftest import SF01
+from paths import SF01
 
 TREE = [  # tree, node, parent, role, text, score
     (1, 1, None, "user", "hi", 1.0), (1, 2, 1, "assistant", "a", 0.5), (1, 3, 1, "assistant", "b", 2.0),

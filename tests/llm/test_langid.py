@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ventana.llm import langid as L
 from ventana.llm.common import held_out
 
-from conftest import SF01
+from paths import SF01
 
 TINY = [(i, t, g) for i, (t, g) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de"),
                                               ("the house is the home", "en"), ("das haus und der garten", "de")] * 10)]

@@ -4,7 +4,7 @@ import duckdb
 
 from ventana.llm import licenses as L
 
-from conftest import SF01
+from paths import SF01
 
 GIVEN = (("short", "Licensed under the Example terms"), ("long", " ".join(f"term{i}" for i in range(40))),
          ("tiny", "public domain"))

@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from ventana.llm import queries
 from test_simhash_dedup import brute_groups, brute_mark
 
-from conftest import SF001, SF01
+from paths import SF001, SF01
 
 
 def test_registered():

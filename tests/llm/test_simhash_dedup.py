@@ -9,7 +9,7 @@ import xxhash
 from ventana.llm import simhash_dedup as S
 from ventana.llm.common import components
 
-from conftest import SF001
+from paths import SF001
 
 
 def brute_mark(text, words):

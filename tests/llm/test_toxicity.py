@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ventana.llm import toxicity as X
 from ventana.llm.common import held_out
 
-from conftest import SF01
+from paths import SF01
 
 
 @pytest.mark.parametrize("text", ["idiot", "IDIOT!", "1d10t", "іdіоt", "ｉｄｉｏｔ", "id​iot", "id!ot", "𝐢𝐝𝐢𝐨𝐭"])
