@@ -1,5 +1,6 @@
 """Held-out accuracy, back-off, undetermined texts, odd tables."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ventana.llm import langid as L
@@ -28,7 +29,18 @@ def test_backoff(spark):
 def test_held_out_rows_are_not_read(spark):
     docs = spark.createDataFrame(TINY, "doc_id long, text string, lang string")
     changed = docs.withColumn("lang", F.when(held_out("doc_id"), "xx").otherwise(F.col("lang")))
-    assert L.learn(docs) == L.learn(changed)
+    a, b = L.learn(docs), L.learn(changed)
+    assert a.keys() == b.keys() and all(np.array_equal(a[k], b[k]) for k in a)
+
+
+def test_model_bounds_keep_whole_frequencies(spark):
+    docs = spark.createDataFrame(TINY, "doc_id long, text string, lang string")
+    full, small = L.learn(docs), L.learn(docs, words=5, ngrams=7)
+    assert 0 < (small["words_n"] > 0).sum(axis=0).max() <= 5 and (small["grams_n"] > 0).sum(axis=0).max() <= 7
+    for i in range(2):
+        kept = {w for w, n in zip(small["words"], small["words_n"][:, i]) if n}
+        least = min(n for n in small["words_n"][:, i] if n)
+        assert kept == {w for w, n in zip(full["words"], full["words_n"][:, i]) if n >= least}
 
 
 def test_odd_tables(spark):

@@ -7,8 +7,8 @@ as the mean over its n-grams. A text's score per language is the sum over its wo
 is the largest, its score the softmax share.
 
 ``learn`` counts words and n-grams over a hash sample of at most about ``SAMPLE`` labelled rows and
-keeps the ``WORDS`` most frequent words and ``GRAMS`` most frequent n-grams of each language; these
-bounds are parameters of the model. Prediction reads every word of every text.
+keeps at most the ``WORDS`` most frequent words and ``GRAMS`` most frequent n-grams of each language
+(entries of one frequency stay or go together); these bounds are parameters of the model. Prediction reads every word of every text.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; with no labelled row
 every text is ``und``. Ties go to the language first in alphabetical order. Other columns pass
@@ -25,15 +25,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, bounded_sample, held_out, once, shared, text_or_empty
+from .common import Table, bound_batches, bounded_sample, held_out, once, shared, text_or_empty
 
 #: Most labelled rows that learning reads; most words and n-grams kept for a language.
-SAMPLE, WORDS, GRAMS = 30_000, 60_000, 60_000
+SAMPLE, WORDS, GRAMS = 30_000, 50_000, 50_000
 #: Longest n-gram, and words whose scores a worker remembers between batches.
-ORDER, MEMO_WORDS = 5, 250_000
+ORDER, MEMO_WORDS = 5, 200_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -59,7 +59,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lang, word = zip(*tally)
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.string()),
                                               pa.array(list(tally.values()), pa.int64())],
-                                             names=["lang", "word", "n"])
+                                             names=["lang", "entry", "n"])
             tally.clear()
 
     for batch in batches:
@@ -85,7 +85,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lang, gram = zip(*tally)
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(gram, pa.string()),
                                               pa.array(list(tally.values()), pa.int64())],
-                                             names=["lang", "gram", "n"])
+                                             names=["lang", "entry", "n"])
 
 
 def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -95,65 +95,92 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
     some = bounded_sample(known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"),
                                        text_or_empty(text_col).alias("text")), "id", sample).select("lang", "text")
-    tally = (some.mapInArrow(_count, "lang string, word string, n long")
-             .groupBy("lang", "word").agg(F.sum("n").alias("n"))).persist()
-    parts = tally.mapInArrow(_split, "lang string, gram string, n long") \
-        .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-    def most(rows: DataFrame, key: str, n: int) -> list:
-        # the frequency above which a language has about n entries, then exactly n by rank
-        best = Window.partitionBy("lang").orderBy(F.desc("n"), key)
-        return rows.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= n) \
-            .select("lang", key, "n").collect()
-
-    langs = sorted(r.lang for r in tally.select("lang").distinct().collect())
-    at = {x: i for i, x in enumerate(langs)}
-    sums = {r.lang: r.n for r in tally.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    model: dict = {"langs": langs, "totals": [float(sums[x]) for x in langs], "words": {}, "grams": {}}
-    for name, rows, key, n in (("words", tally, "word", words), ("grams", parts, "gram", ngrams)):
-        table = model[name]
-        for r in most(rows, key, n):
-            table.setdefault(r[key], [0] * len(langs))[at[r.lang]] = r.n
-    tally.unpersist()
+    tally = Table(some.mapInArrow(_count, "lang string, entry string, n long")
+                  .groupBy("lang", "entry").agg(F.sum("n").alias("n")), "words")
+    sums = {r.lang: r.n for r in tally.df.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    langs = sorted(sums)
+    model: dict = {"langs": langs, "totals": [float(sums[x]) for x in langs]}
+    split = Table(tally.df.mapInArrow(_split, "lang string, entry string, n long")
+                  .groupBy("lang", "entry").agg(F.sum("n").alias("n")), "grams")
+    for name, rows, most in (("words", tally, words), ("grams", split, ngrams)):
+        model[name], model[f"{name}_n"] = _most_frequent(rows.df, langs, most)
+        rows.drop()
     return model
 
 
+def _most_frequent(rows: DataFrame, langs: list[str], most: int) -> tuple[list[str], np.ndarray]:
+    """Entries (sorted) of the highest frequencies, at most ``most`` a language, and their counts per
+    language.
+
+    The least frequency of a language is read off the number of entries per frequency (a few
+    thousand numbers), so nothing is sorted and no language is gathered in one task.
+    """
+    by: dict[str, list[tuple[int, int]]] = {x: [] for x in langs}
+    for r in rows.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("k")).collect():
+        by[r.lang].append((r.n, r.k))
+    least = {}
+    for lang, counts in by.items():
+        room = most
+        least[lang] = 1 + max([n for n, _ in counts], default=0)
+        for n, k in sorted(counts, reverse=True):
+            if k > room:
+                break
+            room -= k
+            least[lang] = n
+    if not langs:
+        return [], np.zeros((0, 0), np.int64)
+    bar = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(least[lang]))])
+    kept = rows.filter(F.col("n") >= bar[F.col("lang")])
+    wide = kept.groupBy("entry").agg(*[F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0))
+                                       .alias(f"c{i}") for i, x in enumerate(langs)]).toArrow()
+    entries = wide.column("entry").to_pylist()
+    order = sorted(range(len(entries)), key=entries.__getitem__)
+    table = np.stack([wide.column(f"c{i}").to_numpy() for i in range(len(langs))], axis=1).astype(np.int64)
+    return [entries[i] for i in order], table[order]
+
+
 class Scorer:
     """Log scores of words in one worker."""
 
     def __init__(self, model: dict):
         self.langs = model["langs"]
-        self.model = model
-        self.memo: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
-        n = len(self.langs)
-        total = np.array(model["totals"]) if n else np.ones(0)
-        self.word_log = lambda c: np.log((np.array(c) + 0.1) / (total + 0.1 * max(1, len(model["words"]))))
-        by_order = np.ones((ORDER + 1, n))
-        for g, c in model["grams"].items():
-            by_order[min(len(g), ORDER)] += c
-        self.by_order = by_order
+        self.memo: dict[str, int] = {}          # word -> row of ``table``
+        self.table = np.zeros((1024, len(self.langs)))
+        words, grams_ = model["words"], model["grams"]
+        total = np.array(model["totals"] or [1.0])
+        self.word_at = {w: i for i, w in enumerate(words)}
+        self.word_log = np.log((model["words_n"] + 0.1) / (total + 0.1 * max(1, len(words))))
+        size = np.array([min(len(g), ORDER) for g in grams_], np.int64)
+        by_size = np.ones((ORDER + 1, len(self.langs)))
+        np.add.at(by_size, size, model["grams_n"])
+        self.gram_at = {g: i for i, g in enumerate(grams_)}
+        # after the known n-grams, one row per length for the unknown ones
+        counts = np.concatenate([model["grams_n"], np.zeros((ORDER + 1, len(self.langs)))])
+        size = np.concatenate([size, np.arange(ORDER + 1)])
+        self.gram_log = np.log((counts + 0.1) / (by_size[size] + 0.1 * max(1, len(grams_))))
 
     def word(self, w: str) -> np.ndarray:
-        known = self.model["words"].get(w)
-        if known is not None:
-            return self.word_log(known)
-        table = self.model["grams"]
+        at = self.word_at.get(w)
+        if at is not None:
+            return self.word_log[at]
+        get, first = self.gram_at.get, len(self.gram_at)
         for k in range(ORDER, 0, -1):
-            found = [table.get(g) for g in grams(w, k)]
-            if any(c is not None for c in found):
-                zero = [0] * len(self.langs)
-                c = np.array([zero if x is None else x for x in found], float)
-                return np.log((c + 0.1) / (self.by_order[min(k, ORDER)] + 0.1 * len(table))).mean(axis=0)
+            rows = [get(g, first + k) for g in grams(w, k)]
+            if min(rows) < first:
+                return self.gram_log[rows].mean(axis=0)
         return np.zeros(len(self.langs))
 
     def texts(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        memo, rows = self.memo, self.rows
+        memo = self.memo
         split = [lettered(_WORD.findall(t.lower())) for t in texts]
-        for w in {w for s in split for w in s if w not in memo}:
-            memo[w] = len(rows)
-            rows.append(self.word(w))
-        table = np.array(rows).reshape(len(rows), len(self.langs))
+        new = {w for s in split for w in s if w not in memo}
+        if len(memo) + len(new) > len(self.table):
+            more = max(len(new), len(self.table))
+            self.table = np.concatenate([self.table, np.zeros((more, len(self.langs)))])
+        for w in new:
+            memo[w] = at = len(memo)
+            self.table[at] = self.word(w)
+        table = self.table
         langs, scores = [], np.zeros(len(texts))
         get = memo.__getitem__
         for i, s in enumerate(split):
@@ -164,9 +191,8 @@ class Scorer:
             best = int(z.argmax())
             langs.append(self.langs[best])
             scores[i] = 1 / np.exp(np.clip(z - z[best], -700, 0)).sum()
-        if len(rows) > MEMO_WORDS:
+        if len(memo) > MEMO_WORDS:
             memo.clear()
-            rows.clear()
         return langs, scores
 
 
