@@ -200,9 +200,10 @@ def test_forest_draws_from_all_rows(spark):
 
 
 def _signal(spark, n=160):
-    """Next change is a function of today's value, so a model can beat persistence."""
+    """Next change is a noisy function of today's value: a model can beat persistence, and more
+    and more trees only learn the noise."""
     rnd = random.Random(3)
-    rows = [(1, dt.date(2024, 1, 1) + dt.timedelta(days=i), x, 0.5 - x) for i, x in
+    rows = [(1, dt.date(2024, 1, 1) + dt.timedelta(days=i), x, 0.5 - x + rnd.gauss(0, 0.1)) for i, x in
             enumerate(rnd.random() for _ in range(n))]
     return spark.createDataFrame(rows, "user_id long, day date, x double, change double")
 
@@ -222,7 +223,7 @@ def test_gbt_beats_persistence_stops_early_and_is_saved(spark):
     assert 1 <= model.stages[-1].getNumTrees < 40
     err = L.regression_metrics(L.predict(model, df.filter("split = 'test'")), label="change", prediction="prediction").first()
     naive = df.filter("split = 'test'").agg(F.avg(F.abs("change"))).first()[0]
-    assert err["mae"] < 0.3 * naive
+    assert err["mae"] < 0.75 * naive
     again = L.saved_fit(df, folder, fit)
     assert len(fits) == 1 and again.stages[-1].getNumTrees == model.stages[-1].getNumTrees
     L.saved_fit(df.withColumn("x", F.col("x") + 1), folder, fit)
