@@ -138,40 +138,72 @@ class IsolationForestModel:
                        np.asarray(sz, dtype=float)) for f, t, lf, rt, sz in trees]
         self.features = list(features)
         self.psi = psi
-
-    def path_lengths(self, x: np.ndarray) -> np.ndarray:
-        """Mean path length over the forest for each row of x (vectorised)."""
+        self._heap = None
+
+    def _layout(self) -> tuple[int, list]:
+        """(depth, per tree: feature, threshold, path length) in heap order.
+
+        Every tree is filled up to the same depth: below a leaf, rows go left (no threshold is
+        reached) and find the leaf's path length, so all rows take the same number of steps.
+        """
+        if self._heap is None:
+            deep, placed = 0, []
+            for feat, thr, left, right, size in self.trees:
+                at, stack = {}, [(0, 0, 0)]
+                while stack:
+                    node, pos, depth = stack.pop()
+                    at[pos] = (node, depth)
+                    deep = max(deep, depth)
+                    if feat[node] >= 0:
+                        stack += [(left[node], 2 * pos + 1, depth + 1), (right[node], 2 * pos + 2, depth + 1)]
+                placed.append(at)
+            out = []
+            for at, (feat, thr, left, right, size) in zip(placed, self.trees):
+                n = 2 ** (deep + 1) - 1
+                f, t, length = np.zeros(n, np.int64), np.full(n, np.inf), np.zeros(n)
+                for pos in range(n):
+                    if pos in at:
+                        node, depth = at[pos]
+                        if feat[node] >= 0:
+                            f[pos], t[pos] = feat[node], thr[node]
+                        else:
+                            length[pos] = depth + c_factor([size[node]])[0]
+                    else:
+                        length[pos] = length[(pos - 1) // 2]
+                out.append((f, t, length))
+            self._heap = (deep, out)
+        return self._heap
+
+    def path_lengths(self, x: np.ndarray, chunk: int = 4096) -> np.ndarray:
+        """Mean path length over the forest for each row of x (vectorised over rows)."""
+        deep, trees = self._layout()
         total = np.zeros(len(x))
-        rows = np.arange(len(x))
-        for feat, thr, left, right, size in self.trees:
-            node = np.zeros(len(x), dtype=np.int64)
-            depth = np.zeros(len(x))
-            while True:
-                f = feat[node]
-                active = f >= 0
-                if not active.any():
-                    break
-                fa = np.where(active, f, 0)
-                go_left = x[rows, fa] < thr[node]
-                nxt = np.where(go_left, left[node], right[node])
-                node = np.where(active, nxt, node)
-                depth += active
-            total += depth + c_factor(size[node])
+        for a in range(0, len(x), chunk):
+            part = x[a:a + chunk]
+            flat, n = np.ascontiguousarray(part.T).ravel(), len(part)
+            rows = np.arange(n)
+            for f, t, length in trees:
+                node = np.zeros(n, np.int64)
+                for _ in range(deep):
+                    right = flat.take(f.take(node) * n + rows) >= t.take(node)
+                    node = 2 * node + 1 + right
+                total[a:a + n] += length.take(node)
         return total / max(len(self.trees), 1)
 
     def score_column(self, spark) -> F.Column:
         """Arrow-batched scorer over the feature columns (NULL if incomplete)."""
-        bc = spark.sparkContext.broadcast((self.trees, self.features, self.psi))
+        bc = spark.sparkContext.broadcast((self.trees, self.features, self.psi, {}))
 
         @F.pandas_udf(T.DoubleType())
         def score(*cols: pd.Series) -> pd.Series:
-            trees, feats, psi = bc.value
+            trees, feats, psi, own = bc.value       # a worker lays the forest out once
             x = np.column_stack([c.to_numpy(dtype=float, na_value=np.nan) for c in cols])
             ok = ~np.isnan(x).any(axis=1)
             out = np.full(len(x), np.nan)
             if ok.any():
-                model = IsolationForestModel(trees, feats, psi)
-                plen = model.path_lengths(x[ok])
+                if "model" not in own:
+                    own["model"] = IsolationForestModel(trees, feats, psi)
+                plen = own["model"].path_lengths(x[ok])
                 out[ok] = np.power(2.0, -plen / float(c_factor([psi])[0]))
             return pd.Series(out)
 

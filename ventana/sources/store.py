@@ -30,19 +30,19 @@ def store_schema(value_cols: Sequence[str], series_cols: Sequence[str] = (),
 
 def keep_first(batch: DataFrame, key: Sequence[str], order_col: str) -> DataFrame:
     """Within a batch, the first row (by ``order_col``) of each key wins; of rows
-    with equal key and order, the one whose other columns hash lowest.
+    with equal key and order, one does.
 
-    Two hash aggregations of fixed-width numbers (the smallest order of a key,
-    then the smallest row hash among those rows) combine a key's copies before
-    the shuffle; each is joined back to the rows. No aggregation sorts, and the
-    joins are on (key, order), so the copies of a hot key do not meet.
+    A hash aggregation of fixed-width numbers (a key's smallest order and the hash of a
+    row that has it) combines a key's copies before the shuffle and is joined back to the
+    rows. No aggregation sorts, and the join is on (key, order, hash), so the copies of a
+    hot key do not meet.
     """
     cols = batch.columns
     key = list(key)
-    first = batch.groupBy(*key).agg(F.min(order_col).alias("_o")).withColumnRenamed("_o", order_col)
-    rows = _semi(batch, first, [*key, order_col]).withColumn("_h", F.xxhash64(*[F.col(f"`{c}`") for c in cols]))
-    one = rows.groupBy(*key).agg(F.min("_h").alias("_h"))
-    return _semi(rows, one, [*key, "_h"]).select(*cols).distinct()
+    rows = batch.withColumn("_h", F.xxhash64(*[F.col(f"`{c}`") for c in cols]))
+    first = rows.groupBy(*key).agg(F.min(order_col).alias("_o"), F.min_by("_h", order_col).alias("_h")) \
+        .withColumnRenamed("_o", order_col)
+    return _semi(rows, first, [*key, order_col, "_h"]).select(*cols).distinct()
 
 
 def _semi(rows: DataFrame, kept: DataFrame, on: Sequence[str]) -> DataFrame:
