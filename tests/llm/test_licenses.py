@@ -43,3 +43,22 @@ def test_documents(spark):
 def test_no_python_in_the_plan(spark):
     plan = L.scan(spark.read.parquet(f"{SF01}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_short_templates_after_many_endings(spark):
+    """A template of one shingle, and one of three, at the end of 4,000 different texts."""
+    tails = {"MIT": "released under the mit license", "CC-BY-NC-4.0": "licensed under cc by nc 4 0"}
+    docs = spark.range(4000).selectExpr("id as doc_id", "concat_ws(' ', 'start', "
+                                        "sha2(string(id), 256), 'of the', 'w' || id, 'v' || id * 7) as head")
+    for name, tail in tails.items():
+        got = L.scan(docs.selectExpr("doc_id", f"head || ' {tail}' as text")).collect()
+        assert sorted(r.doc_id for r in got if r.license == name) == list(range(4000))
+
+
+def test_scattered_shingles(spark):
+    """Every shingle of a template alone between other words, in 500 texts."""
+    words = GIVEN[1][1].split()
+    rows = [(d, " ".join(f"{' '.join(words[i:i + 5])} x{d}x{i} y{d}y{i} z{d} u{i} q{d}" for i in range(36)))
+            for d in range(500)]
+    got = L.scan(spark.createDataFrame(rows, "doc_id long, text string"), given=GIVEN).collect()
+    assert sorted(r.doc_id for r in got) == list(range(500)) and {r.n_found for r in got} == {36}

@@ -6,11 +6,11 @@ second shingle of a text and at every shingle of a template. Each window has ``B
 values (the least of its shingles' hashes under as many permutations), each its own band: a text
 retrieves a template if a window of the one and a window of the other share a value in one band.
 
-The settings guarantee retrieval: any run of five or more template shingles in a text covers a
-whole window that is equal to one of the template's, so it meets for certain; a run of r = 1 to 4
-shingles fills a window with Jaccard similarity of at least r / 4, which is missed with
-probability (1 - r / 4)^BANDS at most: below 1.1 % for the shortest template (one shingle, 16
-bands), and less as two windows hold each shingle.
+Chance alone would lose matches: a text that holds one shingle of a template in a window of four
+meets it in a band only where that shingle is nearest to the band's constant. So the single shingles
+of a text are keys as well, beside the bands: if ``LEAST`` asks for k of a template's n shingles, a
+text with k of them holds at least one of any n - k + 1, and the template's first n - k + 1 are looked
+up. No match is lost, whatever the length of the template and however its shingles are spread.
 
 What is retrieved is verified exactly: the share of the template's shingles (as strings) that the
 text contains must reach ``LEAST``. The result says which share, how often and where.
@@ -101,16 +101,32 @@ def constants() -> list[int]:
     return [x - (1 << 64) if x >= 1 << 63 else x for x in odd]
 
 
-def bands(rows: DataFrame, *keep: str) -> DataFrame:
+def bands(rows: DataFrame, *keep: str, single: bool = False) -> DataFrame:
     """(keep..., band, value): the MinHash values of windows given as columns h0..h3.
 
     The permutations of the 64-bit hashes are exclusive ors with one constant each, so a value is
-    the hash nearest to the band's constant.
+    the hash nearest to the band's constant. With ``single`` also each shingle's own hash, as band 0
+    (no band's constant is).
     """
-    each = rows.select(*keep, *[f"h{k}" for k in range(WINDOW)],
-                       F.explode(F.array(*map(F.lit, constants()))).alias("band"))
-    return each.select(*keep, "band", F.least(*[F.col(f"h{k}").bitwiseXOR(F.col("band"))
-                                                for k in range(WINDOW)]).alias("value"))
+    h = [F.col(f"h{k}") for k in range(WINDOW)]
+    own = range(-WINDOW, 0) if single else ()       # places of the window's shingles, from its end
+    each = rows.select(*keep, *h, F.explode(F.array(*[F.lit(x).cast("long") for x in [*constants(), *own]])).alias("c"))
+    value = F.least(*[x.bitwiseXOR(F.col("c")) for x in h])
+    band = F.col("c")
+    if single:
+        value = F.when(F.col("c").between(-WINDOW, -1), F.get(F.array(*h), (F.col("c") + WINDOW).cast("int"))) \
+            .otherwise(value)
+        band = F.when(F.col("c").between(-WINDOW, -1), F.lit(0).cast("long")).otherwise(F.col("c"))
+    return each.select(*keep, band.alias("band"), value.alias("value"))
+
+
+def needed(template: Column, least: float) -> Column:
+    """Hashes of the first n - k + 1 of a template's n shingles, where ``least`` asks for k of them."""
+    def first(h: Column) -> Column:
+        enough = F.filter(F.sequence(F.lit(1), F.size(h)), lambda j: j / F.size(h) >= least)
+        return F.when(F.size(h) > 0, F.slice(h, F.lit(1), F.size(enough)))
+
+    return let(F.array_distinct(shingle_hashes(template)), first)
 
 
 def templates(spark: SparkSession, given=TEMPLATES) -> DataFrame:
@@ -123,13 +139,14 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", giv
     that it contains, from the word (from 0) where the first of its shingles stands."""
     spark = docs.sparkSession
     t = templates(spark, given)
-    known = bands(t.select("license", F.inline(windows(F.col("template"), 1))), "license").distinct()
+    known = bands(t.select("license", F.inline(windows(F.col("template"), 1))), "license") \
+        .union(t.select("license", F.lit(0).cast("long"), F.explode(needed(F.col("template"), least)))).distinct()
     # the key only names candidates: rows of one key by chance are verified like all others
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")) \
         .withColumn("key", F.xxhash64("id", "text"))
     cut = rows.select("key", F.inline(windows(F.col("text"), 2)))
     # written, so that its size is known when the join with the texts is planned
-    met = written(bands(cut, "key").join(F.broadcast(known), ["band", "value"])
+    met = written(bands(cut, "key", single=True).join(F.broadcast(known), ["band", "value"])
                   .groupBy("key").agg(F.collect_set("license").alias("found")), "met")
     want = t.select("license", F.array_distinct(shingle_strings(F.col("template"))).alias("want"))
 
