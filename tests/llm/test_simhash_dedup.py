@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 from ventana.llm import simhash_dedup as S
-from ventana.llm.common import components
+from ventana.llm.common import _fingerprint, components
 
 from paths import SF001
 
@@ -114,3 +114,11 @@ def test_components(spark):
                 changed = True
     assert got == label
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_fingerprint_of_many_edges(spark):
+    """Twenty million edges: their number and hashes, without an overflow; one edge changed shows."""
+    e = spark.range(20_000_000).selectExpr("id + 1 as u", "id div 3 as v")
+    state = _fingerprint(e)
+    assert state[0] == 20_000_000
+    assert state != _fingerprint(e.selectExpr("u", "if(u = 77, 0L, v) as v"))

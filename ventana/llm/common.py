@@ -131,8 +131,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 
 
 def _fingerprint(e: DataFrame) -> tuple:
-    row = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").bitwiseAND(0xFFFFFFFFFF)),
-                F.sum(F.xxhash64("v", "u").bitwiseAND(0xFFFFFFFFFF))).first()
+    """Number of distinct edges and exclusive ors of their hashes, which no number of them overflows."""
+    row = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
     return tuple(row)
 
 
