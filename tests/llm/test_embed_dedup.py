@@ -88,3 +88,30 @@ def test_audit(spark):
     want = brute(rows)
     got = {r.rep: r.links_true for r in E.brute_force(known, [0, 5, 250], [rows[i][1] for i in (0, 5, 250)], 0.95).collect()}
     assert got == {i: want[i][0] for i in (0, 5, 250)}
+
+
+def test_below_recall_at_the_most_overlap_compares_all(spark, monkeypatch):
+    """A search that still loses links at the most overlap is replaced by all pairs, in blocks."""
+    search = E._search
+
+    def lossy(known, n_classes, threshold, overlap, exact=False):
+        links, edges = search(known, n_classes, threshold, overlap, **({"exact": True} if exact else {}))
+        return (links, edges) if exact else (links.filter("rep % 2 = 0"), edges.filter("a % 2 = 0"))
+
+    monkeypatch.setattr(E, "_search", lossy)
+    monkeypatch.setattr(E, "BLOCK", 60)
+    rows = clustered(300) + [(900 + i, [1.0, i / 9]) for i in range(5)]
+    want = brute(rows)
+    out = E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), overlap=16).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in out} == want
+
+
+def test_audit_weighs_classes_not_links(spark):
+    """Lost pairs show beside a dense group whose links are all found."""
+    rng = np.random.default_rng(4)
+    dense = rng.normal(size=32) * 9 + rng.normal(size=(300, 32)) * 0.5
+    pairs = np.repeat(rng.normal(size=(60, 32)), 2, axis=0) + rng.normal(size=(120, 32)) * 0.01
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([dense, pairs]))]
+    known = spark.createDataFrame([(i, v, 1) for i, v in rows], "rep long, vec array<double>, n long")
+    links = spark.createDataFrame([(i, n) for i, (n, _) in brute(rows).items() if i < 300], "rep long, links long")
+    assert 0.6 < E._recall(known, links, 0.95) < 0.8

@@ -15,7 +15,10 @@
    either side counts in the first shard that both share, so once.
 5. **Verify**: cosines are computed in double precision; only those at or above the threshold link.
 6. **Audit**: the links of ``AUDIT`` sampled classes are counted against all rows by brute force, in
-   blocks; below ``RECALL`` the search is repeated with twice the overlap.
+   blocks, and more classes are drawn, up to ``MOST_AUDIT``, until ``ENOUGH`` of them have links. The
+   share found is averaged over classes, so that a dense group does not outweigh the others. Below
+   ``RECALL`` the search is repeated with twice the overlap; where ``MOST_OVERLAP`` is below it too,
+   all pairs are compared, in blocks.
 
 Links never leave a cell: each member sends its number of links and one edge of a spanning forest,
 so a dense group of any size sends rows in proportion to its members. Components are then found on
@@ -41,7 +44,7 @@ SAMPLE, SHARD, BLOCK, MOST_SHARDS = 20_000, 1_200, 2_048, 4_096
 LARGE, INNER, CHUNK = 8_192, 2, 20_000
 DEGREE, NEAR, FAR, ALPHA = 24, 48, 24, 1.2
 BEAM, STEP, SLACK, QUERIES = 24, 4, 0.06, 256
-AUDIT, RECALL, MOST_OVERLAP = 1_024, 0.97, 16
+AUDIT, MOST_AUDIT, ENOUGH, RECALL, MOST_OVERLAP = 1_024, 8_192, 100, 0.97, 16
 
 
 def unit(vectors) -> np.ndarray:
@@ -190,7 +193,10 @@ def near_duplicates(rows: DataFrame, *, threshold: float = 0.95, id_col: str = "
     n_classes = known.count()
     while True:
         links, edges = _search(known, n_classes, threshold, overlap)
-        if overlap >= MOST_OVERLAP or _recall(known, links, threshold) >= RECALL:
+        if _recall(known, links, threshold) >= RECALL:
+            break
+        if overlap >= MOST_OVERLAP:
+            links, edges = _search(known, n_classes, threshold, overlap, exact=True)
             break
         overlap *= 2
     comp = components(edges)
@@ -206,7 +212,15 @@ def near_duplicates(rows: DataFrame, *, threshold: float = 0.95, id_col: str = "
         F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def _search(known: DataFrame, n_classes: int, threshold: float, overlap: int) -> tuple[DataFrame, DataFrame]:
+def _search(known: DataFrame, n_classes: int, threshold: float, overlap: int,
+            exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rep, links) and spanning edges (a, b); if ``exact``, of all pairs of vectors of one length."""
+    if exact:
+        whole = known.withColumn("shards", F.array(F.size("vec").cast("long"))) \
+            .withColumn("near", F.array().cast("array<long>"))
+        sizes = whole.groupBy(F.col("shards")[0].alias("shard")) \
+            .agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        return _cells(whole, written(sizes, "blocks"), threshold, exact)
     spark = known.sparkSession
     some = bounded_sample(known.select("rep", "vec"), "rep", SAMPLE).select("vec").toPandas()["vec"]
     by_size: dict[int, list] = {}
@@ -241,22 +255,26 @@ def _search(known: DataFrame, n_classes: int, threshold: float, overlap: int) ->
     many = member.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     many = written(many, "blocks")          # one row per shard, at most MOST_SHARDS per vector length
 
-    def blocked(df: DataFrame) -> DataFrame:
-        return df.join(many, "shard").withColumn(
-            "block", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).cast("int"))
-
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep")
         ids = pdf["rep"].to_numpy()
         adj = build_graph(unit(pdf["vec"]))
         return pd.DataFrame({"rep": ids, "near": [ids[r[r >= 0]] for r in adj]})
 
-    lists = blocked(member.select("rep", "vec", "shard")).groupBy("shard", "block") \
+    lists = _blocked(member.select("rep", "vec", "shard"), many).groupBy("shard", "block") \
         .applyInPandas(build, "rep long, near array<long>")
     union = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    graph = written(placed.join(union, "rep"), "graph")
+    return _cells(written(placed.join(union, "rep"), "graph"), many, threshold, exact)
+
 
-    cells = blocked(graph.withColumn("shard", F.explode("shards"))).withColumn(
+def _blocked(df: DataFrame, many: DataFrame) -> DataFrame:
+    return df.join(many, "shard").withColumn(
+        "block", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).cast("int"))
+
+
+def _cells(graph: DataFrame, many: DataFrame, threshold: float, exact: bool) -> tuple[DataFrame, DataFrame]:
+    """Links and spanning edges of every pair of blocks of each shard."""
+    cells = _blocked(graph.withColumn("shard", F.explode("shards")), many).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
         .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
 
@@ -267,16 +285,20 @@ def _search(known: DataFrame, n_classes: int, threshold: float, overlap: int) ->
         ids, block, weight = pdf["rep"].to_numpy(), pdf["block"].to_numpy(), pdf["n"].to_numpy()
         x = unit(pdf["vec"])
         n = len(ids)
-        near = []
-        for own, r in zip(ids, pdf["near"]):
-            at = np.minimum(np.searchsorted(ids, r), n - 1)
-            near.append(at[(ids[at] == r) & (r != own)])
-        starts, neighbours = both_ways(near, n)
-        medoids = []
-        for b in np.unique(block):
-            at = np.flatnonzero(block == b)
-            medoids.append(at[int((x[at] @ x[at].mean(axis=0)).argmax())])
-        hits = search_cell(x, starts, neighbours, np.array(medoids), threshold)
+        if exact:
+            hits = x @ x.T >= threshold
+            np.fill_diagonal(hits, False)
+        else:
+            near = []
+            for own, r in zip(ids, pdf["near"]):
+                at = np.minimum(np.searchsorted(ids, r), n - 1)
+                near.append(at[(ids[at] == r) & (r != own)])
+            starts, neighbours = both_ways(near, n)
+            medoids = []
+            for b in np.unique(block):
+                at = np.flatnonzero(block == b)
+                medoids.append(at[int((x[at] @ x[at].mean(axis=0)).argmax())])
+            hits = search_cell(x, starts, neighbours, np.array(medoids), threshold)
         if apart:
             hits &= block[:, None] != block[None, :]
         label = spanning(hits)
@@ -346,12 +368,18 @@ def _cut_again(placed: DataFrame, inner: int) -> DataFrame:
 
 
 def _recall(known: DataFrame, links: DataFrame, threshold: float) -> float:
-    """Links of sampled classes that the search has counted, as a share of those that exist."""
-    asked = bounded_sample(known.select("rep", "vec"), "rep", AUDIT).toPandas()
-    truth = brute_force(known, asked["rep"].tolist(), list(asked["vec"]), threshold)
-    there = truth.join(links, "rep", "left").agg(
-        F.sum("links_true"), F.sum(F.least(F.coalesce("links", F.lit(0)), "links_true"))).first()
-    return 1.0 if not there[0] else there[1] / there[0]
+    """Share of the links of a sampled class that the search has counted, averaged over classes with links."""
+    bound = AUDIT
+    while True:
+        asked = bounded_sample(known.select("rep", "vec"), "rep", bound).toPandas()
+        truth = brute_force(known, asked["rep"].tolist(), list(asked["vec"]), threshold)
+        found = F.least(F.coalesce("links", F.lit(0)), "links_true") / F.col("links_true")
+        n, share = truth.filter("links_true > 0").join(links, "rep", "left") \
+            .agg(F.count(F.lit(1)), F.avg(found)).first()
+        # where no class of the largest sample has a link, there is no loss that it could show
+        if n >= ENOUGH or bound >= MOST_AUDIT:
+            return 1.0 if not n else share
+        bound *= 8
 
 
 def brute_force(known: DataFrame, reps: list, vecs: list, threshold: float) -> DataFrame:
