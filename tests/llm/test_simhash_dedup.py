@@ -90,6 +90,16 @@ def test_odd_tables(spark):
     assert S.groups(docs.limit(0)).count() == 0 and S.keep_one(docs.limit(0)).count() == 0
 
 
+def test_one_id_with_several_texts(spark):
+    """Each text of a repeated id is in the group of its own fingerprint."""
+    a, b, c, d = ("red apples fall from old trees", "grey stones lie under cold water",
+                  "nine ships sail past green islands", "tall grass bends in warm wind")
+    rows = [(1, a), (2, b), (2, a), (2, c), (1, d), (3, b), (1, a), (4, c)]
+    for n in (1, 4):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        assert sorted(map(tuple, S.keep_one(docs).collect())) == [(1, a), (1, d), (2, b), (2, c)]
+
+
 def test_many_copies_are_one_group(spark):
     docs = spark.range(3000).selectExpr("id as doc_id", "'the same text again and again' as text")
     assert S.groups(docs).filter("component_id = 0").count() == 3000

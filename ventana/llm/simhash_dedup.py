@@ -72,13 +72,16 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                  words: int = 3) -> DataFrame:
     """(id, fingerprint as signed 64-bit number) for each row."""
     bound_batches(docs.sparkSession)
+    return docs.select(F.col(id_col), mark_of(text_col, words).alias("fingerprint"))
 
+
+def mark_of(text_col: str, words: int) -> Column:
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         marks = [majority_bits(shingle_hashes(t, words)) for t in texts]
         return pd.Series(np.array(marks, np.uint64).view(np.int64))
 
-    return docs.select(F.col(id_col), of(text_or_empty(text_col)).alias("fingerprint"))
+    return of(text_or_empty(text_col))
 
 
 def segments(radius: int) -> list[tuple[int, int]]:
@@ -150,14 +153,24 @@ def hex_digits(c: Column) -> Column:
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3,
              radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group, with all their columns.
+    """One row of ``docs`` for each group, that of the smallest id, with all its columns.
 
-    Repeated rows of that id are reduced to one. Rows without an id cannot be told apart and stay.
+    Rows go by their own fingerprint, also where several texts share an id. Repeated rows of the id
+    and fingerprint that stay are reduced to the first by a hash of the text, then by the other
+    columns. Rows without an id cannot be told apart and stay.
     """
-    kept = (groups(docs, id_col=id_col, text_col=text_col, words=words, radius=radius)
-            .filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct())
-    named = docs.join(kept, id_col, "left_semi")
-    mark = "_nth_" + "_".join(docs.columns)[:40]
-    one = (named.withColumn(mark, F.row_number().over(Window.partitionBy(id_col).orderBy(id_col)))
-           .filter(F.col(mark) == 1).select(*[F.col(f"`{c}`") for c in docs.columns]))
+    bound_batches(docs.sparkSession)
+    mark = "_mark_" + "_".join(docs.columns)[:40]
+    nth = "_nth_" + "_".join(docs.columns)[:40]
+    named = written(docs.filter(F.col(id_col).isNotNull()).withColumn(mark, mark_of(text_col, words)), "marked")
+    reps = written(named.groupBy(F.col(mark).alias("fingerprint")).agg(F.min(id_col).alias("rep")), "reps")
+    joined = components(links(reps, radius=radius, rep="fingerprint"))
+    first = (reps.join(joined, reps.fingerprint == joined.node, "left")
+             .groupBy(F.coalesce("component", "fingerprint").alias("group"))
+             .agg(F.min(F.struct("rep", "fingerprint")).alias("m"))
+             .select(F.col("m.rep").alias(id_col), F.col("m.fingerprint").alias(mark)))
+    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]))
+    order = Window.partitionBy(id_col, mark).orderBy(F.xxhash64(text_col), others)
+    one = (named.join(first, [id_col, mark], "left_semi").withColumn(nth, F.row_number().over(order))
+           .filter(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns]))
     return one.unionByName(docs.filter(F.col(id_col).isNull()))
