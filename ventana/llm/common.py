@@ -8,6 +8,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import remove_path, scratch_path
 
@@ -56,6 +57,17 @@ def once(state: dict, key: str, build: Callable[[], Any]) -> Any:
     return state[key]
 
 
+def quoted(name: str) -> str:
+    """A column name as Spark reads it, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def map_arrow(rows: DataFrame, fn: Callable, schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` for columns of any name: inside, columns are called by their numbers."""
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
+    return rows.toDF(*[f"c{i}" for i in range(len(rows.columns))]).mapInArrow(fn, plain).toDF(*schema.names)
+
+
 def text_or_empty(col: str | Column) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     return F.coalesce(c.cast("string"), F.lit(""))
@@ -137,4 +149,4 @@ def _fingerprint(e: DataFrame) -> tuple:
 
 
 __all__ = ["BATCH_ROWS", "Table", "bound_batches", "bounded_sample", "components",
-           "hamming", "held_out", "once", "remainder", "shared", "text_or_empty", "written"]
+           "hamming", "held_out", "map_arrow", "once", "quoted", "remainder", "shared", "text_or_empty", "written"]

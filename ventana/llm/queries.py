@@ -12,13 +12,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embed_dedup, fingerprint, langid, licenses, packing, simhash_dedup, token_count, toxicity
+from . import (bpe, chat, embed_dedup, fingerprint, langid, licenses, packing, pieces, simhash_dedup,
+               token_count, toxicity)
 from .common import held_out, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 
 def query(name: str, sql: str | None = None):
@@ -150,3 +152,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
                         public_tokenizers.path(RANKS), capacity=1024, end_id=2)
 
 
+@query("op11_sentencepiece")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document and the text decoded from them, as digests."""
+    path = public_tokenizers.path(PIECES)
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    both = pieces.decode(coded.select("doc_id", "ids"), path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
