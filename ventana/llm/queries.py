@@ -12,9 +12,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, chat, embed_dedup, fingerprint, langid, licenses, packing, pieces, simhash_dedup,
-               token_count, toxicity)
-from .common import held_out, written
+from . import (bpe, chat, embed_dedup, fingerprint, langid, lexical, licenses, packing, pieces, simhash_dedup,
+               token_count, toxicity, trie)
+from .common import held_out, remainder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -161,3 +161,17 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op12_conversation_trie", trie.oracle())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prefix of the conversations, whose starts are lent from the first of each hundred."""
+    turns = trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    members, rebuilt = trie.share_heads(turns.df, every=100, most=6, heads=remainder("member", 6))
+    return trie.prefix_trie(members, rebuilt)
+
+
+@query("op13_lexical_search", lexical.oracle())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=10)
