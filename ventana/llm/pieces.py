@@ -33,6 +33,8 @@ from __future__ import annotations
 import codecs
 import re
 from collections.abc import Iterator
+from itertools import chain
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -43,13 +45,14 @@ from pyspark.sql import types as T
 
 from .common import bound_batches, map_arrow, once, quoted, shared
 
-#: Words and pairs of pieces that a worker remembers; others are worked out again.
-MEMO_WORDS = 250_000
+#: Words (about 200 bytes each) and pairs of pieces that a worker remembers; others are worked out again.
+MEMO_WORDS = 500_000
 MEMO_PAIRS = 1_000_000
 SPACE = "▁"
 #: A character that is no piece, and no piece at all, in the table of prefixes.
 UNKNOWN, NOTHING = -1, -2
 _LETTER = re.compile(r"[^\W\d_]")
+MOST_ODD = 50
 
 
 def _each_byte(error: UnicodeDecodeError) -> tuple[str, int]:
@@ -89,8 +92,8 @@ class Model:
             self.leads.append(piece.startswith(SPACE) and self.id.get(piece) == i)
         self.text = {i: p for p, i in self.id.items()}
         self.score = {p: sp.get_score(i) for p, i in self.id.items()}
-        if min(self.byte) < 0:
-            raise ValueError(f"{path}: no byte pieces")
+        if min(self.byte) < 0 or not set().union(*self.id) <= {p for p in self.id if len(p) == 1}:
+            raise ValueError(f"{path}: no byte pieces, or characters of pieces that are no pieces")
         self._refuse_other_models(sp)
         self.word = re.compile(self._pattern())
 
@@ -125,17 +128,23 @@ class Model:
 
     def _pattern(self) -> str:
         """Words end where no piece of the vocabulary goes on."""
+        pairs = {ab for p in self.id for ab in zip(p, p[1:])}
+        # signs that the pattern counts as letters, but that pieces join to other signs (a few like "²")
+        odd = {a for a, b in pairs if _LETTER.match(a) and b != SPACE and not _LETTER.match(b)}
+        odd = "".join(sorted(odd)) if len(odd) <= MOST_ODD else ""
+        letter = re.compile(rf"[^\W\d_{odd}]")
+
         def kind(c: str) -> str:
-            return "s" if c == SPACE else "l" if _LETTER.match(c) else "o"
-        inside = {kind(a) + kind(b) for p in self.id for a, b in zip(p, p[1:])}
-        s, letter, other = f"{SPACE}*", r"[^\W\d_]", rf"(?:[^{SPACE}\w]|[\d_])"
+            return "s" if c == SPACE else "l" if letter.match(c) else "o"
+        inside = {kind(a) + kind(b) for a, b in pairs}
+        s, letters, others = f"{SPACE}*", letter.pattern + "+", rf"(?:[^{SPACE}\w]|[\d_{odd}])+"
         if inside & {"ls", "os"}:
             return r"(?s:.+)"
         if "lo" in inside:
             return rf"{s}[^{SPACE}]+|{SPACE}+"
         if "ol" in inside:
-            return rf"{s}(?:{letter}+|{other}+{letter}*)|{SPACE}+"
-        return rf"{s}(?:{letter}+|{other}+)|{SPACE}+"
+            return rf"{s}(?:{letters}|{others}{letter.pattern}*)|{SPACE}+"
+        return rf"{s}(?:{letters}|{others})|{SPACE}+"
 
 
 class Encoder:
@@ -144,42 +153,45 @@ class Encoder:
     def __init__(self, path: str):
         import ahocorasick
         self.model = m = Model(path)
+        self.size = len(m.spell)
         self.matches = ahocorasick.Automaton()
         for p, i in m.id.items():
             if m.merge(p) == [p]:            # merging never makes the others as a whole
                 self.matches.add_word(p, (i, len(p)))
         self.matches.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.alone = {p for p in m.id if len(p) == 1}
+        self.pairs: dict[int, bool] = {}
         self.memo: dict[str, bytes] = {}
 
     def compatible(self, x: int, y: int) -> bool:
-        if x < 0:
-            return True
-        good = self.pairs.get((x, y))
-        if good is None:
+        """Whether the pieces x and y are the encoding of their joined text; anything may follow a text's start or an
+        unknown character. Remembered under ``x * size + y``."""
+        good = True
+        if x >= 0:
             a, b = self.model.text[x], self.model.text[y]
-            if len(self.pairs) >= MEMO_PAIRS:
-                self.pairs.clear()
-            good = self.pairs[x, y] = self.model.merge(a + b) == [a, b]
+            good = self.model.merge(a + b) == [a, b]
+        if len(self.pairs) >= MEMO_PAIRS:
+            self.pairs.clear()
+        self.pairs[x * self.size + y] = good
         return good
 
     def prefixes(self, word: str) -> tuple[list[int], list[int]]:
         """The last piece of each prefix (by its end) and the piece's length."""
-        n = len(word)
+        n, pairs, size_ = len(word), self.pairs, self.size
         last, size = [NOTHING] * (n + 1), [0] * (n + 1)
-        done = 0
+        if not self.alone.issuperset(word):
+            for i, c in enumerate(word):
+                if c not in self.alone:      # no piece ends here but the character itself
+                    last[i + 1], size[i + 1] = UNKNOWN, 1
         for end, (piece, length) in self.matches.iter(word):
             end += 1
-            while done < end - 1:            # characters at which no piece ends
-                done += 1
-                if last[done] == NOTHING:
-                    last[done], size[done] = UNKNOWN, 1
-            if last[end] == NOTHING and self.compatible(last[end - length], piece):
-                last[end], size[end] = piece, length
-        while done < n:
-            done += 1
-            if last[done] == NOTHING:
-                last[done], size[done] = UNKNOWN, 1
+            if last[end] == NOTHING:
+                before = last[end - length]
+                good = pairs.get(before * size_ + piece)
+                if good is None:
+                    good = self.compatible(before, piece)
+                if good:
+                    last[end], size[end] = piece, length
         return last, size
 
     def word_ids(self, word: str) -> list[int]:
@@ -187,10 +199,11 @@ class Encoder:
         out: list[int] = []
         at = len(word)
         while at:
-            if last[at] == UNKNOWN:
+            piece = last[at]
+            if piece == UNKNOWN:
                 out.extend(self.model.byte[b] for b in reversed(word[at - 1].encode()))
             else:
-                out.append(last[at])
+                out.append(piece)
             at -= size[at]
         out.reverse()
         return out
@@ -198,9 +211,10 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         memo, find = self.memo, self.model.word.findall
         rows = [find(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        fresh = {w for row in rows for w in row if w not in memo}
+        fresh = set(chain.from_iterable(rows)).difference(memo)
         for w in fresh:
-            memo[w] = np.array(self.word_ids(w), "<i4").tobytes()
+            ids = self.word_ids(w)
+            memo[w] = pack(f"<{len(ids)}i", *ids)
         get = memo.__getitem__
         out = [np.frombuffer(b"".join(map(get, row)), "<i4") for row in rows]
         if len(memo) > MEMO_WORDS:
