@@ -195,18 +195,19 @@ def _contracted(alive: DataFrame, sums: list[str], r: int) -> DataFrame:
                       F.lit(False))
     # a node that goes is told to its child, every other one to itself: one aggregation brings them together
     told = raked.withColumn("goes", goes).withColumn("to", F.when(F.col("goes"), F.col("child")).otherwise(F.col("node")))
-    own = ["parent", "kids", *[f"own_{s}" for s in sums], *[f"edge_{s}" for s in sums]]
+    stays, goes = ~F.col("goes"), F.col("goes")
     met = told.groupBy(F.col("to").alias("node")).agg(
-        F.max(F.when(~F.col("goes"), F.struct(*own))).alias("me"),
-        F.max(F.when(F.col("goes"), F.struct("node", *own))).alias("up"))
-    up = F.col("up").isNotNull()
+        F.max(F.when(stays, F.col("parent"))).alias("parent"), F.max(F.when(stays, F.col("kids"))).alias("kids"),
+        F.max(F.when(goes, F.col("node"))).alias("gone"), F.max(F.when(goes, F.col("parent"))).alias("above"),
+        *[F.max(F.when(stays, F.col(f"{k}_{s}"))).alias(f"{k}_{s}") for s in sums for k in ("own", "edge")],
+        *[F.max(F.when(goes, F.col(f"{k}_{s}"))).alias(f"up_{k}_{s}") for s in sums for k in ("own", "edge")])
+    up = F.col("gone").isNotNull()
     return met.select(
-        "node", F.when(up, F.col("up.parent")).otherwise(F.col("me.parent")).alias("parent"), F.col("me.kids").alias("kids"),
-        *[F.col(f"me.own_{s}").alias(f"own_{s}") for s in sums],
-        *[(F.col(f"me.edge_{s}") + F.when(up, F.col(f"up.own_{s}") + F.col(f"up.edge_{s}")).otherwise(0)).alias(f"edge_{s}")
+        "node", F.when(up, F.col("above")).otherwise(F.col("parent")).alias("parent"), "kids",
+        *[f"own_{s}" for s in sums],
+        *[(F.col(f"edge_{s}") + F.when(up, F.col(f"up_own_{s}") + F.col(f"up_edge_{s}")).otherwise(0)).alias(f"edge_{s}")
           for s in sums],
-        F.col("up.node").alias("gone"),
-        *[(F.col(f"up.own_{s}") + F.col(f"me.edge_{s}")).alias(f"gone_{s}") for s in sums])
+        "gone", *[(F.col(f"up_own_{s}") + F.col(f"edge_{s}")).alias(f"gone_{s}") for s in sums])
 
 
 def prefix_trie(members: DataFrame, turns: DataFrame, block: int = BLOCK) -> DataFrame:
