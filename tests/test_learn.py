@@ -216,18 +216,21 @@ def test_gbt_beats_persistence_stops_early_and_is_saved(spark):
     def fit(rows):
         fits.append(1)
         return L.fit_gbt(rows.filter("split = 'train'"), validation=rows.filter("split = 'test'"), features=["x"],
-                         label="change", maxIter=40, stepSize=0.5, subsamplingRate=1.0)
+                         label="change", maxIter=40, stepSize=0.5, subsamplingRate=1.0, patience=3)
 
     folder = tempfile.mkdtemp()
     model = L.saved_fit(df, folder, fit)
-    assert 1 <= model.stages[-1].getNumTrees < 40
+    assert 1 <= model.n_trees < 40
     err = L.regression_metrics(L.predict(model, df.filter("split = 'test'")), label="change", prediction="prediction").first()
     naive = df.filter("split = 'test'").agg(F.avg(F.abs("change"))).first()[0]
     assert err["mae"] < 0.75 * naive
     again = L.saved_fit(df, folder, fit)
-    assert len(fits) == 1 and again.stages[-1].getNumTrees == model.stages[-1].getNumTrees
+    assert len(fits) == 1 and again == model
     L.saved_fit(df.withColumn("x", F.col("x") + 1), folder, fit)
     assert len(fits) == 2                       # other rows, another model
+    L.saved_fit(df, folder, fit, settings={"maxIter": 41})
+    L.saved_fit(df.withColumnRenamed("x", "z").withColumnRenamed("z", "x"), folder, fit)
+    assert len(fits) == 3                       # other settings, another model; the same again is found
     imp = L.importances(model, ["x"])
     assert math.isclose(sum(v for _, v in imp), 1.0)
     import pytest

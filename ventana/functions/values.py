@@ -110,7 +110,9 @@ BASELINE_METRICS = {"mae_pm25": 2.0927, "mse_pm": 8.4486, "mae_aqi": 0.9453, "ms
 
 # Model defaults: boosted trees for the daily model, two-target hourly model.
 GBT_DAILY = {"maxIter": 500, "stepSize": 0.05, "maxDepth": 5, "subsamplingRate": 0.8}
-GBT_HOURLY = {"maxIter": 500, "stepSize": 0.03, "maxDepth": 6}
+GBT_HOURLY = {"maxIter": 500, "stepSize": 0.03, "maxDepth": 6, "subsamplingRate": 1.0, "gamma": 0.1, "regAlpha": 0.1}
+#: Rounds without gain after which the daily model of the notebook stops.
+GBT_PATIENCE = 50
 
 # Isolation forest defaults.
 IFOREST_TREES = 100

@@ -1,9 +1,8 @@
 """Metrics, back-test, retrain decision, boosted trees, PCA, forecast
 (M4-M8, M10-M13, W12).
 
-Model fitting uses ``pyspark.ml`` (distributed tree and matrix aggregation);
-everything around it -- features, metrics, back-test selection, decisions --
-is plain DataFrame code. Only model parameters (a few numbers per feature or
+Trees are fitted by ``boosting`` (aggregated histograms); everything around them --
+features, metrics, back-test selection, decisions -- is plain DataFrame code. Only model parameters (a few numbers per feature or
 component) are read on the driver.
 """
 
@@ -12,16 +11,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark import StorageLevel
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..session import checkpoint_dir, path_exists
 from ..functions.exprs import level4, level4_advice, rounded
+from . import boosting
 from . import windows as W
 from .features import DAILY_FEATURES, daily_features
 
@@ -151,70 +146,32 @@ def monitoring_report(quality: DataFrame, performance: DataFrame, *, baseline: d
 # --- boosted trees -------------------------------------------------------------
 
 def fit_gbt(train: DataFrame, *, features: Sequence[str], label: str, seed: int = 42,
-            validation: DataFrame | None = None, **params) -> PipelineModel:
-    """M4/M5: squared-error gradient-boosted trees on assembled features.
+            validation: DataFrame | None = None, **params) -> boosting.Boosted:
+    """M4/M5: squared-error boosted trees, by default with the published settings of the daily model.
 
-    With ``validation`` (the later rows of the ordered split), boosting stops early. The
-    published rule waits 50 rounds without gain; Spark ML's stops at the first round whose
-    validation error does not fall below the best one (``validationTol`` 0) and keeps the
-    best model, which is the nearest it offers.
-
-    Boosting checkpoints its running predictions every ``checkpointInterval``
-    rounds into the shared checkpoint folder, so 500 rounds keep a short lineage.
-    """
-    checkpoint_dir(train.sparkSession)
-    # node ids cached on the executors instead of re-evaluating every tree each round
-    opts = {**V.GBT_DAILY, "cacheNodeIds": True, "checkpointInterval": 10}
-    rows = train.select(*features, label).withColumn("_held", F.lit(False))
-    if validation is not None and not validation.isEmpty():
-        rows = rows.unionByName(validation.select(*features, label).withColumn("_held", F.lit(True)))
-        opts.update(validationIndicatorCol="_held", validationTol=0.0)
-    opts.update(params)
-    assembler = VectorAssembler(inputCols=list(features), outputCol="_features")
-    gbt = GBTRegressor(featuresCol="_features", labelCol=label, predictionCol="prediction",
-                       lossType="squared", seed=seed, **opts)
-    # boosting reads the training rows once per round: keep them materialised for
-    # the fit only (spills to disk when large), then release them
-    data = assembler.transform(rows).select("_features", label, "_held") \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        booster = gbt.fit(data)
-    finally:
-        data.unpersist()
-    return PipelineModel(stages=[assembler, booster])
-
-
-def saved_fit(train: DataFrame, folder: str, fit) -> PipelineModel:
-    """The model fitted on exactly these rows, loaded from ``folder`` or fitted and saved there.
-
-    Its path holds a digest of the training rows (count and a combination of row hashes), so a
-    model is never used for other data than its own.
+    All ``maxIter`` rounds are grown; only with a ``patience`` do rows of ``validation`` stop the
+    fit, after so many rounds without gain, and choose the number of trees.
     """
-    spark = train.sparkSession
-    n, mark = train.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*[F.col(f"`{c}`") for c in train.columns]))).first()
-    if not n:
-        raise ValueError("no complete feature rows to fit the model on")
-    path = f"{folder.rstrip('/')}/{n}-{mark & (2 ** 64 - 1):016x}"
-    if path_exists(spark, f"{path}/metadata/_SUCCESS"):
-        return PipelineModel.load(path)
-    model = fit(train)
-    model.write().overwrite().save(path)
-    return model
-
-
-def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Model output next to the inputs (assembled vector dropped)."""
-    return model.transform(df).drop("_features")
-
-
-def importances(model: PipelineModel, features: Sequence[str], top_n: int | None = None):
-    """M7: feature importances, largest first (one number per feature)."""
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    rows = sorted(zip(features, imp), key=lambda r: (-r[1], r[0]))
+    return boosting.fit(train, features=features, label=label, seed=seed, validation=validation,
+                        **{**V.GBT_DAILY, **params})
+
+
+saved_fit = boosting.saved_fit
+
+
+def predict(model: boosting.Boosted, df: DataFrame) -> DataFrame:
+    """Model output (``prediction``) next to the inputs."""
+    return model.predict(df)
+
+
+def importances(model: boosting.Boosted, features: Sequence[str], top_n: int | None = None, kind: str = "gain"):
+    """M7: feature importances (mean gain of a feature's splits, as shares), largest first."""
+    found = model.importances(kind)
+    rows = sorted(((f, found[f]) for f in features), key=lambda r: (-r[1], r[0]))
     return rows[:top_n] if top_n else rows
 
 
-def forecast_next(model: PipelineModel, feats: DataFrame, *, features: Sequence[str],
+def forecast_next(model: boosting.Boosted, feats: DataFrame, *, features: Sequence[str],
                   series_cols: Sequence[str] = (), pm: str = "pm2_5",
                   digits: int | None = 2) -> DataFrame:
     """Latest day of each series -> predicted change -> next day's value,

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..functions.exprs import index_label, level3, month_label, rounded, safe_div, weekday
+from . import radix
 
 
 def hour_profile(df: DataFrame, *, ts: str = "date", value_cols: Sequence[str],
@@ -83,25 +84,11 @@ def quantiles(df: DataFrame, *, value_cols: Sequence[str], series_cols: Sequence
     """The q-quantile (linear interpolation) and median of each column.
 
     The plain form holds a group's distinct values in one buffer, which calendar grids
-    bound. For raw rows, ``distributed=True`` gives the same numbers from range-partitioned
-    value counts (``stats.exact_quantiles``), ``approx=True`` a bounded-memory sketch.
+    bound. For raw rows, ``distributed=True`` gives the same numbers by radix selection of all
+    columns and groups at once (``radix``), ``approx=True`` a bounded-memory sketch.
     """
     if distributed:
-        from .stats import exact_quantiles
-        g = list(series_cols)
-        out = df.select(*g).distinct() if g else df.sparkSession.range(1).select()
-        for c in value_cols:
-            one = exact_quantiles(df, c, [q, 0.5], g) \
-                .withColumnsRenamed({"q0": f"{c}_q{int(q * 100)}", "q1": f"{c}_median"})
-            if not g:
-                out = out.select("*", *[one.select(x).scalar().alias(x) for x in one.columns])
-                continue
-            o, n = out.alias("o"), one.alias("n")
-            same = F.lit(True)
-            for k in g:
-                same = same & F.col(f"o.`{k}`").eqNullSafe(F.col(f"n.`{k}`"))
-            out = o.join(n, same, "left").select("o.*", *[F.col(f"n.`{x}`") for x in one.columns if x not in g])
-        return out
+        return radix.quantiles_wide(df, value_cols, {f"q{int(q * 100)}": q, "median": 0.5}, series_cols)
     exprs = []
     for c in value_cols:
         if approx:

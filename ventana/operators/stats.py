@@ -9,6 +9,7 @@ the data.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..functions.exprs import level3, null_safe_corr, range_violation, rounded
-from ..session import scratch_path
+from . import radix
 
 
 def bounds(df: DataFrame, *exprs: Column) -> tuple:
@@ -39,49 +40,10 @@ def _long(df: DataFrame, names: Sequence[str], fields: Sequence[str], key: str =
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                     group_cols: Sequence[str] = ()) -> DataFrame:
-    """Exact quantiles (linear interpolation) of any number of rows: columns q0, q1, ... per group.
-
-    ``percentile`` keeps a group's distinct values in one buffer. Here values are
-    counted (a hash aggregation), the counts are range-partitioned by (group,
-    value) and written, and a value's rank is its count so far in its partition
-    plus the totals of the partitions before. What one task holds is one
-    partition; the totals are one row per partition and group.
-    """
-    spark = df.sparkSession
-    g = list(group_cols)
-    counted = df.filter(F.col(value_col).isNotNull()) \
-        .groupBy(*g, F.col(value_col).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_k"))
-    path = scratch_path(spark, "quantiles")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counted.repartitionByRange(n, *g, "_x").withColumn("_part", F.spark_partition_id()) \
-        .write.mode("overwrite").parquet(path)
-    dealt = spark.read.parquet(path)
-    totals = dealt.groupBy(*g, "_part").agg(F.sum("_k").alias("_t"))
-    before = Window.partitionBy(*g).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*g, "_part", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"),
-                           F.sum("_t").over(Window.partitionBy(*g)).alias("_n"))
-    t, d = totals.alias("t"), dealt.alias("d")
-    same = F.col("d._part") == F.col("t._part")
-    for c in g:
-        same = same & F.col(f"d.`{c}`").eqNullSafe(F.col(f"t.`{c}`"))
-    inside = Window.partitionBy(*g, "_part").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = d.join(t, same).select(*[F.col(f"d.`{c}`") for c in g], F.col("d._part").alias("_part"),
-                                    "_x", "_k", "_off", "_n")
-    ranked = ranked.withColumn("_hi", F.col("_off") + F.sum("_k").over(inside))
-    ranked = ranked.withColumn("_lo", F.col("_hi") - F.col("_k"))
-    picks = []
-    for i, p in enumerate(probs):
-        at = (F.col("_n") - 1) * F.lit(float(p))
-        for name, pos in (("a", F.floor(at)), ("b", F.ceil(at))):
-            picks.append(F.max(F.when((F.col("_lo") <= pos) & (pos < F.col("_hi")), F.col("_x")))
-                         .alias(f"_{name}{i}"))
-    one = ranked.groupBy(*g).agg(F.max("_n").alias("_n"), *picks)
-    out = []
-    for i, p in enumerate(probs):
-        at = (F.col("_n") - 1) * F.lit(float(p))
-        a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
-        out.append(F.when(a == b, a).otherwise((F.ceil(at) - at) * a + (at - F.floor(at)) * b).alias(f"q{i}"))
-    return one.select(*g, *out)
+    """Exact quantiles (linear interpolation) of any number of rows: columns q0, q1, ... per group,
+    by radix selection (``radix``), which no task has to gather a group for."""
+    found = radix.quantiles_long(df, [value_col], probs, group_cols, column="_column").drop("_column", "n")
+    return found if group_cols else found.agg(*[F.max(c).alias(c) for c in found.columns])    # a row also without values
 
 
 def _quartiles(x: Column, approx: bool, accuracy: int = 10000) -> Column:
@@ -92,8 +54,11 @@ def _quartiles(x: Column, approx: bool, accuracy: int = 10000) -> Column:
 
 
 def describe(df: DataFrame, value_cols: Sequence[str], digits: int | None = None,
-             approx: bool = False) -> DataFrame:
-    """Count, mean, std (n-1), min, quartiles (linear), max per column."""
+             approx: bool = False, distributed: bool = False) -> DataFrame:
+    """Count, mean, std (n-1), min, quartiles (linear), max per column. ``distributed`` finds the
+    quartiles of all columns by radix selection (raw rows) instead of one buffer per column."""
+    if distributed:
+        return _describe_raw(df, value_cols, digits)
     exprs = []
     for c in value_cols:
         x = F.col(c).cast("double")
@@ -110,6 +75,18 @@ def describe(df: DataFrame, value_cols: Sequence[str], digits: int | None = None
                  ["count", "mean", "std", "min", "p25", "p50", "p75", "max"])
 
 
+def _describe_raw(df: DataFrame, value_cols: Sequence[str], digits: int | None) -> DataFrame:
+    parts = {c: F.col(c).cast("double") for c in value_cols}
+    plain = _long(df.agg(*[e for c, x in parts.items() for e in (
+        F.count(x).alias(f"{c}__count"), rounded(F.avg(x), digits).alias(f"{c}__mean"),
+        rounded(F.stddev_samp(x), digits).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max"))]),
+        value_cols, ["count", "mean", "std", "min", "max"])
+    quarters = radix.quantiles_long(df, value_cols, [0.25, 0.5, 0.75])
+    return plain.join(quarters, "column", "left").select(
+        "column", "count", "mean", "std", "min", rounded("q0", digits).alias("p25"), rounded("q1", digits).alias("p50"),
+        rounded("q2", digits).alias("p75"), "max")
+
+
 def distinct_counts(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
     """Distinct non-null values per column (exact, or HLL sketch) and the
     row count (the table's shape).
@@ -275,20 +252,79 @@ def histogram(df: DataFrame, value_col: str, bins: int = 40,
                       (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("hi"), "n"))
 
 
+#: Multiples of a power of ten that a drawn bin may be wide.
+NICE_STEPS = (2.0, 5.0, 10.0)
+
+
+def nice_width(span: float, max_bins: int) -> float:
+    """The narrowest of 1, 2 or 5 times a power of ten that is wider than ``span / max_bins``; 1 without a span."""
+    if not span > 0:
+        return 1.0
+    base = 10.0 ** math.floor(math.log10(span / max_bins))
+    return base * next(s for s in NICE_STEPS if s > span / max_bins / base or s == NICE_STEPS[-1])
+
+
+def nice_bins(df: DataFrame, value_col: str, max_bins: int) -> tuple[float, float] | None:
+    """(start, width) of a histogram as it is drawn; None without values.
+
+    The start is the multiple of the width below the least value. Whole numbers get bins around them (starts
+    at .5); other values, where they lie on the edges of bins rather than in their middles, get a start
+    moved by half a bin. Two aggregations of a few counts decide it.
+    """
+    x = F.col(value_col).cast("double")
+    lo, hi, n, whole = bounds(df, F.min(x), F.max(x), F.count(x), F.count_if(x % 1 == 0))
+    if lo is None:
+        return None
+    width = nice_width(hi - lo, max_bins)
+    start = math.ceil((lo * 1.0001 - hi * 0.0001) / width) * width - width
+    if whole == n:
+        if width < 1:
+            return lo - width / 2, width
+        start -= 0.5
+        return (start + width if start + width < lo else start), width
+
+    def near_edge(v):
+        return (1 + (v - start) * 100 / width) % 100 < 2
+    edges, middles = bounds(df, F.count_if(near_edge(x)), F.count_if(near_edge(x + width / 2)))
+    if middles < n * 0.1 and (edges > n * 0.3 or near_edge(lo) or near_edge(hi)):
+        start += width / 2 if start + width / 2 < lo else -width / 2
+    return start, width
+
+
+def nice_histogram(df: DataFrame, value_col: str, max_bins: int = 40, series_cols: Sequence[str] = ()) -> DataFrame:
+    """A20 with the bins that the dashboards draw (``nice_bins`` over all rows): bin, lower and upper edge, count;
+    a value on an edge belongs to the bin above it, empty bins have no row."""
+    found = nice_bins(df, value_col, max_bins)
+    start, width = found or (0.0, 1.0)
+    x = F.col(value_col).cast("double")
+    at = F.floor((x - F.lit(start)) / F.lit(width) + 1e-9).cast("int")
+    return (df.filter(x.isNotNull()).groupBy(*series_cols, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+            .select(*series_cols, "bin", (F.lit(start) + F.col("bin") * F.lit(width)).alias("lo"),
+                    (F.lit(start) + (F.col("bin") + 1) * F.lit(width)).alias("hi"), "n"))
+
+
 def box_stats(df: DataFrame, value_col: str, group_cols: Sequence[str] = (),
-              whisker: float = 1.5, approx: bool = False) -> DataFrame:
+              whisker: float = 1.5, approx: bool = False, distributed: bool = False) -> DataFrame:
     """Quartiles, median, mean, sd, whiskers (extreme values inside the
     1.5 IQR fences), outlier count, per group.
 
     Two passes: the per-group statistics (one row per group), then one join of
     the rows with them (a small side AQE can broadcast after measuring it) and
     one aggregation that carries the statistics through to the output. Over all
-    rows (no group) the quartiles are those of ``exact_quantiles``, which no
-    single task gathers.
+    rows (no group), and with ``distributed`` for groups of raw rows, the quartiles are those of
+    ``exact_quantiles``, which no single task gathers.
     """
     x = F.col(value_col)
     g = list(group_cols)
-    if g or approx:
+    if g and distributed:
+        parts = exact_quantiles(df, value_col, [0.25, 0.5, 0.75], g).alias("p")
+        m = df.groupBy(*g).agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.count(x).alias("n")).alias("m")
+        same = F.lit(True)
+        for c in g:
+            same = same & F.col(f"m.`{c}`").eqNullSafe(F.col(f"p.`{c}`"))
+        q = m.join(parts, same, "left").select(*[F.col(f"m.`{c}`").alias(c) for c in g], F.col("q0").alias("q1"),
+                                               F.col("p.q1").alias("median"), F.col("q2").alias("q3"), "mean", "sd", "n")
+    elif g or approx:
         q = (df.groupBy(*g)
                .agg(_quartiles(x.cast("double"), approx).alias("_q"),
                     F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.count(x).alias("n"))

@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ["q_basic", "q_windows", "q_stats", "q_io", "q_learn", "q_published"]
+MODULES = ["q_basic", "q_windows", "q_stats", "q_io", "q_learn", "q_published", "q_derived"]
 
 for _m in MODULES:
     importlib.import_module(f"{__package__}.{_m}")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources import api, files, store
-from ..streaming import ingest
-from .registry import query
+from ..streaming import ingest, joined, ordered
+from . import q_windows  # noqa: F401  (its SQL is that of the streamed twins)
+from .registry import ORACLES, query
 from .sqltext import ts_txt
 from .standins import H_SQL, POLLUTANTS, U_SQL, station_hourly, table, users_hourly, with_ctes
 
@@ -146,6 +147,73 @@ def q_stream_alerts(spark, sf):
     return spark.read.parquet(out)
 
 
+def _landed(spark, rows, name, ts, cuts):
+    """A landing folder that ``rows`` reach in parts cut at times, one after the other; yields after each part."""
+    land = ingest.new_paths(spark, name)[0]
+    at = F.col(ts)
+    for lo, hi in zip([None, *cuts], [*cuts, None]):
+        part = rows
+        if lo:
+            part = part.filter(at >= F.lit(lo).cast("timestamp_ntz"))
+        if hi:
+            part = part.filter(at < F.lit(hi).cast("timestamp_ntz"))
+        part.write.mode("append").parquet(land)
+        yield land
+
+
+_CUTS = ["2024-01-11", "2024-01-21 07:30:00"]
+
+
+@query("stream_episodes", ORACLES["episodes_raw"])
+def q_stream_episodes(spark, sf):
+    """A26/W8 on a stream: runs above 60 go on across micro-batches and restarts; the events arrive in three
+    parts, each read by a query started anew from the checkpoint. Equals the batch query over all rows."""
+    out, ck = ingest.new_paths(spark, "episodes")
+    ev = table(spark, sf, "events").select("user_id", "ts", "event_id", "value")
+    for land in _landed(spark, ev, "landing", "ts", _CUTS):
+        s = ingest.read_stream(spark, land, ev.schema, event_ts="ts")
+        ingest.run_to_end(ordered.stream_episodes(s, out, ck, ts="ts", value="value", tiebreak="event_id",
+                                                  series_cols=["user_id"], watermark="2 days"))
+    return ordered.results(spark, out, ["user_id"]).select(
+        "user_id", "episode", "debut", "fin", "duree", "aqi_max", "aqi_moy")
+
+
+@query("stream_lags", """
+SELECT user_id, event_id, value, lag(value, 1) OVER w AS lag_1, lag(value, 3) OVER w AS lag_3 FROM events
+WHERE value IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def q_stream_lags(spark, sf):
+    """W1 on a stream, in three parts with restarts."""
+    out, ck = ingest.new_paths(spark, "lags")
+    ev = table(spark, sf, "events").select("user_id", "ts", "event_id", "value")
+    for land in _landed(spark, ev, "landing", "ts", _CUTS):
+        s = ingest.read_stream(spark, land, ev.schema, event_ts="ts")
+        ingest.run_to_end(ordered.stream_lags(s, out, ck, ts="ts", value="value", tiebreak="event_id",
+                                              series_cols=["user_id"], offsets=[1, 3], watermark="2 days"))
+    return ordered.results(spark, out, ["user_id"]).select("user_id", "event_id", "value", "lag_1", "lag_3")
+
+
+@query("stream_merge", f"""
+SELECT a.user_id, {ts_txt('a.date')} AS date, pm2_5, pm10, temperature_2m FROM
+ (SELECT user_id, date_trunc('hour', ts) AS date, avg(value) AS pm2_5, max(value) AS pm10 FROM events
+  WHERE event_type IN ('click', 'view', 'error') GROUP BY 1, 2) a
+JOIN (SELECT user_id, date_trunc('hour', ts) AS date, avg(value) AS temperature_2m FROM events
+      WHERE event_type NOT IN ('click', 'error') GROUP BY 1, 2) m ON a.user_id = m.user_id AND a.date = m.date""")
+def q_stream_merge(spark, sf):
+    """J1 on streams: hourly pollutant and weather rows joined by series and hour while both arrive in parts."""
+    out, ck = ingest.new_paths(spark, "merge")
+    ev = table(spark, sf, "events").withColumn("date", F.date_trunc("hour", "ts"))
+    air = ev.filter(F.col("event_type").isin("click", "view", "error")).groupBy("user_id", "date") \
+        .agg(F.avg("value").alias("pm2_5"), F.max("value").alias("pm10"))
+    met = ev.filter(~F.col("event_type").isin("click", "error")).groupBy("user_id", "date") \
+        .agg(F.avg("value").alias("temperature_2m"))
+    for left, right in zip(_landed(spark, air, "air", "date", _CUTS), _landed(spark, met, "weather", "date", _CUTS)):
+        ingest.run_to_end(joined.stream_merge(
+            ingest.read_stream(spark, left, air.schema, event_ts="date"),
+            ingest.read_stream(spark, right, met.schema, event_ts="date"), out, ck, on=["user_id", "date"], ts="date",
+            watermark="1 day"))
+    return spark.read.parquet(out).select("user_id", "date", "pm2_5", "pm10", "temperature_2m")
+
+
 # --- ordered table, source fallback, JSON report --------------------------------
 
 from ..operators import columns as C  # noqa: E402

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,29 +29,25 @@ def store_schema(value_cols: Sequence[str], series_cols: Sequence[str] = (),
 
 
 def keep_first(batch: DataFrame, key: Sequence[str], order_col: str) -> DataFrame:
-    """Within a batch, the first row (by ``order_col``) of each key wins; of rows
-    with equal key and order, one does.
+    """Within a batch, the first row (by ``order_col``, nulls last) of each key wins; of rows
+    with equal key and order, the one of the smallest hash does, so reruns choose alike.
 
-    A hash aggregation of fixed-width numbers (a key's smallest order and the hash of a
-    row that has it) combines a key's copies before the shuffle and is joined back to the
-    rows. No aggregation sorts, and the join is on (key, order, hash), so the copies of a
-    hot key do not meet.
+    A ranked window that keeps rank 1: Spark keeps each task's first row of a key before the one
+    exchange by key, so the copies of a hot key are gone before they could meet. Null keys count as one key.
     """
-    cols = batch.columns
-    key = list(key)
-    rows = batch.withColumn("_h", F.xxhash64(*[F.col(f"`{c}`") for c in cols]))
-    first = rows.groupBy(*key).agg(F.min(order_col).alias("_o"), F.min_by("_h", order_col).alias("_h")) \
-        .withColumnRenamed("_o", order_col)
-    return _semi(rows, first, [*key, order_col, "_h"]).select(*cols).distinct()
-
-
-def _semi(rows: DataFrame, kept: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows of which ``kept`` has the values ``on`` (nulls match nulls)."""
-    r, k = rows.alias("r"), kept.alias("k")
-    same = F.lit(True)
-    for c in on:
-        same = same & F.col(f"r.`{c}`").eqNullSafe(F.col(f"k.`{c}`"))
-    return r.join(k, same, "left_semi")
+    cols = [f"`{c}`" for c in batch.columns]
+    first = Window.partitionBy(*[F.col(f"`{k}`") for k in key]).orderBy(
+        F.col(f"`{order_col}`").asc_nulls_last(), F.xxhash64(*[F.col(c) for c in cols]))
+    rank = free_name(batch, "rank")
+    return batch.withColumn(rank, F.row_number().over(first)).filter(F.col(rank) == 1).drop(rank)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame | None:
