@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ventana.operators import boosting as B
 
 
-def _frame(spark, n=300, seed=0, missing=0.0):
+def _frame(spark, n=240, seed=0, missing=0.0):
     rng = np.random.default_rng(seed)
     pdf = pd.DataFrame({"a": rng.integers(0, 40, n).astype(float), "b": rng.normal(size=n).round(1),
                         "c": rng.integers(0, 7, n).astype(float)})
@@ -160,3 +160,35 @@ def test_odd_rows(spark):
         B.fit(df.limit(0), features=["x"], label="y")
     with pytest.raises(ValueError):
         B.fit(df, features=["x"], label="y", maxDeep=3)
+
+
+def test_attributions_are_shapley_values(spark):
+    """Against the definition: every set of known features, each unknown one following the training rows."""
+    from itertools import combinations
+    pdf, df = _frame(spark, missing=0.1)
+    features = ["a", "b", "c"]
+    m = B.fit(df, features=features, label="y", maxIter=4, maxDepth=3)
+
+    def value(row, known, t, n=0):
+        if t.left[n] < 0:
+            return t.value[n]
+        f, sides = t.feature[n], (t.left[n], t.left[n] + 1)
+        if f in known:
+            v = row[f]
+            left = t.missing_left[n] if math.isnan(v) else v <= m.cuts[f][t.cut[n]]
+            return value(row, known, t, sides[0] if left else sides[1])
+        return sum(t.rows[c] / t.rows[n] * value(row, known, t, c) for c in sides)
+
+    got = m.attribute(m.predict(df)).collect()
+    assert len(got) == len(pdf)
+    for r in got[::23]:
+        row = [math.nan if r[f] is None else r[f] for f in features]
+        total = {s: m.base + sum(value(row, s, t) for t in m.trees)
+                 for k in range(4) for s in map(frozenset, combinations(range(3), k))}
+        for i, f in enumerate(features):
+            want = sum(math.factorial(len(s)) * math.factorial(2 - len(s)) / 6 * (total[s | {i}] - total[s])
+                       for s in total if i not in s)
+            assert math.isclose(r.attributions[f], want, rel_tol=1e-9, abs_tol=1e-9)
+        assert math.isclose(r.expected, total[frozenset()], rel_tol=1e-9)
+        assert math.isclose(r.expected + sum(r.attributions), r.prediction, rel_tol=1e-9)
+    assert m.attribute(df.limit(0)).collect() == []

@@ -469,6 +469,89 @@ class Boosted:
         return dict(zip(self.features, (v / v.sum() if v.sum() else v).tolist()))
 
 
+    def attribute(self, df: DataFrame, out: str = "attributions", base_out: str = "expected") -> DataFrame:
+        """``df`` with the exact Shapley values of every feature (a struct by feature) and the mean prediction they
+        start from; both together are the prediction. A feature that is not known follows the training rows down both
+        sides of a split, in their shares."""
+        state = df.sparkSession.sparkContext.broadcast({"model": self})
+        n = len(self.features)
+
+        @F.pandas_udf("array<double>")
+        def shares(x: pd.DataFrame) -> pd.Series:
+            s = state.value
+            if "paths" not in s:                 # built once in a worker
+                s["paths"] = [leaf for t in s["model"].trees for leaf in leaf_paths(t, s["model"].cuts)]
+            return pd.Series(list(attributed(s["paths"], s["model"].base, n, x.to_numpy(np.float64, na_value=np.nan))))
+
+        told = df.withColumn(out, shares(F.struct(*[F.col(c).cast("double").alias(f"x{i}")
+                                                    for i, c in enumerate(_names(self.features))])))
+        return told.withColumn(base_out, F.element_at(out, n + 1)).withColumn(
+            out, F.struct(*[F.element_at(out, i + 1).alias(f) for i, f in enumerate(self.features)]))
+
+
+@dataclass
+class LeafPath:
+    """The splits above a leaf by feature, with the leaf's share of every set of features that the row agrees with."""
+    tests: list[tuple[int, list[tuple[float, bool, bool]]]]      # feature, (threshold, goes left, missing goes left)
+    shares: np.ndarray                                            # (2^features, features): by the set that agrees
+    mean: float                                                   # the leaf's part of the mean prediction
+
+
+def leaf_paths(tree: Tree, cuts: list[list[float]]) -> list[LeafPath]:
+    out: list[LeafPath] = []
+
+    def down(n: int, tests: dict, rest: dict) -> None:
+        if tree.left[n] < 0:
+            out.append(_leaf_shares(tests, rest, tree.value[n]))
+            return
+        f = tree.feature[n]
+        for child, left in ((tree.left[n], True), (tree.left[n] + 1, False)):
+            share = tree.rows[child] / tree.rows[n] if tree.rows[n] else 0.0
+            down(child, {**tests, f: [*tests.get(f, []), (cuts[f][tree.cut[n]], left, tree.missing_left[n])]},
+                 {**rest, f: rest.get(f, 1.0) * share})
+
+    down(0, {}, {})
+    return out
+
+
+def _leaf_shares(tests: dict, rest: dict, value: float) -> LeafPath:
+    """Shapley values of the game in which a known feature lets the row reach the leaf (1) or not (0) and an unknown one
+    lets its share of rows through: polynomials in the number of known features, for all sets at once."""
+    features = list(tests)
+    k = len(features)
+    sets = (np.arange(1 << k)[:, None] >> np.arange(k)) & 1                # does the row agree with the feature's tests
+    through = np.array([rest[f] for f in features])
+    weight = [math.factorial(s) * math.factorial(k - 1 - s) / math.factorial(k) for s in range(k)]
+    shares = np.zeros((1 << k, k))
+    for i in range(k):
+        poly = np.zeros((1 << k, k))                                       # by the number of other features that are known
+        poly[:, 0] = 1.0
+        for j in range(k):
+            if j != i:
+                known = np.zeros_like(poly)
+                known[:, 1:] = poly[:, :-1] * sets[:, j:j + 1]
+                poly = poly * through[j] + known
+        shares[:, i] = value * (poly @ weight) * (sets[:, i] - through[i])
+    return LeafPath([(f, tests[f]) for f in features], shares, value * float(np.prod(through)) if k else value)
+
+
+def attributed(paths: list[LeafPath], base: float, n_features: int, x: np.ndarray) -> np.ndarray:
+    """(rows, features + 1): contributions, and the mean prediction last."""
+    out = np.zeros((len(x), n_features + 1))
+    out[:, -1] = base + sum(p.mean for p in paths)
+    lost = np.isnan(x)
+    for p in paths:
+        which = np.zeros(len(x), np.int64)
+        for i, (f, tests) in enumerate(p.tests):
+            agrees = np.ones(len(x), bool)
+            for at, left, missing_left in tests:
+                agrees &= np.where(lost[:, f], missing_left, x[:, f] <= at) == left
+            which |= agrees.astype(np.int64) << i
+        for i, (f, _) in enumerate(p.tests):
+            out[:, f] += p.shares[which, i]
+    return out
+
+
 def predicted(t: dict[str, np.ndarray], base: float, x: np.ndarray) -> np.ndarray:
     out = np.full(len(x), base)
     step = max(1, 2_000_000 // max(1, len(t["roots"])))

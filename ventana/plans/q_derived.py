@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import derived as D
+from ..operators import gram as G
 from ..operators import profiles as P
+from ..operators import sketches as K
 from ..operators import stats as S
-from .registry import query
-from .sqltext import ts_txt
-from .standins import table, with_ctes
+from ..session import scratch_path
+from ..sources import bucketed, documents
+from . import q_io, q_stats  # noqa: F401
+from .registry import ORACLES, query
+from .sqltext import corr, ts_txt
+from .standins import POLLUTANTS, station_hourly, table, with_ctes
 
 TYPES = ["event_type"]
 
@@ -132,3 +137,110 @@ def q_histogram_nice(spark, sf):
         one = S.nice_histogram(li, c, bins).select(F.lit(c).alias("column"), "bin", "lo", "hi", "n")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# --- many columns, sketches, documents, bucketed store ---------------------------------
+
+@query("corr_wide", ORACLES["corr_pairwise"])
+def q_corr_wide(spark, sf):
+    """A17 by matrix products: the station's columns, pairwise complete."""
+    return G.corr_wide(station_hourly(spark, sf), POLLUTANTS)
+
+
+@query("corr_wide_listwise", ORACLES["corr_listwise"])
+def q_corr_wide_listwise(spark, sf):
+    """A18 by matrix products."""
+    return G.corr_wide(station_hourly(spark, sf), POLLUTANTS, listwise=True)
+
+
+@query("corr_embedding_dims", f"""
+WITH e AS (SELECT vec_id, unnest(range(len(embedding))) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)
+SELECT a.d AS dim_a, b.d AS dim_b, round({corr('a.x', 'b.x')}, 9) AS corr
+FROM e a JOIN e b ON a.vec_id = b.vec_id GROUP BY a.d, b.d""")
+def q_corr_embedding_dims(spark, sf):
+    """A17 on all dimensions of the embeddings at once (tens to hundreds of columns, thousands of pairs)."""
+    e = table(spark, sf, "embeddings")
+    n = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    names = [str(i) for i in range(n)]
+    wide = e.select(*[F.get("embedding", F.lit(i)).alias(c) for i, c in enumerate(names)])
+    return G.corr_wide(wide, names).select(F.col("col_a").cast("long").alias("dim_a"), F.col("col_b").cast("long").alias("dim_b"),
+                                           F.round("corr", 9).alias("corr"))
+
+
+_SPAN = ("2024-01-05", "2024-01-24")
+
+
+@query("sketch_span", f"""
+SELECT event_type, CAST(count(*) AS BIGINT) AS n, true AS p95_within, true AS median_within, true AS users_within
+FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '{_SPAN[0]}' AND DATE '{_SPAN[1]}' GROUP BY 1""")
+def q_sketch_span(spark, sf):
+    """A9/A13 over time: a row of sketches per day is written, and a span of days is reported from these alone. Beside the
+    counts, whether each answer lies within the stated error of the exact one (which alone needs the rows again)."""
+    ev = table(spark, sf, "events")
+    path = scratch_path(spark, "sketches")
+    K.daily_sketches(ev, ts="ts", value_cols=["value"], distinct_cols=["user_id"], series_cols=["event_type"]) \
+        .write.partitionBy("day").parquet(path)
+    span = F.col("day").between(*[F.to_date(F.lit(d)) for d in _SPAN])
+    told = K.merged(spark.read.parquet(path).filter(span), ["event_type"]).select(
+        "event_type", "n", K.quantile("value", 0.95).alias("p95"), K.quantile("value", 0.5).alias("median"),
+        K.distinct("user_id").alias("users"))
+    rows = ev.withColumn("day", F.to_date("ts")).filter(span).join(told, "event_type")
+
+    def off(q, at):
+        """Distance of the wanted share from the shares below and up to the estimate."""
+        below, upto = F.avg((F.col("value") < F.col(at)).cast("int")), F.avg((F.col("value") <= F.col(at)).cast("int"))
+        return F.greatest(below - F.lit(q), F.lit(q) - upto)
+    users = F.count_distinct("user_id")
+    return rows.groupBy("event_type", "n").agg(
+        (off(0.95, "p95") <= K.rank_error()).alias("p95_within"), (off(0.5, "median") <= K.rank_error()).alias("median_within"),
+        (F.abs(F.max("users") - users) <= 4 * K.distinct_error() * users).alias("users_within"))
+
+
+_TEXT = """CASE event_type WHEN 'click' THEN '{"id": ' || event_id || ', "props": ' || props || '}'
+  WHEN 'view' THEN '{"id": "' || event_id || '", "props": null}'
+  WHEN 'error' THEN '{"id": ' || event_id || ', "tags": ["a", 1], "late": true}'
+  ELSE '{"id": ' || event_id || ', "props": ' || props || ', "user": {"n": ' || user_id || '}}' END"""
+
+
+def _documents(spark, sf):
+    return documents.parsed(table(spark, sf, "events").withColumn("text", F.expr(_TEXT)), "text")
+
+
+@query("variant_types", """
+SELECT event_type, path, type, count(*) AS n FROM (
+  SELECT event_type, unnest(CASE event_type
+    WHEN 'click' THEN [{'path': '$.id', 'type': 'BIGINT'}, {'path': '$.props', 'type': 'OBJECT'}, {'path': '$.props.k', 'type': 'BIGINT'}]
+    WHEN 'view' THEN [{'path': '$.id', 'type': 'STRING'}, {'path': '$.props', 'type': 'VOID'}]
+    WHEN 'error' THEN [{'path': '$.id', 'type': 'BIGINT'}, {'path': '$.tags', 'type': 'ARRAY'}, {'path': '$.late', 'type': 'BOOLEAN'}]
+    ELSE [{'path': '$.id', 'type': 'BIGINT'}, {'path': '$.props', 'type': 'OBJECT'}, {'path': '$.props.k', 'type': 'BIGINT'},
+          {'path': '$.user', 'type': 'OBJECT'}, {'path': '$.user.n', 'type': 'BIGINT'}] END, recursive := true) FROM events)
+GROUP BY ALL""")
+def q_variant_types(spark, sf):
+    """The fields of documents without a common schema, and the types they occur with."""
+    return documents.field_types(_documents(spark, sf), "document", ["event_type"])
+
+
+@query("variant_fields", """
+SELECT event_id, event_id AS id, CASE WHEN event_type NOT IN ('view', 'error') THEN CAST(json_extract(props, '$.k') AS INTEGER) END AS k,
+       CASE WHEN event_type NOT IN ('click', 'view', 'error') THEN user_id END AS user_n,
+       CASE WHEN event_type = 'error' THEN 'a' END AS first_tag, CASE WHEN event_type = 'error' THEN true END AS late
+FROM events""")
+def q_variant_fields(spark, sf):
+    """Typed columns read by path; absent fields are null."""
+    return documents.with_fields(_documents(spark, sf), "document", {
+        "id": ("$.id", "bigint"), "k": ("$.props.k", "int"), "user_n": ("$.user.n", "bigint"),
+        "first_tag": ("$.tags[0]", "string"), "late": ("$.late", "boolean")}) \
+        .select("event_id", "id", "k", "user_n", "first_tag", "late")
+
+
+@query("bucketed_insert", with_ctes(f"SELECT user_id, {ts_txt('date')} AS date, event_id, value FROM f",
+                                    b=q_io._BATCH, f=q_io._FIRST))
+def q_bucketed_insert(spark, sf):
+    """S8/J3 with a store that is bucketed by its key: two overlapping batches and one of them again."""
+    ev = table(spark, sf, "events").select("user_id", F.date_trunc("hour", "ts").alias("date"), "event_id", "value")
+    path = scratch_path(spark, "bucketed")
+    name = "store_" + path.rsplit("-", 1)[-1]
+    bucketed.create(spark, name, ev.schema, ["user_id", "date"], buckets=8, path=path)
+    for batch in (ev.filter("date < '2024-01-15'"), ev, ev):
+        bucketed.insert_or_ignore(batch, name, "event_id")
+    return spark.table(name)

@@ -13,8 +13,8 @@ from ..operators import learn as L
 from ..operators import resample as R
 from ..operators import windows as W
 from ..session import checkpoint_dir
-from .registry import query
-from .sqltext import interp_select, rnd, rolling_mean, ts_txt, win
+from .registry import ORACLES, query
+from .sqltext import corr, interp_select, rnd, rolling_mean, ts_txt, win
 from .standins import H_SQL, POLLUTANTS, U_SQL, station_hourly, table, users_hourly, with_ctes
 
 US = ["user_id"]
@@ -113,6 +113,37 @@ def q_features_reduced(spark, sf):
     return FT.features_reduced(station_hourly(spark, sf))
 
 
+_TWO_TARGET_ROWS = with_ctes(f"""
+SELECT split, count(*) AS n, avg(target_pm25) AS pm25_mean, avg(target_aqi) AS aqi_mean FROM (
+  SELECT *, CASE WHEN row_number() OVER (ORDER BY date) <= count(*) OVER () - ceil(count(*) OVER () * 0.3)
+            THEN 'train' ELSE 'test' END AS split FROM fh) GROUP BY 1""",
+    H=H_SQL, fh=_hourly_feat_sql([]).replace("FROM U", "FROM H"))
+
+#: Rows a block of the blocked twins holds: far below the series' length, so that edges matter.
+_BLOCK = 200
+
+
+@query("features_hourly_blocked", ORACLES["features_hourly"])
+def q_features_hourly_blocked(spark, sf):
+    """M2 without a series: one window over all rows, cut into blocks."""
+    return FT.features_hourly(station_hourly(spark, sf), block_rows=_BLOCK)
+
+
+@query("features_reduced_blocked", ORACLES["features_reduced"])
+def q_features_reduced_blocked(spark, sf):
+    """M3 without a series, in blocks."""
+    return FT.features_reduced(station_hourly(spark, sf), block_rows=_BLOCK)
+
+
+@query("two_target_rows_blocked", _TWO_TARGET_ROWS)
+def q_two_target_rows_blocked(spark, sf):
+    """The rows of the 70/30 split of all hourly features, numbered in blocks."""
+    f = W.chrono_split(FT.features_hourly(station_hourly(spark, sf), block_rows=_BLOCK), ts="date", test_share=0.3,
+                       block_rows=_BLOCK)
+    return f.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.avg("target_pm25").alias("pm25_mean"),
+                                  F.avg("target_aqi").alias("aqi_mean"))
+
+
 @query("chrono_split", with_ctes(f"""
 SELECT user_id, strftime(day, '%Y-%m-%d') AS day, pm2_5,
        CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY day)
@@ -207,6 +238,15 @@ def q_gbt_fit_predict(spark, sf):
                        F.lit(model.n_trees).alias("n_trees"))
 
 
+@query("gbt_attributions")
+def q_gbt_attributions(spark, sf):
+    """M7: what every feature adds to each hold-out prediction (exact Shapley values of the trees); with the
+    expected value they sum to the prediction."""
+    model, f = _daily_model(spark, sf, "same_day")
+    told = model.attribute(L.predict(model, f.filter("split = 'test'")))
+    return told.select("user_id", "day", "prediction", "expected", "attributions.*")
+
+
 @query("gbt_patience")
 def q_gbt_patience(spark, sf):
     """M4 as in the notebook: boosting waits 50 rounds for a smaller error. The rows that tell it are the last
@@ -327,6 +367,20 @@ def q_pca3(spark, sf):
     return comps
 
 
+@query("pca_reconstruction", "\nUNION ALL\n".join(f"""
+SELECT '{a}' AS col_a, '{b}' AS col_b, round({corr(a, b)}, 6) AS reconstructed, {1.0 if a == b else 0.0} AS dot
+FROM lineitem""" for a in _PCA_COLS for b in _PCA_COLS))
+def q_pca_reconstruction(spark, sf):
+    """M8: variances and loadings of all components give the correlations back (sum of variance x loading x loading),
+    and the components' unit vectors stand at right angles (dot products over components)."""
+    comps, _ = L.pca(table(spark, sf, "lineitem"), _PCA_COLS, k=len(_PCA_COLS))
+    a = comps.select("component", "variance", F.col("feature").alias("col_a"), F.col("loading").alias("x"))
+    b = comps.select("component", F.col("feature").alias("col_b"), F.col("loading").alias("y"))
+    return a.join(b, "component").groupBy("col_a", "col_b").agg(
+        F.round(F.sum(F.col("variance") * F.col("x") * F.col("y")), 6).alias("reconstructed"),
+        F.round(F.abs(F.round(F.sum(F.col("x") * F.col("y")), 9)), 6).alias("dot"))
+
+
 @query("pca_projection")
 def q_pca_projection(spark, sf):
     """M8: every line item projected on the three components."""
@@ -372,11 +426,7 @@ def q_backtest_pairs(spark, sf):
         .select("user_id", "pm2_5", "actual")
 
 
-@query("two_target_rows", with_ctes(f"""
-SELECT split, count(*) AS n, avg(target_pm25) AS pm25_mean, avg(target_aqi) AS aqi_mean FROM (
-  SELECT *, CASE WHEN row_number() OVER (ORDER BY date) <= count(*) OVER () - ceil(count(*) OVER () * 0.3)
-            THEN 'train' ELSE 'test' END AS split FROM fh) GROUP BY 1""",
-    H=H_SQL, fh=_hourly_feat_sql([]).replace("FROM U", "FROM H")))
+@query("two_target_rows", _TWO_TARGET_ROWS)
 def q_two_target_rows(spark, sf):
     """M5: rows and target means of both parts of the 70/30 split of the hourly features."""
     f = W.chrono_split(FT.features_hourly(station_hourly(spark, sf)), ts="date", test_share=0.3)

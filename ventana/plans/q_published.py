@@ -122,8 +122,11 @@ def q_monitoring_report(spark, sf):
     written as JSON and read back; all fields but the time."""
     h = station_hourly(spark, sf)
     filled = FT.daily_table(h, ts="date", value_cols=POLLUTANTS)
-    perf = L.backtest_metrics(L.backtest_rows(filled, value_cols=POLLUTANTS))
-    report = L.monitoring_report(S.dq_report(h, ts="date", cols=POLLUTANTS), perf, baseline=_BASE)
+    return _report(spark, h, L.backtest_metrics(L.backtest_rows(filled, value_cols=POLLUTANTS)))
+
+
+def _report(spark, hourly, perf):
+    report = L.monitoring_report(S.dq_report(hourly, ts="date", cols=POLLUTANTS), perf, baseline=_BASE)
     path = scratch_path(spark, "monitoring")
     files.write_report_json(report, path)
     back = files.read_report_json(spark, path, report.schema)
@@ -138,6 +141,21 @@ def q_monitoring_report(spark, sf):
         F.array_join("reasons", " | ").alias("reasons"))
 
 
+@query("monitoring_report_model")
+def q_monitoring_report_model(spark, sf):
+    """S14 with the model's own back-test, as the service runs it: boosted trees fitted on the station's days before the
+    last seven predict these days."""
+    h = station_hourly(spark, sf)
+    filled = FT.daily_table(h, ts="date", value_cols=POLLUTANTS)
+    features = [*POLLUTANTS, *FT.DAILY_FEATURES]
+    rows = L.backtest_rows(filled, value_cols=POLLUTANTS, flag="used")
+    earlier = FT.daily_features(filled).join(rows.filter("used").select("day"), "day", "left_anti")
+    tested = rows.filter("used")
+    if not earlier.isEmpty():
+        tested = L.predict(L.fit_gbt(earlier, features=features, label="pm25_diff"), tested)
+    return _report(spark, h, L.backtest_metrics(tested, delta="prediction" if "prediction" in tested.columns else None))
+
+
 # --- operators that other queries only contain ----------------------------------------
 
 @query("source_fallback_formats", "SELECT o_orderkey, o_totalprice FROM orders")
