@@ -251,7 +251,8 @@ def with_lengths(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def oracle() -> str:
-    """SQL of the query ``op12_conversation_trie``."""
+    """SQL of the query ``op12_conversation_trie``. The root has no parent; pandas holds a column of integers and a null
+    as doubles, so the parent is one here."""
     step = ", ".join(["CAST(-1 AS BIGINT)"] * 8)
     return f"""
 WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
@@ -279,7 +280,7 @@ sub AS (SELECT m.rep, m.d, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS le
 last AS (SELECT c, max(d) AS d FROM pre GROUP BY c),
 ends AS (SELECT rep, m.d, string_agg(CAST(m.c AS VARCHAR), ',' ORDER BY m.c) AS members
          FROM m JOIN last ON last.c = m.c AND last.d = m.d GROUP BY rep, m.d)
-SELECT conv_id, CAST(x.d AS BIGINT) AS depth, parent AS parent_conv_id, n_convs, CAST(n_children AS BIGINT) AS n_children,
+SELECT conv_id, CAST(x.d AS BIGINT) AS depth, CAST(parent AS DOUBLE) AS parent_conv_id, n_convs, CAST(n_children AS BIGINT) AS n_children,
        CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
        sha256(coalesce(members, '')) AS ends_sha256
 FROM full_n x JOIN sub ON sub.rep = x.conv_id AND sub.d = x.d
