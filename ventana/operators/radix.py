@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..session import remove_path, scratch_path
 
 #: Parts into which an interval is cut in a round.
-DIGITS = 256
+DIGITS = 4096
 #: More rounds than any set of doubles needs.
 MOST_ROUNDS = 400
 
@@ -91,25 +91,23 @@ def quantiles_long(df: DataFrame, value_cols: Sequence[str], probs: Sequence[flo
                    .withColumn("_below", F.lit(0).cast("long")).withColumn("_ranks", ranks))
     fields = [*quoted, "_lo", "_hi", "_below", "_ranks"]
     found = ends.df.filter("_lo = _hi").select(*fields)
-    now = _Stored(ends.df.filter("_lo < _hi").select(*fields))
-    kept: list[_Stored] = []
+    now = ends.df.filter("_lo < _hi").select(*fields)
     source: _Stored | None = None
     for _ in range(MOST_ROUNDS):
-        if now.df.isEmpty():
+        if now.isEmpty():
             break
-        following = _Stored(_cut(rows, now.df, keys))
-        kept.append(following)
-        now.drop()
+        following = _Stored(_cut(rows, now, keys))        # bounded by the ranks; kept until the end
         found = found.unionByName(following.df.filter("_lo = _hi"))
-        now = _Stored(following.df.filter("_lo < _hi"))
+        now = following.df.filter("_lo < _hi")
+        if now.isEmpty():
+            break
         # rows that no interval holds are not read again
-        less = _Stored(_inside(rows, now.df, keys).select(*quoted, "_v"))
+        less = _Stored(_inside(rows, now, keys).select(*quoted, "_v"))
         if source is not None:
             source.drop()
         source, rows = less, less.df
     else:
         raise RuntimeError("quantiles: values did not separate")
-    now.drop()
     if source is not None:
         source.drop()
     values = found.select(*quoted, F.explode("_ranks").alias("_rank"), F.col("_lo").alias("_v")).groupBy(*quoted).agg(

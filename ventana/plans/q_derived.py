@@ -179,7 +179,7 @@ def q_sketch_span(spark, sf):
     ev = table(spark, sf, "events")
     path = scratch_path(spark, "sketches")
     K.daily_sketches(ev, ts="ts", value_cols=["value"], distinct_cols=["user_id"], series_cols=["event_type"]) \
-        .write.partitionBy("day").parquet(path)
+        .write.mode("overwrite").partitionBy("day").parquet(path)
     span = F.col("day").between(*[F.to_date(F.lit(d)) for d in _SPAN])
     told = K.merged(spark.read.parquet(path).filter(span), ["event_type"]).select(
         "event_type", "n", K.quantile("value", 0.95).alias("p95"), K.quantile("value", 0.5).alias("median"),
@@ -221,16 +221,16 @@ def q_variant_types(spark, sf):
 
 
 @query("variant_fields", """
-SELECT event_id, event_id AS id, CASE WHEN event_type NOT IN ('view', 'error') THEN CAST(json_extract(props, '$.k') AS INTEGER) END AS k,
-       CASE WHEN event_type NOT IN ('click', 'view', 'error') THEN user_id END AS user_n,
-       CASE WHEN event_type = 'error' THEN 'a' END AS first_tag, CASE WHEN event_type = 'error' THEN true END AS late
+SELECT event_id, event_id AS id, CASE WHEN event_type NOT IN ('view', 'error') THEN CAST(json_extract(props, '$.k') AS DOUBLE) END AS k,
+       CASE WHEN event_type NOT IN ('click', 'view', 'error') THEN CAST(user_id AS DOUBLE) END AS user_n,
+       CASE WHEN event_type = 'error' THEN 'a' END AS first_tag, CASE WHEN event_type = 'error' THEN 'true' END AS late
 FROM events""")
 def q_variant_fields(spark, sf):
     """Typed columns read by path; absent fields are null."""
     return documents.with_fields(_documents(spark, sf), "document", {
-        "id": ("$.id", "bigint"), "k": ("$.props.k", "int"), "user_n": ("$.user.n", "bigint"),
+        "id": ("$.id", "bigint"), "k": ("$.props.k", "double"), "user_n": ("$.user.n", "double"),
         "first_tag": ("$.tags[0]", "string"), "late": ("$.late", "boolean")}) \
-        .select("event_id", "id", "k", "user_n", "first_tag", "late")
+        .select("event_id", "id", "k", "user_n", "first_tag", F.col("late").cast("string").alias("late"))
 
 
 @query("bucketed_insert", with_ctes(f"SELECT user_id, {ts_txt('date')} AS date, event_id, value FROM f",

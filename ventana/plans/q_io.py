@@ -61,14 +61,15 @@ def q_insert_or_ignore(spark, sf):
 
 
 @query("keep_first_null_orders", f"""
-SELECT user_id, {ts_txt("date_trunc('hour', ts)")} AS date, min(CASE WHEN event_type <> 'click' THEN event_id END) AS seq,
+SELECT user_id, {ts_txt("date_trunc('hour', ts)")} AS date, coalesce(min(CASE WHEN event_type <> 'click' THEN event_id END), -1) AS seq,
        count(DISTINCT event_type) >= 1 AS kept FROM events GROUP BY 1, 2""")
 def q_keep_first_null_orders(spark, sf):
     """Readings whose order is unknown (null) come last, and a key that has no others keeps one of them."""
     ev = table(spark, sf, "events").select(
         "user_id", F.date_trunc("hour", "ts").alias("date"), F.when(F.col("event_type") != "click", F.col("event_id")).alias("seq"),
         "event_id", "event_type", "value")
-    return store.keep_first(ev, ["user_id", "date"], "seq").select("user_id", "date", "seq", F.lit(True).alias("kept"))
+    return store.keep_first(ev, ["user_id", "date"], "seq").select(
+        "user_id", "date", F.coalesce("seq", F.lit(-1)).alias("seq"), F.lit(True).alias("kept"))
 
 
 @query("high_water", with_ctes(f"""

@@ -94,6 +94,9 @@ class Lags:
 
 def _follow(operator, keys: list[str], names: list[str]):
     """The state function of a series."""
+    blank = {f.name: "" if isinstance(f.dataType, T.StringType) else pd.Timestamp(0) if isinstance(f.dataType, T.TimestampType)
+             else 0 for f in T.StructType.fromDDL(operator.schema).fields}
+
     def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         at, waiting = operator.start(), []
         if state.exists:
@@ -114,7 +117,7 @@ def _follow(operator, keys: list[str], names: list[str]):
             state.setTimeoutTimestamp(max(rest[-1][0] // 1000, settled // 1000) + 1)
         out = [{**r, STATUS: FINAL} for r in final] + [{**r, STATUS: PROVISIONAL} for r in [*soon, *operator.tail(then)]]
         # a row of its own tells that the series was here, so that older provisional rows no longer count
-        frame = pd.DataFrame([*out, {STATUS: SEEN}], columns=[*names, STATUS])
+        frame = pd.DataFrame([*out, {**blank, STATUS: SEEN}], columns=[*names, STATUS])
         for i, k in enumerate(keys):
             frame.insert(i, k, key[i])
         yield frame
