@@ -75,6 +75,12 @@ class Tree:
     gain: list[float] = field(default_factory=lambda: [0.0])
     rows: list[int] = field(default_factory=lambda: [0])
 
+    def add(self, splits: "Splits", g: int, h: int) -> None:
+        """A new leaf with the given sums."""
+        for column, start in ((self.feature, -1), (self.cut, -1), (self.missing_left, False), (self.left, -1),
+                              (self.value, splits.value(g / splits.scale, h)), (self.gain, 0.0), (self.rows, h)):
+            column.append(start)
+
     def arrays(self) -> dict[str, np.ndarray]:
         return {"feature": np.array(self.feature, np.int64), "cut": np.array(self.cut, np.int64),
                 "missing_left": np.array(self.missing_left, bool), "left": np.array(self.left, np.int64),
@@ -96,25 +102,31 @@ class Splits:
         return -self.p["stepSize"] * soft / (h + self.p["regLambda"]) if h else 0.0
 
     def best(self, g: np.ndarray, h: np.ndarray):
-        """(gain, feature, bin, missing goes left) per node; ``g`` and ``h`` are integers (node, feature, bin)."""
+        """(gain, feature, bin, missing goes left, gradients and rows on the left) per node; ``g`` and ``h`` are
+        integers (node, feature, bin)."""
         total_g, total_h = g[:, 0].sum(axis=1), h[:, 0].sum(axis=1)
         parent = self.score(total_g / self.scale, total_h)[:, None, None]
+        least = max(self.p["minChildWeight"], 1)
+        gl, hl = np.cumsum(g[:, :, :MISSING], axis=2), np.cumsum(h[:, :, :MISSING], axis=2)
+        lost_g, lost_h = g[:, :, MISSING:], h[:, :, MISSING:]
         gains = []
-        for lost_left in (True, False):
-            gl, hl = np.cumsum(g[:, :, :MISSING], axis=2), np.cumsum(h[:, :, :MISSING], axis=2)
-            if lost_left:
-                if not h[:, :, MISSING].any():
-                    gains.append(np.full(gl.shape, -np.inf))
-                    continue
-                gl, hl = gl + g[:, :, MISSING:], hl + h[:, :, MISSING:]
-            gr, hr = total_g[:, None, None] - gl, total_h[:, None, None] - hl
-            least = max(self.p["minChildWeight"], 1)
-            gain = self.score(gl / self.scale, hl) + self.score(gr / self.scale, hr) - parent
-            gains.append(np.where((hl >= least) & (hr >= least), gain, -np.inf))
-        both = np.stack(gains, axis=3).reshape(len(g), -1)        # the first of equal gains wins
+        # with no missing value, both directions are the same split; the first of equal gains wins
+        for lost_left in (True, False) if lost_h.any() else (True,):
+            a, b = (gl + lost_g, hl + lost_h) if lost_left else (gl, hl)
+            c, d = total_g[:, None, None] - a, total_h[:, None, None] - b
+            gain = self.score(a / self.scale, b) + self.score(c / self.scale, d) - parent
+            gains.append(np.where((b >= least) & (d >= least), gain, -np.inf))
+        both = np.stack(gains, axis=3)
+        ways = both.shape[3]
+        both = both.reshape(len(g), -1)
         at = both.argmax(axis=1)
-        gain = both[np.arange(len(g)), at]
-        return gain, at // (2 * MISSING), at // 2 % MISSING, at % 2 == 0
+        each = np.arange(len(g))
+        feature, cut, lost_left = at // (ways * MISSING), at // ways % MISSING, at % ways == 0
+        left_g = gl[each, feature, cut] + np.where(lost_left, lost_g[each, feature, 0], 0)
+        left_h = hl[each, feature, cut] + np.where(lost_left, lost_h[each, feature, 0], 0)
+        # where training rows have no missing value, later ones go with the larger side
+        lost_left = np.where(lost_h[each, feature, 0] > 0, lost_left, 2 * left_h >= total_h)
+        return both[each, at], feature, cut, lost_left, left_g, left_h
 
 
 def binned(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
@@ -151,47 +163,57 @@ def leaves(t: dict[str, np.ndarray], bins: np.ndarray) -> np.ndarray:
     return node
 
 
-def sums(bins: np.ndarray, node: np.ndarray, grad: np.ndarray, nodes: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Gradients and rows per (node of ``nodes``, feature, bin), exact."""
-    shape = (len(nodes), bins.shape[1], MISSING + 1)
-    size = int(np.prod(shape))
-    g, h = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    place = np.full(max(max(nodes), int(node.max(initial=0))) + 1, -1, np.int64)
-    place[nodes] = np.arange(len(nodes))
-    for a in range(0, len(bins), EXACT_ROWS):
-        at = place[node[a:a + EXACT_ROWS]]
-        keep = np.flatnonzero(at >= 0)
-        cell = ((at[keep, None] * shape[1] + np.arange(shape[1])) * shape[2] + bins[a:a + EXACT_ROWS][keep]).ravel()
-        g += np.rint(np.bincount(cell, np.repeat(grad[a:a + EXACT_ROWS][keep].astype(np.float64), shape[1]), size)).astype(np.int64)
-        h += np.bincount(cell, minlength=size)
-    return g.reshape(shape), h.reshape(shape)
-
-
-def extend(tree: Tree, splits: Splits, nodes: list[int], g: np.ndarray, h: np.ndarray, last: bool) -> list[int]:
-    """Splits ``nodes`` (their sums given) where it pays; the new nodes. With ``last``, only their values are set."""
-    for i, n in enumerate(nodes):
-        tree.rows[n] = int(h[i, 0].sum())
-        tree.value[n] = splits.value(int(g[i, 0].sum()) / splits.scale, tree.rows[n])
-    if last:
-        return []
-    gain, feature, cut, lost_left = splits.best(g, h)
-    new: list[int] = []
+def sums(columns: np.ndarray, place: np.ndarray, grad: np.ndarray, n_nodes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients and rows per (node, feature, bin), exact; ``columns`` holds the bins of each feature, ``place`` the
+    position of each row's node."""
+    shape = (n_nodes, len(columns), MISSING + 1)
+    g, h = np.zeros(shape, np.int64), np.zeros(shape, np.int64)
+    for a in range(0, len(place), EXACT_ROWS):
+        base = place[a:a + EXACT_ROWS] * (MISSING + 1)
+        weight = grad[a:a + EXACT_ROWS].astype(np.float64)
+        for f in range(len(columns)):
+            cell = base + columns[f, a:a + EXACT_ROWS]
+            size = n_nodes * (MISSING + 1)
+            g[:, f] += np.rint(np.bincount(cell, weight, size)).astype(np.int64).reshape(n_nodes, -1)
+            h[:, f] += np.bincount(cell, minlength=size).reshape(n_nodes, -1)
+    return g, h
+
+
+def extend(tree: Tree, splits: Splits, nodes: list[int], g: np.ndarray, h: np.ndarray) -> list[tuple[int, int, int]]:
+    """Splits ``nodes`` (their sums given) where it pays: (position of the node, left child, right child) of each split."""
+    gain, feature, cut, lost_left, left_g, left_h = splits.best(g, h)
+    pairs = []
     for i, n in enumerate(nodes):
         if not gain[i] > max(LEAST_GAIN, splits.p["gamma"]):
             continue
         tree.feature[n], tree.cut[n], tree.gain[n] = int(feature[i]), int(cut[i]), float(gain[i])
-        tree.missing_left[n] = bool(lost_left[i])
-        tree.left[n] = len(tree.left)
-        for _ in range(2):
-            new.append(len(tree.left))
-            tree.feature.append(-1)
-            tree.cut.append(-1)
-            tree.missing_left.append(False)
-            tree.left.append(-1)
-            tree.value.append(0.0)
-            tree.gain.append(0.0)
-            tree.rows.append(0)
-    return new
+        tree.missing_left[n], tree.left[n] = bool(lost_left[i]), len(tree.left)
+        pairs.append((i, tree.left[n], tree.left[n] + 1))
+        whole = (int(g[i, 0].sum()), tree.rows[n])
+        part = (int(left_g[i]), int(left_h[i]))
+        for side in (part, (whole[0] - part[0], whole[1] - part[1])):
+            tree.add(splits, *side)
+    return pairs
+
+
+def grow(splits: Splits, compute, first: tuple[np.ndarray, np.ndarray]) -> Tree:
+    """A tree from the root's sums ``first``. ``compute(tree, nodes)`` adds up the sums of some nodes; of two siblings only
+    the one with fewer rows is added up, the other is what its parent has beyond it."""
+    tree, nodes, (g, h) = Tree(), [0], first
+    tree.rows[0] = int(h[0, 0].sum())
+    tree.value[0] = splits.value(int(g[0, 0].sum()) / splits.scale, tree.rows[0])
+    for depth in range(splits.p["maxDepth"]):
+        pairs = extend(tree, splits, nodes, g, h)
+        if not pairs or depth + 1 == splits.p["maxDepth"]:
+            break
+        small = [l if tree.rows[l] <= tree.rows[r] else r for _, l, r in pairs]
+        some_g, some_h = compute(tree, small)
+        sides_g, sides_h = [], []
+        for (i, l, _), s, a, b in zip(pairs, small, some_g, some_h):
+            sides_g += [a, g[i] - a] if s == l else [g[i] - a, a]
+            sides_h += [b, h[i] - b] if s == l else [h[i] - b, b]
+        nodes, g, h = [c for p in pairs for c in p[1:]], np.stack(sides_g), np.stack(sides_h)
+    return tree
 
 
 class Stop:
@@ -207,25 +229,43 @@ class Stop:
         return self.patience is not None and turn - self.at >= self.patience
 
 
+def places(nodes: list[int], size: int) -> np.ndarray:
+    out = np.full(size, -1, np.int64)
+    out[nodes] = np.arange(len(nodes))
+    return out
+
+
 def boost_here(bins: np.ndarray, y: np.ndarray, ids: np.ndarray, held: np.ndarray, plan: dict) -> list[Tree]:
     """All rounds on rows at hand."""
     p = plan["params"]
     splits = Splits(p, bins.shape[1], plan["scale"])
+    columns = np.ascontiguousarray(bins.T)
     margin = np.full(len(y), plan["base"])
     stop, trees = Stop(p["patience"] if held.any() else None), []
     own = np.flatnonzero(~held)
+    every = np.arange(len(y))
     for turn in range(p["maxIter"]):
         used = own[sampled(ids[own], p["subsamplingRate"], plan["seed"], turn)]
-        grad = np.rint((margin - y) * plan["scale"]).astype(np.int64)[used]
-        rows = bins[used]
-        tree, nodes, node = Tree(), [0], np.zeros(len(used), np.int64)
-        for level in range(p["maxDepth"] + 1):
-            nodes = extend(tree, splits, nodes, *sums(rows, node, grad, nodes), level == p["maxDepth"])
-            if not nodes:
-                break
-            node = leaves(tree.arrays(), rows)
-        arrays = tree.arrays()
-        margin = margin + arrays["value"][leaves(arrays, bins)]
+        grad = np.rint((margin - y) * plan["scale"]).astype(np.int64)
+        node = np.zeros(len(y), np.int64)
+
+        def down(tree: Tree) -> None:
+            """Every row one level further."""
+            t = tree.arrays()
+            live = every[t["left"][node] >= 0]
+            at = node[live]
+            b = columns[t["feature"][at], live]
+            node[live] = t["left"][at] + np.where(b == MISSING, ~t["missing_left"][at], b > t["cut"][at])
+
+        def compute(tree: Tree, nodes: list[int]):
+            down(tree)
+            at = places(nodes, len(tree.left))[node[used]]
+            rows = used[at >= 0]
+            return sums(columns[:, rows], at[at >= 0], grad[rows], len(nodes))
+
+        tree = grow(splits, compute, sums(columns[:, used], np.zeros(len(used), np.int64), grad[used], 1))
+        down(tree)
+        margin = margin + np.array(tree.value)[node]
         trees.append(tree)
         if held.any() and stop.after(turn, float(((margin - y)[held] ** 2).sum())):
             break
@@ -313,7 +353,9 @@ def _grow_by_levels(data: _Rows, plan: dict, n_features: int, validated: bool) -
                 error += float(((m - y)[held] ** 2).sum())
                 used = ~held & sampled(ids, p["subsamplingRate"], plan["seed"], turn)
                 grad = np.rint((m - y) * plan["scale"]).astype(np.int64)
-                more = sums(bins[used], leaves(s["tree"], bins[used]), grad[used], s["nodes"])
+                at = places(s["nodes"], len(s["tree"]["left"]))[leaves(s["tree"], bins)]
+                used &= at >= 0
+                more = sums(np.ascontiguousarray(bins[used].T), at[used], grad[used], len(s["nodes"]))
                 g += more[0]
                 h += more[1]
             at = np.flatnonzero(h.ravel())
@@ -330,20 +372,16 @@ def _grow_by_levels(data: _Rows, plan: dict, n_features: int, validated: bool) -
         return g, h, float(got["error"].to_numpy()[~own].sum())
 
     for turn in range(p["maxIter"] + 1):
-        tree, nodes = Tree(), [0]
-        for depth in range(p["maxDepth"] + 1):
-            g, h, error = level(turn, tree, nodes)
-            # the first sums of a round also tell the error of the trees so far
-            if depth == 0 and turn > 0 and validated and stop.after(turn - 1, error):
-                return trees[:stop.at + 1]
-            if turn == p["maxIter"]:
-                return trees[:stop.at + 1] if stop.patience is not None else trees
-            nodes = extend(tree, splits, nodes, g, h, depth == p["maxDepth"])
-            if not nodes:
-                break
+        g, h, error = level(turn, Tree(), [0])
+        # the first sums of a round also tell the error of the trees so far
+        if turn > 0 and validated and stop.after(turn - 1, error):
+            return trees[:stop.at + 1]
+        if turn == p["maxIter"]:
+            break
+        tree = grow(splits, lambda t, nodes: level(turn, t, nodes)[:2], (g, h))
         trees.append(tree)
         if turn + 1 == p["maxIter"] and not validated:
-            return trees
+            break
         if len(trees) - kept >= KEEP_ROUNDS:
             later = [t.arrays() for t in trees[kept:]]
 
@@ -355,7 +393,7 @@ def _grow_by_levels(data: _Rows, plan: dict, n_features: int, validated: bool) -
             new = _Rows(data.df.mapInArrow(renew, _SCHEMA))
             data.drop()
             data, kept = new, len(trees)
-    return trees
+    return trees[:stop.at + 1] if stop.patience is not None else trees
 
 
 def fit(train: DataFrame, *, features: Sequence[str], label: str, seed: int = 42, validation: DataFrame | None = None,
