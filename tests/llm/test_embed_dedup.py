@@ -115,3 +115,34 @@ def test_audit_weighs_classes_not_links(spark):
     known = spark.createDataFrame([(i, v, 1) for i, v in rows], "rep long, vec array<double>, n long")
     links = spark.createDataFrame([(i, n) for i, (n, _) in brute(rows).items() if i < 300], "rep long, links long")
     assert 0.6 < E._recall(known, links, 0.95) < 0.8
+
+
+def test_one_id_with_several_vectors(spark):
+    """Rows of one id count as the vectors they are, and groups are named by ids."""
+    e1, e2, e3 = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    near = lambda v, k: [c + (0.05 * (k + 1) if c == 0 and i == (v.index(1.0) + 1) % 3 else 0) for i, c in enumerate(v)]
+    rows = [(1, e1), (1, e2), (2, near(e1, 0)), (3, near(e2, 0)), (4, near(e2, 1)), (9, e3), (9, e3)]
+    want = brute([(i, v) for i, (_, v) in enumerate(rows)])
+    out = E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id) for r in out.collect())
+    least = {}
+    for i, (_, c) in want.items():
+        if rows[i][0] is not None:
+            least[c] = min(least.get(c, 99), rows[i][0])
+    assert got == sorted((rows[i][0] or 0, n, least[c]) for i, (n, c) in want.items())
+
+
+def test_rare_links_are_found_and_audited(spark):
+    """One link among thousands of vectors that have none."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(10_000, 24))
+    x[7001] = x[13] + 0.01 * rng.normal(size=24)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    out = E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert {(r.vec_id, r.n_links, r.component_id) for r in out.filter("n_links > 0").collect()} == {(13, 1, 13), (7001, 1, 13)}
+
+
+def test_audit_draws_others_than_the_fit(spark):
+    ids = spark.range(20_000).withColumnRenamed("id", "rep")
+    a, b = (set(r.rep for r in E.bounded_sample(ids, "rep", 1000, **k).collect()) for k in ({}, {"salt": "audit"}))
+    assert len(a & b) < 0.2 * len(a)

@@ -61,3 +61,42 @@ def test_memo_limit(monkeypatch, spark):
     monkeypatch.setattr(L, "MEMO_WORDS", 1)
     s = L.Scorer(model)
     assert [s.texts([t])[0][0] for t in ["the cat", "der hund", "the garten"]] == want[0]
+
+
+def test_scores_equal_a_plain_version(spark):
+    """Words, back-off and how well a text is known, with dictionaries and loops."""
+    import math
+    import random
+    import re
+    model = L.learn(spark.createDataFrame(TINY, "doc_id long, text string, lang string"))
+    s = L.Scorer(model)
+    n = len(model["langs"])
+    words = {w: list(c) for w, c in zip(model["words"], model["words_n"].tolist())}
+    grams = {g: list(c) for g, c in zip(model["grams"], model["grams_n"].tolist())}
+    size = {k: [1 + sum(c[i] for g, c in grams.items() if min(len(g), L.ORDER) == k) for i in range(n)] for k in range(1, L.ORDER + 1)}
+
+    def word(w):
+        if w in words:
+            return [math.log((words[w][i] + 0.1) / (model["totals"][i] + 0.1 * len(words))) for i in range(n)], 1.0
+        for k in range(L.ORDER, 0, -1):
+            gs = L.grams(w, k)
+            if any(g in grams for g in gs):
+                logs = [[math.log((grams.get(g, [0] * n)[i] + 0.1) / (size[min(len(g), L.ORDER) if g in grams else k][i] + 0.1 * len(grams)))
+                         for i in range(n)] for g in gs]
+                return [sum(x[i] for x in logs) / len(gs) for i in range(n)], k / L.ORDER * sum(g in grams for g in gs) / len(gs)
+        return [0.0] * n, 0.0
+
+    draw = random.Random(4)
+    pool = ["the", "hund", "cat", "dogs", "haus", "q", "zzz", "thedog", "ö", "12", "katzen", "homely"]
+    for _ in range(200):
+        text = " ".join(draw.choices(pool, k=draw.randint(1, 8)))
+        ws = re.findall(r"[^\W\d_]+", text)
+        lang, score, known = s.texts([text])
+        if not ws:
+            assert lang == [L.UNKNOWN]
+            continue
+        each = [word(w) for w in ws]
+        z = [sum(e[0][i] for e in each) for i in range(n)]
+        assert lang == [model["langs"][z.index(max(z))]]
+        assert math.isclose(score[0], 1 / sum(math.exp(v - max(z)) for v in z), rel_tol=1e-9)
+        assert math.isclose(known[0], sum(e[1] for e in each) / len(each), rel_tol=1e-9, abs_tol=1e-12)

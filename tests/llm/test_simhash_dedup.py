@@ -100,6 +100,20 @@ def test_one_id_with_several_texts(spark):
         assert sorted(map(tuple, S.keep_one(docs).collect())) == [(1, a), (1, d), (2, b), (2, c)]
 
 
+def test_groups_go_by_fingerprint_not_by_id(spark):
+    """An id with two texts does not tie their groups together, however small the id is."""
+    a, b = "red apples fall from old trees", "grey stones lie under cold water"
+    for shared_id in (4, 7):
+        docs = spark.createDataFrame([(5, a), (5, b), (2, a), (shared_id, b), (None, a), (None, "none of these words")],
+                                     "doc_id long, text string")
+        got = {(r.doc_id, r.fingerprint): r.component_id for r in S.groups(docs).collect()}
+        mark = {t: brute_mark(t, 3) for t in (a, b)}
+        signed = {t: m - (1 << 64) if m >= 1 << 63 else m for t, m in mark.items()}
+        assert got[5, signed[a]] == got[2, signed[a]] == got[None, signed[a]] == 2
+        assert got[5, signed[b]] == got[shared_id, signed[b]] == min(5, shared_id)
+        assert sum(v is None for v in got.values()) == 1
+
+
 def test_many_copies_are_one_group(spark):
     docs = spark.range(3000).selectExpr("id as doc_id", "'the same text again and again' as text")
     assert S.groups(docs).filter("component_id = 0").count() == 3000

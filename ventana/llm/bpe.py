@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, once, shared
+from .common import bound_batches, map_arrow, once, quoted, shared
 
 #: Words whose codes a worker remembers between batches (about 60 MB); others are encoded again.
 MEMO_WORDS = 250_000
@@ -317,7 +317,7 @@ def encode(docs: DataFrame, path: str, *, text_col: str = "text", out: str = "id
     spark = docs.sparkSession
     bound_batches(spark)
     state = shared(spark, {"path": path})
-    rest = docs.select([c for c in docs.columns if c != out])
+    rest = docs.select([quoted(c) for c in docs.columns if c != out])
     schema = T.StructType([*rest.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
     at = rest.columns.index(text_col)
 
@@ -328,9 +328,9 @@ def encode(docs: DataFrame, path: str, *, text_col: str = "text", out: str = "id
             ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
             flat = np.concatenate([np.empty(0, "<u4"), *rows]).view(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, f"c{batch.num_columns}"])
 
-    return rest.mapInArrow(codes, schema)
+    return map_arrow(rest, codes, schema)
 
 
 def decode(rows: DataFrame, path: str, *, ids_col: str = "ids", out: str = "decoded") -> DataFrame:

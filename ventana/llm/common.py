@@ -62,6 +62,14 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def map_arrow(rows: DataFrame, fn: Callable, schema: T.StructType) -> DataFrame:
     """``mapInArrow`` for columns of any name: inside, columns are called by their numbers."""
     plain = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
@@ -84,8 +92,8 @@ def held_out(id_col: str | Column, n: int = 5) -> Column:
     return F.coalesce(remainder(id_col, n) == 0, F.lit(True))
 
 
-def bounded_sample(rows: DataFrame, id_col: str, bound: int) -> DataFrame:
-    """About ``bound`` rows drawn by a hash of the id; all rows if there are no more.
+def bounded_sample(rows: DataFrame, id_col: str, bound: int, salt: str = "sample") -> DataFrame:
+    """About ``bound`` rows drawn by a hash of the id; all rows if there are no more. Another ``salt`` draws others.
 
     ``bound`` is a documented parameter of the operators that learn from labelled rows.
     """
@@ -93,7 +101,7 @@ def bounded_sample(rows: DataFrame, id_col: str, bound: int) -> DataFrame:
     if n <= bound:
         return rows
     cut = int(bound / n * (1 << 31))
-    return rows.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 31)) < cut)
+    return rows.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(salt)), F.lit(1 << 31)) < cut)
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -149,4 +157,4 @@ def _fingerprint(e: DataFrame) -> tuple:
 
 
 __all__ = ["BATCH_ROWS", "Table", "bound_batches", "bounded_sample", "components",
-           "hamming", "held_out", "map_arrow", "once", "quoted", "remainder", "shared", "text_or_empty", "written"]
+           "free", "hamming", "held_out", "map_arrow", "once", "quoted", "remainder", "shared", "text_or_empty", "written"]

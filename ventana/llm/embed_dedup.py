@@ -32,6 +32,7 @@ a null component. Only the id and vector columns are read.
 
 from __future__ import annotations
 
+import warnings
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -189,11 +190,13 @@ def near_duplicates(rows: DataFrame, *, threshold: float = 0.95, id_col: str = "
     """(id, n_links, component_id, kept) for every row."""
     given = rows.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     good = given.filter(can_link())
-    known = written(good.groupBy("vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
+    # a class of equal vectors has a number of its own: an id may stand for several vectors
+    known = written(good.groupBy("vec").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+                    .withColumn("rep", F.monotonically_increasing_id()), "classes")
     n_classes = known.count()
     while True:
         links, edges = _search(known, n_classes, threshold, overlap)
-        if _recall(known, links, threshold) >= RECALL:
+        if _recall(known, links, threshold, n_classes) >= RECALL:
             break
         if overlap >= MOST_OVERLAP:
             links, edges = _search(known, n_classes, threshold, overlap, exact=True)
@@ -201,8 +204,10 @@ def near_duplicates(rows: DataFrame, *, threshold: float = 0.95, id_col: str = "
         overlap *= 2
     comp = components(edges)
     per_class = known.join(links, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left") \
-        .select("vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-                F.coalesce("component", "rep").alias("component_id"))
+        .select("vec", "first", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
+                F.coalesce("component", "rep").alias("group"))
+    least = per_class.groupBy("group").agg(F.min("first").alias("component_id"))
+    per_class = per_class.join(least, "group").select("vec", "n_links", "component_id")
     linked = good.join(per_class, "vec").select("id", "n_links", "component_id")
     alone = given.filter(~can_link()).select(
         "id", F.lit(0).cast("long").alias("n_links"), F.col("id").cast("long").alias("component_id"))
@@ -367,19 +372,28 @@ def _cut_again(placed: DataFrame, inner: int) -> DataFrame:
     return placed.drop("shards").join(inside, "rep")
 
 
-def _recall(known: DataFrame, links: DataFrame, threshold: float) -> float:
+def _recall(known: DataFrame, links: DataFrame, threshold: float, n_classes: int) -> float:
     """Share of the links of a sampled class that the search has counted, averaged over classes with links."""
-    bound = AUDIT
-    while True:
-        asked = bounded_sample(known.select("rep", "vec"), "rep", bound).toPandas()
+    def measure(classes: DataFrame, bound: int) -> tuple[int, float | None]:
+        # drawn by other hashes than the sample that the shards are fitted on
+        asked = bounded_sample(classes.select("rep", "vec"), "rep", bound, salt="audit").toPandas()
         truth = brute_force(known, asked["rep"].tolist(), list(asked["vec"]), threshold)
         found = F.least(F.coalesce("links", F.lit(0)), "links_true") / F.col("links_true")
-        n, share = truth.filter("links_true > 0").join(links, "rep", "left") \
-            .agg(F.count(F.lit(1)), F.avg(found)).first()
-        # where no class of the largest sample has a link, there is no loss that it could show
+        return truth.filter("links_true > 0").join(links, "rep", "left").agg(F.count(F.lit(1)), F.avg(found)).first()
+
+    bound = AUDIT
+    while True:
+        n, share = measure(known, bound)
         if n >= ENOUGH or bound >= MOST_AUDIT:
-            return 1.0 if not n else share
+            break
         bound *= 8
+    if not n and bound < n_classes:
+        # links are too rare for a sample of all classes: classes that have some tell what the others of them lack
+        n, share = measure(known.join(links.filter("links > 0"), "rep", "left_semi"), AUDIT)
+        if not n:
+            warnings.warn(f"embedding near-duplicates: no link found, and none among {bound} classes compared with all "
+                          "others; recall is unmeasured")
+    return share if n else 1.0
 
 
 def brute_force(known: DataFrame, reps: list, vecs: list, threshold: float) -> DataFrame:

@@ -4,7 +4,10 @@ Each language has the log frequency of its words and of the character n-grams of
 the word's borders). A word that any language knows scores its log frequencies; an unseen word is
 scored by its n-grams of the longest length (down from ``ORDER``) of which at least one is known,
 as the mean over its n-grams. A text's score per language is the sum over its words; the prediction
-is the largest, its score the softmax share.
+is the largest, its score the softmax share. As that share is near 1 whatever the text, ``known`` tells how well the model knows
+a text at all: the mean over its words of 1 for a known word, else the length of the n-grams that score it as a share of
+``ORDER`` times the share of them that are known. Random letters and other languages stay well below texts of
+the learned languages.
 
 ``learn`` counts words and n-grams over a hash sample of at most about ``SAMPLE`` labelled rows and
 keeps at most the ``WORDS`` most frequent words and ``GRAMS`` most frequent n-grams of each language
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, bound_batches, bounded_sample, held_out, once, shared, text_or_empty
+from .common import Table, bound_batches, bounded_sample, free, held_out, once, shared, text_or_empty
 
 #: Most labelled rows that learning reads; most words and n-grams kept for a language.
 SAMPLE, WORDS, GRAMS = 30_000, 50_000, 50_000
@@ -145,7 +148,7 @@ class Scorer:
     def __init__(self, model: dict):
         self.langs = model["langs"]
         self.memo: dict[str, int] = {}          # word -> row of ``table``
-        self.table = np.zeros((1024, len(self.langs)))
+        self.table = np.zeros((1024, len(self.langs) + 1))
         words, grams_ = model["words"], model["grams"]
         total = np.array(model["totals"] or [1.0])
         self.word_at = {w: i for i, w in enumerate(words)}
@@ -159,56 +162,61 @@ class Scorer:
         size = np.concatenate([size, np.arange(ORDER + 1)])
         self.gram_log = np.log((counts + 0.1) / (by_size[size] + 0.1 * max(1, len(grams_))))
 
-    def word(self, w: str) -> np.ndarray:
+    def word(self, w: str) -> tuple[np.ndarray, float]:
+        """Log score per language, and how well the word is known."""
         at = self.word_at.get(w)
         if at is not None:
-            return self.word_log[at]
+            return self.word_log[at], 1.0
         get, first = self.gram_at.get, len(self.gram_at)
         for k in range(ORDER, 0, -1):
             rows = [get(g, first + k) for g in grams(w, k)]
             if min(rows) < first:
-                return self.gram_log[rows].mean(axis=0)
-        return np.zeros(len(self.langs))
+                return self.gram_log[rows].mean(axis=0), k / ORDER * sum(r < first for r in rows) / len(rows)
+        return np.zeros(len(self.langs)), 0.0
 
-    def texts(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    def texts(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, softmax share, and how well the text is known."""
         memo = self.memo
         split = [lettered(_WORD.findall(t.lower())) for t in texts]
         new = {w for s in split for w in s if w not in memo}
         if len(memo) + len(new) > len(self.table):
             more = max(len(new), len(self.table))
-            self.table = np.concatenate([self.table, np.zeros((more, len(self.langs)))])
+            self.table = np.concatenate([self.table, np.zeros((more, len(self.langs) + 1))])
         for w in new:
             memo[w] = at = len(memo)
-            self.table[at] = self.word(w)
+            self.table[at, :-1], self.table[at, -1] = self.word(w)
         table = self.table
-        langs, scores = [], np.zeros(len(texts))
+        langs, scores, known = [], np.zeros(len(texts)), np.zeros(len(texts))
         get = memo.__getitem__
         for i, s in enumerate(split):
             if not s or not self.langs:
                 langs.append(UNKNOWN)
                 continue
             z = table[np.fromiter(map(get, s), np.int64, len(s))].sum(axis=0)
+            z, known[i] = z[:-1], z[-1] / len(s)
             best = int(z.argmax())
             langs.append(self.langs[best])
             scores[i] = 1 / np.exp(np.clip(z - z[best], -700, 0)).sum()
         if len(memo) > MEMO_WORDS:
             memo.clear()
-        return langs, scores
+        return langs, scores, known
 
 
 def predict(docs: DataFrame, model: dict, *, text_col: str = "text", out: str = "lang_pred",
-            score: str = "score") -> DataFrame:
-    """``docs`` with the predicted language of each whole text and its score (0 to 1)."""
+            score: str = "score", known: str | None = None) -> DataFrame:
+    """``docs`` with the predicted language of each whole text, its score (0 to 1) and, if ``known`` names a column, how well
+    the model knows the text (0 to 1)."""
     spark = docs.sparkSession
     bound_batches(spark)
     state = shared(spark, model)
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, known double")
     def of(texts: pd.Series) -> pd.DataFrame:
         scorer = once(state.value, "scorer", lambda: Scorer(state.value))
-        langs, scores = scorer.texts(texts.tolist())
-        return pd.DataFrame({"lang": langs, "score": scores})
+        langs, scores, sure = scorer.texts(texts.tolist())
+        return pd.DataFrame({"lang": langs, "score": scores, "known": sure})
 
-    mark = "_" + "_".join(docs.columns)[:60] + "_found"
-    return (docs.withColumn(mark, of(text_or_empty(text_col)))
-            .withColumn(out, F.col(f"{mark}.lang")).withColumn(score, F.col(f"{mark}.score")).drop(mark))
+    mark = free(docs, "_found")
+    rows = (docs.withColumn(mark, of(text_or_empty(text_col)))
+            .withColumn(out, F.col(f"{mark}.lang")).withColumn(score, F.col(f"{mark}.score")))
+    return (rows.withColumn(known, F.col(f"{mark}.known")) if known else rows).drop(mark)

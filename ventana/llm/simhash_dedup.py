@@ -13,7 +13,7 @@ segment within one bit. Keys have about 2 * 64 / m bits (32 at radius 3), so a k
 short where single segments (16 bits) would fill with unrelated fingerprints. Longer chains are
 checked on the pairs that meet, then the full distance.
 
-Only distinct fingerprints are compared, each with the smallest id that has it; exact copies
+Only distinct fingerprints are compared, and groups are named by the smallest id of their rows; exact copies
 meet in an aggregation that combines before the shuffle, whatever their number. A fingerprint
 has at most sum C(64, 1..radius) others within the radius (43,744 at 3), so links grow with the
 number of distinct fingerprints, not with the square of a group.
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, components, hamming, text_or_empty, written
+from .common import bound_batches, components, free, hamming, text_or_empty, written
 
 SEED = 42
 #: Shingles whose bits are counted at once (64 bytes each).
@@ -138,11 +138,13 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     """(id, fingerprint, component_id): the smallest id reachable over links, per row of ``docs``."""
     marked = written(fingerprints(docs, id_col=id_col, text_col=text_col, words=words)
                      .toDF("id", "fingerprint"), "marks")
+    # links are between fingerprints: an id may have several
     reps = written(marked.groupBy("fingerprint").agg(F.min("id").alias("rep")), "reps")
-    named = reps.filter("rep is not null")
-    joined = components(links(named, radius=radius))
-    comp = reps.join(joined, reps.rep == joined.node, "left").select(
-        "fingerprint", F.coalesce("component", "rep").alias("component_id"))
+    joined = components(links(reps, radius=radius, rep="fingerprint"))
+    group = reps.join(joined, reps.fingerprint == joined.node, "left").select(
+        "fingerprint", "rep", F.coalesce("component", "fingerprint").alias("group"))
+    least = group.groupBy("group").agg(F.min("rep").alias("component_id"))
+    comp = group.join(least, "group").select("fingerprint", "component_id")
     return (marked.join(comp, "fingerprint")
             .select(F.col("id").alias(id_col), "fingerprint", "component_id"))
 
@@ -160,8 +162,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     columns. Rows without an id cannot be told apart and stay.
     """
     bound_batches(docs.sparkSession)
-    mark = "_mark_" + "_".join(docs.columns)[:40]
-    nth = "_nth_" + "_".join(docs.columns)[:40]
+    mark, nth = free(docs, "_mark"), free(docs, "_nth")
     named = written(docs.filter(F.col(id_col).isNotNull()).withColumn(mark, mark_of(text_col, words)), "marked")
     reps = written(named.groupBy(F.col(mark).alias("fingerprint")).agg(F.min(id_col).alias("rep")), "reps")
     joined = components(links(reps, radius=radius, rep="fingerprint"))

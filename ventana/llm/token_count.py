@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
-from .common import bound_batches, once, shared, text_or_empty
+from .common import bound_batches, free, once, shared, text_or_empty
 
 #: Words whose counts a worker remembers between batches.
 MEMO_WORDS = 400_000
@@ -146,7 +146,7 @@ def token_counts(docs: DataFrame, path: str | None = None, *, pieces: tuple | No
         rows = np.array([counter(t) for t in texts], np.int64).reshape(-1, 3)
         return pd.DataFrame(rows, columns=["n_tokens", "n_words", "n_unknown"])
 
-    mark = "_" + "_".join(docs.columns)[:60] + "_found"
+    mark = free(docs, "_found")
     rows = docs.withColumn(mark, count(text_or_empty(text_col)))
     for name in ("n_tokens", "n_words", "n_unknown"):
         rows = rows.withColumn(name, F.col(f"{mark}.{name}"))

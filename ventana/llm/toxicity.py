@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, bounded_sample, held_out, once, shared, text_or_empty
+from .common import bound_batches, bounded_sample, free, held_out, once, shared, text_or_empty
 
 #: Most labelled rows that learning reads, and most entries of a learned lexicon.
 SAMPLE, LEXICON = 60_000, 5_000
@@ -184,7 +184,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", out: str = "
     """``docs`` with the score of each whole text (and the matches, weight and words behind it)."""
     bound_batches(docs.sparkSession)
     found = _match_udf(docs.sparkSession, model)(text_or_empty(text_col))
-    mark = "_" + "_".join(docs.columns)[:60] + "_found"
+    mark = free(docs, "_found")
     rows = docs.withColumn(mark, found)
     for name in ("matches", "weight", "words") if details else ():
         rows = rows.withColumn(name, F.col(f"{mark}.{name}"))
@@ -308,14 +308,17 @@ def choose(tally: dict[str, tuple[int, int]], weight: dict[str, float]) -> tuple
             continue
         stems[f] = weight[f]
     grown: dict[str, float] = {}
+    children: dict[str, list[str]] = {}
+    for g in tally:
+        if g in pure and not g.endswith("$"):
+            children.setdefault(g[:-1], []).append(g)
     for f in stems:
         # the longest form that nearly all documents of the stem have, so that "tra" becomes "trash"
         while True:
-            longer = [g for g in tally if len(g) == len(f) + 1 and g.startswith(f) and not g.endswith("$")
-                      and tally[g][0] >= 0.9 * tally[f][0] and g in pure]
-            if not longer:
+            longer = next((g for g in children.get(f, ()) if tally[g][0] >= 0.9 * tally[f][0]), None)
+            if longer is None:
                 break
-            f = longer[0]
+            f = longer
         grown[f] = weight[f]
     words = {f[:-1]: weight[f] for f in pure if f.endswith("$")
              and not any(f[:k] in grown for k in range(1, len(f)))}
