@@ -372,7 +372,7 @@ def _cut_again(placed: DataFrame, inner: int) -> DataFrame:
     return placed.drop("shards").join(inside, "rep")
 
 
-def _recall(known: DataFrame, links: DataFrame, threshold: float, n_classes: int) -> float:
+def _recall(known: DataFrame, links: DataFrame, threshold: float, n_classes: int | None = None) -> float:
     """Share of the links of a sampled class that the search has counted, averaged over classes with links."""
     def measure(classes: DataFrame, bound: int) -> tuple[int, float | None]:
         # drawn by other hashes than the sample that the shards are fitted on
@@ -387,7 +387,7 @@ def _recall(known: DataFrame, links: DataFrame, threshold: float, n_classes: int
         if n >= ENOUGH or bound >= MOST_AUDIT:
             break
         bound *= 8
-    if not n and bound < n_classes:
+    if not n and bound < (known.count() if n_classes is None else n_classes):
         # links are too rare for a sample of all classes: classes that have some tell what the others of them lack
         n, share = measure(known.join(links.filter("links > 0"), "rep", "left_semi"), AUDIT)
         if not n:
