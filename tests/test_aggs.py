@@ -213,3 +213,22 @@ def test_distributed_quantiles_equal_plain(spark):
         assert a.columns == b.columns
         for r, t in zip(sorted(a.collect(), key=str), sorted(b.collect(), key=str)):
             assert all(u == v or abs(u - v) < 1e-9 for u, v in zip(r, t))
+
+
+def test_nice_bins_by_hand(spark):
+    """Widths 1, 2, 5 x 10^k; starts as drawn, worked by hand."""
+    def bins(values, most):
+        return S.nice_bins(spark.createDataFrame([(float(v),) for v in values], "x double"), "x", most)
+    # 0.3 to 9.7 in at most 10 bins: 0.94 a bin, so 1 wide; the first multiple at or above 0.3 is 1, the start one below
+    assert bins([0.3, 1.25, 2.6, 3.35, 4.4, 5.6, 6.7, 7.35, 8.6, 9.7], 10) == (0.0, 1.0)
+    # whole numbers 1 to 50 in at most 30: 1.63 a bin, so 2 wide; bins stand around whole numbers
+    assert bins(range(1, 51), 30) == (-0.5, 2.0)
+    # 0.00 to 0.10 by hundredths in at most 50: 0.002 a bin, so 0.005; all values lie on edges, so the start moves half a bin
+    start, width = bins([i / 100 for i in range(11)] * 3, 50)
+    assert abs(width - 0.005) < 1e-12 and abs(start + 0.0025) < 1e-12
+    # pressures 990.5 to 1031.2 in at most 4: 10.2 a bin, so 20 wide
+    assert bins([990.5, 1001.2, 1013.7, 1031.2], 4) == (980.0, 20.0)
+    assert bins([3.5, 3.5], 10)[1] == 1.0 and S.nice_bins(spark.createDataFrame([], "x double"), "x", 5) is None
+    h = {r["lo"]: r["n"] for r in S.nice_histogram(spark.createDataFrame([(float(v),) for v in range(1, 51)], "x double"), "x", 30).collect()}
+    assert h[-0.5] == 1 and all(n == 2 for lo, n in h.items() if 1 < lo < 49) and sum(h.values()) == 50
+    assert S.nice_histogram(spark.createDataFrame([], "x double"), "x", 5).count() == 0

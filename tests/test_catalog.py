@@ -8,7 +8,8 @@ import __spark_entry__ as E
 from conftest import SF001
 
 # fitted with few rounds in test_learn.py
-SLOW = {"gbt_fit_predict", "gbt_two_targets", "importances", "forecast_next", "forecast_next_day", "backtest_gbt"}
+SLOW = {"gbt_fit_predict", "gbt_two_targets", "importances", "forecast_next", "forecast_next_day", "backtest_gbt",
+        "gbt_attributions"}
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 

@@ -253,6 +253,11 @@ def test_gbt_queries_build(spark, monkeypatch):
     assert two == {"target_pm25": n, "target_aqi": n}
     imp = qs["importances"](spark, SF01).collect()
     assert math.isclose(sum(r["importance"] for r in imp), 1.0) and [r["rank"] for r in imp] == list(range(1, len(imp) + 1))
+    told = qs["gbt_attributions"](spark, SF01)
+    from ventana.plans.q_learn import _DAILY_X
+    r = told.first()
+    assert math.isclose(r["expected"] + sum(r[f] for f in _DAILY_X), r["prediction"], rel_tol=1e-9, abs_tol=1e-9)
+    assert test.first()["n_trees"] == 3 and told.count() == test.count()
     for name in ("forecast_next", "forecast_next_day"):
         assert qs[name](spark, SF01).count() == qs["forecast_inputs"](spark, SF01).count()
     naive = {r["user_id"]: r["n_samples"] for r in qs["backtest_naive"](spark, SF01).collect()}

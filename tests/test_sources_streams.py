@@ -136,6 +136,16 @@ def test_keep_first_with_ties_and_nulls(spark):
     assert "SortAggregate" not in plan
 
 
+def test_keep_first_keeps_keys_whose_orders_are_null(spark):
+    df = spark.createDataFrame([(1, None, "a"), (1, None, "b"), (2, 3, "c"), (2, None, "d"), (3, 1, "e")], "k long, seq long, v string")
+    for n in (1, 4):
+        got = sorted(rows(store.keep_first(df.repartition(n), ["k"], "seq")), key=str)
+        assert [g[0] for g in got] == [1, 2, 3] and got[1:] == [(2, 3, "c"), (3, 1, "e")]
+    plan = store.keep_first(df, ["k"], "seq")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "WindowGroupLimit" in plan.split("Exchange")[1]     # copies go before it
+    assert store.keep_first(df.withColumn("rank", F.lit("kept")), ["k"], "seq").filter("rank = 'kept'").count() == 3
+
+
 def test_restarted_stream_resumes_and_adds_nothing_twice(spark):
     d = _tmp(spark, "restart")
     land, target, ck = (os.path.join(d, x) for x in ("landing", "t", "ck"))

@@ -38,7 +38,10 @@ def test_correlations_equal_the_expressions(spark, series, listwise):
     key = [*series, "col_a", "col_b"]
     got = {tuple(r[k] for k in key): r["corr"] for r in G.corr_wide(df, cols, listwise, series).collect()}
     want = {tuple(r[k] for k in key): r["corr"] for r in S.corr_matrix(df, cols, listwise, series).collect()}
-    assert got.keys() == want.keys() and all(_near(got[k], want[k], 1e-8) for k in want)
+    assert got.keys() == want.keys()
+    # a constant has no correlation (the expressions may find one in rounding noise)
+    assert all(v is None for k, v in got.items() if "e" in k[-2:])
+    assert [(k, got[k], want[k]) for k in want if "e" not in k[-2:] and not _near(got[k], want[k], 1e-8)] == []
 
 
 def test_three_hundred_columns(spark, monkeypatch):
@@ -63,7 +66,8 @@ def test_many_series_flush_and_empty(spark, monkeypatch):
     got = {(r.s, r.col_a, r.col_b): r["corr"] for r in G.corr_wide(df, ["a", "b"], series_cols=["s"]).collect()}
     want = {(r.s, r.col_a, r.col_b): r["corr"] for r in S.corr_matrix(df, ["a", "b"], series_cols=["s"]).collect()}
     assert got.keys() == want.keys() and all(_near(got[k], want[k]) for k in want)
-    assert G.corr_wide(df.limit(0), ["a", "b"]).count() == 0
+    assert [r["corr"] for r in G.corr_wide(df.limit(0), ["a", "b"]).collect()] == [None] * 4
+    assert G.corr_wide(df.limit(0), ["a", "b"], series_cols=["s"]).count() == 0
 
 
 # --- sketches ----------------------------------------------------------------------------
@@ -112,7 +116,7 @@ def test_bad_documents_fail_or_are_set_aside(spark):
     assert sorted(str(r.t) for r in documents.bad_documents(df, "t").collect()) == ["", "None", '{"a": ']
     with pytest.raises(Exception, match="not a JSON document"):
         documents.parsed(df, "t").select(F.to_json("document")).collect()
-    assert documents.parsed(df.limit(1), "t").select(documents.field("document", "$.a", "int").alias("a")).first().a == 1
+    assert documents.parsed(df.filter("t like '%}'"), "t").select(documents.field("document", "$.a", "int").alias("a")).first().a == 1
 
 
 # --- bucketed store ------------------------------------------------------------------------

@@ -101,12 +101,18 @@ def pair_sums(df: DataFrame, cols: Sequence[str], series_cols: Sequence[str] = (
 
 
 def corr_wide(df: DataFrame, cols: Sequence[str], listwise: bool = False, series_cols: Sequence[str] = ()) -> DataFrame:
-    """A17/A18 for any number of columns: (series, col_a, col_b, corr), as ``stats.corr_matrix``."""
+    """A17/A18 for any number of columns: (series, col_a, col_b, corr), as ``stats.corr_matrix``. A pair without correlation is null."""
     n = F.nullif(F.col("n"), F.lit(0.0))
     va, vb = F.col("saa") / n - (F.col("sa") / n) ** 2, F.col("sbb") / n - (F.col("sb") / n) ** 2
     cov = F.col("sab") / n - F.col("sa") / n * (F.col("sb") / n)
     good = (va > NO_VARIANCE * F.col("saa") / n) & (vb > NO_VARIANCE * F.col("sbb") / n)
     names = F.array(*[F.lit(c) for c in cols])
-    return pair_sums(df, cols, series_cols, listwise).select(
+    sums = pair_sums(df, cols, series_cols, listwise)
+    if not series_cols:
+        # every pair has its row, also where no rows are left
+        c = len(cols)
+        grid = df.sparkSession.range(c * c).select((F.col("id") / c).cast("int").alias("a"), (F.col("id") % c).cast("int").alias("b"))
+        sums = grid.join(sums, ["a", "b"], "left")
+    return sums.select(
         *[F.col(f"`{s}`") for s in series_cols], F.element_at(names, F.col("a") + 1).alias("col_a"),
         F.element_at(names, F.col("b") + 1).alias("col_b"), F.when(good, cov / F.sqrt(va * vb)).alias("corr"))
