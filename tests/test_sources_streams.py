@@ -234,3 +234,34 @@ def test_stream_daily_equals_batch_over_several_batches(spark):
         .groupBy("k", F.to_date("ts").alias("d")).agg(F.avg("v").alias("m"), F.count("*").alias("n"))
     want = sorted((r["k"], r["d"], round(r["m"], 9), r["n"]) for r in batch.collect())
     assert got == want
+
+
+def test_compacted_change_log_goes_on(spark):
+    d = _tmp(spark, "compact")
+    land, out, new, ck = (os.path.join(d, x) for x in ("landing", "out", "new", "ck"))
+    t = dt.datetime(2024, 1, 1)
+    _landing(spark, land, "f1", [(1, t, 1, 1.0), (2, t + dt.timedelta(hours=1), 1, 3.0)])
+    schema = spark.read.parquet(os.path.join(land, "f1")).schema
+    names = schema.names
+
+    def run(path):
+        s = ingest.read_stream(spark, land + "/*", schema, event_ts="ts")
+        ingest.run_to_end(ingest.stream_daily(s, path, ck, ts="ts", value_col=names[-1], series_cols=["k"]))
+        return {r.k: (r["mean"], r.n) for r in ingest.latest_versions(spark.read.parquet(path), ["k", "day_start"]).collect()}
+
+    assert run(out) == {1: (2.0, 2)}
+    _landing(spark, land, "f2", [(3, t + dt.timedelta(hours=2), 1, 5.0), (4, t, 2, 7.0)])
+    run(out)
+    ingest.compact_versions(spark, out, new, ["k", "day_start"])
+    assert spark.read.parquet(new).count() == 2 < spark.read.parquet(out).count()
+    _landing(spark, land, "f3", [(5, t + dt.timedelta(hours=3), 2, 9.0)])
+    assert run(new) == {1: (3.0, 3), 2: (8.0, 2)}
+
+
+def test_scratch_of_one_machine_is_refused_on_a_cluster():
+    from ventana.session import require_shared
+    for folder, master in (("file:/tmp/w", "local[4]"), ("/tmp/w", "local-cluster[2,1,512]"), ("hdfs://n/w", "yarn"), ("s3a://b/w", "spark://h:7077")):
+        require_shared(folder, master)
+    for folder in ("file:/tmp/w", "/tmp/w"):
+        with pytest.raises(ValueError):
+            require_shared(folder, "yarn")

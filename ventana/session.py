@@ -72,6 +72,12 @@ def cluster_conf(total_cores: int, *, scan_split: str = "256m", shuffle_target:
     }
 
 
+def require_shared(folder: str, master: str) -> None:
+    """Refuse a folder of one machine's own disk where executors run on others."""
+    if not master.startswith("local") and (folder.startswith("file:") or "://" not in folder and folder.startswith("/")):
+        raise ValueError(f"{folder} lies on one machine; set spark.checkpoint.dir to a folder that all executors reach")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and materialised intermediate tables.
 
@@ -90,6 +96,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    require_shared(warehouse, spark.sparkContext.master)
     folder = f"{warehouse.rstrip('/')}/_scratch-{spark.sparkContext.applicationId}"
     remove_at_exit(spark, folder)
     spark.conf.set("spark.checkpoint.dir", folder)

@@ -124,6 +124,14 @@ def latest_versions(changes: DataFrame, key: Sequence[str], version: str = "batc
         .drop("_rk", version)
 
 
+def compact_versions(spark: SparkSession, out_path: str, new_path: str, key: Sequence[str], version: str = "batch_id") -> None:
+    """The latest version of every window as the start of a new change log, so that readers need not go through
+    all versions again; the stream goes on into ``new_path`` from its checkpoint."""
+    w = Window.partitionBy(*key).orderBy(F.desc(version))
+    spark.read.parquet(out_path).withColumn("_rk", F.row_number().over(w)).filter("_rk = 1").drop("_rk") \
+        .write.mode("overwrite").parquet(new_path)
+
+
 def alerts(df: DataFrame, *, value_col: str, keep: Sequence[str]) -> DataFrame:
     """Label each reading; keep the bad ones (stateless, stream or batch)."""
     lab = level4(value_col)
@@ -146,5 +154,5 @@ def run_to_end(query) -> None:
         raise RuntimeError(str(query.exception()))
 
 
-__all__ = ["read_stream", "stream_insert", "stream_daily", "stream_alerts", "latest_versions",
+__all__ = ["read_stream", "stream_insert", "stream_daily", "stream_alerts", "latest_versions", "compact_versions",
            "alerts", "run_to_end", "new_paths"]
