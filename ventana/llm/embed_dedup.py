@@ -45,6 +45,8 @@ SAMPLE, SHARD, BLOCK, MOST_SHARDS = 20_000, 1_200, 2_048, 4_096
 LARGE, INNER, CHUNK = 8_192, 2, 20_000
 DEGREE, NEAR, FAR, ALPHA = 24, 48, 24, 1.2
 BEAM, STEP, SLACK, QUERIES = 24, 4, 0.06, 256
+#: Expansions and dot products of a search held at once (some tens of MB each).
+STEPS_AT_ONCE, PRODUCTS_AT_ONCE = 5_000, 25_000
 AUDIT, MOST_AUDIT, ENOUGH, RECALL, MOST_OVERLAP = 1_024, 8_192, 100, 0.97, 16
 
 
@@ -131,8 +133,8 @@ def search_cell(x: np.ndarray, starts: np.ndarray, lists: np.ndarray, entries: n
 
         def expand(qi: np.ndarray, node: np.ndarray) -> None:
             open_[qi, node] = False
-            for a in range(0, len(qi), 20_000):
-                qa, na = qi[a:a + 20_000], node[a:a + 20_000]
+            for a in range(0, len(qi), STEPS_AT_ONCE):
+                qa, na = qi[a:a + STEPS_AT_ONCE], node[a:a + STEPS_AT_ONCE]
                 many = sizes[na]
                 who = np.repeat(qa, many)
                 offset = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
@@ -140,8 +142,8 @@ def search_cell(x: np.ndarray, starts: np.ndarray, lists: np.ndarray, entries: n
                 new = sim[who, to] == -2.0
                 key = np.unique(who[new] * n + to[new])
                 who, to = key // n, key % n
-                for i in range(0, len(who), 100_000):
-                    w, t = who[i:i + 100_000], to[i:i + 100_000]
+                for i in range(0, len(who), PRODUCTS_AT_ONCE):
+                    w, t = who[i:i + PRODUCTS_AT_ONCE], to[i:i + PRODUCTS_AT_ONCE]
                     sim[w, t] = np.einsum("ij,ij->i", x[q[w]], x[t])
                 open_[who, to] = True
 
