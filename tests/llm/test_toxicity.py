@@ -76,3 +76,39 @@ def test_odd_tables(spark):
     assert not none.stems and X.score(odd, none).filter("score < 0.5").count() == 5
     only = X.learn(docs, labels.withColumn("toxic", F.lit(None).cast("int")))
     assert not only.stems
+
+
+def test_choose_equals_scanning_every_feature():
+    """Growing stems by their indexed children finds what a scan of all features finds; many features are no trouble."""
+    import random
+    import time
+    from ventana.llm import toxicity as X
+
+    def scanning(tally, weight):
+        pure = {f for f, x in weight.items() if x >= X.RATIO}
+        stems = {}
+        for f in sorted((f for f in pure if not f.endswith("$")), key=lambda f: (len(f), f)):
+            if not any(f[:k] in stems for k in range(X.STEMS[0], len(f))):
+                stems[f] = weight[f]
+        grown = {}
+        for f in stems:
+            while True:
+                longer = [g for g in tally if len(g) == len(f) + 1 and g.startswith(f) and not g.endswith("$")
+                          and tally[g][0] >= 0.9 * tally[f][0] and g in pure]
+                if not longer:
+                    break
+                f = longer[0]
+            grown[f] = weight[f]
+        words = {f[:-1]: weight[f] for f in pure if f.endswith("$") and not any(f[:k] in grown for k in range(1, len(f)))}
+        return grown, words
+
+    draw = random.Random(1)
+    for _ in range(40):
+        names = {"".join(draw.choices("abc", k=draw.randint(X.STEMS[0], 8))) + draw.choice(["", "", "$"]) for _ in range(150)}
+        tally = {f: (draw.randint(1, 40), draw.randint(0, 3)) for f in sorted(names, key=lambda f: draw.random())}
+        weight = {f: draw.choice([0.0, X.RATIO, X.RATIO + 1]) for f in tally}
+        assert X.choose(tally, weight) == scanning(tally, weight)
+    many = {f"w{draw.randrange(10 ** 9):09d}"[:draw.randint(X.STEMS[0], 9)]: (5, 0) for _ in range(200_000)}
+    start = time.perf_counter()
+    X.choose(many, dict.fromkeys(many, X.RATIO))
+    assert time.perf_counter() - start < 20
