@@ -120,7 +120,9 @@ def links(marks: DataFrame, *, radius: int = 3, fp: str = "fingerprint", rep: st
 
     probe = marks.select(x.alias("fb"), F.col(rep).alias("b"),
                          F.inline(F.flatten(F.array(*[variants(i) for i in range(m)]))))
-    met = index.join(probe, ["start", "key"]).filter("fa < fb")
+    # sorted and merged: Spark takes the listed rows for no more than the file they come from, and would send them all
+    # through the driver as a broadcast
+    met = index.hint("merge").join(probe, ["start", "key"]).filter("fa < fb")
     d = F.col("fa").bitwiseXOR(F.col("fb"))
     chain = F.lit(False)
     for i in range(m):
