@@ -7,7 +7,7 @@ Spark ML's trees know neither ``gamma`` nor ``reg_alpha`` nor a patience, and ne
   to which side they go;
 * rows become one byte per feature, written once to the shared folder;
 * a tree grows level by level: gradients and row counts are added up per (node, feature, bin) in one
-  aggregation, and the best split of every node follows from those sums alone, whose number
+  job, and the best split of every node follows from those sums alone, whose number
   depends on the parameters and never on the rows;
 * a split's gain is ``S(left) + S(right) - S(node)`` with ``S = soft(G)^2 / (H + lambda)`` (``soft`` takes
   ``regAlpha`` off the gradient sum); it is made if the gain is above ``gamma`` and both sides hold
@@ -18,9 +18,9 @@ row is in a round's sample by a hash of its content, so a fit does not depend on
 partitioned, on the order of additions or on repeated tasks: the same rows give the same trees.
 
 Where the training rows are no more than ``ONE_TASK_ROWS`` (a few MB of bins), levels need no exchange: one task
-adds up the same sums and grows all rounds. Above it every level is a Spark aggregation, and the
-running predictions are written every ``KEEP_ROUNDS`` rounds, so a lost executor costs a level's work. Both ways
-give the same trees (tested).
+adds up the same sums and grows all rounds. Above it every level is a Spark job over blocks of rows: a round's sample
+and gradients are made once and kept by the executors while its levels grow, and the running predictions are written every
+``KEEP_ROUNDS`` rounds, so a lost executor costs its blocks' share of these. Both ways give the same trees (tested).
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +43,12 @@ from ..session import path_exists, remove_path, scratch_path
 #: Training rows up to which all rounds are grown by one task (20 bytes a row and 20 features: 4 MB).
 ONE_TASK_ROWS = 200_000
 #: Rounds after which the running predictions are written, where levels are Spark jobs.
-KEEP_ROUNDS = 20
+KEEP_ROUNDS = 10
+#: Rows of a block, and of a task that keeps blocks, where levels are Spark jobs.
+BLOCK_ROWS = 1 << 16
+PART_ROWS = 1 << 20
+#: Bytes of a level's sums that the driver adds up itself; more are added up by tasks first.
+MOST_SUMS = 1 << 26
 #: Bin of a missing value; the others are below.
 MISSING = 255
 #: Smallest gain worth a split.
@@ -149,17 +155,21 @@ def sampled(ids: np.ndarray, rate: float, seed: int, turn: int) -> np.ndarray:
     return z < np.uint64(int(rate * 2.0 ** 64))
 
 
-def leaves(t: dict[str, np.ndarray], bins: np.ndarray) -> np.ndarray:
-    """Node of every row in a tree."""
-    node = np.zeros(len(bins), np.int64)
-    live = np.arange(len(bins))
-    while len(live):
-        at = node[live]
-        live = live[t["left"][at] >= 0]
-        at = node[live]
-        b = bins[live, t["feature"][at]]
-        right = np.where(b == MISSING, ~t["missing_left"][at], b > t["cut"][at])
-        node[live] = t["left"][at] + right
+def leaves(t: dict[str, np.ndarray], columns: np.ndarray) -> np.ndarray:
+    """Node of every row in a tree; ``columns`` holds the bins of each feature."""
+    n_nodes, n = len(t["left"]), columns.shape[1]
+    depth = np.zeros(n_nodes, np.int64)
+    for i in np.flatnonzero(t["left"] >= 0):                 # children come after their parents
+        depth[t["left"][i]:t["left"][i] + 2] = depth[i] + 1
+    # the node after each node, by the bin of its feature; a leaf is followed by itself
+    bins = np.arange(MISSING + 1)
+    right = np.where(bins == MISSING, ~t["missing_left"][:, None], bins > t["cut"][:, None])
+    inner = t["left"] >= 0
+    after = np.where(inner[:, None], t["left"][:, None] + right, np.arange(n_nodes)[:, None]).ravel()
+    start = np.where(inner, t["feature"], 0) * n
+    cells, row, node = columns.ravel(), np.arange(n), np.zeros(n, np.int64)
+    for _ in range(depth.max()):
+        node = after[node * (MISSING + 1) + cells[start[node] + row]]
     return node
 
 
@@ -326,73 +336,128 @@ def _grow_here(data: DataFrame, plan: dict, n_features: int) -> list[Tree]:
     return [Tree(**t) for t in json.loads(data.coalesce(1).mapInArrow(grow, "trees string").first().trees)]
 
 
-def _grow_by_levels(data: _Rows, plan: dict, n_features: int, validated: bool) -> list[Tree]:
-    """A Spark aggregation per level."""
+_BLOCK = "columns binary, y binary, id binary, held binary, margin binary"
+_KINDS = (np.uint8, np.float64, np.int64, np.bool_, np.float64)
+
+
+def _to_blocks(rows: DataFrame, n_features: int) -> DataFrame:
+    """Rows of bins put together in blocks of at most ``BLOCK_ROWS``, every column as the bytes of its array, the bins by
+    feature."""
+    def block(parts: list) -> pa.RecordBatch:
+        bins, *others = [np.concatenate(c) for c in zip(*parts)]
+        cols = [np.ascontiguousarray(bins.T), *others]
+        return pa.RecordBatch.from_arrays([pa.array([c.astype(k).tobytes()], pa.binary()) for c, k in zip(cols, _KINDS)],
+                                          names=["columns", "y", "id", "held", "margin"])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n = [], 0
+        for b in batches:
+            for i in range(0, b.num_rows, BLOCK_ROWS):
+                part = b.slice(i, BLOCK_ROWS)
+                if n + part.num_rows > BLOCK_ROWS:
+                    yield block(parts)
+                    parts, n = [], 0
+                parts.append(_matrix(part, n_features))
+                n += part.num_rows
+        if n:
+            yield block(parts)
+
+    return rows.mapInArrow(blocks, _BLOCK)
+
+
+def _arrays(row: Sequence, n_features: int) -> list[np.ndarray]:
+    columns, *others = [np.frombuffer(x, k) for x, k in zip(row, _KINDS)]
+    return [columns.reshape(n_features, -1), *others]
+
+
+def _with_trees(m: np.ndarray, columns: np.ndarray, trees: list[dict[str, np.ndarray]]) -> np.ndarray:
+    for t in trees:
+        m = m + t["value"][leaves(t, columns)]
+    return m
+
+
+def _renewed(blocks: DataFrame, trees: list[dict[str, np.ndarray]], n_features: int) -> DataFrame:
+    """Blocks whose running predictions hold ``trees`` too."""
+    def renew(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            told = [_with_trees(a[4], a[0], trees).tobytes()
+                    for a in (_arrays(row, n_features) for row in zip(*(c.to_pylist() for c in b.columns)))]
+            yield b.set_column(4, "margin", pa.array(told, pa.binary()))
+
+    return blocks.mapInArrow(renew, _BLOCK)
+
+
+def _grow_by_levels(data: _Rows, plan: dict, n_features: int, validated: bool, n_rows: int) -> list[Tree]:
+    """A Spark job per level, over blocks that executors keep.
+
+    A round takes its sample and its gradients once, from the written blocks and the trees since; its levels then read
+    only these. What a lost executor kept is made again from the written blocks.
+    """
     p, spark = plan["params"], data.spark
     splits = Splits(p, n_features, plan["scale"])
     stop, trees = Stop(p["patience"] if validated else None), []
     kept = 0                    # trees that the written margins hold
+    n_parts = max(spark.sparkContext.defaultParallelism, -(-n_rows // PART_ROWS))
+    blocks = _Rows(_to_blocks(data.df.repartition(n_parts), n_features))
+    base = blocks.df.rdd.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def begun(turn: int):
+        """(bins, gradients) of the round's rows and the error of the held-out ones, by block."""
+        later = [t.arrays() for t in trees[kept:]]
+
+        def begin(rows: Iterator) -> Iterator:
+            for row in rows:
+                columns, y, ids, held, m = _arrays(row, n_features)
+                off = _with_trees(m, columns, later) - y
+                used = ~held & sampled(ids, p["subsamplingRate"], plan["seed"], turn)
+                yield columns[:, used], np.rint(off[used] * plan["scale"]).astype(np.int64), float((off[held] ** 2).sum())
 
-    def margins(m, bins, later):
-        for t in later:
-            m = m + t["value"][leaves(t, bins)]
-        return m
+        return base.mapPartitions(begin).persist(StorageLevel.MEMORY_AND_DISK)
 
-    def level(turn: int, tree: Tree, nodes: list[int]):
-        state = spark.sparkContext.broadcast({"later": [t.arrays() for t in trees[kept:]], "tree": tree.arrays(), "nodes": nodes})
+    def level(rows, tree: Tree, nodes: list[int]):
+        """Sums of ``nodes``, and the errors by block."""
+        t = tree.arrays()
         whole = (len(nodes), n_features, MISSING + 1)
 
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            s = state.value
-            g, h = np.zeros(whole, np.int64), np.zeros(whole, np.int64)
-            error = 0.0
-            for b in batches:
-                bins, y, ids, held, m = _matrix(b, n_features)
-                m = margins(m, bins, s["later"])
-                held = held.astype(bool)
-                error += float(((m - y)[held] ** 2).sum())
-                used = ~held & sampled(ids, p["subsamplingRate"], plan["seed"], turn)
-                grad = np.rint((m - y) * plan["scale"]).astype(np.int64)
-                at = places(s["nodes"], len(s["tree"]["left"]))[leaves(s["tree"], bins)]
-                used &= at >= 0
-                more = sums(np.ascontiguousarray(bins[used].T), at[used], grad[used], len(s["nodes"]))
+        def add(parts: Iterator) -> Iterator:
+            g, h, errors = np.zeros(whole, np.int64), np.zeros(whole, np.int64), []
+            for columns, grad, error in parts:
+                at = places(nodes, len(t["left"]))[leaves(t, columns)]
+                own = at >= 0
+                more = sums(columns[:, own], at[own], grad[own], len(nodes))
                 g += more[0]
                 h += more[1]
-            at = np.flatnonzero(h.ravel())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(at, -1)), pa.array(np.append(g.ravel()[at], 0)), pa.array(np.append(h.ravel()[at], 0)),
-                 pa.array(np.append(np.zeros(len(at)), error))], names=["cell", "g", "h", "error"])
-
-        got = data.df.mapInArrow(add, "cell long, g long, h long, error double").groupBy("cell") \
-            .agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("error").alias("error")).toArrow()
-        cell = got["cell"].to_numpy()
-        g, h = np.zeros(whole, np.int64), np.zeros(whole, np.int64)
-        own = cell >= 0
-        g.ravel()[cell[own]], h.ravel()[cell[own]] = got["g"].to_numpy()[own], got["h"].to_numpy()[own]
-        return g, h, float(got["error"].to_numpy()[~own].sum())
-
-    for turn in range(p["maxIter"] + 1):
-        g, h, error = level(turn, Tree(), [0])
-        # the first sums of a round also tell the error of the trees so far
-        if turn > 0 and validated and stop.after(turn - 1, error):
-            return trees[:stop.at + 1]
-        if turn == p["maxIter"]:
-            break
-        tree = grow(splits, lambda t, nodes: level(turn, t, nodes)[:2], (g, h))
-        trees.append(tree)
-        if turn + 1 == p["maxIter"] and not validated:
-            break
-        if len(trees) - kept >= KEEP_ROUNDS:
-            later = [t.arrays() for t in trees[kept:]]
+                errors.append(error)
+            yield g, h, errors
 
-            def renew(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for b in batches:
-                    bins, *_, m = _matrix(b, n_features)
-                    yield b.set_column(4, "margin", pa.array(margins(m, bins, later)))
+        added = rows.mapPartitions(add)
+        one_step = added.getNumPartitions() * math.prod(whole) * 16 <= MOST_SUMS
+        return added.treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2]), depth=1 if one_step else 2)
 
-            new = _Rows(data.df.mapInArrow(renew, _SCHEMA))
-            data.drop()
-            data, kept = new, len(trees)
+    try:
+        for turn in range(p["maxIter"] + 1):
+            rows = begun(turn)
+            try:
+                g, h, errors = level(rows, Tree(), [0])
+                # the first sums of a round also tell the error of the trees so far, whatever the order of blocks
+                if turn > 0 and validated and stop.after(turn - 1, math.fsum(errors)):
+                    return trees[:stop.at + 1]
+                if turn == p["maxIter"]:
+                    break
+                trees.append(grow(splits, lambda t, nodes: level(rows, t, nodes)[:2], (g, h)))
+            finally:
+                rows.unpersist()
+            if turn + 1 == p["maxIter"] and not validated:
+                break
+            if len(trees) - kept >= KEEP_ROUNDS:
+                new = _Rows(_renewed(blocks.df, [t.arrays() for t in trees[kept:]], n_features))
+                base.unpersist()
+                blocks.drop()
+                blocks, kept = new, len(trees)
+                base = blocks.df.rdd.persist(StorageLevel.MEMORY_AND_DISK)
+    finally:
+        base.unpersist()
+        blocks.drop()
     return trees[:stop.at + 1] if stop.patience is not None else trees
 
 
@@ -431,10 +496,11 @@ def fit(train: DataFrame, *, features: Sequence[str], label: str, seed: int = 42
     both = own if validation is None else own.unionByName(rows(validation, True))
     data = _Rows(_to_bins(both, cuts, base))
     try:
-        if data.df.count() <= one_task_rows:
+        n_rows = data.df.count()
+        if n_rows <= one_task_rows:
             trees = _grow_here(data.df, plan, len(cols))
         else:
-            trees = _grow_by_levels(data, plan, len(cols), validation is not None)
+            trees = _grow_by_levels(data, plan, len(cols), validation is not None, n_rows)
     finally:
         data.drop()
     return Boosted(list(features), base, [c.tolist() for c in cuts], trees)
