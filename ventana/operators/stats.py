@@ -312,7 +312,9 @@ def box_stats(df: DataFrame, value_col: str, group_cols: Sequence[str] = (),
     the rows with them (a small side AQE can broadcast after measuring it) and
     one aggregation that carries the statistics through to the output. Over all
     rows (no group), and with ``distributed`` for groups of raw rows, the quartiles are those of
-    ``exact_quantiles``, which no single task gathers.
+    ``exact_quantiles``, which no single task gathers. With ``distributed`` the statistics are
+    written first and the rows are not the outer side of their join, so that the statistics can be
+    broadcast and rows are added up where they are read, however few groups they have.
     """
     x = F.col(value_col)
     g = list(group_cols)
@@ -338,7 +340,10 @@ def box_stats(df: DataFrame, value_col: str, group_cols: Sequence[str] = (),
     iqr = F.col("q3") - F.col("q1")
     rows = df.filter(x.isNotNull()).select(*g, x.alias("_x"))
     stats = ["q1", "median", "q3", "mean", "sd", "n"]
-    if g:
+    if g and distributed:
+        told = radix.stored(q)
+        joined, carried = rows.join(told, g), []
+    elif g:
         joined = q.join(rows, g, "left")
         carried = [F.first(c).alias(c) for c in stats]
     else:
@@ -349,11 +354,15 @@ def box_stats(df: DataFrame, value_col: str, group_cols: Sequence[str] = (),
     lo = F.col("q1") - whisker * iqr
     hi = F.col("q3") + whisker * iqr
     inside = (F.col("_x") >= lo) & (F.col("_x") <= hi)
-    return joined.groupBy(*g).agg(
+    out = joined.groupBy(*g).agg(
         *carried,
         F.min(F.when(inside, F.col("_x"))).alias("lower_whisker"),
         F.max(F.when(inside, F.col("_x"))).alias("upper_whisker"),
         F.count_if(F.col("_x").isNotNull() & ~inside).alias("n_outliers"))
+    if g and distributed:
+        # groups without values, and null groups, keep their row
+        out = told.join(out, g, "left").withColumn("n_outliers", F.coalesce("n_outliers", F.lit(0)))
+    return out
 
 
 def density2d(df: DataFrame, x: str, y: str, bins: int = 20,
