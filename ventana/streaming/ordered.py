@@ -10,7 +10,8 @@ the watermark allows. Every series therefore has a state of two parts:
 
 In each micro-batch a series takes its new rows, settles what the watermark has passed and writes the results of settled
 rows once, as *final*. What would follow from the waiting rows is written as *provisional* and replaced by the series'
-next batch. A timer settles the waiting rows of a series that gets no more readings. ``results`` reads both: final rows
+next batch. A timer settles the waiting rows of series that get no more readings. Spark keeps the states of a group
+of series together (``GROUPS`` by a hash), so that the calls of Python do not grow with the number of series. ``results`` reads both: final rows
 and the provisional rows of each series' last batch, which together equal the batch operator over all rows
 that were not late.
 
@@ -36,6 +37,12 @@ from ..functions import values as V
 #: Columns that a stream's output has besides keys and results.
 STATUS, BATCH = "status", "batch_id"
 FINAL, PROVISIONAL, SEEN = "final", "provisional", "seen"
+#: Groups in which series are followed, and result rows handed on at once.
+GROUPS = 4096
+MOST_OUT = 20_000
+#: Keys of series as text and back.
+KEY_TEXT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+            "ignoreNullFields": "false"}
 
 
 class Episodes:
@@ -92,51 +99,64 @@ class Lags:
         return []
 
 
-def _follow(operator, keys: list[str], names: list[str]):
-    """The state function of a series."""
+def _follow(operator, names: list[str]):
+    """The state function of a group of series."""
     blank = {f.name: "" if isinstance(f.dataType, T.StringType) else pd.Timestamp(0) if isinstance(f.dataType, T.TimestampType)
              else 0 for f in T.StructType.fromDDL(operator.schema).fields}
 
-    def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, waiting = operator.start(), []
-        if state.exists:
-            at, waiting = (json.loads(x) for x in state.get)
-        rows = [tuple(r) for r in waiting]
+    def follow(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        carry, waiting = (json.loads(x) for x in state.get) if state.exists else ({}, {})
+        new: dict[str, list] = {}
         for f in frames:
             # NaN stands for a missing reading here as in the batch operators
             f = f[f["_value"].notna() & f["_time"].notna()]
-            rows += zip(f["_time"].astype("int64").tolist(), f["_tie"].astype("int64").tolist(), f["_value"].tolist())
+            for k, *r in zip(f["_key"], f["_time"].astype("int64").tolist(), f["_tie"].astype("int64").tolist(),
+                             f["_value"].tolist()):
+                new.setdefault(k, []).append(tuple(r))
         settled = state.getCurrentWatermarkMs() * 1000
-        rows.sort()
-        ready = [r for r in rows if r[0] <= settled]
-        rest = rows[len(ready):]
-        final, at = operator.step(at, ready)
-        soon, then = operator.step(at, rest)
-        state.update((json.dumps(at), json.dumps(rest)))
-        if rest:
-            state.setTimeoutTimestamp(max(rest[-1][0] // 1000, settled // 1000) + 1)
-        out = [{**r, STATUS: FINAL} for r in final] + [{**r, STATUS: PROVISIONAL} for r in [*soon, *operator.tail(then)]]
-        # a row of its own tells that the series was here, so that older provisional rows no longer count
-        frame = pd.DataFrame([*out, {**blank, STATUS: SEEN}], columns=[*names, STATUS])
-        for i, k in enumerate(keys):
-            frame.insert(i, k, key[i])
-        yield frame
+        out: list[dict] = []
+        # series without new rows and without rows to settle stay as they are, and so do their provisional rows
+        for k in [*new, *(k for k, rows in waiting.items() if k not in new and rows[0][0] <= settled)]:
+            rows = sorted([*map(tuple, waiting.pop(k, [])), *new.get(k, [])])
+            ready = [r for r in rows if r[0] <= settled]
+            rest = rows[len(ready):]
+            final, at = operator.step(carry.get(k) or operator.start(), ready)
+            soon, then = operator.step(at, rest)
+            carry[k] = at
+            if rest:
+                waiting[k] = rest
+            # a row of its own tells that the series was here, so that older provisional rows no longer count
+            out += [{**r, STATUS: s, "_key": k} for s, found in ((FINAL, final), (PROVISIONAL, [*soon, *operator.tail(then)]),
+                                                                 (SEEN, [blank])) for r in found]
+            if len(out) >= MOST_OUT:
+                yield pd.DataFrame(out, columns=["_key", *names, STATUS])
+                out = []
+        state.update((json.dumps(carry), json.dumps(waiting)))
+        if waiting:
+            first = min(rows[-1][0] for rows in waiting.values())
+            state.setTimeoutTimestamp(max(first // 1000, settled // 1000) + 1)
+        if out:
+            yield pd.DataFrame(out, columns=["_key", *names, STATUS])
     return follow
 
 
 def stream_ordered(stream: DataFrame, operator, out_path: str, checkpoint: str, *, ts: str, value: str, tiebreak: str,
-                   series_cols: Sequence[str], watermark: str):
-    """The started query that runs ``operator`` over every series of ``stream`` and writes its results below ``out_path``."""
+                   series_cols: Sequence[str], watermark: str, groups: int = GROUPS):
+    """The started query that runs ``operator`` over every series of ``stream`` and writes its results below ``out_path``.
+
+    Series are followed in ``groups`` groups by a hash, since Python is called once a group; the number holds for as long as
+    the checkpoint is used."""
     types = {f.name: f.dataType for f in stream.schema.fields}
-    result = T.StructType([T.StructField(k, types[k]) for k in series_cols]
-                          + list(T.StructType.fromDDL(operator.schema).fields) + [T.StructField(STATUS, T.StringType())])
-    names = T.StructType.fromDDL(operator.schema).names
+    key = T.StructType([T.StructField(k, types[k]) for k in series_cols])
+    own = T.StructType.fromDDL(operator.schema)
+    result = T.StructType([T.StructField("_key", T.StringType()), *own.fields, T.StructField(STATUS, T.StringType())])
     rows = stream.withWatermark(ts, watermark).select(
-        *series_cols, ts, F.unix_micros(ts).alias("_time"), F.col(tiebreak).cast("long").alias("_tie"),
+        F.pmod(F.xxhash64(*series_cols), F.lit(groups)).alias("_group"), F.to_json(F.struct(*series_cols), KEY_TEXT).alias("_key"),
+        ts, F.unix_micros(ts).alias("_time"), F.col(tiebreak).cast("long").alias("_tie"),
         F.col(value).cast("double").alias("_value"))
-    followed = rows.groupBy(*series_cols).applyInPandasWithState(
-        _follow(operator, list(series_cols), names), result, "carry string, waiting string", "append",
-        GroupStateTimeout.EventTimeTimeout)
+    followed = rows.groupBy("_group").applyInPandasWithState(
+        _follow(operator, own.names), result, "carry string, waiting string", "append", GroupStateTimeout.EventTimeTimeout) \
+        .withColumn("_key", F.from_json("_key", key, KEY_TEXT)).select("_key.*", *own.names, STATUS)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out_path}/{BATCH}={batch_id}")
