@@ -129,6 +129,16 @@ def test_many_copies_are_one_group(spark):
     assert S.keep_one(docs).count() == 1
 
 
+def test_kept_rows_are_not_looked_up_through_a_broadcast(spark):
+    """One row a group is no bounded number, also where its file looks small."""
+    docs = spark.createDataFrame([(i, f"text number {i // 2} of a few") for i in range(40)], "doc_id long, text string")
+    kept = S.keep_one(docs)
+    plan = kept._jdf.queryExecution().sparkPlan().toString()
+    assert "LeftSemi" in plan
+    assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "LeftSemi" in line]
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == list(range(0, 40, 2))
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, 7), (3, 1), (1, 3), (2, None)]

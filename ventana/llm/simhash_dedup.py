@@ -174,6 +174,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
              .select(F.col("m.rep").alias(id_col), F.col("m.fingerprint").alias(mark)))
     others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]))
     order = Window.partitionBy(id_col, mark).orderBy(F.xxhash64(text_col), others)
-    one = (named.join(first, [id_col, mark], "left_semi").withColumn(nth, F.row_number().over(order))
+    # merged like the links: one row a group, which would go through the driver; the window below needs these partitions anyway
+    one = (named.join(first.hint("merge"), [id_col, mark], "left_semi").withColumn(nth, F.row_number().over(order))
            .filter(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns]))
     return one.unionByName(docs.filter(F.col(id_col).isNull()))
