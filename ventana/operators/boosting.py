@@ -54,6 +54,8 @@ MISSING = 255
 #: Smallest gain worth a split.
 LEAST_GAIN = 1e-6
 #: Rows whose integer sums stay exact in doubles.
+#: Splits whose sides attributions keep at once (a byte a row of the batch).
+MOST_SIDES = 256
 EXACT_ROWS = 1 << 18
 
 DEFAULTS = {"maxIter": 100, "stepSize": 0.3, "maxDepth": 6, "subsamplingRate": 1.0, "gamma": 0.0, "regAlpha": 0.0,
@@ -641,19 +643,25 @@ def _leaf_shares(tests: dict, rest: dict, value: float) -> LeafPath:
 
 def attributed(paths: list[LeafPath], base: float, n_features: int, x: np.ndarray) -> np.ndarray:
     """(rows, features + 1): contributions, and the mean prediction last."""
-    out = np.zeros((len(x), n_features + 1))
-    out[:, -1] = base + sum(p.mean for p in paths)
-    lost = np.isnan(x)
+    out = np.zeros((n_features + 1, len(x)))
+    out[-1] = base + sum(p.mean for p in paths)
+    columns = np.ascontiguousarray(x.T)
+    lost = np.isnan(columns)
+    sides: dict[tuple[int, float, bool], np.ndarray] = {}     # rows on the left of a split; the leaves of a tree share them
     for p in paths:
         which = np.zeros(len(x), np.int64)
         for i, (f, tests) in enumerate(p.tests):
             agrees = np.ones(len(x), bool)
             for at, left, missing_left in tests:
-                agrees &= np.where(lost[:, f], missing_left, x[:, f] <= at) == left
+                if (f, at, missing_left) not in sides:
+                    if len(sides) >= MOST_SIDES:
+                        sides.clear()
+                    sides[f, at, missing_left] = np.where(lost[f], missing_left, columns[f] <= at)
+                agrees &= sides[f, at, missing_left] == left
             which |= agrees.astype(np.int64) << i
         for i, (f, _) in enumerate(p.tests):
-            out[:, f] += p.shares[which, i]
-    return out
+            out[f] += p.shares[:, i][which]
+    return np.ascontiguousarray(out.T)
 
 
 def predicted(t: dict[str, np.ndarray], base: float, x: np.ndarray) -> np.ndarray:
