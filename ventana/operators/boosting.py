@@ -25,6 +25,7 @@ and gradients are made once and kept by the executors while its levels grow, and
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import math
@@ -53,9 +54,9 @@ MOST_SUMS = 1 << 26
 MISSING = 255
 #: Smallest gain worth a split.
 LEAST_GAIN = 1e-6
-#: Rows whose integer sums stay exact in doubles.
 #: Splits whose sides attributions keep at once (a byte a row of the batch).
 MOST_SIDES = 256
+#: Rows whose integer sums stay exact in doubles.
 EXACT_ROWS = 1 << 18
 
 DEFAULTS = {"maxIter": 100, "stepSize": 0.3, "maxDepth": 6, "subsamplingRate": 1.0, "gamma": 0.0, "regAlpha": 0.0,
@@ -389,11 +390,39 @@ def _renewed(blocks: DataFrame, trees: list[dict[str, np.ndarray]], n_features:
     return blocks.mapInArrow(renew, _BLOCK)
 
 
+def _begin(rows: Iterator, plan: dict, later: list[dict[str, np.ndarray]], turn: int) -> Iterator:
+    """(bins, gradients) of a round's rows and the error of the held-out ones, by block."""
+    for columns, y, ids, held, m in rows:
+        off = _with_trees(m, columns, later) - y
+        used = ~held & sampled(ids, plan["params"]["subsamplingRate"], plan["seed"], turn)
+        yield (np.compress(used, columns, axis=1), np.rint(off[used] * plan["scale"]).astype(np.int64),
+               float((off[held] ** 2).sum()))
+
+
+def _add(parts: Iterator, n_features: int, t: dict[str, np.ndarray], nodes: list[int]) -> Iterator:
+    """Sums of ``nodes`` over the blocks of a task, and their errors."""
+    whole = (len(nodes), n_features, MISSING + 1)
+    g, h, errors = np.zeros(whole, np.int64), np.zeros(whole, np.int64), []
+    for columns, grad, error in parts:
+        at = places(nodes, len(t["left"]))[leaves(t, columns)]
+        own = at >= 0
+        more = sums(np.compress(own, columns, axis=1), at[own], grad[own], len(nodes))
+        g += more[0]
+        h += more[1]
+        errors.append(error)
+    yield g, h, errors
+
+
+def _both(a: tuple, b: tuple) -> tuple:
+    return a[0] + b[0], a[1] + b[1], a[2] + b[2]
+
+
 def _grow_by_levels(data: _Rows, plan: dict, n_features: int, validated: bool, n_rows: int) -> list[Tree]:
     """A Spark job per level, over blocks that executors keep.
 
     A round takes its sample and its gradients once, from the written blocks and the trees since; its levels then read
-    only these. What a lost executor kept is made again from the written blocks.
+    only these. What a lost executor kept is made again from the written blocks. The functions of the tasks are broadcast
+    once a fit, so that a job sends its tree alone.
     """
     p, spark = plan["params"], data.spark
     splits = Splits(p, n_features, plan["scale"])
@@ -401,40 +430,26 @@ def _grow_by_levels(data: _Rows, plan: dict, n_features: int, validated: bool, n
     kept = 0                    # trees that the written margins hold
     n_parts = max(spark.sparkContext.defaultParallelism, -(-n_rows // PART_ROWS))
     blocks = _Rows(_to_blocks(data.df.repartition(n_parts), n_features))
-    base = blocks.df.rdd.persist(StorageLevel.MEMORY_AND_DISK)
+    code = spark.sparkContext.broadcast({"read": _arrays, "begin": _begin, "add": _add, "plan": plan})
 
-    def begun(turn: int):
-        """(bins, gradients) of the round's rows and the error of the held-out ones, by block."""
-        later = [t.arrays() for t in trees[kept:]]
+    def read():
+        """The blocks as arrays, which reach Python faster than the bytes of rows."""
+        return blocks.df.rdd.map(lambda row: code.value["read"](row, n_features)).persist(StorageLevel.MEMORY_AND_DISK_DESER)
 
-        def begin(rows: Iterator) -> Iterator:
-            for row in rows:
-                columns, y, ids, held, m = _arrays(row, n_features)
-                off = _with_trees(m, columns, later) - y
-                used = ~held & sampled(ids, p["subsamplingRate"], plan["seed"], turn)
-                yield columns[:, used], np.rint(off[used] * plan["scale"]).astype(np.int64), float((off[held] ** 2).sum())
+    base = read()
 
-        return base.mapPartitions(begin).persist(StorageLevel.MEMORY_AND_DISK)
+    def begun(turn: int):
+        later = [t.arrays() for t in trees[kept:]]
+        return base.mapPartitions(lambda rows: code.value["begin"](rows, code.value["plan"], later, turn)) \
+            .persist(StorageLevel.MEMORY_AND_DISK_DESER)
 
     def level(rows, tree: Tree, nodes: list[int]):
         """Sums of ``nodes``, and the errors by block."""
         t = tree.arrays()
-        whole = (len(nodes), n_features, MISSING + 1)
-
-        def add(parts: Iterator) -> Iterator:
-            g, h, errors = np.zeros(whole, np.int64), np.zeros(whole, np.int64), []
-            for columns, grad, error in parts:
-                at = places(nodes, len(t["left"]))[leaves(t, columns)]
-                own = at >= 0
-                more = sums(columns[:, own], at[own], grad[own], len(nodes))
-                g += more[0]
-                h += more[1]
-                errors.append(error)
-            yield g, h, errors
-
-        added = rows.mapPartitions(add)
-        one_step = added.getNumPartitions() * math.prod(whole) * 16 <= MOST_SUMS
-        return added.treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2]), depth=1 if one_step else 2)
+        added = rows.mapPartitions(lambda parts: code.value["add"](parts, n_features, t, nodes))
+        if added.getNumPartitions() * len(nodes) * n_features * (MISSING + 1) * 16 <= MOST_SUMS:
+            return functools.reduce(_both, added.collect())
+        return added.treeReduce(_both, depth=2)
 
     try:
         for turn in range(p["maxIter"] + 1):
@@ -456,9 +471,10 @@ def _grow_by_levels(data: _Rows, plan: dict, n_features: int, validated: bool, n
                 base.unpersist()
                 blocks.drop()
                 blocks, kept = new, len(trees)
-                base = blocks.df.rdd.persist(StorageLevel.MEMORY_AND_DISK)
+                base = read()
     finally:
         base.unpersist()
+        code.destroy()
         blocks.drop()
     return trees[:stop.at + 1] if stop.patience is not None else trees
 

@@ -73,11 +73,13 @@ def interpolate(df: DataFrame, *, ts: str, cols: Sequence[str],
     """Positional linear interpolation, forward direction (rule D12).
 
     Gaps between two known values are filled on a straight line by row
-    position; leading nulls stay null; trailing nulls take the last value.
+    position; leading nulls stay null; trailing nulls take the last value. The next
+    known value is the last one seen from the series' end, as a frame that reaches to
+    the end would be read anew for every row.
     """
     w = series_window(series_cols, ts)
     back = w.rowsBetween(Window.unboundedPreceding, 0)
-    fwd = w.rowsBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy(*series_cols).orderBy(F.col("_pos").desc()).rowsBetween(Window.unboundedPreceding, 0)
     staged = df.withColumn("_pos", F.row_number().over(w))
     pos = F.col("_pos")
     out = {}
@@ -85,8 +87,8 @@ def interpolate(df: DataFrame, *, ts: str, cols: Sequence[str],
         x = F.col(c)
         pv = F.last(x, ignorenulls=True).over(back)
         pp = F.last(F.when(x.isNotNull(), pos), ignorenulls=True).over(back)
-        nv = F.first(x, ignorenulls=True).over(fwd)
-        np_ = F.first(F.when(x.isNotNull(), pos), ignorenulls=True).over(fwd)
+        nv = F.last(x, ignorenulls=True).over(ahead)
+        np_ = F.last(F.when(x.isNotNull(), pos), ignorenulls=True).over(ahead)
         out[c] = (F.when(x.isNotNull(), x)
                    .when(pv.isNull(), F.lit(None).cast("double"))
                    .when(nv.isNull(), pv)

@@ -12,7 +12,7 @@ from ..operators import iforest
 from ..operators import learn as L
 from ..operators import resample as R
 from ..operators import windows as W
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, kept
 from .registry import ORACLES, query
 from .sqltext import corr, interp_select, rnd, rolling_mean, ts_txt, win
 from .standins import H_SQL, POLLUTANTS, U_SQL, station_hourly, table, users_hourly, with_ctes
@@ -217,22 +217,28 @@ _DAILY_X = [*POLLUTANTS, "pm25_lag_1", "co_lag_1", "pm25_lag_2", "co_lag_2", "pm
             "pm25_rolling_7d", "day_of_week", "month"]
 
 
+def _daily_split(spark, sf, target="same_day"):
+    """(split feature rows, feature rows of all days): each written once, as a fit and what follows it read them many times."""
+    every = kept(FT.daily_features(_daily_filled(spark, sf), series_cols=US, target=target, drop_incomplete=False), "daily")
+    return kept(W.chrono_split(every.dropna(), ts="day", series_cols=US), "daily-split"), every
+
+
 def _daily_model(spark, sf, target, **params):
-    """(model, split feature rows): fitted on the earlier rows of every series with the published rounds and never
-    on the later ones; saved in the shared folder under a digest of its training rows and settings."""
-    f = W.chrono_split(_features_daily(spark, sf, target), ts="day", series_cols=US)
+    """(model, split feature rows, feature rows of all days): fitted on the earlier rows of every series with the published
+    rounds and never on the later ones; saved in the shared folder under a digest of its training rows and settings."""
+    f, every = _daily_split(spark, sf, target)
     used = f.filter("split = 'train'").select(*_DAILY_X, "pm25_diff")
     folder = f"{checkpoint_dir(spark)}/models/daily"
     model = L.saved_fit(used, folder, lambda rows: L.fit_gbt(rows, features=_DAILY_X, label="pm25_diff", **params),
                         settings={"features": _DAILY_X, "label": "pm25_diff", **V.GBT_DAILY, **params})
-    return model, f
+    return model, f, every
 
 
 @query("gbt_fit_predict")
 def q_gbt_fit_predict(spark, sf):
     """M4 + M13 + M6: boosted trees on the daily features (reference target),
     chronological 80/20 split per series; hold-out rows with predictions and the number of trees."""
-    model, f = _daily_model(spark, sf, "same_day")
+    model, f, _ = _daily_model(spark, sf, "same_day")
     test = L.predict(model, f.filter("split = 'test'"))
     return test.select("user_id", "day", F.col("pm25_diff").alias("actual"), "prediction",
                        F.lit(model.n_trees).alias("n_trees"))
@@ -242,7 +248,7 @@ def q_gbt_fit_predict(spark, sf):
 def q_gbt_attributions(spark, sf):
     """M7: what every feature adds to each hold-out prediction (exact Shapley values of the trees); with the
     expected value they sum to the prediction."""
-    model, f = _daily_model(spark, sf, "same_day")
+    model, f, _ = _daily_model(spark, sf, "same_day")
     told = model.attribute(L.predict(model, f.filter("split = 'test'")))
     return told.select("user_id", "day", "prediction", "expected", "attributions.*")
 
@@ -320,7 +326,7 @@ def q_gbt_two_targets(spark, sf):
 @query("importances")
 def q_importances(spark, sf):
     """M7: feature importances of the daily model, largest first."""
-    model, _ = _daily_model(spark, sf, "same_day")
+    model, *_ = _daily_model(spark, sf, "same_day")
     rows = L.importances(model, _DAILY_X)
     return spark.createDataFrame([(i + 1, f, float(v)) for i, (f, v) in enumerate(rows)],
                                  "rank int, feature string, importance double")
@@ -331,9 +337,7 @@ def q_forecast_next(spark, sf):
     """Next-day forecast of every series from its latest day (series whose
     latest day lacks an input get none); as served by the reference, the daily
     model's predicted change is added to today's value."""
-    model, _ = _daily_model(spark, sf, "same_day")
-    feats = FT.daily_features(_daily_filled(spark, sf), series_cols=US, target="same_day",
-                              drop_incomplete=False)
+    model, _, feats = _daily_model(spark, sf, "same_day")
     return L.forecast_next(model, feats, features=_DAILY_X, series_cols=US)
 
 
@@ -341,16 +345,14 @@ def q_forecast_next(spark, sf):
 def q_forecast_next_day(spark, sf):
     """M10 with the model trained on the next day's change (``target="next_day"``), which is what
     the forecast adds to today's value."""
-    model, _ = _daily_model(spark, sf, "next_day")
-    feats = FT.daily_features(_daily_filled(spark, sf), series_cols=US, target="next_day",
-                              drop_incomplete=False)
+    model, _, feats = _daily_model(spark, sf, "next_day")
     return L.forecast_next(model, feats, features=_DAILY_X, series_cols=US)
 
 
 @query("backtest_gbt")
 def q_backtest_gbt(spark, sf):
     """M11 with the daily model: last 7 days of every series, predicted = current + delta."""
-    model, _ = _daily_model(spark, sf, "same_day")
+    model, *_ = _daily_model(spark, sf, "same_day")
     rows = L.backtest_rows(_daily_filled(spark, sf), series_cols=US, value_cols=POLLUTANTS)
     pred = L.predict(model, rows)
     return L.backtest_metrics(pred, series_cols=US, delta="prediction")

@@ -146,6 +146,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once below the shared folder and read back, for rows that several jobs read."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder.
 
