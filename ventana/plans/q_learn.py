@@ -257,8 +257,8 @@ def q_gbt_attributions(spark, sf):
 def q_gbt_patience(spark, sf):
     """M4 as in the notebook: boosting waits 50 rounds for a smaller error. The rows that tell it are the last
     fifth of each series' training rows, so the hold-out rows have no part in the choice; metrics on these."""
-    f = W.chrono_split(_features_daily(spark, sf), ts="day", series_cols=US)
-    inner = W.chrono_split(f.filter("split = 'train'").drop("split"), ts="day", series_cols=US)
+    f, _ = _daily_split(spark, sf)
+    inner = kept(W.chrono_split(f.filter("split = 'train'").drop("split"), ts="day", series_cols=US), "daily-inner")
     model = L.fit_gbt(inner.filter("split = 'train'"), validation=inner.filter("split = 'test'"), features=_DAILY_X,
                       label="pm25_diff", patience=V.GBT_PATIENCE)
     return L.regression_metrics(L.predict(model, f.filter("split = 'test'")), label="pm25_diff", prediction="prediction") \
