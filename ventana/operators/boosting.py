@@ -15,7 +15,8 @@ Spark ML's trees know neither ``gamma`` nor ``reg_alpha`` nor a patience, and ne
 
 Gradients are added as integers (a fixed number of binary digits below the range of the label), and a
 row is in a round's sample by a hash of its content, so a fit does not depend on how rows are
-partitioned, on the order of additions or on repeated tasks: the same rows give the same trees.
+partitioned, on the order of additions or on repeated tasks: the same rows give the same trees. Only the cuts of
+features with very many values do: the sketch of their quantiles depends on the partitions in which the rows reach it.
 
 Where the training rows are no more than ``ONE_TASK_ROWS`` (a few MB of bins), levels need no exchange: one task
 adds up the same sums and grows all rounds. Above it every level is a Spark job over blocks of rows: a round's sample
